@@ -51,7 +51,7 @@ def optional_text(df: DataFrame, path: str = "text.content") -> Column:
     return F.col(path) if has_field(df.schema, path) else F.lit(None).cast("string")
 
 
-def encode_text(text: Column) -> Column:
+def encode_text(text: Column | str) -> Column:
     return F.encode(text, "UTF-8")
 
 
@@ -64,7 +64,7 @@ def decode_text(df: DataFrame, column: str, strict: bool = True) -> Column:
     return F.make_valid_utf8(F.col(column).cast("string"))
 
 
-def payload_size(*parts: Column) -> Column:
+def payload_size(*parts: Column | str) -> Column:
     """Payload bytes of a sample: what shard limits are compared to."""
     total = F.lit(0).cast("long")
     for part in parts:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.functions.hashing import order_bucket, order_key
 
@@ -46,3 +46,19 @@ def by_boundaries(payload: DataFrame, assigned: DataFrame, seed: int = 42, epoch
     inside = (keyed["slice"] == boundaries["slice"]) & (here >= F.col("start")) & (
         F.col("end").isNull() | (here < F.col("end")))
     return keyed.join(boundaries, inside).select(*[keyed[c] for c in payload.columns], keyed["order_key"], "shard")
+
+
+def by_file_rows(payload: DataFrame, assigned: DataFrame, file: str, row: str, part: str, shard: Column,
+                 broadcast_limit: int = BROADCAST_BOUNDARIES) -> DataFrame:
+    """Shards that are runs of rows of files: a payload row finds its shard by file and row number.
+
+    ``part`` cuts a file's rows into ranges on both sides, so the join key of a huge file is not one value.
+    There is one run per shard and part; the payload is not shuffled while those fit ``broadcast_limit``.
+    """
+    runs = assigned.groupBy(file, part, shard.alias("shard")).agg(
+        F.min(row).alias("_first"), F.max(row).alias("_last"))
+    if runs.count() <= broadcast_limit:
+        runs = F.broadcast(runs)
+    inside = ((payload[file] == runs[file]) & (payload[part] == runs[part])
+              & payload[row].between(F.col("_first"), F.col("_last")))
+    return payload.join(runs, inside).select(*[payload[c] for c in payload.columns], "shard")

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shardloom.functions.paths import sample_key
 from shardloom.functions.payload import payload_size
 from shardloom.operators.assignment import Rollover, roll_shards
-from shardloom.operators.attach import by_boundaries, by_sample_id
-from shardloom.operators.ordering import bucket_digits, with_order
+from shardloom.operators.attach import by_boundaries, by_file_rows
+from shardloom.operators.ordering import bucket_digits, file_bucket, with_order
 from shardloom.session import stage
 from shardloom.sources import register
 from shardloom.sources.chunks import chunk_number, item_size
@@ -93,12 +93,16 @@ def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row:
     spark = register(flat.sparkSession)
     assigned = stage(assign_writers(flat, writer, file, row, item_size(F.col("image"), F.col("text")),
                                     Rollover(chunk_bytes, "fit", chunk_rows), rows_per_bucket))
-    totals = assigned.agg(F.sum("size").alias("bytes"), F.countDistinct("writer", "shard").alias("n")).first()
-    number = chunk_number(F.col("writer"), F.col("shard"))
-    # File order is no range of a key the payload can compute alone, so this path joins on the id.
-    rows = flat.join(assigned.select("sample_id", "pos", number.alias("shard")), "sample_id")
+    totals = assigned.agg(F.sum("size").alias("bytes"), F.count_if(F.col("slot") == 0).alias("n")).first()
+    if not totals["n"]:
+        raise ValueError("no samples to write")
+    payload = flat.select("*", file.alias("_file"), row.cast("long").alias("_row"),
+                          file_bucket(row, rows_per_bucket).alias("_part"))
+    runs = assigned.select("writer", "shard", F.col("file").alias("_file"), F.col("row").alias("_row"),
+                           F.col("part").alias("_part"))
+    rows = by_file_rows(payload, runs, "_file", "_row", "_part", chunk_number(F.col("writer"), F.col("shard")))
     rows = rows.withColumn("shard_task", F.hash("shard"))
-    rows = cluster_by_shard(rows, totals["bytes"], totals["n"], ["pos"])
+    rows = cluster_by_shard(rows, totals["bytes"], totals["n"], ["_file", "_row"])
     (rows.select("shard", F.col("image").alias("image_bytes"), "text").write.format("chunks").mode("overwrite")
      .options(compression=compression, chunk_bytes=str(chunk_bytes), hashes=hashes).save(path))
     return path
@@ -107,12 +111,11 @@ def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row:
 def assign_writers(flat: DataFrame, writer: Column, file: Column, row: Column, size: Column, rule: Rollover,
                    rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Per-writer rollover in file order; a huge file is many buckets."""
-    from shardloom.operators.ordering import file_bucket
-
     rows = stage(flat.select(
         "sample_id", writer.cast("long").alias("writer"), file.alias("file"), row.cast("long").alias("row"),
         size.cast("long").alias("size"),
-        F.struct(file.alias("file"), file_bucket(row, rows_per_bucket).alias("part")).alias("bucket")))
+        file_bucket(row, rows_per_bucket).alias("part")))
+    rows = rows.withColumn("bucket", F.struct("file", "part"))
     return roll_shards(rows, rule, ["row", "sample_id"], group=("writer",)).drop("bucket")
 
 

@@ -17,7 +17,7 @@ FORMATS = {"binary": "bytes", "string": "str", "bigint": "int", "double": "float
 NULL = 0xFFFFFFFF
 
 
-def item_size(*leaves: Column) -> Column:
+def item_size(*leaves: Column | str) -> Column:
     """Bytes an item takes in its chunk: a length per leaf, then the leaves."""
     return payload_size(*leaves) + F.lit(4 * len(leaves))
 
