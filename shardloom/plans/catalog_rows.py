@@ -71,7 +71,7 @@ def count_samples(spark, sf_dir):
 def _sql_uri(bare: str) -> str:
     return f"""SELECT page_id, 's3://' || bucket || '/' || key AS uri, bucket, key FROM (
   SELECT page_id, parts[1] AS bucket,
-         array_to_string(list_append(list_filter(parts[2:], s -> s <> ''), 'tar'), '/') AS key
+         array_to_string(list_append(list_filter(parts[2:], lambda s: s <> ''), 'tar'), '/') AS key
   FROM (SELECT page_id, string_split({bare}, '/') AS parts FROM pages))"""
 
 

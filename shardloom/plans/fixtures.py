@@ -195,7 +195,7 @@ SQL_STAGE_LOGS = f"""stage_logs AS (
 
 def sql_rasters(vectors: str = "embeddings") -> str:
     return f"""rasters AS (
-  SELECT vec_id AS sample_id, list_transform(embedding, v -> least(
+  SELECT vec_id AS sample_id, list_transform(embedding, lambda v: least(
     floor((v::DOUBLE - list_min(embedding)::DOUBLE)
       / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) * 256)::INTEGER, 255)) AS levels
   FROM {vectors} WHERE list_max(embedding) > list_min(embedding))"""
