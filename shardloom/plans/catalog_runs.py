@@ -71,7 +71,6 @@ SELECT event_id, {_sql_last(*THROUGHPUT)}::DOUBLE AS throughput, {_sql_last(*SAM
   {SQL_EPOCH_TIME.format(n=1)} AS epoch1_s, {SQL_EPOCH_TIME.format(n=2)} AS epoch2_s
 FROM logs""")
 def metrics_of_logs(spark, sf_dir):
-    """Logs are written as one text file each group of runs would leave, and parsed from the table."""
     return log_metrics(fx.run_logs(spark, sf_dir))
 
 

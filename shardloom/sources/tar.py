@@ -110,14 +110,22 @@ class TarReader(ShardReader):
         from shardloom.sources.shardfiles import INDEX
         from shardloom.sources.storage import read_json
 
-        index = read_json(filesystem, f"{base}/{INDEX}")
-        if index is not None and index.get("format") == "tar":
-            found = [{"file": s["file"], "bytes": s["bytes"]} for s in index["shards"]]
-        else:
-            # A foreign tar set has no index: list it.
-            infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
-            found = [{"file": i.path[len(base):].lstrip("/"), "bytes": i.size} for i in infos
-                     if i.type == pafs.FileType.File and i.path.endswith(".tar")]
+        def indexed(folder: str):
+            index = read_json(filesystem, f"{folder}/{INDEX}")
+            if index is None or index.get("format") != "tar":
+                return None
+            inner = folder[len(base):].lstrip("/")
+            return [{"file": f"{inner}/{s['file']}" if inner else s["file"], "bytes": s["bytes"]}
+                    for s in index["shards"]]
+
+        found = indexed(base)
+        if found is None:
+            # A folder of tar sets, each with its index; or a foreign set without any, which is listed.
+            infos = [i for i in filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
+                     if i.type == pafs.FileType.File]
+            sets = [indexed(i.path.rpartition("/")[0]) for i in infos if i.base_name == INDEX]
+            found = [entry for entries in sets if entries for entry in entries] or [
+                {"file": i.path[len(base):].lstrip("/"), "bytes": i.size} for i in infos if i.path.endswith(".tar")]
         split, prefix = self.options.get("split"), self.options.get("prefix", "")
         if split:
             found = [s for s in found if f"{prefix}-{split}-" in s["file"]]
