@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The wording of the run logs.
 THROUGHPUT = (r"Average throughput: ([0-9.]+) images/sec", r"([0-9.]+) images/sec")
@@ -51,6 +51,12 @@ def epoch_time(log: Column, epoch: int) -> Column:
     return F.coalesce(F.try_element_at(epoch_times(log), F.lit(epoch)), F.lit(0.0))
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Every log file as one row: file, log."""
+    return spark.read.option("wholetext", "true").text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("value").alias("log"))
+
+
 def log_metrics(logs: DataFrame, log: str = "log") -> DataFrame:
     """The typed metrics row of every run log."""
     text = F.col(log)

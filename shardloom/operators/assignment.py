@@ -6,11 +6,11 @@ the one before it started. That chain is resolved exactly, and in parallel, over
 1. each bucket reduces to a step function: "if the shard open on entry started at byte b, row p, then the
    shard open on exit started at (b', p') and k shards were opened in between". Chains from different entries
    soon meet, so a bucket of a million rows is a handful of steps.
-2. step functions of ``FAN_IN`` consecutive buckets compose into one, and a short walk over those gives every
-   bucket the shard that is open when it begins.
+2. a short walk over the step functions gives every bucket the shard that is open when it begins; where
+   buckets are many, ``FAN_IN`` consecutive ones compose into one step function first.
 3. each bucket numbers its own rows.
 
-No task sees more than one bucket of narrow rows, or ``FAN_IN`` step functions.
+No task sees more than one bucket of narrow rows, or a few hundred step functions.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from shardloom.operators.ordering import with_positions
 
 FAN_IN = 64
+WALKED_AT_ONCE = 256
 # Entry state of the first bucket: a shard that started infinitely long ago, so row 0 always opens one.
 LONG_AGO = -(1 << 61)
 
@@ -164,10 +165,11 @@ def number_rows(rule: Rollover, cum, pos, size, open_cum: int, open_pos: int, op
 
 
 def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: str = "bucket",
-                group: tuple[str, ...] = (), size: str = "size") -> DataFrame:
+                group: tuple[str, ...] = (), size: str = "size", most_buckets: int | None = None) -> DataFrame:
     """Add ``pos``, ``shard`` and ``slot`` (row within shard), numbered from 0 in each group.
 
-    ``rows`` is narrow (ids, order, size) and staged; ``bucket`` is an ordered cut of the group's order.
+    ``rows`` is narrow (ids, order, size) and staged; ``bucket`` is an ordered cut of the group's order, into
+    at most ``most_buckets`` where the caller knows.
     """
     keys = list(group) or ["_all"]
     if not group:
@@ -196,13 +198,21 @@ def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: st
         steps = {**compose(rule, pdf), "part": key[-1]}
         return keyed(key, pd.DataFrame([steps], columns=STEPS.names))
 
-    def enter_ranges(key, pdf):
+    def enter_first(key, pdf):
         return keyed(key, walk(rule, pdf, LONG_AGO, LONG_AGO, -1))
 
     def enter_buckets(key, steps, state):
         begin = state.iloc[0]
         return keyed(key[:-1], walk(rule, steps, begin.open_cum, begin.open_pos, begin.open_shard))
 
+    def through_ranges(steps):
+        steps = steps.withColumn("range_no", F.call_function("div", "part", F.lit(FAN_IN).cast("long")))
+        ranges = steps.groupBy(*keys, "range_no").applyInPandas(reduce_range, with_keys(STEPS))
+        states = ranges.groupBy(*keys).applyInPandas(enter_first, with_keys(STATE))
+        return (steps.groupBy(*keys, "range_no")
+                .cogroup(states.withColumnRenamed("part", "range_no").groupBy(*keys, "range_no"))
+                .applyInPandas(enter_buckets, with_keys(STATE)))
+
     out_schema = T.StructType(placed.schema.fields + [T.StructField("shard", T.LongType()),
                                                       T.StructField("slot", T.LongType())])
 
@@ -216,12 +226,10 @@ def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: st
 
     narrow = placed.select(*keys, "bucket_no", "cum", "pos", size)
     steps = narrow.groupBy(*keys, "bucket_no").applyInPandas(reduce_bucket, with_keys(STEPS))
-    steps = steps.withColumn("range_no", F.floor(F.col("part") / FAN_IN).cast("long"))
-    ranges = steps.groupBy(*keys, "range_no").applyInPandas(reduce_range, with_keys(STEPS))
-    range_states = ranges.groupBy(*keys).applyInPandas(enter_ranges, with_keys(STATE))
-    bucket_states = (steps.groupBy(*keys, "range_no")
-                     .cogroup(range_states.withColumnRenamed("part", "range_no").groupBy(*keys, "range_no"))
-                     .applyInPandas(enter_buckets, with_keys(STATE)))
+    if most_buckets is not None and most_buckets <= WALKED_AT_ONCE:
+        bucket_states = steps.groupBy(*keys).applyInPandas(enter_first, with_keys(STATE))
+    else:
+        bucket_states = through_ranges(steps)
     filled = (placed.groupBy(*keys, "bucket_no")
               .cogroup(bucket_states.withColumnRenamed("part", "bucket_no").groupBy(*keys, "bucket_no"))
               .applyInPandas(fill_bucket, out_schema))

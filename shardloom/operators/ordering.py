@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shardloom.functions.hashing import order_bucket, order_key, unit_fraction
 
@@ -107,11 +107,11 @@ def split_samples(samples: DataFrame, ratios: list[float], names: list[str] = ["
 def shuffle_through_buffer(df: DataFrame, buffer_rows: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Order in which a reader with a bounded shuffle buffer emits each partition's rows.
 
-    Adds ``emitted``, the place within the partition. Memory is one buffer of references to Arrow batches.
+    Adds the places within the partition a row ``arrived`` at and is ``emitted`` at. A task holds one buffer
+    and one batch.
     """
-    from pyspark.sql import types as T
-
-    schema = T.StructType(df.schema.fields + [T.StructField("emitted", T.LongType(), False)])
+    schema = T.StructType(df.schema.fields + [T.StructField("arrived", T.LongType(), False),
+                                              T.StructField("emitted", T.LongType(), False)])
 
     def emit(batches):
         import numpy as np
@@ -120,7 +120,7 @@ def shuffle_through_buffer(df: DataFrame, buffer_rows: int, seed: int = 42, epoc
 
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         held: pa.Table | None = None
-        count = 0
+        count = arrived = 0
 
         def out(table, places):
             nonlocal count
@@ -130,7 +130,9 @@ def shuffle_through_buffer(df: DataFrame, buffer_rows: int, seed: int = 42, epoc
             return picked.combine_chunks().to_batches()
 
         for batch in batches:
-            incoming = pa.Table.from_batches([batch])
+            places_in = pa.array(np.arange(arrived, arrived + batch.num_rows), pa.int64())
+            incoming = pa.Table.from_batches([batch]).append_column("arrived", places_in)
+            arrived += batch.num_rows
             held = incoming if held is None else pa.concat_tables([held, incoming])
             spare = held.num_rows - buffer_rows
             if spare > 0:

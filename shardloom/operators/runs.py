@@ -135,17 +135,23 @@ def sweep_progress(grid: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def read_results(spark, path: str) -> DataFrame:
-    """Sweep results CSV; a number that does not parse becomes null, a line that is short is dropped."""
-    text = spark.read.option("header", "true").option("mode", "DROPMALFORMED").schema(
-        "dataset string, num_workers string, prefetch_factor string, batch_size string, throughput string, TTFB string"
-    ).csv(path)
-    return text.select(
-        "dataset", *[F.col(c).try_cast("long").alias(c) for c in AXES[1:]],
-        F.col("throughput").try_cast("double").alias("throughput"), F.col("TTFB").try_cast("double").alias("ttfb"))
+    """Sweep results CSV, appended to by many runs: headers may repeat, a line of fewer than five fields is
+    dropped, a number that does not parse becomes null."""
+    parts = spark.read.text(path).select(F.split(F.trim("value"), ",").alias("part"))
+    parts = parts.filter((F.size("part") >= 5) & (F.col("part")[0] != "dataset"))
+
+    def field(n, as_type):
+        return F.get("part", F.lit(n)).try_cast(as_type)
+
+    return parts.select(
+        F.col("part")[0].alias("dataset"), *[field(n, "long").alias(name) for n, name in enumerate(AXES) if n],
+        field(4, "double").alias("throughput"), field(5, "double").alias("ttfb"))
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    results.write.mode("append").option("header", "true").csv(path)
+    """Add rows in the column order of the table; every file starts with the header."""
+    ordered = results.select(*AXES, "throughput", F.col("ttfb").alias("TTFB"))
+    ordered.write.mode("append").option("header", "true").csv(path)
 
 
 def union_formats(**tables: DataFrame) -> DataFrame:

@@ -31,10 +31,13 @@ def flatten(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", image.alias("image"), optional_text(samples, text_path).alias("text"))
 
 
-def rejection(image: Column, text: Column, max_bytes: int | None = None, need_text: bool = True) -> Column:
+def rejection(image: Column, text: Column, max_bytes: int | None = None, need_text: bool = True,
+              need_bytes: bool = False) -> Column:
     """Why a sample cannot be written, or null if it can."""
     size = payload_size(image, text)
-    reason = F.when(image.isNull(), F.lit("missing image")).when(F.octet_length(image) == 0, F.lit("empty image"))
+    reason = F.when(image.isNull(), F.lit("missing image"))
+    if need_bytes:
+        reason = reason.when(F.octet_length(image) == 0, F.lit("empty image"))
     if need_text:
         reason = reason.when(text.isNull(), F.lit("missing text"))
     if max_bytes is not None:
@@ -42,9 +45,10 @@ def rejection(image: Column, text: Column, max_bytes: int | None = None, need_te
     return reason
 
 
-def split_valid(flat: DataFrame, max_bytes: int | None = None, need_text: bool = True) -> tuple[DataFrame, DataFrame]:
+def split_valid(flat: DataFrame, max_bytes: int | None = None, need_text: bool = True,
+                need_bytes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the rest with a reason; one bad row never stops a job."""
-    reason = rejection(F.col("image"), F.col("text"), max_bytes, need_text)
+    reason = rejection(F.col("image"), F.col("text"), max_bytes, need_text, need_bytes)
     return flat.filter(reason.isNull()), flat.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 

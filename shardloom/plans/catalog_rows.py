@@ -172,13 +172,13 @@ labelled AS (
 
 @query("valid_samples", f"WITH {SQL_LABELLED} SELECT sample_id, image_bytes, text FROM labelled WHERE reason IS NULL")
 def valid_samples(spark, sf_dir):
-    good, _ = split_valid(fx.labelled(spark, sf_dir), MOST_BYTES)
+    good, _ = split_valid(fx.labelled(spark, sf_dir), MOST_BYTES, need_bytes=True)
     return good.select("sample_id", F.octet_length("image").cast("long").alias("image_bytes"), "text")
 
 
 @query("rejected_samples", f"WITH {SQL_LABELLED} SELECT sample_id, reason FROM labelled WHERE reason IS NOT NULL")
 def rejected_samples(spark, sf_dir):
-    _, rejects = split_valid(fx.labelled(spark, sf_dir), MOST_BYTES)
+    _, rejects = split_valid(fx.labelled(spark, sf_dir), MOST_BYTES, need_bytes=True)
     return rejects.select("sample_id", "reason")
 
 
@@ -208,7 +208,7 @@ KEPT_BYTES = 1_000_000
 SELECT * FROM (SELECT name, bytes, sum(bytes) OVER (ORDER BY name)::BIGINT AS total_bytes FROM files)
 WHERE total_bytes < {KEPT_BYTES}""")
 def capped_prefix(spark, sf_dir):
-    return size_capped_prefix(_files(spark, sf_dir), KEPT_BYTES)
+    return size_capped_prefix(_files(spark, sf_dir), KEPT_BYTES, F.substring("name", 1, 4))
 
 
 @query("last_file", f"WITH {SQL_FILES} SELECT name, bytes FROM files ORDER BY name DESC LIMIT 1")
@@ -245,10 +245,15 @@ def file_order(spark, sf_dir):
     return with_positions(rows, ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", "role", "pos")
 
 
-@query("buffer_shuffle")
+BUFFER = 100
+
+
+@query("buffer_shuffle", f"WITH {fx.SQL_SAMPLES} SELECT sample_id, text, TRUE AS within_buffer FROM samples")
 def buffer_shuffle(spark, sf_dir):
+    """Every sample once, none more than a buffer ahead of its arrival."""
     rows = fx.samples(spark, sf_dir).select("sample_id", "text").repartition(4, "sample_id")
-    return shuffle_through_buffer(rows, 100, fx.SEED)
+    return shuffle_through_buffer(rows, BUFFER, fx.SEED).select(
+        "sample_id", "text", (F.col("emitted") >= F.col("arrived") - BUFFER).alias("within_buffer"))
 
 
 @query("epoch_shuffle", f"""SELECT epoch, doc_id AS sample_id,

@@ -237,7 +237,7 @@ def load_results(spark, sf_dir):
     path = fresh_dir(spark, "results")
     rows = fx.results(spark, sf_dir)
     written = rows.withColumn("throughput", F.when(F.col("status") == "ok", F.col("throughput").cast("string"))
-                              .otherwise("n/a")).withColumnRenamed("ttfb", "TTFB").drop("status")
+                              .otherwise("n/a"))
     runs.append_results(written, path)
     return runs.read_results(spark, path)
 
@@ -247,9 +247,9 @@ SELECT dataset, count(*) AS n_rows, sum(batch_size)::BIGINT AS batch_sizes FROM
 def append_results(spark, sf_dir):
     """Two appends of disjoint halves read back as one table."""
     path = fresh_dir(spark, "appended")
-    rows = fx.results(spark, sf_dir).withColumnRenamed("ttfb", "TTFB")
-    runs.append_results(rows.filter("status = 'ok'").drop("status"), path)
-    runs.append_results(rows.filter("status <> 'ok'").drop("status"), path)
+    rows = fx.results(spark, sf_dir)
+    runs.append_results(rows.filter("status = 'ok'"), path)
+    runs.append_results(rows.filter("status <> 'ok'"), path)
     return runs.read_results(spark, path).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("batch_size").alias("batch_sizes"))
 

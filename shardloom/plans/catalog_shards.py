@@ -40,7 +40,8 @@ ASSIGNED_SQL = "SELECT sample_id, n - 1 AS pos, shard, slot FROM rolled"
 
 
 def rolled(spark, sf_dir, rule):
-    return roll_shards(narrow(fx.samples(spark, sf_dir), payload_size(IMAGE, TEXT), fx.SEED, fx.DIGITS), rule, ORDER)
+    rows = narrow(fx.samples(spark, sf_dir), payload_size(IMAGE, TEXT), fx.SEED, fx.DIGITS)
+    return roll_shards(rows, rule, ORDER, most_buckets=16**fx.DIGITS)
 
 
 def assigned_columns(df):
@@ -127,7 +128,7 @@ def digest_of_shards(spark, sf_dir):
 
 def tar_set(spark, sf_dir, **options):
     return write_tar(fx.samples(spark, sf_dir), fresh_dir(spark, "tar"), fx.TAR_BYTES, fx.TAR_ROWS, fx.SEED,
-                     digits=fx.DIGITS, **options)
+                     digits=fx.DIGITS, least_bytes=0, **options)
 
 
 def mds_set(spark, sf_dir, **options):
@@ -235,7 +236,16 @@ def sample_index(spark, sf_dir):
     return tar_sample_index(spark, tar_set(spark, sf_dir))
 
 
-@query("skip_corrupt_shards")
+# The bytes the damage leaves of the last shard.
+KEPT = "(raw + 1024 + 10239) // 10240 * 10240 // 2 // 512 * 512 - 100"
+
+
+@query("skip_corrupt_shards", f"""WITH RECURSIVE {ROLLED_OVERSHOOT},
+ends AS (SELECT shard, sum(1024 + (image_bytes + 511) // 512 * 512 + (text_bytes + 511) // 512 * 512)
+    OVER (PARTITION BY shard ORDER BY slot ROWS UNBOUNDED PRECEDING) AS "end" FROM rolled JOIN samples USING (sample_id)),
+totals AS (SELECT shard, max("end") AS raw, shard = (SELECT max(shard) FROM ends) AS damaged FROM ends GROUP BY shard)
+SELECT {TAR_NAME} AS shard, count(*) FILTER (NOT damaged OR "end" <= {KEPT}) AS n_rows, max(damaged::BIGINT) AS n_corrupt
+FROM ends JOIN totals USING (shard) GROUP BY shard""")
 def skip_corrupt_shards(spark, sf_dir):
     """The last shard loses its second half; what the three read modes deliver of the set."""
     path = tar_set(spark, sf_dir)

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardloom.functions.paths import sample_key
 from shardloom.functions.payload import payload_size
-from shardloom.operators.assignment import Rollover, roll_shards
+from shardloom.operators.assignment import Rollover, check_limits, roll_shards
 from shardloom.operators.attach import by_boundaries, by_file_rows
 from shardloom.operators.ordering import bucket_digits, file_bucket, with_order
+from shardloom.operators.samples import split_valid
 from shardloom.session import stage
 from shardloom.sources import register
 from shardloom.sources.chunks import chunk_number, item_size
@@ -25,17 +26,17 @@ TASK_BYTES = 1 << 30
 MDS_COLUMNS = {"image": "jpeg", "text": "str", "idx": "int"}
 
 
-def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int | None = None,
-           rows_per_bucket: int = 1_000_000) -> DataFrame:
+def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int = 1) -> DataFrame:
     """Staged (sample_id, size, order_key, bucket): the only pass that reads payloads before the write."""
-    if digits is None:
-        digits = bucket_digits(samples.count(), rows_per_bucket)
     return stage(with_order(samples.select("sample_id", size.cast("long").alias("size")), seed, digits=digits))
 
 
 def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Staged shard assignment in the seeded order."""
-    return stage(roll_shards(narrow(samples, size, seed, digits), rule, ["order_key", "sample_id"]))
+    if digits is None:
+        digits = bucket_digits(samples.count())
+    rows = narrow(samples, size, seed, digits)
+    return stage(roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=16**digits))
 
 
 def cluster_by_shard(rows: DataFrame, total_bytes: int, n_shards: int, order_by: list[str]) -> DataFrame:
@@ -60,10 +61,20 @@ def write_shards(payload: DataFrame, assigned: DataFrame, source: str, path: str
     return path
 
 
+def set_aside(flat: DataFrame, rejects: str | None, need_text: bool = True) -> DataFrame:
+    """The rows a format can hold; the others go to ``rejects`` with their reason, if that is wanted."""
+    good, bad = split_valid(flat, need_text=need_text)
+    if rejects:
+        bad.drop("image").write.mode("overwrite").parquet(rejects)
+    return good
+
+
 def write_tar(flat: DataFrame, path: str, max_bytes: int = 2 << 26, max_rows: int = 10_000, seed: int = 42,
               prefix: str = "dataset", split: str = "train", hashes: str = "", digits: int | None = None,
-              assigned: DataFrame | None = None) -> str:
+              assigned: DataFrame | None = None, rejects: str | None = None, least_bytes: int = 10_000_000) -> str:
     """Tar shards ``<prefix>-<split>-NNNNNN.tar`` of (sample_id, image, text)."""
+    check_limits(max_bytes, max_rows, least_bytes)
+    flat = set_aside(flat, rejects)
     image, text = F.col("image"), F.col("text")
     if assigned is None:
         assigned = assign(flat, Rollover(max_bytes, "overshoot", max_rows), payload_size(image, text), seed, digits)
@@ -73,8 +84,10 @@ def write_tar(flat: DataFrame, path: str, max_bytes: int = 2 << 26, max_rows: in
 
 
 def write_mds(flat: DataFrame, path: str, size_limit: int = 1 << 26, seed: int = 42, compression: str = "",
-              hashes: str = "", digits: int | None = None, assigned: DataFrame | None = None) -> str:
+              hashes: str = "", digits: int | None = None, assigned: DataFrame | None = None,
+              rejects: str | None = None) -> str:
     """MDS shards of (image, text, idx); the limit counts stored bytes, as the format's writer does."""
+    flat = set_aside(flat, rejects)
     payload = flat.select("sample_id", "image", "text", F.col("sample_id").cast("long").alias("idx"))
     if assigned is None:
         names = [h for h in hashes.split(",") if h]
@@ -88,8 +101,9 @@ def write_mds(flat: DataFrame, path: str, size_limit: int = 1 << 26, seed: int =
 
 def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row: Column, chunk_bytes: int = 64_000_000,
                  chunk_rows: int | None = None, compression: str = "zstd", hashes: str = "",
-                 rows_per_bucket: int = 1_000_000) -> str:
-    """Chunks in file order: files go to writers, each writer rolls chunks of its own."""
+                 rows_per_bucket: int = 1_000_000, rejects: str | None = None) -> str:
+    """Chunks in file order: files go to writers, each writer rolls chunks of its own. Text may be null."""
+    flat = set_aside(flat, rejects, need_text=False)
     spark = register(flat.sparkSession)
     assigned = stage(assign_writers(flat, writer, file, row, item_size(F.col("image"), F.col("text")),
                                     Rollover(chunk_bytes, "fit", chunk_rows), rows_per_bucket))

@@ -126,7 +126,8 @@ class ChunkReader(ShardReader):
         index = read_json(filesystem, f"{base}/{INDEX}")
         if index is None:
             raise FileNotFoundError(f"{base}/{INDEX}")
-        return [{"file": c["filename"], "bytes": c["chunk_bytes"], "config": index["config"]} for c in index["chunks"]]
+        return [{"file": c["filename"], "bytes": c["chunk_bytes"], "samples": c["chunk_size"],
+                 "config": index["config"]} for c in index["chunks"]]
 
     def read_shard(self, filesystem, path, entry):
         config = entry["config"]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyarrow.fs import FileType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardloom.functions.paths import is_shard_name
+from shardloom.operators.ordering import with_positions
+from shardloom.sources.storage import locate
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -18,6 +21,10 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def list_parquet(spark: SparkSession, path: str) -> DataFrame:
     """The sorted parquet files under a directory, or a single file; anything else is an error."""
+    filesystem, inner = locate(path)
+    kind = filesystem.get_file_info(inner).type
+    if kind == FileType.NotFound or (kind == FileType.File and not inner.endswith(".parquet")):
+        raise ValueError(f"{path} is neither a parquet file nor a directory")
     return list_files(spark, path, "*.parquet").orderBy("path")
 
 
@@ -43,11 +50,15 @@ def dir_stats(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"))
 
 
-def size_capped_prefix(files: DataFrame, max_bytes: int, name: str = "name", size: str = "bytes") -> DataFrame:
-    """The name-ordered files whose running total stays below the limit. Files are few; rows never pass here."""
-    upto = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (files.withColumn("total_bytes", F.sum(size).over(upto).cast("long"))
-            .filter(F.col("total_bytes") < max_bytes))
+def size_capped_prefix(files: DataFrame, max_bytes: int, leading: Column, name: str = "name",
+                       size: str = "bytes") -> DataFrame:
+    """The name-ordered files whose running total stays below the limit.
+
+    ``leading`` is the start of a name (a folder, a few characters): totals run inside it and across it apart.
+    """
+    placed = with_positions(files.withColumn("_leading", leading), [name], "_leading", size=size)
+    return (placed.withColumn("total_bytes", F.col("cum") + F.col(size))
+            .filter(F.col("total_bytes") < max_bytes).select(*files.columns, "total_bytes"))
 
 
 def last_file(files: DataFrame, name: str = "name") -> DataFrame:

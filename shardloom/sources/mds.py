@@ -182,7 +182,8 @@ class MdsReader(ShardReader):
         index = read_json(filesystem, f"{base}/{INDEX}")
         if index is None:
             raise FileNotFoundError(f"{base}/{INDEX}")
-        return [{"file": (s["zip_data"] or s["raw_data"])["basename"], "bytes": s["raw_data"]["bytes"], "header": s}
+        return [{"file": (s["zip_data"] or s["raw_data"])["basename"], "bytes": s["raw_data"]["bytes"],
+                 "samples": s["samples"], "header": s}
                 for s in index["shards"]]
 
     def read_shard(self, filesystem, path, entry):

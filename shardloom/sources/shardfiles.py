@@ -217,8 +217,13 @@ class ShardReader(DataSourceReader):
 
         for entry in partition.files:
             try:
+                delivered = 0
                 for columns in self.read_shard(filesystem, f"{base}/{entry['file']}", entry):
-                    yield batch(columns, entry["file"])
+                    part = batch(columns, entry["file"])
+                    delivered += part.num_rows
+                    yield part
+                if delivered != entry.get("samples", delivered):
+                    raise ValueError(f"{delivered} of {entry['samples']} samples")
             except Exception as error:
                 if self.mode == "FAILFAST":
                     raise
@@ -228,8 +233,16 @@ class ShardReader(DataSourceReader):
 
 def in_batches(rows, names: list[str], max_rows: int = 2000, max_bytes: int = 32 << 20):
     """Group an iterator of (bytes, tuple) into column dicts, bounded by rows and by payload bytes."""
-    held, size = [], 0
-    for weight, row in rows:
+    held, size, source, damage = [], 0, iter(rows), None
+    while damage is None:
+        try:
+            weight, row = next(source)
+        except StopIteration:
+            break
+        except Exception as error:
+            # Rows read before the damage are good: deliver them first.
+            damage = error
+            break
         held.append(row)
         size += weight
         if len(held) >= max_rows or size >= max_bytes:
@@ -237,6 +250,8 @@ def in_batches(rows, names: list[str], max_rows: int = 2000, max_bytes: int = 32
             held, size = [], 0
     if held:
         yield dict(zip(names, map(list, zip(*held))))
+    if damage is not None:
+        raise damage
 
 
 class ShardSource(DataSource):

@@ -115,8 +115,8 @@ class TarReader(ShardReader):
             if index is None or index.get("format") != "tar":
                 return None
             inner = folder[len(base):].lstrip("/")
-            return [{"file": f"{inner}/{s['file']}" if inner else s["file"], "bytes": s["bytes"]}
-                    for s in index["shards"]]
+            return [{"file": f"{inner}/{s['file']}" if inner else s["file"], "bytes": s["bytes"],
+                     "samples": s["samples"]} for s in index["shards"]]
 
         found = indexed(base)
         if found is None:
