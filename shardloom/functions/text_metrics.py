@@ -53,7 +53,7 @@ def epoch_time(log: Column, epoch: int) -> Column:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Every log file as one row: file, log."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("log"))
 
 

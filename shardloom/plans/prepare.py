@@ -134,6 +134,7 @@ def assign_writers(flat: DataFrame, writer: Column, file: Column, row: Column, s
 
 
 def read_shards(spark: SparkSession, source: str, path: str, schema: str | None = None, **options: str) -> DataFrame:
+    options.setdefault("min_tasks", str(spark.sparkContext.defaultParallelism))
     reader = register(spark).read.format(source).options(**options)
     if schema:
         reader = reader.schema(schema)

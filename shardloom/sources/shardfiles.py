@@ -150,7 +150,7 @@ class ShardFiles(InputPartition):
 
 
 class ShardReader(DataSourceReader):
-    """One task per ``bytes_per_task`` of shards.
+    """One task per ``bytes_per_task`` of shards, or smaller ones to make ``min_tasks``.
 
     ``mode`` follows Spark's readers: ``FAILFAST`` (default), ``DROPMALFORMED`` (what precedes the damage is
     kept) or ``PERMISSIVE``, which adds a row with the message in the ``_corrupt`` column of the schema.
@@ -162,6 +162,7 @@ class ShardReader(DataSourceReader):
         self.schema = schema
         self.mode = options.get("mode", "FAILFAST").upper()
         self.bytes_per_task = int(options.get("bytes_per_task", 128 << 20))
+        self.min_tasks = int(options.get("min_tasks", 1))
         self.only: set[str] | None = None
 
     def list_shards(self, filesystem, base: str) -> list[dict]:
@@ -186,8 +187,9 @@ class ShardReader(DataSourceReader):
         if self.only is not None:
             shards = [s for s in shards if s["file"] in self.only]
         packed, held, size = [], [], 0
+        target = min(self.bytes_per_task, sum(s["bytes"] for s in shards) // self.min_tasks)
         for entry in shards:
-            if held and size + entry["bytes"] > self.bytes_per_task:
+            if held and size + entry["bytes"] > target:
                 packed.append(ShardFiles(held))
                 held, size = [], 0
             held.append(entry)
