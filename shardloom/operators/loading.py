@@ -65,7 +65,7 @@ def batches(rows: DataFrame, size: int, order_by: list[str], group: tuple[str, .
             drop_last: bool = False) -> DataFrame:
     """Add ``batch`` and its ``slot`` within each group (a worker, say), in order; the last batch may be short.
 
-    Ranks come from bucket offsets, so one heavy group spreads over its buckets.
+    Ranks come from bucket offsets, so one heavy group spreads over its buckets. ``rows`` is read twice.
     """
     placed = with_positions(rows, order_by, bucket, group).drop("bucket_no")
     placed = (placed.withColumn("batch", fixed_batch(F.col("pos"), size))
@@ -111,9 +111,6 @@ def virtual_epoch(placed: DataFrame, batch_size: int, total: Column) -> DataFram
             .drop("_copy"))
 
 
-def with_total(df: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """Add the row count of the table, or of the row's group, as ``total``."""
-    counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
-    if group:
-        return df.join(counted, list(group))
-    return df.withColumn("total", counted.scalar())
+def with_total(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Add the row count of the table the rows come from as ``total``; a count reads no column."""
+    return df.withColumn("total", source.agg(F.count(F.lit(1))).scalar())

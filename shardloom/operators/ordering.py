@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shardloom.functions.hashing import order_bucket, order_key, unit_fraction
+from shardloom.session import stage
 
 
 def bucket_digits(n_rows: int, rows_per_bucket: int = 1_000_000) -> int:
@@ -63,9 +64,16 @@ def with_positions(rows: DataFrame, order_by: list[str], bucket: str = "bucket",
     return placed.drop("_rank", "_prefix", "first_pos", "first_byte")
 
 
-def file_bucket(row: Column, rows_per_bucket: int = 1_000_000) -> Column:
-    """Bucket of a row number within its file, so one huge file spreads over many tasks."""
-    return F.call_function("div", row.cast("long"), F.lit(rows_per_bucket).cast("long"))
+def range_buckets(rows: DataFrame, order_by: list[str], buckets: int | None = None) -> DataFrame:
+    """Staged rows with ``bucket``, near-equal ranges of any order: of (file, row), say, where one file may hold
+    most rows and most files few.
+
+    The bucket is the range partition a row landed in. Staging fixes it; positions and shards do not depend
+    on where the cuts fell. ``rows`` is read twice, once to sample the ranges.
+    """
+    n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order_by)
+    return stage(ranged.withColumn("bucket", F.spark_partition_id().cast("long")))
 
 
 def in_file_order(df: DataFrame, file: str, row: str) -> DataFrame:

@@ -22,6 +22,7 @@ from shardloom.operators.ordering import with_positions
 from shardloom.plans import fixtures as fx
 from shardloom.plans.catalog_rows import ORDER, ordered
 from shardloom.plans.registry import query
+from shardloom.session import stage
 
 WORKERS, CPUS, SLICE, BATCH = 8, 16, 10, 32
 SHARD_ROWS = 130
@@ -38,7 +39,7 @@ def shards(spark, sf_dir):
     """Shards of a fixed row count, with the total over all of them."""
     grouped = positions(spark, sf_dir).groupBy(by_count(F.col("pos"), SHARD_ROWS).alias("shard")).agg(
         F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_rows"))
-    return grouped.withColumn("total", grouped.agg(F.sum("n_rows")).scalar())
+    return with_total(grouped, fx.samples(spark, sf_dir))
 
 
 @query("worker_roundrobin", f"""WITH {SQL_SHARDS}
@@ -64,7 +65,7 @@ SELECT pos * {WORKERS} // total AS worker, min(pos) AS first_pos, max(pos) AS la
        min((pos * {WORKERS} // total * total + {WORKERS - 1}) // {WORKERS}) AS computed_start
 FROM ordered, n GROUP BY 1""")
 def worker_ranges(spark, sf_dir):
-    rows = with_total(positions(spark, sf_dir))
+    rows = with_total(positions(spark, sf_dir), fx.samples(spark, sf_dir))
     worker = range_worker(F.col("pos"), WORKERS, F.col("total"))
     return rows.groupBy(worker.alias("worker"), "total").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_rows")).select(
@@ -94,7 +95,7 @@ batched AS (SELECT *, (row_number() OVER (PARTITION BY worker ORDER BY order_key
 
 def dealt(spark, sf_dir):
     rows = positions(spark, sf_dir)
-    return rows.withColumn("worker", round_robin(by_count(F.col("pos"), SHARD_ROWS), WORKERS)).drop("pos")
+    return stage(rows.withColumn("worker", round_robin(by_count(F.col("pos"), SHARD_ROWS), WORKERS)).drop("pos"))
 
 
 def batched(spark, sf_dir, drop_last=False):
@@ -131,7 +132,7 @@ targets AS (SELECT unnest(range((total // {BATCH} + 1) * {BATCH})) AS epoch_pos
 SELECT epoch_pos, epoch_pos // {BATCH} AS batch, epoch_pos % {BATCH} AS slot, sample_id
 FROM targets, n JOIN ordered ON pos = epoch_pos % total""")
 def virtual_epoch_rows(spark, sf_dir):
-    rows = with_total(positions(spark, sf_dir))
+    rows = with_total(positions(spark, sf_dir), fx.samples(spark, sf_dir))
     return virtual_epoch(rows, BATCH, F.col("total")).select("epoch_pos", "batch", "slot", "sample_id")
 
 

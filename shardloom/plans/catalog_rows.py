@@ -18,7 +18,7 @@ from shardloom.functions.payload import (
 )
 from shardloom.operators.assignment import by_count
 from shardloom.operators.ordering import (
-    file_bucket,
+    range_buckets,
     ratio_bounds,
     shuffle_through_buffer,
     split_samples,
@@ -29,7 +29,7 @@ from shardloom.operators.ordering import (
 from shardloom.operators.samples import batch_stats, flatten, read_samples, rename_fields, split_valid
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
-from shardloom.session import fresh_dir
+from shardloom.session import fresh_dir, stage
 from shardloom.sources.listing import count_per_file, last_file, list_parquet, size_capped_prefix
 
 IMAGE, TEXT = "image", "text"
@@ -208,7 +208,7 @@ KEPT_BYTES = 1_000_000
 SELECT * FROM (SELECT name, bytes, sum(bytes) OVER (ORDER BY name)::BIGINT AS total_bytes FROM files)
 WHERE total_bytes < {KEPT_BYTES}""")
 def capped_prefix(spark, sf_dir):
-    return size_capped_prefix(_files(spark, sf_dir), KEPT_BYTES, F.substring("name", 1, 4))
+    return size_capped_prefix(_files(spark, sf_dir), KEPT_BYTES)
 
 
 @query("last_file", f"WITH {SQL_FILES} SELECT name, bytes FROM files ORDER BY name DESC LIMIT 1")
@@ -237,12 +237,12 @@ def global_position(spark, sf_dir):
     return with_positions(rows, ORDER, size="size").select("sample_id", "size", "pos", "cum")
 
 
-@query("file_order", """SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS pos
+@query("file_order", """SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn, role) - 1 AS pos
 FROM conversations""")
 def file_order(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "conversations")
-    rows = rows.withColumn("bucket", F.struct("conv_id", file_bucket(F.col("turn"), 1000).alias("part")))
-    return with_positions(rows, ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", "role", "pos")
+    rows = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    order = ["conv_id", "turn", "role"]
+    return with_positions(range_buckets(rows, order), order).select(*order, "pos")
 
 
 BUFFER = 100
@@ -291,7 +291,9 @@ n AS (SELECT count(*) AS n FROM shards)
 SELECT shard, n_rows, {_sql_split('shard', 'n')} AS split FROM shards, n""")
 def shard_split(spark, sf_dir):
     placed = with_positions(ordered(spark, sf_dir), ORDER)
-    shards = placed.groupBy(by_count(F.col("pos"), fx.TAR_ROWS).alias("shard")).agg(F.count(F.lit(1)).alias("n_rows"))
+    # The manifest is read twice: it is staged, the rows are not.
+    shards = stage(placed.groupBy(by_count(F.col("pos"), fx.TAR_ROWS).alias("shard")).agg(
+        F.count(F.lit(1)).alias("n_rows")))
     return split_shards(shards, shards.agg(F.count(F.lit(1))).scalar(), RATIOS, SPLITS)
 
 

@@ -84,7 +84,7 @@ def filed_samples(spark, sf_dir):
 @query("shard_per_writer", f"WITH RECURSIVE {ROLLED_WRITERS} SELECT sample_id, grp AS writer, shard, slot FROM rolled")
 def shard_per_writer(spark, sf_dir):
     assigned = assign_writers(filed_samples(spark, sf_dir), writer_of_file(), F.col("file"), F.col("sample_id"),
-                              item_size(IMAGE, TEXT), Rollover(fx.CHUNK_BYTES, "fit"), 250)
+                              item_size(IMAGE, TEXT), Rollover(fx.CHUNK_BYTES, "fit"))
     return assigned.select("sample_id", "writer", "shard", "slot")
 
 
@@ -138,7 +138,7 @@ def mds_set(spark, sf_dir, **options):
 
 def chunk_set(spark, sf_dir, **options):
     return write_chunks(filed_samples(spark, sf_dir), fresh_dir(spark, "chunks"), writer_of_file(), F.col("file"),
-                        F.col("sample_id"), fx.CHUNK_BYTES, rows_per_bucket=250, **options)
+                        F.col("sample_id"), fx.CHUNK_BYTES, rows_per_part=250, **options)
 
 
 def index_of(spark, path, key, schema):

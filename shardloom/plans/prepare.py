@@ -15,7 +15,7 @@ from shardloom.functions.paths import sample_key
 from shardloom.functions.payload import payload_size
 from shardloom.operators.assignment import Rollover, check_limits, roll_shards
 from shardloom.operators.attach import by_boundaries, by_file_rows
-from shardloom.operators.ordering import bucket_digits, file_bucket, with_order
+from shardloom.operators.ordering import bucket_digits, range_buckets, with_order
 from shardloom.operators.samples import split_valid
 from shardloom.session import stage
 from shardloom.sources import register
@@ -101,19 +101,22 @@ def write_mds(flat: DataFrame, path: str, size_limit: int = 1 << 26, seed: int =
 
 def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row: Column, chunk_bytes: int = 64_000_000,
                  chunk_rows: int | None = None, compression: str = "zstd", hashes: str = "",
-                 rows_per_bucket: int = 1_000_000, rejects: str | None = None) -> str:
+                 rows_per_part: int = 1_000_000, rejects: str | None = None) -> str:
     """Chunks in file order: files go to writers, each writer rolls chunks of its own. Text may be null."""
     flat = set_aside(flat, rejects, need_text=False)
     spark = register(flat.sparkSession)
     assigned = stage(assign_writers(flat, writer, file, row, item_size(F.col("image"), F.col("text")),
-                                    Rollover(chunk_bytes, "fit", chunk_rows), rows_per_bucket))
+                                    Rollover(chunk_bytes, "fit", chunk_rows)))
     totals = assigned.agg(F.sum("size").alias("bytes"), F.count_if(F.col("slot") == 0).alias("n")).first()
     if not totals["n"]:
         raise ValueError("no samples to write")
-    payload = flat.select("*", file.alias("_file"), row.cast("long").alias("_row"),
-                          file_bucket(row, rows_per_bucket).alias("_part"))
+
+    def part(of_row):
+        return F.call_function("div", of_row.cast("long"), F.lit(rows_per_part).cast("long")).alias("_part")
+
+    payload = flat.select("*", file.alias("_file"), row.cast("long").alias("_row"), part(row))
     runs = assigned.select("writer", "shard", F.col("file").alias("_file"), F.col("row").alias("_row"),
-                           F.col("part").alias("_part"))
+                           part(F.col("row")))
     rows = by_file_rows(payload, runs, "_file", "_row", "_part", chunk_number(F.col("writer"), F.col("shard")))
     rows = rows.withColumn("shard_task", F.hash("shard"))
     rows = cluster_by_shard(rows, totals["bytes"], totals["n"], ["_file", "_row"])
@@ -123,14 +126,12 @@ def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row:
 
 
 def assign_writers(flat: DataFrame, writer: Column, file: Column, row: Column, size: Column, rule: Rollover,
-                   rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Per-writer rollover in file order; a huge file is many buckets."""
-    rows = stage(flat.select(
-        "sample_id", writer.cast("long").alias("writer"), file.alias("file"), row.cast("long").alias("row"),
-        size.cast("long").alias("size"),
-        file_bucket(row, rows_per_bucket).alias("part")))
-    rows = rows.withColumn("bucket", F.struct("file", "part"))
-    return roll_shards(rows, rule, ["row", "sample_id"], group=("writer",)).drop("bucket")
+                   buckets: int | None = None) -> DataFrame:
+    """Per-writer rollover in file order; a writer or file of any size spreads over range buckets."""
+    rows = stage(flat.select("sample_id", writer.cast("long").alias("writer"), file.alias("file"),
+                             row.cast("long").alias("row"), size.cast("long").alias("size")))
+    ranged = range_buckets(rows, ["writer", "file", "row", "sample_id"], buckets)
+    return roll_shards(ranged, rule, ["file", "row", "sample_id"], group=("writer",)).drop("bucket")
 
 
 def read_shards(spark: SparkSession, source: str, path: str, schema: str | None = None, **options: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyarrow.fs import FileType
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardloom.functions.paths import is_shard_name
-from shardloom.operators.ordering import with_positions
+from shardloom.operators.ordering import range_buckets, with_positions
 from shardloom.sources.storage import locate
 
 
@@ -50,13 +50,9 @@ def dir_stats(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"))
 
 
-def size_capped_prefix(files: DataFrame, max_bytes: int, leading: Column, name: str = "name",
-                       size: str = "bytes") -> DataFrame:
-    """The name-ordered files whose running total stays below the limit.
-
-    ``leading`` is the start of a name (a folder, a few characters): totals run inside it and across it apart.
-    """
-    placed = with_positions(files.withColumn("_leading", leading), [name], "_leading", size=size)
+def size_capped_prefix(files: DataFrame, max_bytes: int, name: str = "name", size: str = "bytes") -> DataFrame:
+    """The name-ordered files whose running total stays below the limit."""
+    placed = with_positions(range_buckets(files, [name]), [name], size=size)
     return (placed.withColumn("total_bytes", F.col("cum") + F.col(size))
             .filter(F.col("total_bytes") < max_bytes).select(*files.columns, "total_bytes"))
 

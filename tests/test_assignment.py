@@ -91,7 +91,7 @@ def test_a_writer_with_most_rows_is_many_buckets(spark):
         (F.col("id") % 23).alias("size"))
     rule = Rollover(60, "fit")
     assigned = assign_writers(table, F.when(F.col("file") == "a", 0).otherwise(1), F.col("file"), F.col("sample_id"),
-                              F.col("size"), rule, rows_per_bucket=50).orderBy("writer", "pos").collect()
+                              F.col("size"), rule, buckets=20).orderBy("writer", "pos").collect()
     for writer, ids in ((0, range(700)), (1, range(700, 900))):
         mine = [r for r in assigned if r.writer == writer]
         assert [r.sample_id for r in mine] == list(ids)

@@ -140,7 +140,7 @@ def test_mds_random_access_by_shard(spark, flat):
 def test_chunks_keep_order_and_nulls(spark, flat):
     half = flat.withColumn("text", F.when(F.col("sample_id") % 2 == 0, F.col("text")))
     path = write_chunks(half, fresh_dir(spark, "chunks"), F.col("sample_id") % 3, F.col("sample_id") % 6,
-                        F.col("sample_id"), 3000, rows_per_bucket=20)
+                        F.col("sample_id"), 3000, rows_per_part=20)
     index = json.load(open(f"{local(path)}/index.json"))
     assert sum(c["chunk_size"] for c in index["chunks"]) == 300 and index["config"]["compression"] == "zstd"
     read = read_shards(spark, "chunks", path).collect()
