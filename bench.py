@@ -81,15 +81,20 @@ def jobs(spark, sf_dir):
             return {"rows": len(read_shards(spark, source, paths[source]).limit(256).collect())}
         return run
 
-    def rasters():
-        drain(preprocess(fx.rasters(spark, sf_dir), side=224))
-        return {"rows": fx.table(spark, sf_dir, "embeddings").count()}
+    def rasters(packed):
+        def run():
+            # One small file is one partition; a kernel that multiplies its input wants all cores.
+            spread = fx.rasters(spark, sf_dir).repartition(int(CPUS))
+            drain(preprocess(spread, side=224, packed=packed))
+            return {"rows": fx.table(spark, sf_dir, "embeddings").count()}
+        return run
 
     listed = [("prepare_tar", prepare_tar), ("prepare_mds", prepare_mds), ("prepare_chunks", prepare_chunks),
               ("index_tar", index_tar), ("load_tar", load("tarshards")), ("load_mds", load("mds")),
               ("load_chunks", load("chunks")), ("load_slices", load_slices),
               ("first_batch_tar", first_batch("tarshards")), ("first_batch_mds", first_batch("mds")),
-              ("first_batch_chunks", first_batch("chunks")), ("preprocess_224", rasters)]
+              ("first_batch_chunks", first_batch("chunks")), ("preprocess_224", rasters(False)),
+              ("preprocess_224_packed", rasters(True))]
     for name in CATALOG:
         listed.append((name, lambda name=name: drain(catalog.QUERIES[name](spark, sf_dir)) or {}))
     return listed

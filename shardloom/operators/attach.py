@@ -17,7 +17,8 @@ def by_sample_id(payload: DataFrame, assigned: DataFrame, sample_id: str = "samp
 
 
 def by_boundaries(payload: DataFrame, assigned: DataFrame, seed: int = 42, epoch: int = 0,
-                  sample_id: str = "sample_id", broadcast_limit: int = BROADCAST_BOUNDARIES) -> DataFrame:
+                  sample_id: str = "sample_id", n_shards: int | None = None,
+                  broadcast_limit: int = BROADCAST_BOUNDARIES) -> DataFrame:
     """Shards are ranges of the seeded order, so a payload row finds its shard by its own order key.
 
     The range lookup is an equi join on a leading slice of the key: a boundary is listed under every slice its
@@ -25,7 +26,8 @@ def by_boundaries(payload: DataFrame, assigned: DataFrame, seed: int = 42, epoch
     shuffled at all; beyond that Spark shuffles both sides on the slice, which hashes evenly.
     """
     first = assigned.filter("slot = 0").select("shard", F.struct("order_key", sample_id).alias("start"))
-    n_shards = first.count()
+    if n_shards is None:
+        n_shards = first.count()
     digits = min(6, max(1, math.ceil(math.log(max(n_shards, 1), 16))))
     ends = first.select((F.col("shard") - 1).alias("shard"), F.col("start").alias("end"))
 

@@ -54,7 +54,7 @@ def write_shards(payload: DataFrame, assigned: DataFrame, source: str, path: str
     totals = assigned.agg(F.sum("size").alias("bytes"), F.max("shard").alias("last")).first()
     if totals["last"] is None:
         raise ValueError("no samples to write")
-    rows = by_boundaries(payload, assigned, seed).withColumn("shard_task", F.col("shard"))
+    rows = by_boundaries(payload, assigned, seed, n_shards=totals["last"] + 1).withColumn("shard_task", F.col("shard"))
     rows = cluster_by_shard(rows, totals["bytes"], totals["last"] + 1, ["order_key", "sample_id"])
     stored = [c for c in payload.columns if c != "sample_id"]
     rows.select("shard", *stored).write.format(source).mode("overwrite").options(**options).save(path)

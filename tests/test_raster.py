@@ -63,6 +63,13 @@ def test_normalize(spark):
         assert np.array_equal(np.array(found[n]["values"], np.float16), expected)
 
 
+def test_packed_tensors_are_the_same_values(spark):
+    table, _ = rasters(spark, [(6, 5, 3), (4, 4, 1)])
+    plain = {r.sample_id: np.array(r["values"], np.float16) for r in preprocess(table, side=8).collect()}
+    packed = {r.sample_id: np.frombuffer(bytes(r["values"]), np.float16) for r in preprocess(table, side=8, packed=True).collect()}
+    assert plain.keys() == packed.keys() and all(np.array_equal(plain[k], packed[k]) for k in plain)
+
+
 def test_damaged_rasters_are_left_out(spark):
     table, _ = rasters(spark, [(4, 5, 3), (2, 3, 1)])
     short = table.withColumn("data", F.when(F.col("sample_id") == 0, F.substring("data", 1, 10)).otherwise(F.col("data")))
