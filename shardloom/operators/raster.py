@@ -82,22 +82,29 @@ def resample_weights(source: int, target: int):
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def resize(pixels, height: int, width: int):
-    """HWC array to the given size, rounded back to bytes: one matrix product per axis."""
+def resize(planes, height: int, width: int):
+    """CHW bytes to the given size, rounded back to bytes: one matrix product per axis."""
     import numpy as np
 
-    source_h, source_w, channels = pixels.shape
-    tall = resample_weights(source_h, height) @ pixels.reshape(source_h, -1).astype(np.float64)
-    wide = np.matmul(resample_weights(source_w, width), tall.reshape(height, source_w, channels))
-    return np.clip(np.floor(wide + 0.5), 0, 255).astype(np.uint8)
+    channels, source_h, source_w = planes.shape
+    rows = resample_weights(source_h, height).astype(np.float32)
+    columns = resample_weights(source_w, width).astype(np.float32)
+    wide = planes.astype(np.float32).reshape(channels * source_h, source_w) @ columns.T
+    scaled = np.matmul(rows, wide.reshape(channels, source_h, width))
+    return np.clip(scaled + np.float32(0.5), 0, 255).astype(np.uint8)
 
 
-def three_channels(pixels):
+def planes_of(data: bytes, height: int, width: int, channels: int):
+    """CHW view of a raster, its first three channels at most."""
     import numpy as np
 
-    if pixels.shape[2] == 1:
-        return np.repeat(pixels, 3, axis=2)
-    return pixels[:, :, :3]
+    return np.frombuffer(data, np.uint8).reshape(height, width, channels).transpose(2, 0, 1)[:3]
+
+
+def three_channels(planes):
+    import numpy as np
+
+    return np.repeat(planes, 3, axis=0) if len(planes) == 1 else planes
 
 
 @lru_cache(maxsize=1)
@@ -139,40 +146,38 @@ def _tensors(ready: DataFrame, side: int | None, packed: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def emit(ids, planes):
-            shapes = np.array([(3, *p.shape[:2]) for p in planes], dtype=np.int32)
-            flat = [half_levels()[p.transpose(2, 0, 1)].ravel() for p in planes]
+        levels = half_levels() if packed else half_levels().astype(np.float32)
+
+        def emit(ids, tensors):
+            shapes = np.array([t.shape for t in tensors], dtype=np.int32)
+            flat = [np.take(levels, t).ravel() for t in tensors]
             if packed:
                 column = pa.array([f.tobytes() for f in flat], pa.binary())
             else:
                 ends = np.cumsum([0] + [len(f) for f in flat], dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).astype(np.float32)))
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
             return pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, shapes.T.copy()), column], schema.names)
 
         for batch in batches:
-            ids, planes, held = [], [], 0
+            ids, tensors, held = [], [], 0
             columns = batch.to_pydict()
             for i, sample in enumerate(columns["sample_id"]):
-                shape = columns["height"][i], columns["width"][i], columns["channels"][i]
-                pixels = np.frombuffer(columns["data"][i], np.uint8).reshape(shape)
+                planes = planes_of(*(columns[n][i] for n in ("data", "height", "width", "channels")))
                 crop = columns["crop"][i]
                 if crop is not None:
                     top, left = crop["top"], crop["left"]
-                    pixels = pixels[top:top + crop["height"], left:left + crop["width"]]
-                pixels = pixels if pixels.shape[2] == 1 else pixels[:, :, :3]
+                    planes = planes[:, top:top + crop["height"], left:left + crop["width"]]
                 if side is not None:
-                    pixels = resize(pixels, side, side)
-                pixels = three_channels(pixels)
-                if columns["flip"][i]:
-                    pixels = pixels[:, ::-1]
+                    planes = resize(planes, side, side)
+                planes = three_channels(planes)
                 ids.append(sample)
-                planes.append(pixels)
-                held += pixels.size * 4
+                tensors.append(planes[:, :, ::-1] if columns["flip"][i] else planes)
+                held += planes.size * 4
                 if held >= OUT_BYTES:
-                    yield emit(ids, planes)
-                    ids, planes, held = [], [], 0
+                    yield emit(ids, tensors)
+                    ids, tensors, held = [], [], 0
             if ids:
-                yield emit(ids, planes)
+                yield emit(ids, tensors)
 
     return ready.select("sample_id", "height", "width", "channels", "data", "crop", "flip").mapInArrow(kernel, schema)
 
@@ -187,8 +192,8 @@ def resized(rasters: DataFrame, height: int = SIDE, width: int = SIDE) -> DataFr
 
         for batch in batches:
             columns = batch.to_pydict()
-            data = [three_channels(resize(np.frombuffer(d, np.uint8).reshape(h, w, c)[:, :, :3], height, width)).tobytes()
-                    for d, h, w, c in zip(*(columns[n] for n in ("data", "height", "width", "channels")))]
+            data = [three_channels(resize(planes_of(*raster), height, width)).transpose(1, 2, 0).tobytes()
+                    for raster in zip(*(columns[n] for n in ("data", "height", "width", "channels")))]
             sides = [pa.array(np.full(len(data), v, np.int32)) for v in (height, width, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *sides, pa.array(data, pa.binary())], batch.schema.names)
 

@@ -39,11 +39,15 @@ def plain_resize(pixels, height, width):
 @pytest.mark.parametrize("shape, target", [((9, 7, 3), (4, 5)), ((3, 4, 1), (8, 6)), ((5, 5, 4), (5, 5)), ((1, 1, 3), (3, 2))])
 def test_resize(shape, target):
     pixels = np.random.default_rng(1).integers(0, 256, shape, dtype=np.uint8)
-    ours, plain = resize(pixels, *target).astype(int), plain_resize(pixels, *target).astype(int)
+    ours, plain = hwc_resize(pixels, *target).astype(int), plain_resize(pixels, *target).astype(int)
     assert np.abs(ours - plain).max() <= 1 and (ours == plain).mean() > 0.98
     assert np.allclose(resample_weights(7, 3).sum(axis=1), 1)
 
 
+def hwc_resize(pixels, height, width):
+    return resize(pixels.transpose(2, 0, 1), height, width).transpose(1, 2, 0)
+
+
 def rasters(spark, shapes):
     rng = np.random.default_rng(2)
     rows = [(n, h, w, c, bytearray(rng.integers(0, 256, h * w * c, dtype=np.uint8).tobytes()))
@@ -95,7 +99,7 @@ def test_preprocess_crops_resizes_and_flips(spark):
     found = {r.sample_id: r["values"] for r in preprocess(table, side=8).collect()}
     for n, h, w, c, data in rows:
         box, pixels = chosen[n].box, np.frombuffer(bytes(data), np.uint8).reshape(h, w, c)
-        pixels = resize(pixels[box.top:box.top + box.height, box.left:box.left + box.width], 8, 8)
+        pixels = hwc_resize(pixels[box.top:box.top + box.height, box.left:box.left + box.width], 8, 8)
         pixels = pixels[:, ::-1] if chosen[n].flip else pixels
         expected = (pixels.astype(np.float32) / 255).astype(np.float16).transpose(2, 0, 1).ravel()
         assert np.array_equal(np.array(found[n], np.float16), expected)
@@ -128,4 +132,4 @@ def test_fixed_resize(spark):
     row = resized(table, 4, 6).first()
     pixels = np.repeat(np.frombuffer(bytes(rows[0][4]), np.uint8).reshape(9, 7, 1), 3, axis=2)
     assert (row.height, row.width, row.channels) == (4, 6, 3)
-    assert bytes(row.data) == resize(pixels, 4, 6).tobytes()
+    assert bytes(row.data) == hwc_resize(pixels, 4, 6).tobytes()
