@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.functions.hashing import order_bucket, order_key
 
-BROADCAST_BOUNDARIES = 1_000_000
+# Boundary rows of about 200 bytes each that are broadcast at most: some 400 MB, a million shards.
+BROADCAST_BOUNDARIES = 2_000_000
 
 
 def by_sample_id(payload: DataFrame, assigned: DataFrame, sample_id: str = "sample_id") -> DataFrame:
@@ -22,13 +23,13 @@ def by_boundaries(payload: DataFrame, assigned: DataFrame, seed: int = 42, epoch
     """Shards are ranges of the seeded order, so a payload row finds its shard by its own order key.
 
     The range lookup is an equi join on a leading slice of the key: a boundary is listed under every slice its
-    shard reaches, about one row each. With at most ``broadcast_limit`` such rows the payload is not
+    shard reaches, so there are at most twice as many as shards. With at most ``broadcast_limit`` such rows the payload is not
     shuffled at all; beyond that Spark shuffles both sides on the slice, which hashes evenly.
     """
     first = assigned.filter("slot = 0").select("shard", F.struct("order_key", sample_id).alias("start"))
     if n_shards is None:
         n_shards = first.count()
-    digits = min(6, max(1, math.ceil(math.log(max(n_shards, 1), 16))))
+    digits = max(1, math.floor(math.log(max(n_shards, 1), 16)))
     ends = first.select((F.col("shard") - 1).alias("shard"), F.col("start").alias("end"))
 
     def slice_no(key):

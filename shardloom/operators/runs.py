@@ -136,21 +136,23 @@ def sweep_progress(grid: DataFrame, results: DataFrame) -> DataFrame:
 
 def read_results(spark, path: str) -> DataFrame:
     """Sweep results CSV, appended to by many runs: headers may repeat, a line of fewer than five fields is
-    dropped, a number that does not parse becomes null."""
+    dropped, a number that does not parse becomes null. Without a status, a run that measured nothing failed."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), ",").alias("part"))
     parts = parts.filter((F.size("part") >= 5) & (F.col("part")[0] != "dataset"))
 
     def field(n, as_type):
         return F.get("part", F.lit(n)).try_cast(as_type)
 
+    throughput = field(4, "double")
     return parts.select(
         F.col("part")[0].alias("dataset"), *[field(n, "long").alias(name) for n, name in enumerate(AXES) if n],
-        field(4, "double").alias("throughput"), field(5, "double").alias("ttfb"))
+        throughput.alias("throughput"), field(5, "double").alias("ttfb"),
+        F.coalesce(F.get("part", F.lit(6)), F.when(throughput > 0, "ok").otherwise("failed")).alias("status"))
 
 
 def append_results(results: DataFrame, path: str) -> None:
     """Add rows in the column order of the table; every file starts with the header."""
-    ordered = results.select(*AXES, "throughput", F.col("ttfb").alias("TTFB"))
+    ordered = results.select(*AXES, "throughput", F.col("ttfb").alias("TTFB"), "status")
     ordered.write.mode("append").option("header", "true").csv(path)
 
 

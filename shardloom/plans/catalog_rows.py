@@ -42,9 +42,13 @@ def scan_samples(spark, sf_dir):
     return flatten(read_samples(spark, path)).select("sample_id", F.md5("image").alias("image_md5"), "text")
 
 
-@query("list_parquet")
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+          "orders", "pages", "part", "region", "supplier"]
+
+
+@query("list_parquet", f"SELECT unnest({[f'{t}.parquet' for t in TABLES]}) AS name, TRUE AS has_bytes")
 def list_parquet_files(spark, sf_dir):
-    return list_parquet(spark, sf_dir).select("name", "bytes")
+    return list_parquet(spark, sf_dir).select("name", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("batched_scan_stats", f"""WITH {fx.SQL_SAMPLES}

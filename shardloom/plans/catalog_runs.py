@@ -231,7 +231,8 @@ def distinct_axes(spark, sf_dir):
 
 
 @query("load_results", f"""WITH {fx.SQL_RESULTS}
-SELECT dataset, num_workers, prefetch_factor, batch_size, CASE WHEN status = 'ok' THEN throughput END AS throughput, ttfb
+SELECT dataset, num_workers, prefetch_factor, batch_size, CASE WHEN status = 'ok' THEN throughput END AS throughput, ttfb,
+       status
 FROM results""")
 def load_results(spark, sf_dir):
     path = fresh_dir(spark, "results")

@@ -31,10 +31,8 @@ def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int = 1) ->
     return stage(with_order(samples.select("sample_id", size.cast("long").alias("size")), seed, digits=digits))
 
 
-def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int | None = None) -> DataFrame:
-    """Staged shard assignment in the seeded order."""
-    if digits is None:
-        digits = bucket_digits(samples.count())
+def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int = 1) -> DataFrame:
+    """Staged shard assignment in the seeded order, over 16**digits buckets."""
     rows = narrow(samples, size, seed, digits)
     return stage(roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=16**digits))
 
@@ -74,6 +72,8 @@ def write_tar(flat: DataFrame, path: str, max_bytes: int = 2 << 26, max_rows: in
               assigned: DataFrame | None = None, rejects: str | None = None, least_bytes: int = 10_000_000) -> str:
     """Tar shards ``<prefix>-<split>-NNNNNN.tar`` of (sample_id, image, text)."""
     check_limits(max_bytes, max_rows, least_bytes)
+    # Counted before rows are set aside: this count reads footers, the other one payloads.
+    digits = digits or bucket_digits(flat.count())
     flat = set_aside(flat, rejects)
     image, text = F.col("image"), F.col("text")
     if assigned is None:
@@ -87,6 +87,7 @@ def write_mds(flat: DataFrame, path: str, size_limit: int = 1 << 26, seed: int =
               hashes: str = "", digits: int | None = None, assigned: DataFrame | None = None,
               rejects: str | None = None) -> str:
     """MDS shards of (image, text, idx); the limit counts stored bytes, as the format's writer does."""
+    digits = digits or bucket_digits(flat.count())
     flat = set_aside(flat, rejects)
     payload = flat.select("sample_id", "image", "text", F.col("sample_id").cast("long").alias("idx"))
     if assigned is None:

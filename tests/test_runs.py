@@ -75,8 +75,8 @@ def test_results_file(spark, tmp_path):
         "dataset,num_workers,prefetch_factor,batch_size,throughput,TTFB\nTar,16,4,1024,2987.78,7.3442\n")
     rows = sorted(runs.read_results(spark, str(tmp_path)).collect())
     assert [tuple(r) for r in rows] == [
-        ("Chunks", 8, 2, 256, 3097.14, None), ("MDS", 4, 1, 128, None, 25.9),
-        ("Tar", 4, 1, 128, 1365.09, 2.3087), ("Tar", 16, 4, 1024, 2987.78, 7.3442)]
+        ("Chunks", 8, 2, 256, 3097.14, None, "ok"), ("MDS", 4, 1, 128, None, 25.9, "failed"),
+        ("Tar", 4, 1, 128, 1365.09, 2.3087, "ok"), ("Tar", 16, 4, 1024, 2987.78, 7.3442, "ok")]
 
 
 # Published throughput of one format at one worker count, over prefetch factors and batch sizes.
