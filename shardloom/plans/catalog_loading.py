@@ -119,12 +119,15 @@ def sizes_of_batches(spark, sf_dir):
 
 
 @query("collate_batches", f"""WITH {SQL_WORKERS}
-SELECT worker, batch, list(sample_id ORDER BY slot) AS sample_id, list(text ORDER BY slot) AS text
+SELECT worker, batch, count(*) AS n_rows, string_agg(sample_id, ',' ORDER BY slot) AS sample_ids,
+       string_agg(text, ',' ORDER BY slot) AS texts
 FROM batched JOIN samples USING (sample_id) GROUP BY 1, 2""")
 def collate_batches(spark, sf_dir):
     texts = fx.samples(spark, sf_dir).select("sample_id", "text")
     rows = batched(spark, sf_dir).join(texts, "sample_id")
-    return collate(rows, ("worker",), ["sample_id", "text"])
+    stacked = collate(rows, ("worker",), ["sample_id", "text"])
+    return stacked.select("worker", "batch", F.size("sample_id").cast("long").alias("n_rows"),
+                          F.array_join("sample_id", ",").alias("sample_ids"), F.array_join("text", ",").alias("texts"))
 
 
 @query("virtual_epoch", f"""WITH {fx.SQL_ORDERED}, n AS (SELECT count(*) AS total FROM ordered),

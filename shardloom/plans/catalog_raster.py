@@ -37,12 +37,24 @@ HALF = """list_transform({levels}, lambda v: CASE WHEN v = 0 THEN 0.0::FLOAT ELS
    * pow(2.0, floor(log2((v::FLOAT / 255::FLOAT)::DOUBLE)) - 10))::FLOAT END)"""
 
 
+# Half-precision levels are whole multiples of 2**-18: exact as integers, so all values compare in one digest.
+SQL_VALUES = """len({values}) AS n_values,
+  md5(array_to_string(list_transform({values}, lambda v: (v * 262144)::BIGINT), ',')) AS values_md5"""
+
+
+def with_digest(tensors):
+    exact = F.transform("values", lambda v: (v * 262144).cast("long"))
+    return tensors.select("sample_id", "channels", "height", "width", F.size("values").cast("long").alias("n_values"),
+                          F.md5(F.array_join(exact, ",")).alias("values_md5"))
+
+
 @query("raster_normalize", f"""WITH {fx.sql_rasters()},
 planes AS (SELECT sample_id, {HALF.format(levels='levels')} AS plane FROM rasters)
-SELECT sample_id, 3 AS channels, 8 AS height, 8 AS width, list_concat(list_concat(plane, plane), plane) AS "values"
+SELECT sample_id, 3 AS channels, 8 AS height, 8 AS width,
+       {SQL_VALUES.format(values='list_concat(list_concat(plane, plane), plane)')}
 FROM planes""")
 def raster_normalize(spark, sf_dir):
-    return normalize(fx.rasters(spark, sf_dir))
+    return with_digest(normalize(fx.rasters(spark, sf_dir)))
 
 
 # One reading per channel count: replicate a plane, or pick three of the interleaved ones.
@@ -56,10 +68,10 @@ flat AS (
                      [levels[i * 4 + 3] for i in range(16)]) END AS planes, c
   FROM channelled WHERE c <> 2)
 SELECT sample_id, 3 AS channels, CASE c WHEN 1 THEN 8 WHEN 3 THEN 7 ELSE 4 END AS height,
-       CASE c WHEN 1 THEN 8 WHEN 3 THEN 3 ELSE 4 END AS width, {HALF.format(levels='planes')} AS "values"
+       CASE c WHEN 1 THEN 8 WHEN 3 THEN 3 ELSE 4 END AS width, {SQL_VALUES.format(values=HALF.format(levels='planes'))}
 FROM flat""")
 def raster_rgb(spark, sf_dir):
-    return normalize(mixed(spark, sf_dir))
+    return with_digest(normalize(mixed(spark, sf_dir)))
 
 
 @query("raster_channels", """SELECT vec_id % 4 + 1 AS channels,

@@ -21,7 +21,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9)
+        return "nan" if math.isnan(value) else value
     if isinstance(value, (bytearray, bytes)):
         return bytes(value).hex()
     if isinstance(value, (list, tuple)):
