@@ -165,24 +165,29 @@ def number_rows(rule: Rollover, cum, pos, size, open_cum: int, open_pos: int, op
 
 
 def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: str = "bucket",
-                group: tuple[str, ...] = (), size: str = "size", most_buckets: int | None = None) -> DataFrame:
+                group: tuple[str, ...] = (), size: str = "size", most_buckets: int | None = None,
+                keep: list[str] | None = None) -> DataFrame:
     """Add ``pos``, ``shard`` and ``slot`` (row within shard), numbered from 0 in each group.
 
     ``rows`` is narrow (ids, order, size) and staged; ``bucket`` is an ordered cut of the group's order, into
-    at most ``most_buckets`` where the caller knows.
+    at most ``most_buckets`` where the caller knows. ``keep`` names the columns wanted back, all by default;
+    others, such as a sort key that can be computed again, need not pass through the kernels.
     """
-    keys = list(group) or ["_all"]
-    if not group:
-        rows = rows.withColumn("_all", F.lit(0))
-    placed = with_positions(rows, order_by, bucket, tuple(keys), size)
-    key_fields = [placed.schema[k] for k in keys]
-
-    def with_keys(schema: T.StructType) -> T.StructType:
-        return T.StructType(key_fields + schema.fields)
-
-    def keyed(key, out: pd.DataFrame) -> pd.DataFrame:
-        for i, name in enumerate(keys):
-            out.insert(i, name, key[i])
+    keys = list(group)
+    placed = with_positions(rows, order_by, bucket, group, size)
+    ranked = ["bucket_no", "cum", "pos", size]
+    if keep is not None:
+        placed = placed.select(*dict.fromkeys([*keys, bucket, *keep, *ranked]))
+    # Kernels group by the columns the positions were ranked by, so rows stay where that exchange put them.
+    at = [*keys, bucket]
+    fields = {name: placed.schema[name] for name in at}
+
+    def schema_of(names: list[str], of: T.StructType) -> T.StructType:
+        return T.StructType([fields[n] for n in names] + of.fields)
+
+    def keyed(names, values, out: pd.DataFrame) -> pd.DataFrame:
+        for i, (name, value) in enumerate(zip(names, values)):
+            out.insert(i, name, value)
         return out
 
     def arrays(pdf):
@@ -190,50 +195,45 @@ def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: st
         return (ordered, *(ordered[c].to_numpy(dtype=np.int64) for c in ("cum", "pos", size)))
 
     def reduce_bucket(key, pdf):
-        _, cum, pos, sizes = arrays(pdf)
-        steps = {**bucket_steps(rule, cum, pos, sizes), "part": key[-1]}
-        return keyed(key, pd.DataFrame([steps], columns=STEPS.names))
+        ordered, cum, pos, sizes = arrays(pdf)
+        steps = {**bucket_steps(rule, cum, pos, sizes), "part": ordered["bucket_no"].iloc[0]}
+        return keyed(at, key, pd.DataFrame([steps], columns=STEPS.names))
 
     def reduce_range(key, pdf):
         steps = {**compose(rule, pdf), "part": key[-1]}
-        return keyed(key, pd.DataFrame([steps], columns=STEPS.names))
+        return keyed(keys, key, pd.DataFrame([steps], columns=STEPS.names))
 
-    def enter_first(key, pdf):
-        return keyed(key, walk(rule, pdf, LONG_AGO, LONG_AGO, -1))
+    def enter_ranges(key, pdf):
+        return keyed(keys, key, walk(rule, pdf, LONG_AGO, LONG_AGO, -1))
 
-    def enter_buckets(key, steps, state):
-        begin = state.iloc[0]
-        return keyed(key[:-1], walk(rule, steps, begin.open_cum, begin.open_pos, begin.open_shard))
+    def enter_buckets(key, steps, state=None):
+        begin = (LONG_AGO, LONG_AGO, -1) if state is None else state[STATE.names[1:]].iloc[0]
+        steps = steps.sort_values("part")
+        return keyed(at, [*key[:len(keys)], steps[bucket].to_numpy()], walk(rule, steps, *begin))
 
     def through_ranges(steps):
         steps = steps.withColumn("range_no", F.call_function("div", "part", F.lit(FAN_IN).cast("long")))
-        ranges = steps.groupBy(*keys, "range_no").applyInPandas(reduce_range, with_keys(STEPS))
-        states = ranges.groupBy(*keys).applyInPandas(enter_first, with_keys(STATE))
+        ranges = steps.groupBy(*keys, "range_no").applyInPandas(reduce_range, schema_of(keys, STEPS))
+        states = ranges.groupBy(*keys).applyInPandas(enter_ranges, schema_of(keys, STATE))
         return (steps.groupBy(*keys, "range_no")
                 .cogroup(states.withColumnRenamed("part", "range_no").groupBy(*keys, "range_no"))
-                .applyInPandas(enter_buckets, with_keys(STATE)))
+                .applyInPandas(enter_buckets, schema_of(at, STATE)))
 
     out_schema = T.StructType(placed.schema.fields + [T.StructField("shard", T.LongType()),
                                                       T.StructField("slot", T.LongType())])
 
     def fill_bucket(key, pdf, state):
-        if not len(pdf):
-            return pd.DataFrame(columns=out_schema.names)
         ordered, cum, pos, sizes = arrays(pdf)
-        begin = state.iloc[0]
-        shard, slot = number_rows(rule, cum, pos, sizes, begin.open_cum, begin.open_pos, begin.open_shard)
+        shard, slot = number_rows(rule, cum, pos, sizes, *state[STATE.names[1:]].iloc[0])
         return ordered.assign(shard=shard, slot=slot)[out_schema.names]
 
-    narrow = placed.select(*keys, "bucket_no", "cum", "pos", size)
-    steps = narrow.groupBy(*keys, "bucket_no").applyInPandas(reduce_bucket, with_keys(STEPS))
+    steps = placed.select(*at, *ranked).groupBy(*at).applyInPandas(reduce_bucket, schema_of(at, STEPS))
     if most_buckets is not None and most_buckets <= WALKED_AT_ONCE:
-        bucket_states = steps.groupBy(*keys).applyInPandas(enter_first, with_keys(STATE))
+        states = steps.groupBy(*keys).applyInPandas(lambda key, pdf: enter_buckets(key, pdf), schema_of(at, STATE))
     else:
-        bucket_states = through_ranges(steps)
-    filled = (placed.groupBy(*keys, "bucket_no")
-              .cogroup(bucket_states.withColumnRenamed("part", "bucket_no").groupBy(*keys, "bucket_no"))
-              .applyInPandas(fill_bucket, out_schema))
-    return filled.drop("bucket_no", "_all")
+        states = through_ranges(steps)
+    filled = placed.groupBy(*at).cogroup(states.groupBy(*at)).applyInPandas(fill_bucket, out_schema)
+    return filled.drop("bucket_no")
 
 
 def by_count(pos: Column, rows_per_shard: int) -> Column:

@@ -26,7 +26,8 @@ def by_boundaries(payload: DataFrame, assigned: DataFrame, seed: int = 42, epoch
     shard reaches, so there are at most twice as many as shards. With at most ``broadcast_limit`` such rows the payload is not
     shuffled at all; beyond that Spark shuffles both sides on the slice, which hashes evenly.
     """
-    first = assigned.filter("slot = 0").select("shard", F.struct("order_key", sample_id).alias("start"))
+    key = order_key(F.col(sample_id), seed, epoch)
+    first = assigned.filter("slot = 0").select("shard", F.struct(key.alias("order_key"), sample_id).alias("start"))
     if n_shards is None:
         n_shards = first.count()
     digits = max(1, math.floor(math.log(max(n_shards, 1), 16)))
@@ -41,7 +42,7 @@ def by_boundaries(payload: DataFrame, assigned: DataFrame, seed: int = 42, epoch
         .withColumn("slice", F.explode(F.sequence(
             slice_no(F.col("start.order_key")), F.coalesce(slice_no(F.col("end.order_key")), last_slice))))
     )
-    keyed = payload.withColumn("order_key", order_key(F.col(sample_id), seed, epoch))
+    keyed = payload.withColumn("order_key", key)
     keyed = keyed.withColumn("slice", slice_no(F.col("order_key")))
     if n_shards + 16**digits <= broadcast_limit:
         boundaries = F.broadcast(boundaries)

@@ -34,7 +34,8 @@ def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int = 1) ->
 def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int = 1) -> DataFrame:
     """Staged shard assignment in the seeded order, over 16**digits buckets."""
     rows = narrow(samples, size, seed, digits)
-    return stage(roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=16**digits))
+    return stage(roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=16**digits,
+                             keep=["sample_id", "size"]))
 
 
 def cluster_by_shard(rows: DataFrame, total_bytes: int, n_shards: int, order_by: list[str]) -> DataFrame:

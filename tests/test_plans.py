@@ -78,6 +78,16 @@ def test_payload_is_shuffled_once(spark, sf_dir):
     assert "BroadcastHashJoin" in plan
 
 
+def test_narrow_rows_are_shuffled_once(spark, sf_dir):
+    """Ranking, the step functions and the numbering of rows share one exchange."""
+    rows = narrow(fx.samples(spark, sf_dir), F.octet_length("image"))
+    rolled = roll_shards(rows, Rollover(50_000), ["order_key", "sample_id"], most_buckets=16)
+    rolled.collect()
+    final = plan_of(rolled).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Scan ExistingRDD\[sample_id", final)) == 2  # the rows, and their bucket totals
+    assert "ReusedExchange [sample_id" in final
+
+
 def test_positions_never_rank_a_whole_table(spark):
     from shardloom.operators.ordering import with_positions
 
