@@ -138,13 +138,18 @@ def raster_resize(spark, sf_dir):
         "sample_id", "height", "width", "channels", F.md5("data").alias("data_md5"))
 
 
-@query("preprocess_samples")
+@query("preprocess_samples", """SELECT vec_id AS sample_id, 3 AS channels, 16 AS height, 16 AS width,
+  768::BIGINT AS n_values, TRUE AS in_range
+FROM embeddings WHERE list_max(embedding) > list_min(embedding) AND vec_id % 4 <> 1""")
 def preprocess_samples(spark, sf_dir):
-    """The training transform, then a user function over its batches."""
+    """The training transform, then a user function over its batches. SQL checks rows, shapes and the value
+    range; the pixels are compared with a plain loop in the tests."""
     tensors = preprocess(mixed(spark, sf_dir), side=16, seed=fx.SEED)
 
     def summarise(pdf):
-        return pdf.assign(mean=pdf["values"].map(lambda v: float(v.mean())))[
-            ["sample_id", "channels", "height", "width", "mean"]]
+        values = pdf["values"]
+        return pdf.assign(n_values=values.map(len), in_range=values.map(lambda v: bool(0 <= v.min() and v.max() <= 1)))[
+            ["sample_id", "channels", "height", "width", "n_values", "in_range"]]
 
-    return map_samples(tensors, summarise, "sample_id long, channels int, height int, width int, mean double")
+    return map_samples(tensors, summarise,
+                       "sample_id long, channels int, height int, width int, n_values long, in_range boolean")

@@ -17,7 +17,7 @@ from shardloom.operators.assignment import Rollover, check_limits, roll_shards
 from shardloom.operators.attach import by_boundaries, by_file_rows
 from shardloom.operators.ordering import bucket_digits, range_buckets, with_order
 from shardloom.operators.samples import split_valid
-from shardloom.session import stage
+from shardloom.session import qualified, stage
 from shardloom.sources import register
 from shardloom.sources.chunks import chunk_number, item_size
 from shardloom.sources.mds import header_of, shard_overhead, stored_size
@@ -50,6 +50,7 @@ def write_shards(payload: DataFrame, assigned: DataFrame, source: str, path: str
                  **options: str) -> str:
     """Write a payload table, one column per stored field, by a seeded-order assignment."""
     spark = register(payload.sparkSession)
+    path = qualified(spark, path)
     totals = assigned.agg(F.sum("size").alias("bytes"), F.max("shard").alias("last")).first()
     if totals["last"] is None:
         raise ValueError("no samples to write")
@@ -107,6 +108,7 @@ def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row:
     """Chunks in file order: files go to writers, each writer rolls chunks of its own. Text may be null."""
     flat = set_aside(flat, rejects, need_text=False)
     spark = register(flat.sparkSession)
+    path = qualified(spark, path)
     assigned = stage(assign_writers(flat, writer, file, row, item_size(F.col("image"), F.col("text")),
                                     Rollover(chunk_bytes, "fit", chunk_rows)))
     totals = assigned.agg(F.sum("size").alias("bytes"), F.count_if(F.col("slot") == 0).alias("n")).first()
@@ -141,4 +143,4 @@ def read_shards(spark: SparkSession, source: str, path: str, schema: str | None
     reader = register(spark).read.format(source).options(**options)
     if schema:
         reader = reader.schema(schema)
-    return reader.load(path)
+    return reader.load(qualified(spark, path))

@@ -44,11 +44,16 @@ def shared_root(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, by the session's default file system, so tasks resolve it as Spark does."""
+    context = spark.sparkContext
+    jvm_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses; qualified, so every task resolves it alike."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
-    hadoop_conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return jvm_path.getFileSystem(hadoop_conf).makeQualified(jvm_path).toString()
+    """A path under the shared folder that no other run uses."""
+    return qualified(spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shardloom.operators.ordering import ratio_bounds
+from shardloom.session import qualified
 from shardloom.sources.shardfiles import in_batches
 from shardloom.sources.storage import locate, read_json, replacing, write_json
 from shardloom.sources.tar import BLOCK, TarReader, samples_of
@@ -46,6 +47,7 @@ def sample_offsets(stream):
 
 def shard_list(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """``shard, bytes`` of the tar files under a path, one row per partition's worth of work."""
+    path = qualified(spark, path)
     filesystem, base = locate(path)
     shards = TarReader({"path": path, **options}, None).list_shards(filesystem, base)
     rows = [(s["file"], int(s["bytes"])) for s in shards]
@@ -55,6 +57,7 @@ def shard_list(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def tar_sample_index(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """One row per sample of a tar set: shard, row in shard, key, byte range and payload bytes."""
+    path = qualified(spark, path)
 
     def scan(batches):
         filesystem, base = locate(path)
@@ -72,6 +75,7 @@ def tar_sample_index(spark: SparkSession, path: str, **options: str) -> DataFram
 def prepare_index(spark: SparkSession, path: str, field_map: dict[str, str], ratios=(1, 0, 0),
                   names=("train", "val", "test"), **options: str) -> list[dict]:
     """Index an existing tar set in place; returns the shard entries of the manifest."""
+    path = qualified(spark, path)
 
     def index_shards(batches):
         filesystem, base = locate(path)

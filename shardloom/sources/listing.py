@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardloom.functions.paths import is_shard_name
 from shardloom.operators.ordering import range_buckets, with_positions
+from shardloom.session import qualified
 from shardloom.sources.storage import locate
 
 
@@ -21,7 +22,7 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def list_parquet(spark: SparkSession, path: str) -> DataFrame:
     """The sorted parquet files under a directory, or a single file; anything else is an error."""
-    filesystem, inner = locate(path)
+    filesystem, inner = locate(qualified(spark, path))
     kind = filesystem.get_file_info(inner).type
     if kind == FileType.NotFound or (kind == FileType.File and not inner.endswith(".parquet")):
         raise ValueError(f"{path} is neither a parquet file nor a directory")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -12,6 +14,8 @@ import pyarrow.fs as pafs
 def locate(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
+    # Hadoop's names for the same store.
+    path = re.sub("^s3[an]://", "s3://", path)
     filesystem, inner = pafs.FileSystem.from_uri(path)
     return filesystem, inner.rstrip("/")
 
@@ -22,20 +26,30 @@ def is_object_store(filesystem: pafs.FileSystem) -> bool:
 
 @contextmanager
 def replacing(filesystem: pafs.FileSystem, path: str):
-    """Write a file that appears whole or not at all. Object stores publish on close; elsewhere a file with a
-    name of its own is moved into place."""
-    target = path if is_object_store(filesystem) else f"{path}.{uuid.uuid4().hex}.part"
-    stream = filesystem.open_output_stream(target, compression=None)
+    """Write a file that appears whole or not at all.
+
+    An object store publishes what it got when a stream closes, even after an error, so there the content (a
+    shard, of bounded size) is held until it is complete. Elsewhere it goes to a name of its own and is moved.
+    """
+    if is_object_store(filesystem):
+        held = io.BytesIO()
+        yield held
+        with filesystem.open_output_stream(path, compression=None) as stream:
+            stream.write(held.getbuffer())
+        return
+    partial = f"{path}.{uuid.uuid4().hex}.part"
+    stream = filesystem.open_output_stream(partial, compression=None)
     try:
         yield stream
         stream.close()
     except BaseException:
-        if target != path:
-            stream.close()
-            filesystem.delete_file(target)
+        stream.close()
+        filesystem.delete_file(partial)
         raise
-    if target != path:
-        filesystem.move(target, path)
+    if filesystem.type_name == "hdfs" and filesystem.get_file_info(path).type == pafs.FileType.File:
+        # Its rename does not replace; what is there is an earlier attempt's identical file.
+        filesystem.delete_file(path)
+    filesystem.move(partial, path)
 
 
 def write_json(filesystem: pafs.FileSystem, path: str, content: dict) -> None:
