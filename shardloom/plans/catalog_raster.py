@@ -24,10 +24,11 @@ def mixed(spark, sf_dir):
     """The 64 bytes of each raster read with 1 to 4 channels; three channels use 63 of them."""
     rows = fx.rasters(spark, sf_dir)
     channels = (F.pmod(F.col("sample_id"), F.lit(4)) + 1).cast("int")
-    shape = F.create_map(*[F.lit(v) for c, (h, w) in SHAPES.items() for v in (c, h)]), \
-        F.create_map(*[F.lit(v) for c, (h, w) in SHAPES.items() for v in (c, w)])
-    shaped = rows.select("sample_id", shape[0][channels].alias("height"), shape[1][channels].alias("width"),
-                         channels.alias("channels"), "data")
+
+    def side(n):
+        return F.element_at(F.array(*[F.lit(shape[n]) for shape in SHAPES.values()]), channels)
+
+    shaped = rows.select("sample_id", side(0).alias("height"), side(1).alias("width"), channels.alias("channels"), "data")
     return shaped.withColumn("data", F.substring("data", F.lit(1), F.col("height") * F.col("width") * F.col("channels")))
 
 
@@ -132,7 +133,8 @@ pixels AS (SELECT sample_id, unnest(levels) AS v, unnest(range(64)) AS place FRO
 scaled AS (SELECT sample_id, r.i AS y, c.i AS x, floor(sum(r.w * c.w * v) + 0.5)::INTEGER AS v
   FROM pixels JOIN weights r ON r.j = place // 8 JOIN weights c ON c.j = place % 8 GROUP BY ALL)
 SELECT sample_id, 16 AS height, 16 AS width, 3 AS channels,
-  md5(unhex(string_agg(repeat(lpad(hex(v), 2, '0'), 3), '' ORDER BY y, x))) AS data_md5 FROM scaled GROUP BY sample_id""")
+  md5(unhex(string_agg(repeat(lpad(hex(v), 2, '0'), 3), '' ORDER BY y, x))) AS data_md5
+FROM scaled GROUP BY sample_id""")
 def raster_resize(spark, sf_dir):
     return resized(fx.rasters(spark, sf_dir), 16, 16).select(
         "sample_id", "height", "width", "channels", F.md5("data").alias("data_md5"))

@@ -198,7 +198,8 @@ def filter_names(spark, sf_dir):
     return names.filter(is_shard_name(F.col("name"), "train", "en"))
 
 
-def _files(spark, sf_dir):
+def source_files(spark, sf_dir):
+    """Each source as one file: its name and bytes."""
     return fx.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(
         F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
@@ -212,12 +213,12 @@ KEPT_BYTES = 1_000_000
 SELECT * FROM (SELECT name, bytes, sum(bytes) OVER (ORDER BY name)::BIGINT AS total_bytes FROM files)
 WHERE total_bytes < {KEPT_BYTES}""")
 def capped_prefix(spark, sf_dir):
-    return size_capped_prefix(_files(spark, sf_dir), KEPT_BYTES)
+    return size_capped_prefix(source_files(spark, sf_dir), KEPT_BYTES)
 
 
 @query("last_file", f"WITH {SQL_FILES} SELECT name, bytes FROM files ORDER BY name DESC LIMIT 1")
 def last_file_of(spark, sf_dir):
-    return last_file(_files(spark, sf_dir))
+    return last_file(source_files(spark, sf_dir))
 
 
 def ordered(spark, sf_dir, size=None, seed=fx.SEED, epoch=0):

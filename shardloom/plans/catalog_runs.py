@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.functions.text_metrics import (
-    EPOCH_LINE,
-    THROUGHPUT,
     SAMPLES,
+    THROUGHPUT,
     WRITE_TIME,
     at_line_start,
     epoch_time,
+    epoch_times,
     first_match,
     last_match,
     log_metrics,
 )
 from shardloom.operators import runs
 from shardloom.plans import fixtures as fx
-from shardloom.plans.catalog_rows import _files
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir
-from shardloom.sources.listing import dir_stats, list_files
+from shardloom.sources.listing import dir_stats
 
 CPUS, MEMORY = 16, 64 * 1024**3
 
+
 # A label without an anchor also matches inside longer labels that come earlier: both readings, side by side.
 @query("log_first_match", f"""WITH {fx.SQL_STAGE_LOGS}
 SELECT o_orderkey, regexp_extract(log, 'Dataset write time:\\s*([0-9.]+)', 1) AS anywhere,
@@ -57,11 +57,14 @@ SQL_EPOCH_TIME = """coalesce(list_extract(list_filter(list_transform(
 
 
 @query("log_epoch_times", f"""WITH {fx.SQL_LOGS}
-SELECT event_id, {SQL_EPOCH_TIME.format(n=1)} AS epoch1_s, {SQL_EPOCH_TIME.format(n=2)} AS epoch2_s FROM logs""")
+SELECT event_id, {SQL_EPOCH_TIME.format(n=1)} AS epoch1_s, {SQL_EPOCH_TIME.format(n=2)} AS epoch2_s,
+       len(list_distinct(regexp_extract_all(log, 'Epoch ([0-9]+): Processed', 1)))::BIGINT AS n_epochs
+FROM logs""")
 def log_epoch_times(spark, sf_dir):
     log = F.col("log")
     return fx.run_logs(spark, sf_dir).select(
-        "event_id", epoch_time(log, 1).alias("epoch1_s"), epoch_time(log, 2).alias("epoch2_s"))
+        "event_id", epoch_time(log, 1).alias("epoch1_s"), epoch_time(log, 2).alias("epoch2_s"),
+        F.size(epoch_times(log)).cast("long").alias("n_epochs"))
 
 
 @query("log_metrics", f"""WITH {fx.SQL_LOGS}
@@ -284,8 +287,8 @@ def sweep_progress(spark, sf_dir):
     return rounded(runs.sweep_progress(grid(spark, sf_dir), fx.results(spark, sf_dir)), "percent")
 
 
-@query("union_formats", """SELECT 'pages' AS format, page_id AS id, octet_length(encode(html))::BIGINT AS n_bytes, NULL::VARCHAR AS role
-FROM pages UNION ALL SELECT 'conversations', conv_id, octet_length(encode(text)), role FROM conversations""")
+@query("union_formats", """SELECT 'pages' AS format, page_id AS id, octet_length(encode(html))::BIGINT AS n_bytes,
+  NULL::VARCHAR AS role FROM pages UNION ALL SELECT 'conversations', conv_id, octet_length(encode(text)), role FROM conversations""")
 def union_formats(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("id"), F.octet_length("html").cast("long").alias("n_bytes"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.functions.hashing import payload_digest
-from shardloom.functions.paths import sample_key
 from shardloom.functions.payload import payload_size
 from shardloom.operators.assignment import Rollover, by_bytes, by_count, roll_shards, shard_manifest
 from shardloom.operators.attach import by_boundaries, by_sample_id
@@ -24,11 +23,11 @@ from shardloom.plans.prepare import (
     write_tar,
 )
 from shardloom.plans.registry import query
-from shardloom.session import fresh_dir, stage
+from shardloom.session import fresh_dir
 from shardloom.sources.chunks import item_size
 from shardloom.sources.indexed_tar import prepare_index, tar_sample_index
 from shardloom.sources.listing import list_shards
-from shardloom.sources.mds import header_of, shard_overhead, stored_size
+from shardloom.sources.mds import header_of, shard_overhead
 from shardloom.sources.storage import locate, read_json
 
 OVERSHOOT = Rollover(fx.TAR_BYTES, "overshoot", fx.TAR_ROWS)

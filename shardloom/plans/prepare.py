@@ -104,8 +104,11 @@ def write_mds(flat: DataFrame, path: str, size_limit: int = 1 << 26, seed: int =
 
 def write_chunks(flat: DataFrame, path: str, writer: Column, file: Column, row: Column, chunk_bytes: int = 64_000_000,
                  chunk_rows: int | None = None, compression: str = "zstd", hashes: str = "",
-                 rows_per_part: int = 1_000_000, rejects: str | None = None) -> str:
-    """Chunks in file order: files go to writers, each writer rolls chunks of its own. Text may be null."""
+                 rows_per_part: int = 20_000, rejects: str | None = None) -> str:
+    """Chunks in file order: files go to writers, each writer rolls chunks of its own. Text may be null.
+
+    ``rows_per_part`` is the stretch of a file in which a payload row looks for its chunk: some ten chunks long.
+    """
     flat = set_aside(flat, rejects, need_text=False)
     spark = register(flat.sparkSession)
     path = qualified(spark, path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from shardloom.functions.payload import payload_size
 from shardloom.sources.mds import CODECS, compressed, decompressed
 from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
-from shardloom.sources.storage import read_json, replacing
+from shardloom.sources.storage import locate, read_json, replacing
 
 # Item leaf formats by Spark type.
 FORMATS = {"binary": "bytes", "string": "str", "bigint": "int", "double": "float"}
@@ -152,8 +152,6 @@ class Chunks(ShardSource):
         return "chunks"
 
     def schema(self):
-        from shardloom.sources.storage import locate
-
         filesystem, base = locate(self.options["path"])
         index = read_json(filesystem, f"{base}/{INDEX}")
         if index is None:

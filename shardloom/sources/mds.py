@@ -6,11 +6,11 @@ import json
 import struct
 
 import numpy as np
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from shardloom.functions.payload import ENCODINGS, payload_size
 from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
-from shardloom.sources.storage import read_json, replacing
+from shardloom.sources.storage import locate, read_json, replacing
 
 # Bytes of the encodings that are stored without a length.
 FIXED_SIZES = {"int": 8, "float64": 8}
@@ -209,16 +209,10 @@ class Mds(ShardSource):
         return "mds"
 
     def schema(self):
-        filesystem_index = self._index()
-        types = {e: t for e, t in ENCODINGS.items()}
-        header = filesystem_index["shards"][0] if filesystem_index and filesystem_index["shards"] else None
-        if header is None:
+        filesystem, base = locate(self.options["path"])
+        index = read_json(filesystem, f"{base}/{INDEX}")
+        if index is None or not index["shards"]:
             return "shard string, image binary, text string, idx bigint"
-        columns = ", ".join(f"`{n}` {types[e]}" for n, e in zip(header["column_names"], header["column_encodings"]))
+        header = index["shards"][0]
+        columns = ", ".join(f"`{n}` {ENCODINGS[e]}" for n, e in zip(header["column_names"], header["column_encodings"]))
         return f"shard string, {columns}"
-
-    def _index(self):
-        from shardloom.sources.storage import locate
-
-        filesystem, base = locate(self.options["path"])
-        return read_json(filesystem, f"{base}/{INDEX}")

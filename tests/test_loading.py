@@ -14,7 +14,6 @@ from shardloom.operators.loading import (
 )
 from shardloom.operators.assignment import by_count
 from shardloom.operators.ordering import with_order
-from shardloom.plans.prepare import read_shards
 from shardloom.sources.indexed_tar import portions, slice_starts
 
 N = 88_514

@@ -11,6 +11,7 @@ from shardloom.functions.text_metrics import (
     WRITE_TIME,
     at_line_start,
     epoch_time,
+    epoch_times,
     first_match,
     log_metrics,
     read_logs,
@@ -66,6 +67,8 @@ def test_log_files(spark, tmp_path):
 def test_later_line_of_an_epoch_counts(spark):
     log = "Epoch 2: Processed 1 samples in 3.5s\nEpoch 2: Processed 1 samples in 4.5s\n"
     assert one(spark, epoch_time(F.col("log"), 2), log=log) == 4.5
+    assert one(spark, epoch_times(F.col("log")), log="Epoch 1: Processed 1 samples in 9.0s\n" + log) == {1: 9.0, 2: 4.5}
+    assert one(spark, epoch_times(F.col("log")), log="nothing") == {}
 
 
 def test_results_file(spark, tmp_path):
