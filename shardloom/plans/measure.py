@@ -15,9 +15,8 @@ from shardloom.operators import runs
 from shardloom.operators.loading import fixed_batch
 from shardloom.operators.ordering import shuffle_through_buffer
 from shardloom.plans.prepare import read_shards
-from shardloom.session import qualified
+from shardloom.session import exists
 from shardloom.sources.listing import dir_stats
-from shardloom.sources.storage import locate
 
 EPOCHS_SCHEMA = "run string, epoch long, samples long, elapsed_s double, throughput double"
 
@@ -69,8 +68,7 @@ def measure_prepare(spark: SparkSession, name: str, write: Callable[[], str]) ->
 
 def recorded(spark: SparkSession, path: str) -> DataFrame:
     """Results so far; an empty table before the first."""
-    filesystem, base = locate(qualified(spark, path))
-    if filesystem.get_file_info(base).type.name == "NotFound":
+    if not exists(spark, path):
         return spark.createDataFrame([], runs.RESULT_SCHEMA)
     return runs.read_results(spark, path)
 

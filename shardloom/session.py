@@ -51,6 +51,14 @@ def qualified(spark: SparkSession, path: str) -> str:
     return jvm_path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or any path of a glob, is there."""
+    context = spark.sparkContext
+    jvm_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = jvm_path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(jvm_path)
+    return found is not None and len(found) > 0
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return qualified(spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardloom.functions.paths import is_shard_name
 from shardloom.operators.ordering import range_buckets, with_positions
-from shardloom.session import qualified
+from shardloom.session import exists, qualified
 from shardloom.sources.storage import locate
 
 
@@ -45,7 +45,9 @@ def count_per_file(spark: SparkSession, *paths: str, skip_corrupt: bool = True)
 
 
 def dir_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Size in MB and number of files; zeros for a directory without files."""
+    """Size in MB and number of files; zeros for a directory that is empty or absent."""
+    if not exists(spark, path):
+        return spark.createDataFrame([(0.0, 0)], "size_mb double, n_files long")
     return list_files(spark, path).agg(
         F.coalesce(F.sum("bytes") / (1024 * 1024), F.lit(0.0)).alias("size_mb"),
         F.count(F.lit(1)).alias("n_files"))

@@ -167,7 +167,8 @@ def test_listings(spark, tmp_path):
         with pytest.raises(ValueError):
             list_parquet(spark, wrong)
     (tmp_path / "empty").mkdir()
-    assert tuple(dir_stats(spark, str(tmp_path / "empty")).first()) == (0.0, 0)
+    for nothing in ("empty", "absent"):
+        assert tuple(dir_stats(spark, str(tmp_path / nothing)).first()) == (0.0, 0)
 
 
 def test_unreadable_files_are_skipped(spark, tmp_path):
