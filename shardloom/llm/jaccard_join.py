@@ -5,16 +5,17 @@
 * Keys. A pair above the threshold shares one of the first ``n - ceil(t n) + 1`` members of each set in any order that is
   the same for all sets. The order is rarest first, by corpus-wide counts of hashed shingles, so passages that many
   documents share come last. Points that share a key are a leaf group of the index; others never meet.
-* Points. Shingles are hashed into ``GROUPS`` groups; the counts are a point, and the sum of coordinate minima bounds the
-  overlap of two sets. Within a key, an R-tree over the points is joined with itself; a node pair whose summed minima of
+* Points. Shingles are hashed into groups, one or two shingles a group on average; the counts are a point, and the sum of
+  coordinate minima bounds the overlap of two sets. The number of groups is a power of two that follows the set's size
+  class, and a point with twice the groups folds onto the other. Within a key, an R-tree over the points is joined with itself; a node pair whose summed minima of
   upper corners cannot reach the overlap that the smallest sizes need is left out.
 * Verification. Surviving pairs are compared on their whole sets, which are made again from the texts they need.
 
-A key may hold a third of all points. So pairs are found in two rounds. Round one compares each point with one other per
-key, the key's least, and joins what is verified into components. Round two looks, within keys that still hold several
-components, only for pairs across components; nodes of one component are not compared. Long keys are cut into blocks by
-set size, and blocks meet in pairs unless their sizes or components rule them out. No link between different components is
-lost, none within one is needed.
+A key may hold a third of all points. So pairs are found in two rounds. Round one compares each point of a crowded key
+with ``HUBS`` others, which are the same for all the points that share its keys, and joins what is verified into
+components. Round two looks, within all keys that hold several components, only for pairs across components; nodes of one
+component are not compared. Long keys are cut into blocks by set size, and blocks meet in pairs unless their sizes or components rule them out. No link
+between different components is lost, none within one is needed.
 
 Null and empty texts have an empty set, are linked with nothing, and are their own component. Equal texts are linked.
 Repeated rows are kept; a null id is never the least of a component unless all its ids are null. An empty table gives no
@@ -31,15 +32,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shardloom.llm.common import arrow_schema, batch, id_and_text, staged
 
-GROUPS = 32
 LEVEL_BITS = 20  # 2^20 counters order the shingles
 SLICE = 1 << 12  # counters in one row
 FAN = 16  # entries of a tree node
+CROWD = 8  # points of a key from which round one takes part; smaller keys have few pairs
+HUBS = 16
 BLOCK = 2048  # points of a key that one task holds twice at most
-PAIRS = 500_000  # point pairs bounded at once
+BOUND_BYTES = 16 << 20  # of points whose minima are taken at once
 MEMO = 1_000_000  # word hashes that a task remembers
 SEND_IDS = 2_000_000  # ids (8 bytes each) broadcast to pick texts; beyond, a join by id
-POINTS = "set_id long, n int, counts array<int>, keys array<long>"
+POINTS = "set_id long, n int, counts binary, keys array<long>"
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,6 +73,22 @@ def set_id(members: np.ndarray) -> int | None:
     return int(np.array(xxhash.xxh3_64_intdigest(members.tobytes()), np.uint64).astype(np.int64)) if len(members) else None
 
 
+def group_counts(members: np.ndarray) -> np.ndarray:
+    """The point of a set: as many groups as its size class has, but eight at least."""
+    groups = 1 << max(3, len(members).bit_length() - 1)
+    counts = np.bincount((members & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    if counts.max(initial=0) > 0xFF:
+        raise ValueError("a group of a point is out of range")
+    return counts.astype(np.uint8)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Points (in rows) with fewer groups: what agrees in its lower bits meets."""
+    if counts.shape[-1] == groups:
+        return counts
+    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2, dtype=np.uint16)
+
+
 def least_overlap(a, b, percent: int):
     """Members that two sets of these sizes must share: J >= t exactly if (100 + t) * overlap >= t * (a + b)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -131,8 +149,7 @@ def _locate(k: int, percent: int, levels):
                 done.add(name)
                 order = np.lexsort((members, level[(members >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]))
                 first = order[:n + (-percent * n // 100) + 1]
-                counts = np.bincount((members % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-                out.append((name, n, counts.astype(np.int32), members[first].view(np.int64)))
+                out.append((name, n, group_counts(members).tobytes(), members[first].view(np.int64)))
             if out:
                 yield batch(schema, [list(c) for c in zip(*out)])
     return run
@@ -149,6 +166,19 @@ def _sets(k: int):
     return run
 
 
+def _reachable(percent: int):
+    """Whether the bound of two points reaches what their sizes need."""
+    @F.pandas_udf("boolean")
+    def reachable(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        need, out = least_overlap(n.to_numpy(np.int64), m.to_numpy(np.int64), percent), []
+        for x, y, least in zip(a, b, need):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            groups = min(len(x), len(y))
+            out.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum()) >= least)
+        return pd.Series(out, dtype=bool)
+    return reachable
+
+
 def _linked(percent: int):
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -229,11 +259,12 @@ class CountTree:
 def tree_pairs(one: CountTree, other: CountTree, percent: int, same: bool):
     """Index pairs of points in different components whose bound reaches the threshold, in arrays."""
     top = max(len(one.levels), len(other.levels)) - 1
+    most = max(FAN * FAN, BOUND_BYTES // one.levels[0][0].shape[1])
     rows = [np.arange(len(t.level(top)[0])) for t in (one, other)]
     work = [(top, *(x.ravel() for x in np.meshgrid(*rows, indexing="ij")))]
     while work:
         k, a, b = work.pop()
-        if len(a) > PAIRS:
+        if len(a) > most:
             half = len(a) // 2
             work += [(k, a[half:], b[half:]), (k, a[:half], b[:half])]
             continue
@@ -272,32 +303,40 @@ def _tree_join(percent: int):
 
     def run(bucket, table):
         frame = table.select(["key", "i", "j", "side", "set_id", "n", "component"]).to_pandas()
-        column = table["counts"].combine_chunks()
-        counts = column.flatten().to_numpy().reshape(len(column), GROUPS)
-        found = []
-        for (_, i, j), rows in frame.groupby(["key", "i", "j"], sort=False).indices.items():
-            side = frame.side.to_numpy()[rows]
-            trees, ids = [], []
-            for s in ((0,) if i == j else (0, 1)):
-                own = rows[side == s]
-                trees.append(CountTree(counts[own], frame.n.to_numpy()[own], frame.component.to_numpy()[own]))
-                ids.append(frame.set_id.to_numpy()[own])
-            for a, b in tree_pairs(trees[0], trees[-1], percent, i == j):
-                found.append(np.unique(np.sort(np.column_stack((ids[0][a], ids[-1][b])), axis=1), axis=0))
+        counts = table["counts"].to_pylist()
+        sizes, component, names = (frame[c].to_numpy() for c in ("n", "component", "set_id"))
+        cell = frame.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+        order = np.lexsort((frame.side.to_numpy(), cell))
+        cell, side, found = cell[order], frame.side.to_numpy()[order], []
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for a, b in zip(cuts, cuts[1:]):
+            split = a + int(np.searchsorted(side[a:b], 1))
+            sides = [order[a:split]] if split == b else [order[a:split], order[split:b]]
+            # A block is of one size class, so its points have equally many groups.
+            points = [np.stack([np.frombuffer(counts[r], np.uint8) for r in rows]) for rows in sides]
+            groups = min(p.shape[1] for p in points)
+            trees = [CountTree(folded(p, groups), sizes[rows], component[rows]) for p, rows in zip(points, sides)]
+            for x, y in tree_pairs(trees[0], trees[-1], percent, len(sides) == 1):
+                found.append(np.sort(np.column_stack((names[sides[0]][x], names[sides[-1]][y])), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.Table.from_batches([batch(schema, [pairs[:, 0], pairs[:, 1]])])
     return run
 
 
 def across_components(members: DataFrame, points: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) across components that the trees cannot rule out. members: key, set_id, n, component."""
-    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"),
-                                       F.max("component").alias("hi")).filter("c > 2 and lo != hi").select("key", "c")
-    own = members.join(mixed, "key")
-    by_size = Window.partitionBy("key").orderBy("n", "component", "set_id")
-    blocked = staged(own.filter(F.col("c") <= BLOCK).withColumn("block", F.lit(0)).union(
-        own.filter(F.col("c") > BLOCK).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    ).drop("c"), "blocks")
+    """Pairs (a, b) across components whose bound can't rule them out. members: key, set_id, n, component."""
+    mixed = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("lo != hi")
+    # A key of two points is their pair.
+    twos = bounded(mixed.filter("c = 2").select("a", "b").distinct(), points, percent)
+    own = members.join(mixed.filter("c > 2").select("key", "c"), "key").withColumn(
+        "class", F.shiftleft(F.floor(F.log2("n")).cast("long"), 32))
+    by_size = Window.partitionBy("key", "class").orderBy("n", "component", "set_id")
+    blocked = staged(own.filter(F.col("c") <= BLOCK).withColumn("block", F.col("class")).union(
+        own.filter(F.col("c") > BLOCK).withColumn(
+            "block", F.col("class") + F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("long"))
+    ).drop("c", "class"), "blocks")
     nodes = blocked.groupBy("key", "block").agg(F.min("n").alias("small"), F.max("n").alias("large"),
                                                 F.min("component").alias("lo"), F.max("component").alias("hi"))
     left = nodes.toDF("key", "i", "small_i", "large_i", "lo_i", "hi_i")
@@ -310,8 +349,34 @@ def across_components(members: DataFrame, points: DataFrame, percent: int, tasks
         met.filter("i != j").select("key", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
     rows = blocked.join(sides, ["key", "block"]).join(points.select("set_id", "counts"), "set_id")
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("bucket")
-    return rows.select(bucket, "key", "i", "j", "side", "set_id", "n", "component", "counts").groupBy("bucket").applyInArrow(
-        _tree_join(percent), "a long, b long").distinct()
+    trees = rows.select(bucket, "key", "i", "j", "side", "set_id", "n", "component", "counts").groupBy(
+        "bucket").applyInArrow(_tree_join(percent), "a long, b long")
+    return trees.union(twos).distinct()
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a below b, of the points of crowded keys with their hubs.
+
+    A mask turns the order of ids into another one. The least of a key's ids in each of ``HUBS`` orders are its hubs, and
+    the least of the hubs of all of its keys are a point's.
+    """
+    masks = [int(m) for m in np.random.default_rng(1).integers(-(1 << 63), 1 << 63, HUBS, dtype=np.int64)]
+    least = lambda column: [F.min(column(m)).alias(f"h{r}") for r, m in enumerate(masks)]
+    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *least(
+        lambda m: F.col("set_id").bitwiseXOR(F.lit(m)))).filter(F.col("c") >= CROWD).drop("c")
+    own = members.select("key", "set_id").join(hubs, "key").groupBy("set_id").agg(
+        *[F.min(f"h{r}").alias(f"h{r}") for r in range(HUBS)])
+    each = F.explode(F.array(*[F.col(f"h{r}").bitwiseXOR(F.lit(m)) for r, m in enumerate(masks)]))
+    pairs = own.select("set_id", each.alias("hub")).filter("set_id != hub")
+    return pairs.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+
+
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and points allow a link."""
+    of = lambda side: points.toDF(side, f"n_{side}", f"counts_{side}")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(
+        (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).filter(
+        _reachable(percent)("counts_a", "counts_b", "n_a", "n_b")).select("a", "b")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -327,25 +392,16 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     once = points.select("set_id", "n", "counts").dropDuplicates(["set_id"])
     postings = points.select(F.explode("keys").alias("key"), "set_id", "n")
     shared = postings.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("greatest")).filter(
-        "least != greatest").select("key", "least")
+        "least != greatest").select("key")
     members = staged(postings.join(shared, "key").distinct(), "members")
-
-    stars = members.filter("set_id != least").select("least", "set_id").distinct().toDF("a", "b")
-    of = lambda side: once.toDF(side, f"n_{side}", f"counts_{side}")
-    bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    need = F.col("n_a") + F.col("n_b")
-    near = stars.join(of("a"), "a").join(of("b"), "b").filter(
-        (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-        & (bound * (100 + percent) >= need * percent))
-    tried = staged(near.select("a", "b"), "stars-tried")
+    tried = staged(bounded(hub_pairs(members), once, percent), "hubs-tried")
     edges = verified(tried, rows, described, k, percent)
     first = components(edges)
 
     grown = members.select("key", "set_id", "n").join(first, "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id")).select("key", "set_id", "n", "component")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(across_components(grown, once, percent, tasks).join(ordered, ["a", "b"], "left_anti"), "rest")
+    rest = staged(across_components(grown, once, percent, tasks).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         first = components(edges.union(verified(rest, rows, described, k, percent)))
 
