@@ -145,12 +145,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     def run(batches):
         bpe = ByteBpe.of_worker(ranks, pattern)
         for rows in batches:
-            sizes, digests, decoded = [], [], []
-            for text in rows.column("text"):
-                ids = bpe.encode(text.as_py())
-                sizes.append(len(ids) // 4)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield batch(schema, [rows.column("doc_id"), sizes, digests, decoded])
+            for a in range(0, rows.num_rows, 500):
+                coded = bpe.encode_all(rows.column("text")[a:a + 500].to_pylist())
+                yield batch(schema, [rows.column("doc_id")[a:a + 500], [len(ids) // 4 for ids in coded],
+                                     [hashlib.sha256(ids).hexdigest() for ids in coded],
+                                     [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in coded]])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, CODED)

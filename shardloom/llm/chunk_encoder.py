@@ -7,6 +7,7 @@ joined. The result equals encoding the whole text; tests compare the two.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -53,30 +54,46 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, memo: dict[str, bytes], pieces, prefix: str) -> dict[str, bytes]:
+    def _learn(self, memo: dict[str, bytes], pieces: set[str], prefix: str) -> dict[str, bytes]:
         """Ids of all the pieces: the memo, or a table for these alone where long pieces are among them."""
-        new = [p for p in set(pieces) if p not in memo]
+        new = list(pieces - memo.keys())
         if not new:
             return memo
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(pieces))
         ids = dict(zip(new, self._encode([prefix + p for p in new])))
-        memo.update((p, i) for p, i in ids.items() if len(p) <= LONG)
-        return memo if max(map(len, new)) <= LONG else {**{p: memo[p] for p in set(pieces) if p in memo}, **ids}
+        short = {p: i for p, i in ids.items() if len(p) <= LONG}
+        found = memo if len(short) == len(ids) else {**{p: memo[p] for p in pieces & memo.keys()}, **ids}
+        memo.update(short)
+        if len(memo) > MEMO:
+            # The pieces seen first are the frequent ones. The table in use is kept until it has been used.
+            kept = dict(itertools.islice(memo.items(), MEMO // 2))
+            found = dict(memo) if found is memo else found
+            memo.clear()
+            memo.update(kept)
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts, whose new pieces go to the library together."""
         if self.rule == "whole":
-            return self._encode([text])[0]
-        if self.rule == "word":
-            pieces = text.replace("\n", " ").split(" ")
-            return b"".join(map(self._learn(self.heads, pieces, "").__getitem__, pieces))
-        if DOUBLE.search(text):
-            pieces = RUNS.findall(text)
-            return b"".join(map(self._learn(self.heads, pieces, "").__getitem__, pieces))
-        head, *tail = text.split(" ")
-        ids = self._learn(self.heads, [head], "")[head]
-        return ids + b"".join(map(self._learn(self.tails, tail, " ").__getitem__, tail)) if tail else ids
+            return self._encode(texts)
+        heads, tails = [], []
+        for text in texts:
+            if not text:
+                heads.append(())
+                tails.append(())
+            elif self.rule == "word":
+                heads.append(text.replace("\n", " ").split(" "))
+                tails.append(())
+            elif DOUBLE.search(text):
+                heads.append(RUNS.findall(text))
+                tails.append(())
+            else:
+                head, *tail = text.split(" ")
+                heads.append((head,))
+                tails.append(tail)
+        first = self._learn(self.heads, set().union(*heads), "")
+        later = self._learn(self.tails, set().union(*tails), " ")
+        return [b"".join([*map(first.__getitem__, a), *map(later.__getitem__, b)]) for a, b in zip(heads, tails)]

@@ -31,12 +31,12 @@ def _encoder(tokenizer: str, end_id: int | None):
     def run(batches):
         encoder, part, at = ChunkEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), 0
         for rows in batches:
-            for a in range(0, rows.num_rows, 2000):
-                ids = [encoder.encode(t.as_py()) + end for t in rows.column("text")[a:a + 2000]]
+            for a in range(0, rows.num_rows, 500):
+                ids = [c + end for c in encoder.encode_all(rows.column("text")[a:a + 500].to_pylist())]
                 sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
-                yield batch(schema, [np.full(len(ids), part, np.int32), rows.column("doc_id")[a:a + 2000], starts,
+                yield batch(schema, [np.full(len(ids), part, np.int32), rows.column("doc_id")[a:a + 500], starts,
                                      sizes, ids])
     return run
 

@@ -50,9 +50,9 @@ def _encoder(tokenizer: str, end_id: int | None, bounds: np.ndarray, width: int)
             ids = rows.column("doc_id")
             keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             part = np.searchsorted(bounds, keys, side="right").astype(np.int32)
-            step = 2000
+            step = 500
             for at in range(0, rows.num_rows, step):
-                coded = [encoder.encode(t.as_py()) + end for t in rows.column("text")[at:at + step]]
+                coded = [c + end for c in encoder.encode_all(rows.column("text")[at:at + step].to_pylist())]
                 if width == 2:
                     coded = [np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in coded]
                 yield batch(schema, [part[at:at + step], ids[at:at + step], coded])
