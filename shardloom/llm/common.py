@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import types
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardloom.session import fresh_dir
 
@@ -44,6 +45,26 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
 
 
+def range_bounds(rows: DataFrame, column: str, parts: int) -> list[int]:
+    """Values at which ranges begin, but for the first: quantiles over all rows, a number per range."""
+    if parts < 2:
+        return []
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    found = rows.agg(F.percentile_approx(column, shares, F.lit(max(10_000, 20 * parts))).alias("q")).first().q
+    return sorted(set(found or []))
+
+
+def range_of(column: Column, bounds: list[int]) -> Column:
+    """How many bounds are not above the value, by a coarse and a fine step."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= column))
+    block = upto(F.lit(bounds[::step])) - F.lit(1)
+    fine = block * F.lit(step) + upto(F.slice(F.lit(bounds), block * F.lit(step) + F.lit(1), F.lit(step)))
+    return F.when(column < F.lit(bounds[0]), F.lit(0)).otherwise(fine)
+
+
 def worker_state(name: str, make):
     """A value that lives as long as the Python worker: loaded vocabularies and memos that tasks share."""
     holder = sys.modules.get("_worker_state")

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.llm.chunk_encoder import ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, text_bytes
+from shardloom.llm.common import arrow_schema, batch, id_and_text, range_bounds, text_bytes
 from shardloom.sources.storage import locate, replacing
 
 MAGIC = b"TOKIDX1\0"
@@ -31,15 +31,6 @@ MANIFEST = "part int, docs long, tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def id_bounds(docs: DataFrame, parts: int) -> np.ndarray:
-    """Ids at which parts begin, but for the first: quantiles of the ids over all rows."""
-    if parts < 2:
-        return np.array([], dtype=np.int64)
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * parts))).alias("q")).first().q
-    return np.unique(np.array(found or [], dtype=np.int64))
-
-
 def _encoder(tokenizer: str, end_id: int | None, bounds: np.ndarray, width: int):
     schema = arrow_schema(ENCODED)
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
@@ -106,7 +97,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     A part is one task's: its ids, a quarter of the text behind it, are held until they are written.
     """
     docs = id_and_text(docs, id_col, text_col)
-    bounds = id_bounds(docs, -(-text_bytes(docs) // file_bytes))
+    bounds = np.array(range_bounds(docs, "doc_id", -(-text_bytes(docs) // file_bytes)), dtype=np.int64)
     width = 4 if ChunkEncoder(tokenizer).wide else 2
     coded = docs.mapInArrow(_encoder(tokenizer, end_id, bounds, width), ENCODED)
     dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")

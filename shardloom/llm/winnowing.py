@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shardloom.llm.common import ASCII_SPACE, staged
+from shardloom.llm.common import ASCII_SPACE, range_bounds, range_of, staged
 
 K = 5
 WINDOW = 16
+RANGE_ROWS = 5000  # rows of a range of ids
 POSITIONS = (1 << 30) - 1
 NO_ID = -(1 << 63)
 
@@ -63,40 +64,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def following(rows: DataFrame) -> DataFrame:
-    """Per distinct key: the next key in ascending order (after the last: the first), how much of its text is wanted,
-    and the hash of the text that stands for it. Ranges of keys are ordered apart; only their least keys meet."""
-    narrow = rows.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.min(F.xxhash64("text")).alias("pick"))
-    ranged = staged(narrow.repartitionByRange("key").withColumn("bucket", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("bucket").orderBy("key")
+def bucket_edges(rows: DataFrame, bucket: Column, k: int, window: int) -> DataFrame:
+    """Per bucket: the text and the kept grams of the first row of the next bucket (of the last: the first)."""
     across = Window.orderBy("bucket")
-    least = ranged.groupBy("bucket").agg(F.min("key").alias("least"))
-    after = least.select("bucket", F.coalesce(F.lead("least").over(across), F.first("least").over(
-        across.rowsBetween(Window.unboundedPreceding, 0))).alias("bucket_next"))
-    ordered = ranged.withColumn("lead", F.lead("key").over(inside)).withColumn("lead_pick", F.lead("pick").over(inside))
-    linked = ordered.join(after, "bucket").select(
-        F.col("key").alias("of"), F.floor(F.col("n") / 2).cast("int").alias("take"),
-        F.coalesce("lead", "bucket_next").alias("next_key"), "lead_pick")
-    # The least key of another range brings its own pick.
-    picks = ranged.join(least, F.col("key") == F.col("least")).select(F.col("key").alias("next_key"),
-                                                                      F.col("pick").alias("least_pick"))
-    return linked.join(picks, "next_key", "left").select(
-        "of", "take", "next_key", F.coalesce("lead_pick", "least_pick").alias("next_pick"))
+    least = staged(rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("least")), "least")
+    links = least.select("bucket", F.coalesce(F.lead("least").over(across), F.first("least").over(
+        across.rowsBetween(Window.unboundedPreceding, 0))).alias("edge_key"))
+    # A key per bucket.
+    keys = F.broadcast(links.select(F.col("edge_key").alias("key")).distinct())
+    texts = rows.join(keys, "key").groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("edge_text"))
+    return links.join(texts, F.col("edge_key") == F.col("key")).select(
+        "bucket", "edge_text", fingerprint(F.col("edge_text"), k, window).alias("edge_kept"))
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """Per row: its fingerprint, and those of its text with the second half replaced by the next document's start."""
+    """Per row: its fingerprint, and those of its text with the second half replaced by the next document's start.
+
+    Texts are shuffled once, into ranges of ids; the next document is the next row there, or an edge between ranges.
+    """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    links = following(rows)
-    # Both sides below use all these columns, so that Spark shuffles the texts once and reads them twice.
-    dealt = rows.select("key", "text", F.xxhash64("text").alias("text_hash"),
-                        fingerprint(F.col("text"), k, window).alias("kept")).repartition("key")
-    nexts = dealt.join(links, (F.col("key") == F.col("next_key")) & (F.col("text_hash") == F.col("next_pick"))).select(
-        "of", F.expr("substring(text, 1, take)").alias("start"), F.col("kept").alias("next_kept")).dropDuplicates(["of"])
-    both = dealt.join(nexts, F.col("key") == F.col("of")).withColumn("n", F.length("text"))
+    bounds = range_bounds(rows, "key", -(-rows.count() // RANGE_ROWS))
+    bucket = range_of(F.col("key"), bounds)
+    dealt = rows.withColumn("bucket", bucket).repartition("bucket").select(
+        "bucket", "key", "text", F.xxhash64("text").alias("text_hash"),
+        fingerprint(F.col("text"), k, window).alias("kept"))
+    order = Window.partitionBy("bucket").orderBy("key", "text_hash")
+    # The first row of each key stands for it; the next such row is the next document.
+    first = F.coalesce(F.lag("key").over(order) != F.col("key"), F.lit(True))
+    marked = dealt.withColumn("first", F.when(first, F.struct("text", "kept")))
+    ahead = F.expr("lead(first) IGNORE NULLS OVER (PARTITION BY bucket ORDER BY key, text_hash)")
+    both = marked.withColumn("ahead", ahead).join(bucket_edges(rows, bucket, k, window), "bucket").select(
+        "key", "text", "text_hash", "kept", F.length("text").alias("n"),
+        F.coalesce("ahead.text", "edge_text").alias("next"),
+        F.when(F.col("ahead").isNull(), F.col("edge_kept")).otherwise(F.col("ahead.kept")).alias("next_kept"))
     edited = both.withColumn("edited", F.concat(F.expr("substring(text, 1, n - n div 2)"),
-                                                F.expr("substring(start, 1, n div 2)")))
+                                                F.expr("substring(next, 1, n div 2)")))
     done = edited.withColumn("edited_kept", fingerprint(F.col("edited"), k, window))
     return done.select(
         F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"),

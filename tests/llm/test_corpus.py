@@ -67,10 +67,13 @@ def test_secret_plan_is_native(spark, odd):
 
 
 @pytest.mark.parametrize("given", GIVEN)
-def test_winnowed_positions(spark, request, given):
+@pytest.mark.parametrize("range_rows", [5000, 3])
+def test_winnowed_positions(spark, request, given, range_rows, monkeypatch):
     frame, rows = rows_of(request, given)
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", range_rows)
     found = winnowing.fingerprints(frame).collect()
     assert len(found) == len(rows)
+    check_likeness(found, rows)
     grams = {" ".join(w) for r in rows for t in [r[1] or ""] for w in [[x for x in winnowing_words(t)]] for w in
              ([w[i:i + 5] for i in range(max(1, len(w) - 4))] if w else [])}
     hashes = hash_table(spark, grams)
@@ -94,6 +97,19 @@ def test_winnowed_positions(spark, request, given):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def check_likeness(found, rows):
+    """Both figures from the written fingerprints."""
+    hashes = lambda r, column="fingerprint": {x.split(":")[0] for x in r[column].split()}
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    following, key = edited(rows)
+    standing = {}
+    for r in sorted(found, key=lambda r: r.text_hash):
+        standing.setdefault(key(r.doc_id), r)
+    for r in found:
+        assert math.isclose(r.near_edited, near(hashes(r), hashes(r, "edited_fingerprint")))
+        assert math.isclose(r.near_next, near(hashes(r), hashes(standing[following[key(r.doc_id)]])))
+
+
 def winnowing_words(text):
     import re
     return [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
