@@ -37,6 +37,7 @@ SLICE = 1 << 12  # counters in one row
 FAN = 16  # entries of a tree node
 CROWD = 8  # points of a key from which round one takes part; smaller keys have few pairs
 HUBS = 16
+REPEATED = 64  # points of a key from which a pair is told only by the least key that it shares
 BLOCK = 2048  # points of a key that one task holds twice at most
 BOUND_BYTES = 16 << 20  # of points whose minima are taken at once
 MEMO = 1_000_000  # word hashes that a task remembers
@@ -303,7 +304,7 @@ def _tree_join(percent: int):
 
     def run(bucket, table):
         frame = table.select(["key", "i", "j", "side", "set_id", "n", "component"]).to_pandas()
-        counts = table["counts"].to_pylist()
+        counts, keys = table["counts"].to_pylist(), table["keys"]
         sizes, component, names = (frame[c].to_numpy() for c in ("n", "component", "set_id"))
         cell = frame.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
         order = np.lexsort((frame.side.to_numpy(), cell))
@@ -317,6 +318,13 @@ def _tree_join(percent: int):
             groups = min(p.shape[1] for p in points)
             trees = [CountTree(folded(p, groups), sizes[rows], component[rows]) for p, rows in zip(points, sides)]
             for x, y in tree_pairs(trees[0], trees[-1], percent, len(sides) == 1):
+                if keys[int(order[a])].is_valid:
+                    own = [{r: keys[int(r)].values.to_numpy() for r in np.unique(rows[z])}
+                           for rows, z in ((sides[0], x), (sides[-1], y))]
+                    here = frame.key.iat[order[a]]
+                    told = np.array([np.intersect1d(own[0][p], own[1][q], assume_unique=True)[0] == here
+                                     for p, q in zip(sides[0][x], sides[-1][y])], dtype=bool)
+                    x, y = x[told], y[told]
                 found.append(np.sort(np.column_stack((names[sides[0]][x], names[sides[-1]][y])), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.Table.from_batches([batch(schema, [pairs[:, 0], pairs[:, 1]])])
@@ -347,9 +355,14 @@ def across_components(members: DataFrame, points: DataFrame, percent: int, tasks
                     & ((F.col("lo_i") != F.col("hi_j")) | (F.col("hi_i") != F.col("lo_j")))).select("key", "i", "j"), "met")
     sides = met.select("key", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
         met.filter("i != j").select("key", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    rows = blocked.join(sides, ["key", "block"]).join(points.select("set_id", "counts"), "set_id")
+    # Points of crowded keys bring all such keys of theirs, no more than their sets have.
+    crowded = mixed.filter(F.col("c") >= REPEATED).select("key")
+    lists = members.join(crowded, "key").groupBy("set_id").agg(F.collect_set("key").alias("keys"))
+    rows = blocked.join(sides, ["key", "block"]).join(points.select("set_id", "counts"), "set_id").join(
+        crowded.withColumn("crowded", F.lit(True)), "key", "left").join(lists, "set_id", "left").withColumn(
+        "keys", F.when(F.col("crowded"), F.col("keys")))
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("bucket")
-    trees = rows.select(bucket, "key", "i", "j", "side", "set_id", "n", "component", "counts").groupBy(
+    trees = rows.select(bucket, "key", "i", "j", "side", "set_id", "n", "component", "counts", "keys").groupBy(
         "bucket").applyInArrow(_tree_join(percent), "a long, b long")
     return trees.union(twos).distinct()
 

@@ -209,6 +209,9 @@ def test_long_keys_are_cut(spark, monkeypatch):
     frame = spark.createDataFrame(members, "key long, set_id long, n int, component long")
     located = spark.createDataFrame([(i, len(m), c.tobytes()) for (i, m), c in zip(points, counts)],
                                     "set_id long, n int, counts binary")
+    # The same points under two more keys, so that pairs are met several times.
+    members += [(k, i, n, c) for key, i, n, c in members for k in (5, -3) if key == 1 and i % (6 - k) < 3]
+    frame = spark.createDataFrame(members, "key long, set_id long, n int, component long")
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     found = {tuple(r) for r in jaccard_join.across_components(frame, located, 60, 4).collect()}
     assert found == expected and expected
