@@ -137,17 +137,17 @@ def sweep_progress(grid: DataFrame, results: DataFrame) -> DataFrame:
 def read_results(spark, path: str) -> DataFrame:
     """Sweep results CSV, appended to by many runs: headers may repeat, a line of fewer than five fields is
     dropped, a number that does not parse becomes null. Without a status, a run that measured nothing failed."""
-    parts = spark.read.text(path).select(F.split(F.trim("value"), ",").alias("part"))
-    parts = parts.filter((F.size("part") >= 5) & (F.col("part")[0] != "dataset"))
-
-    def field(n, as_type):
-        return F.get("part", F.lit(n)).try_cast(as_type)
-
-    throughput = field(4, "double")
+    fields = [*AXES, "throughput", "ttfb", "status"]
+    # A field is what commas outside of quotes part; the writer escapes quotes with a backslash.
+    bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*"', "")
+    lines = spark.read.text(path).filter(F.size(F.split(bare, ",")) >= 5)
+    parts = lines.select(F.from_csv(F.trim("value"), ", ".join(f"{f} string" for f in fields)).alias("p")).select("p.*")
+    parts = parts.filter(~F.col("dataset").eqNullSafe("dataset"))
+    throughput = F.col("throughput").try_cast("double")
     return parts.select(
-        F.col("part")[0].alias("dataset"), *[field(n, "long").alias(name) for n, name in enumerate(AXES) if n],
-        throughput.alias("throughput"), field(5, "double").alias("ttfb"),
-        F.coalesce(F.get("part", F.lit(6)), F.when(throughput > 0, "ok").otherwise("failed")).alias("status"))
+        "dataset", *[F.col(name).try_cast("long").alias(name) for name in AXES[1:]], throughput.alias("throughput"),
+        F.col("ttfb").try_cast("double").alias("ttfb"),
+        F.coalesce("status", F.when(throughput > 0, "ok").otherwise("failed")).alias("status"))
 
 
 def append_results(results: DataFrame, path: str) -> None:

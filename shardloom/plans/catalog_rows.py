@@ -64,7 +64,7 @@ COUNTED = ["documents", "pages", "conversations", "events", "orders", "lineitem"
 @query("count_per_file", " UNION ALL ".join(
     f"SELECT '{t}.parquet' AS file, count(*) AS n_rows FROM {t}" for t in COUNTED))
 def count_rows_per_file(spark, sf_dir):
-    return count_per_file(spark, *[f"{sf_dir}/{t}.parquet" for t in COUNTED])
+    return count_per_file(spark, *[f"{sf_dir}/{t}.parquet" for t in COUNTED]).select("file", "n_rows")
 
 
 @query("count_samples", "SELECT count(*) AS n_samples FROM documents")

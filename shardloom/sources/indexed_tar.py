@@ -21,7 +21,7 @@ from shardloom.operators.ordering import ratio_bounds
 from shardloom.session import qualified
 from shardloom.sources.shardfiles import in_batches
 from shardloom.sources.storage import locate, read_json, replacing, write_json
-from shardloom.sources.tar import BLOCK, TarReader, samples_of
+from shardloom.sources.tar import BLOCK, TarReader, WholeArchive, samples_of
 
 META = ".meta"
 
@@ -29,7 +29,7 @@ META = ".meta"
 def sample_offsets(stream):
     """(key, first byte, end byte, payload bytes) of every sample; payloads are skipped over, not read."""
     key, begin, end, payload = None, 0, 0, 0
-    with tarfile.open(fileobj=stream, mode="r:") as archive:
+    with tarfile.open(fileobj=stream, mode="r:", tarinfo=WholeArchive) as archive:
         for member in archive:
             if not member.isfile():
                 continue
@@ -169,7 +169,7 @@ class SliceReader(DataSourceReader):
         starts = slice_starts(high - low, self.most)
 
         def rows():
-            for n, (key, parts) in enumerate(samples_of(io.BytesIO(section))):
+            for n, (key, parts) in enumerate(samples_of(io.BytesIO(section), whole=False)):
                 piece = int(np.searchsorted(starts, n, side="right")) - 1
                 fixed = {"__key__": key, "shard": portion["file"], "worker": portion["worker"],
                          "pos": portion["first_pos"] + n, "slice_start": int(low + starts[piece])}

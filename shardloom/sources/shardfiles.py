@@ -92,6 +92,8 @@ class ShardWriter(DataSourceArrowWriter):
         filesystem, base = locate(self.path)
         filesystem.create_dir(base, recursive=True)
         done, open_no, handle = Written(), None, None
+        previous = None if self.overwrite else read_json(filesystem, f"{base}/{INDEX}")
+        taken = {e["file"] for e in self.indexed(previous)} if previous else set()
         try:
             for batch in iterator:
                 if not batch.num_rows:
@@ -107,6 +109,8 @@ class ShardWriter(DataSourceArrowWriter):
                             handle = None
                             if number < open_no:
                                 raise ValueError("rows are not sorted by shard")
+                        if self.file_name(number) in taken:
+                            raise ValueError(f"{self.file_name(number)} is in the set; append shards under other numbers")
                         open_no, handle = number, self.open_shard(filesystem, f"{base}/{self.file_name(number)}")
                     handle.add(rows.slice(start, end - start))
             if handle is not None:

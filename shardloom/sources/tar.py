@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tarfile
 
-from shardloom.sources.shardfiles import ShardReader, ShardSource, ShardWriter, digests, in_batches
-from shardloom.sources.storage import replacing
+import pyarrow.fs as pafs
+from pyspark.sql.types import StringType
+
+from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
+from shardloom.sources.storage import read_json, replacing
 
 BLOCK = 512
 RECORD = 20 * BLOCK
@@ -81,9 +84,23 @@ class TarWriter(ShardWriter):
         return index["shards"]
 
 
-def samples_of(stream, first: int = 0, last: int | None = None):
-    """(key, {part: bytes}) of consecutive members that share a key; a key ends at the name's first dot."""
-    with tarfile.open(fileobj=stream, mode="r|") as archive:
+class WholeArchive(tarfile.TarInfo):
+    """Members of an archive that must end with a zero block: a damaged header or a cut is an error, not the end."""
+
+    @classmethod
+    def fromtarfile(cls, archive):
+        try:
+            return super().fromtarfile(archive)
+        except tarfile.EOFHeaderError:
+            raise
+        except tarfile.HeaderError as error:
+            raise tarfile.ReadError(f"damaged or cut at byte {archive.offset}: {error}") from None
+
+
+def samples_of(stream, whole: bool = True):
+    """(key, {part: bytes}) of consecutive members that share a key; a key ends at the name's first dot. Part of an archive
+    (not ``whole``) has no end to look for."""
+    with tarfile.open(fileobj=stream, mode="r|", tarinfo=WholeArchive if whole else tarfile.TarInfo) as archive:
         key, parts = None, {}
         for member in archive:
             if not member.isfile():
@@ -105,11 +122,6 @@ def samples_of(stream, first: int = 0, last: int | None = None):
 
 class TarReader(ShardReader):
     def list_shards(self, filesystem, base):
-        import pyarrow.fs as pafs
-
-        from shardloom.sources.shardfiles import INDEX
-        from shardloom.sources.storage import read_json
-
         def indexed(folder: str):
             index = read_json(filesystem, f"{folder}/{INDEX}")
             if index is None or index.get("format") != "tar":
@@ -132,8 +144,6 @@ class TarReader(ShardReader):
         return sorted(found, key=lambda s: s["file"])
 
     def read_shard(self, filesystem, path, entry):
-        from pyspark.sql.types import StringType
-
         fields = [f for f in self.schema.fields if f.name not in ("shard", "_corrupt")]
 
         def value(field, key, parts):
