@@ -358,9 +358,10 @@ def across_components(members: DataFrame, points: DataFrame, percent: int, tasks
     # Points of crowded keys bring all such keys of theirs, no more than their sets have.
     crowded = mixed.filter(F.col("c") >= REPEATED).select("key")
     lists = members.join(crowded, "key").groupBy("set_id").agg(F.collect_set("key").alias("keys"))
-    rows = blocked.join(sides, ["key", "block"]).join(points.select("set_id", "counts"), "set_id").join(
-        crowded.withColumn("crowded", F.lit(True)), "key", "left").join(lists, "set_id", "left").withColumn(
-        "keys", F.when(F.col("crowded"), F.col("keys")))
+    # Narrow joins first: counts and lists are wide and move once to their rows and once to the trees.
+    narrow = blocked.join(sides, ["key", "block"]).join(crowded.withColumn("crowded", F.lit(True)), "key", "left")
+    wide = points.select("set_id", "counts").join(lists, "set_id", "left")
+    rows = narrow.join(wide, "set_id").withColumn("keys", F.when(F.col("crowded"), F.col("keys")))
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("bucket")
     trees = rows.select(bucket, "key", "i", "j", "side", "set_id", "n", "component", "counts", "keys").groupBy(
         "bucket").applyInArrow(_tree_join(percent), "a long, b long")
