@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardloom.session import fresh_dir
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # White space of the contracts, as the body of a character class.
 ASCII_SPACE = r"\x20\x09-\x0D"
 
@@ -31,9 +32,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back: later passes neither repeat the work nor depend on
     the executors that did it."""
     path = fresh_dir(df.sparkSession, label)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    write_out(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_out(df: DataFrame, path: str) -> None:
+    """Write rows as Parquet. The write's own shuffle files go when it ends, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
 
 
 def crc_of_id(column="doc_id"):

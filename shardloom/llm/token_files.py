@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.llm.chunk_encoder import ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, range_bounds, text_bytes
+from shardloom.llm.common import arrow_schema, batch, id_and_text, range_bounds, text_bytes, write_out
 from shardloom.sources.storage import locate, replacing
 
 MAGIC = b"TOKIDX1\0"
@@ -101,7 +101,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     width = 4 if ChunkEncoder(tokenizer).wide else 2
     coded = docs.mapInArrow(_encoder(tokenizer, end_id, bounds, width), ENCODED)
     dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    dealt.mapInArrow(_writer(path, width), MANIFEST).write.parquet(f"{path}/manifest")
+    write_out(dealt.mapInArrow(_writer(path, width), MANIFEST), f"{path}/manifest")
 
 
 def open_part(path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
