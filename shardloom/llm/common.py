@@ -42,7 +42,7 @@ def write_out(df: DataFrame, path: str) -> None:
     before = conf.get(FREE_SHUFFLES)
     conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(FREE_SHUFFLES, before)
 

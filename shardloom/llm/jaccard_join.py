@@ -5,6 +5,7 @@
 * Keys. A pair above the threshold shares one of the first ``n - ceil(t n) + 1`` members of each set in any order that is
   the same for all sets. The order is rarest first, by corpus-wide counts of hashed shingles, so passages that many
   documents share come last. Points that share a key are a leaf group of the index; others never meet.
+  Of keys that exactly the same points share, one is kept.
 * Points. Shingles are hashed into groups, one or two shingles a group on average; the counts are a point, and the sum of
   coordinate minima bounds the overlap of two sets. The number of groups is a power of two that follows the set's size
   class, and a point with twice the groups folds onto the other. Within a key, an R-tree over the points is joined with itself; a node pair whose summed minima of
@@ -385,6 +386,18 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
 
 
+def without_twins(members: DataFrame) -> DataFrame:
+    """Of keys that the same points share, the least: the others lead to the same pairs. members: key, set_id, n.
+
+    Near copies share most of their keys, so this leaves few of theirs. Points are told apart by their number and by the
+    exclusive or of two 64-bit hashes of each.
+    """
+    marks = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    kept = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *marks).groupBy("c", "mark1", "mark2").agg(
+        F.min("key").alias("key")).select("key")
+    return members.join(kept, "key")
+
+
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and points allow a link."""
     of = lambda side: points.toDF(side, f"n_{side}", f"counts_{side}")
@@ -407,7 +420,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     postings = points.select(F.explode("keys").alias("key"), "set_id", "n")
     shared = postings.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("greatest")).filter(
         "least != greatest").select("key")
-    members = staged(postings.join(shared, "key").distinct(), "members")
+    members = staged(without_twins(staged(postings.join(shared, "key").distinct(), "postings")), "members")
     tried = staged(bounded(hub_pairs(members), once, percent), "hubs-tried")
     edges = verified(tried, rows, described, k, percent)
     first = components(edges)

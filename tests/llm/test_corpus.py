@@ -234,6 +234,17 @@ def test_tree_bound_never_loses():
         assert found == expected
 
 
+def test_keys_of_the_same_points_leave_one(spark):
+    held = {5: [1, 2, 3], 4: [3, 1, 2], 9: [1, 2], 7: [2, 3], 8: [2, 1], 6: [1, 2, 3, 4]}
+    members = spark.createDataFrame([(k, p, 10) for k, points in held.items() for p in points],
+                                    "key long, set_id long, n int")
+    kept = {}
+    for row in jaccard_join.without_twins(members).collect():
+        kept.setdefault(row.key, set()).add(row.set_id)
+    assert kept == {4: {1, 2, 3}, 8: {1, 2}, 7: {2, 3}, 6: {1, 2, 3, 4}}
+    assert jaccard_join.without_twins(members.limit(0)).count() == 0
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 30)] + [(-5, 200), (200, 300), (300, -5), (9, 9)]
     random.Random(1).shuffle(edges)
