@@ -71,8 +71,12 @@ def compressed(data: bytes, codec: str) -> bytes:
 def decompressed(data: bytes, codec: str) -> bytes:
     import pyarrow as pa
 
-    with pa.CompressedInputStream(pa.BufferReader(data), CODECS[codec]) as stream:
-        return stream.read()
+    try:
+        with pa.CompressedInputStream(pa.BufferReader(data), CODECS[codec]) as stream:
+            return stream.read()
+    except OSError as error:
+        # The bytes are here, so this is no fault of the storage.
+        raise ValueError(f"damaged {codec} stream: {error}") from None
 
 
 class MdsShard:

@@ -10,6 +10,8 @@ without an index are not a dataset.
 from __future__ import annotations
 
 import hashlib
+import struct
+import tarfile
 import zlib
 from dataclasses import dataclass, field
 
@@ -27,6 +29,9 @@ from pyspark.sql.datasource import (
 from shardloom.sources.storage import locate, read_json, write_json
 
 INDEX = "index.json"
+# What bytes that are not of their format raise. Storage raises OSError, which fails the task in every mode, so that Spark
+# tries it again: a lost connection, a refused credential or a missing file is no damage.
+DAMAGE = (ValueError, LookupError, EOFError, struct.error, zlib.error, tarfile.TarError)
 
 
 def digests(content_or_none: bytes | None, algorithms: list[str]):
@@ -230,7 +235,7 @@ class ShardReader(DataSourceReader):
                     yield part
                 if delivered != entry.get("samples", delivered):
                     raise ValueError(f"{delivered} of {entry['samples']} samples")
-            except Exception as error:
+            except DAMAGE as error:
                 if self.mode == "FAILFAST":
                     raise
                 if self.mode == "PERMISSIVE" and "_corrupt" in arrow_schema.names:

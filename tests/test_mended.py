@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shardloom.operators import runs
 from shardloom.sources.indexed_tar import sample_offsets
 from shardloom.sources.listing import count_per_file
+from shardloom.sources.mds import CODECS, compressed, decompressed
 from shardloom.sources.tar import samples_of
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -92,3 +93,25 @@ print("read")
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=120)
     assert "read" in done.stdout, done.stderr[-1500:]
+
+
+@pytest.mark.parametrize("mode", ["FAILFAST", "DROPMALFORMED", "PERMISSIVE"])
+def test_a_fault_of_the_storage_fails_in_every_mode(spark, tmp_path, mode):
+    path = f"file://{tmp_path}/set"
+    for first in (0, 1):
+        shards(spark, 5, first).write.format("tarshards").mode("append").save(path)
+    gone = tmp_path / "set" / "dataset-train-000001.tar"
+    gone.rename(tmp_path / "elsewhere.tar")
+    read = spark.read.format("tarshards").schema("shard string, __key__ string, jpg binary, _corrupt string").option("mode", mode)
+    with pytest.raises(Exception, match="dataset-train-000001"):
+        read.load(path).collect()
+    (tmp_path / "elsewhere.tar").rename(gone)
+    assert read.load(path).count() == 10
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_damaged_streams_are_damage(codec):
+    good = compressed(bytes(range(256)) * 40, codec)
+    assert decompressed(good, codec) == bytes(range(256)) * 40
+    with pytest.raises((ValueError, EOFError)):
+        decompressed(b"\x01" * 64, codec)
