@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardloom.operators.ordering import with_order, with_positions
+from shardloom.operators.ordering import bucket_digits, with_order, with_positions
 
 
 def round_robin(shard: Column, workers: int) -> Column:
@@ -89,8 +89,9 @@ def collate(batched: DataFrame, group: tuple[str, ...], fields: list[str]) -> Da
         *group, "batch", *[F.col(f"_rows.{name}").alias(name) for name in fields])
 
 
-def epochs(df: DataFrame, n_epochs: int, seed: int = 42, digits: int = 1) -> DataFrame:
-    """The table once per epoch, each in its own seeded order."""
+def epochs(df: DataFrame, n_epochs: int, seed: int = 42, digits: int | None = None) -> DataFrame:
+    """The table once per epoch, each in its own seeded order; buckets follow the rows of one epoch."""
+    digits = digits or bucket_digits(df.count())
     repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(n_epochs))))
     return with_order(repeated, seed, F.col("epoch"), digits)
 

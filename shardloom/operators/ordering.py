@@ -10,14 +10,21 @@ from shardloom.functions.hashing import order_bucket, order_key, unit_fraction
 from shardloom.session import stage
 
 
-def bucket_digits(n_rows: int, rows_per_bucket: int = 1_000_000) -> int:
-    """Hex digits of the order key that make buckets of about ``rows_per_bucket`` rows."""
-    return min(4, max(1, math.ceil(math.log(max(n_rows / rows_per_bucket, 1), 16))))
+ROWS_PER_BUCKET = 1_000_000
 
 
-def with_order(df: DataFrame, seed: int = 42, epoch: Column | int = 0, digits: int = 1,
+def bucket_digits(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of the order key that make buckets of at most about ``rows_per_bucket`` rows, for any count."""
+    return max(1, math.ceil(math.log(max(n_rows / rows_per_bucket, 1), 16)))
+
+
+def with_order(df: DataFrame, seed: int = 42, epoch: Column | int = 0, digits: int | None = None,
                sample_id: str = "sample_id") -> DataFrame:
-    """Add the seeded order key and the bucket it falls in."""
+    """Add the seeded order key and the bucket it falls in.
+
+    Buckets follow the row count unless ``digits`` is given; give it where ``df`` is costly to count.
+    """
+    digits = digits or bucket_digits(df.count())
     keyed = df.withColumn("order_key", order_key(F.col(sample_id), seed, epoch))
     return keyed.withColumn("bucket", order_bucket(F.col("order_key"), digits))
 
@@ -69,9 +76,9 @@ def range_buckets(rows: DataFrame, order_by: list[str], buckets: int | None = No
     most rows and most files few.
 
     The bucket is the range partition a row landed in. Staging fixes it; positions and shards do not depend
-    on where the cuts fell. ``rows`` is read twice, once to sample the ranges.
+    on where the cuts fell. ``rows`` is read once to sample the ranges, and once to count where ``buckets`` isn't given.
     """
-    n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS_PER_BUCKET))
     ranged = rows.repartitionByRange(n, *order_by)
     return stage(ranged.withColumn("bucket", F.spark_partition_id().cast("long")))
 

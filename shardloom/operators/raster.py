@@ -115,10 +115,22 @@ def half_levels():
     return (np.arange(256, dtype=np.float32) / np.float32(255)).astype(np.float16)
 
 
+def reject_reason() -> Column:
+    """Why a raster can't be used; null where it can."""
+    size = F.col("height").cast("long") * F.col("width") * F.col("channels")
+    return (F.when(F.col("data").isNull(), "no data")
+            .when(size.isNull() | (F.octet_length("data") != size), "bytes differ from shape")
+            .when(channel_rule(F.col("channels")) == "reject", "channels"))
+
+
 def usable(rasters: DataFrame) -> DataFrame:
-    """Rasters whose bytes match their shape and whose channels can become three."""
-    return rasters.filter((F.octet_length("data") == F.col("height") * F.col("width") * F.col("channels"))
-                          & (channel_rule(F.col("channels")) != "reject"))
+    """Rasters whose bytes match their shape and whose channels can become three; ``rejected`` has the others."""
+    return rasters.filter(reject_reason().isNull())
+
+
+def rejected(rasters: DataFrame) -> DataFrame:
+    """The rasters that no tensor is made of, each with its ``reason``."""
+    return rasters.withColumn("reason", reject_reason()).filter(F.col("reason").isNotNull())
 
 
 def normalize(rasters: DataFrame, packed: bool = False) -> DataFrame:

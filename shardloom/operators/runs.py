@@ -55,11 +55,14 @@ def running_peak(series: DataFrame, span: str | Column, order: str = "tick") ->
             .drop("_span", "_earlier"))
 
 
-def epoch_throughput(batches: DataFrame) -> DataFrame:
-    """Samples, elapsed seconds and rate of each epoch. ``batches``: run, epoch, ts (seconds), samples."""
-    per_epoch = batches.groupBy("run", "epoch").agg(
-        F.sum("samples").cast("long").alias("samples"), (F.max("ts") - F.min("ts")).alias("elapsed_s"))
-    # A single-instant epoch has no rate.
+def epoch_throughput(batches: DataFrame, starts: DataFrame) -> DataFrame:
+    """Samples, elapsed seconds and rate of each epoch. ``batches``: run, epoch, ts (seconds), samples; ``starts``:
+    run, epoch, start_ts, taken before the first batch is fetched, so that batch's time counts like its rows."""
+    ends = batches.groupBy("run", "epoch").agg(
+        F.sum("samples").cast("long").alias("samples"), F.max("ts").alias("_last"))
+    per_epoch = ends.join(starts, ["run", "epoch"], "left").select(
+        "run", "epoch", "samples", (F.col("_last") - F.col("start_ts")).alias("elapsed_s"))
+    # An epoch that took no time, or whose start is unknown, has no rate.
     return per_epoch.withColumn("throughput", F.when(F.col("elapsed_s") > 0, F.col("samples") / F.col("elapsed_s")))
 
 
@@ -75,9 +78,11 @@ def time_to_first_batch(batches: DataFrame, starts: DataFrame) -> DataFrame:
     return first.join(starts, "run").select("run", (F.col("first_ts") - F.col("start_ts")).alias("ttfb"))
 
 
-def run_totals(batches: DataFrame) -> DataFrame:
-    return batches.groupBy("run").agg(
-        F.sum("samples").cast("long").alias("samples"), (F.max("ts") - F.min("ts")).alias("wall_s"))
+def run_totals(batches: DataFrame, starts: DataFrame) -> DataFrame:
+    """Samples and wall time of each run, from its start (``starts``: run, start_ts) to its last batch."""
+    ends = batches.groupBy("run").agg(F.sum("samples").cast("long").alias("samples"), F.max("ts").alias("_last"))
+    return ends.join(starts, "run", "left").select(
+        "run", "samples", (F.col("_last") - F.col("start_ts")).alias("wall_s"))
 
 
 def combine_stages(stages: DataFrame, first: str, second: str, name: str) -> DataFrame:
@@ -165,6 +170,13 @@ def union_formats(**tables: DataFrame) -> DataFrame:
     return gathered
 
 
+def stream_report_rows(results: DataFrame) -> DataFrame:
+    """Summary table lines of loading runs: name, samples a second, seconds to the first batch, samples, wall seconds."""
+    return results.withColumn("line", table_row(
+        F.col("name"), fixed(F.col("throughput")), fixed(F.col("ttfb")), F.col("samples").cast("string"),
+        fixed(F.col("wall_s"))))
+
+
 def report_rows(results: DataFrame) -> DataFrame:
     """Summary table lines: name, times in seconds, size in GB, files and peak memory."""
     return results.withColumn("line", table_row(

@@ -145,5 +145,5 @@ def virtual_epoch_rows(spark, sf_dir):
   FROM documents, (SELECT unnest([1, 2]) AS epoch))
 SELECT epoch, pos // {BATCH} AS batch, pos % {BATCH} AS slot, sample_id FROM shuffled""")
 def multi_epoch(spark, sf_dir):
-    rows = epochs(fx.samples(spark, sf_dir).select("sample_id"), 2, fx.SEED, fx.DIGITS)
+    rows = epochs(fx.samples(spark, sf_dir).select("sample_id"), 2, fx.SEED)
     return batches(rows, BATCH, ORDER, ("epoch",), "bucket").select("epoch", "batch", "slot", "sample_id")

@@ -11,17 +11,18 @@ from shardloom.operators.raster import (
     map_samples,
     normalize,
     preprocess,
+    rejected,
     resized,
 )
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
 
 # Four readings of the same 64 bytes, by the channel rule each one meets.
-SHAPES = {1: (8, 8), 2: (8, 4), 3: (7, 3), 4: (4, 4)}
+SHAPES = {1: (8, 8), 2: (8, 4), 3: (11, 2), 4: (4, 4)}
 
 
 def mixed(spark, sf_dir):
-    """The 64 bytes of each raster read with 1 to 4 channels; three channels use 63 of them."""
+    """The 64 bytes of each raster read with 1 to 4 channels; three channels take the first two bytes again."""
     rows = fx.rasters(spark, sf_dir)
     channels = (F.pmod(F.col("sample_id"), F.lit(4)) + 1).cast("int")
 
@@ -29,7 +30,8 @@ def mixed(spark, sf_dir):
         return F.element_at(F.array(*[F.lit(shape[n]) for shape in SHAPES.values()]), channels)
 
     shaped = rows.select("sample_id", side(0).alias("height"), side(1).alias("width"), channels.alias("channels"), "data")
-    return shaped.withColumn("data", F.substring("data", F.lit(1), F.col("height") * F.col("width") * F.col("channels")))
+    return shaped.withColumn("data", F.substring(
+        F.concat("data", "data"), F.lit(1), F.col("height") * F.col("width") * F.col("channels")))
 
 
 # A level as a half-precision fraction of 255: eleven significant bits, ties to even.
@@ -60,16 +62,16 @@ def raster_normalize(spark, sf_dir):
 
 # One reading per channel count: replicate a plane, or pick three of the interleaved ones.
 @query("raster_rgb", f"""WITH {fx.sql_rasters()},
-channelled AS (SELECT sample_id, sample_id % 4 + 1 AS c, levels FROM rasters),
+channelled AS (SELECT sample_id, sample_id % 4 + 1 AS c, levels, list_concat(levels, levels[1:2]) AS more FROM rasters),
 flat AS (
   SELECT sample_id, CASE c WHEN 1 THEN list_concat(list_concat(levels, levels), levels)
-    WHEN 3 THEN list_concat(list_concat([levels[i * 3 + 1] for i in range(21)], [levels[i * 3 + 2] for i in range(21)]),
-                            [levels[i * 3 + 3] for i in range(21)])
+    WHEN 3 THEN list_concat(list_concat([more[i * 3 + 1] for i in range(22)], [more[i * 3 + 2] for i in range(22)]),
+                            [more[i * 3 + 3] for i in range(22)])
     ELSE list_concat(list_concat([levels[i * 4 + 1] for i in range(16)], [levels[i * 4 + 2] for i in range(16)]),
                      [levels[i * 4 + 3] for i in range(16)]) END AS planes, c
   FROM channelled WHERE c <> 2)
-SELECT sample_id, 3 AS channels, CASE c WHEN 1 THEN 8 WHEN 3 THEN 7 ELSE 4 END AS height,
-       CASE c WHEN 1 THEN 8 WHEN 3 THEN 3 ELSE 4 END AS width, {SQL_VALUES.format(values=HALF.format(levels='planes'))}
+SELECT sample_id, 3 AS channels, CASE c WHEN 1 THEN 8 WHEN 3 THEN 11 ELSE 4 END AS height,
+       CASE c WHEN 1 THEN 8 WHEN 3 THEN 2 ELSE 4 END AS width, {SQL_VALUES.format(values=HALF.format(levels='planes'))}
 FROM flat""")
 def raster_rgb(spark, sf_dir):
     return with_digest(normalize(mixed(spark, sf_dir)))
@@ -77,13 +79,23 @@ def raster_rgb(spark, sf_dir):
 
 @query("raster_channels", """SELECT vec_id % 4 + 1 AS channels,
   ['replicate', 'reject', 'keep', 'first three'][vec_id % 4 + 1] AS rule, count(*) AS n_rasters
-FROM embeddings WHERE list_max(embedding) > list_min(embedding) GROUP BY ALL""")
+FROM embeddings GROUP BY ALL""")
 def raster_channels(spark, sf_dir):
     rows = mixed(spark, sf_dir).withColumn("rule", channel_rule(F.col("channels")))
     return rows.groupBy(F.col("channels").cast("long").alias("channels"), "rule").agg(
         F.count(F.lit(1)).alias("n_rasters"))
 
 
+# Every third raster loses its last byte, so both reasons occur.
+@query("rejected_rasters", """SELECT vec_id AS sample_id, (vec_id % 4 + 1)::INTEGER AS channels,
+  CASE WHEN embedding IS NULL THEN 'no data' WHEN vec_id % 3 = 0 THEN 'bytes differ from shape' ELSE 'channels' END AS reason
+FROM embeddings WHERE embedding IS NULL OR vec_id % 3 = 0 OR vec_id % 4 = 1""")
+def rejected_rasters(spark, sf_dir):
+    cut = F.when(F.col("sample_id") % 3 == 0, F.substring("data", F.lit(1), F.octet_length("data") - 1))
+    return rejected(mixed(spark, sf_dir).withColumn("data", cut.otherwise(F.col("data")))).select(
+        "sample_id", "channels", "reason")
+
+
 def _draw(what: str, extra: str = "") -> str:
     return f"(('0x' || substr(md5('{what}:{fx.SEED}:0:' || doc_id{extra}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
@@ -142,7 +154,7 @@ def raster_resize(spark, sf_dir):
 
 @query("preprocess_samples", """SELECT vec_id AS sample_id, 3 AS channels, 16 AS height, 16 AS width,
   768::BIGINT AS n_values, TRUE AS in_range
-FROM embeddings WHERE list_max(embedding) > list_min(embedding) AND vec_id % 4 <> 1""")
+FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 4 <> 1""")
 def preprocess_samples(spark, sf_dir):
     """The training transform, then a user function over its batches. SQL checks rows, shapes and the value
     range; the pixels are compared with a plain loop in the tests."""

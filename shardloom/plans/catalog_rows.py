@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.functions.hashing import order_key
 from shardloom.functions.paths import is_shard_name, normalize_uri, sample_key, shard_name
 from shardloom.functions.payload import (
     MAGIC_BYTES,
@@ -17,6 +16,7 @@ from shardloom.functions.payload import (
     sniff_kind,
 )
 from shardloom.operators.assignment import by_count
+from shardloom.operators.loading import epochs
 from shardloom.operators.ordering import (
     range_buckets,
     ratio_bounds,
@@ -28,6 +28,7 @@ from shardloom.operators.ordering import (
 )
 from shardloom.operators.samples import batch_stats, flatten, read_samples, rename_fields, split_valid
 from shardloom.plans import fixtures as fx
+from shardloom.plans.prepare import narrow
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir, stage
 from shardloom.sources.listing import count_per_file, last_file, list_parquet, size_capped_prefix
@@ -221,11 +222,9 @@ def last_file_of(spark, sf_dir):
     return last_file(source_files(spark, sf_dir))
 
 
-def ordered(spark, sf_dir, size=None, seed=fx.SEED, epoch=0):
-    """Samples with order key and bucket, ids only unless a size is asked for."""
-    rows = fx.samples(spark, sf_dir)
-    columns = ["sample_id"] + ([size.alias("size")] if size is not None else [])
-    return with_order(rows.select(*columns), seed, epoch, fx.DIGITS)
+def ordered(spark, sf_dir, seed=fx.SEED, epoch=0):
+    """Sample ids with order key and bucket."""
+    return with_order(fx.samples(spark, sf_dir).select("sample_id"), seed, epoch)
 
 
 ORDER = ["order_key", "sample_id"]
@@ -238,7 +237,7 @@ def seeded_shuffle(spark, sf_dir):
 
 @query("global_position", f"WITH {fx.SQL_ORDERED} SELECT sample_id, size, pos, cum FROM ordered")
 def global_position(spark, sf_dir):
-    rows = ordered(spark, sf_dir, payload_size(IMAGE, TEXT))
+    rows = narrow(fx.samples(spark, sf_dir), payload_size(IMAGE, TEXT), fx.SEED)
     return with_positions(rows, ORDER, size="size").select("sample_id", "size", "pos", "cum")
 
 
@@ -265,10 +264,7 @@ def buffer_shuffle(spark, sf_dir):
 row_number() OVER (PARTITION BY epoch ORDER BY md5('{fx.SEED}:' || epoch || ':' || doc_id), doc_id) - 1 AS pos
 FROM documents, (SELECT unnest([1, 2]) AS epoch)""")
 def epoch_shuffle(spark, sf_dir):
-    rows = fx.samples(spark, sf_dir).select("sample_id")
-    rows = rows.withColumn("epoch", F.explode(F.array(F.lit(1), F.lit(2))))
-    rows = rows.withColumn("order_key", order_key(F.col("sample_id"), fx.SEED, F.col("epoch")))
-    rows = rows.withColumn("bucket", F.substring("order_key", 1, fx.DIGITS))
+    rows = epochs(fx.samples(spark, sf_dir).select("sample_id"), 2, fx.SEED)
     return with_positions(rows, ORDER, group=("epoch",)).select("epoch", "sample_id", "pos")
 
 

@@ -78,8 +78,13 @@ def metrics_of_logs(spark, sf_dir):
 
 
 SQL_EPOCHS = fx.SQL_BATCHES + """,
-per_epoch AS (SELECT run, epoch, sum(samples)::BIGINT AS samples, max(ts) - min(ts) AS elapsed_s,
-  sum(samples) / nullif(max(ts) - min(ts), 0) AS throughput FROM batches GROUP BY run, epoch)"""
+timed AS (SELECT *, ((epoch - 1) * 1296000)::DOUBLE AS start_ts FROM batches),
+per_epoch AS (SELECT run, epoch, sum(samples)::BIGINT AS samples, max(ts) - min(start_ts) AS elapsed_s,
+  sum(samples) / nullif(max(ts) - min(start_ts), 0) AS throughput FROM timed GROUP BY run, epoch),
+totals AS (SELECT run, sum(samples)::BIGINT AS samples, max(ts) - (SELECT min(ts) FROM batches) AS wall_s,
+  min(CASE WHEN epoch = 1 THEN ts END) - (SELECT min(ts) FROM batches) AS ttfb FROM batches GROUP BY run),
+headline AS (SELECT run, coalesce(max(CASE WHEN epoch = 2 THEN throughput END), 0) AS throughput
+  FROM per_epoch GROUP BY run)"""
 
 
 def rounded(df, *columns, digits=6):
@@ -91,15 +96,14 @@ def rounded(df, *columns, digits=6):
 @query("epoch_throughput", f"""WITH {SQL_EPOCHS}
 SELECT run, epoch, samples, round(elapsed_s, 6) AS elapsed_s, round(throughput, 9) AS throughput FROM per_epoch""")
 def epoch_throughput(spark, sf_dir):
-    per_epoch = runs.epoch_throughput(fx.run_batches(spark, sf_dir))
+    per_epoch = runs.epoch_throughput(fx.run_batches(spark, sf_dir), fx.epoch_starts(spark, sf_dir))
     return rounded(rounded(per_epoch, "elapsed_s"), "throughput", digits=9)
 
 
 @query("second_epoch_throughput", f"""WITH {SQL_EPOCHS}
-SELECT run, round(coalesce(max(CASE WHEN epoch = 2 THEN throughput END), 0), 9) AS throughput
-FROM per_epoch GROUP BY run""")
+SELECT run, round(throughput, 9) AS throughput FROM headline""")
 def second_epoch_throughput(spark, sf_dir):
-    per_epoch = runs.epoch_throughput(fx.run_batches(spark, sf_dir))
+    per_epoch = runs.epoch_throughput(fx.run_batches(spark, sf_dir), fx.epoch_starts(spark, sf_dir))
     return rounded(runs.second_epoch_throughput(per_epoch), "throughput", digits=9)
 
 
@@ -107,16 +111,24 @@ def second_epoch_throughput(spark, sf_dir):
 SELECT run, round(min(CASE WHEN epoch = 1 THEN ts END) - (SELECT min(ts) FROM batches), 6) AS ttfb
 FROM batches GROUP BY run""")
 def time_to_first_batch(spark, sf_dir):
-    batches = fx.run_batches(spark, sf_dir)
-    # All runs of the month are started together, by its first event.
-    starts = batches.select("run").distinct().withColumn("start_ts", batches.agg(F.min("ts")).scalar())
-    return rounded(runs.time_to_first_batch(batches, starts), "ttfb")
+    return rounded(runs.time_to_first_batch(fx.run_batches(spark, sf_dir), fx.run_starts(spark, sf_dir)), "ttfb")
 
 
-@query("run_totals", f"""WITH {fx.SQL_BATCHES}
-SELECT run, sum(samples)::BIGINT AS samples, round(max(ts) - min(ts), 6) AS wall_s FROM batches GROUP BY run""")
+@query("run_totals", f"""WITH {SQL_EPOCHS}
+SELECT run, samples, round(wall_s, 6) AS wall_s FROM totals""")
 def run_totals(spark, sf_dir):
-    return rounded(runs.run_totals(fx.run_batches(spark, sf_dir)), "wall_s")
+    return rounded(runs.run_totals(fx.run_batches(spark, sf_dir), fx.run_starts(spark, sf_dir)), "wall_s")
+
+
+@query("stream_report_rows", f"""WITH {SQL_EPOCHS}
+SELECT run AS name, '| ' || run || ' | ' || format('{{:.2f}}', throughput) || ' | ' || format('{{:.2f}}', ttfb) || ' | '
+  || samples || ' | ' || format('{{:.2f}}', wall_s) || ' |' AS line
+FROM headline JOIN totals USING (run)""")
+def stream_report_rows(spark, sf_dir):
+    batches, starts = fx.run_batches(spark, sf_dir), fx.run_starts(spark, sf_dir)
+    rates = runs.second_epoch_throughput(runs.epoch_throughput(batches, fx.epoch_starts(spark, sf_dir)))
+    measured = rates.join(runs.time_to_first_batch(batches, starts), "run").join(runs.run_totals(batches, starts), "run")
+    return runs.stream_report_rows(measured.withColumnRenamed("run", "name")).select("name", "line")
 
 
 @query("dir_stats", f"""WITH f AS (SELECT DISTINCT lang FROM documents) SELECT count(*) AS n_files, TRUE AS has_bytes FROM f""")

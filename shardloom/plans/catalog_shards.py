@@ -9,7 +9,7 @@ from shardloom.functions.payload import payload_size
 from shardloom.operators.assignment import Rollover, by_bytes, by_count, roll_shards, shard_manifest
 from shardloom.operators.attach import by_boundaries, by_sample_id
 from shardloom.operators.checks import reconcile, shard_digest
-from shardloom.operators.ordering import with_positions
+from shardloom.operators.ordering import bucket_digits, with_positions
 from shardloom.plans import fixtures as fx
 from shardloom.plans.catalog_rows import IMAGE, ORDER, TEXT
 from shardloom.plans.prepare import (
@@ -39,8 +39,9 @@ ASSIGNED_SQL = "SELECT sample_id, n - 1 AS pos, shard, slot FROM rolled"
 
 
 def rolled(spark, sf_dir, rule):
-    rows = narrow(fx.samples(spark, sf_dir), payload_size(IMAGE, TEXT), fx.SEED, fx.DIGITS)
-    return roll_shards(rows, rule, ORDER, most_buckets=16**fx.DIGITS)
+    rows = fx.samples(spark, sf_dir)
+    digits = bucket_digits(rows.count())
+    return roll_shards(narrow(rows, payload_size(IMAGE, TEXT), fx.SEED, digits), rule, ORDER, most_buckets=16**digits)
 
 
 def assigned_columns(df):
@@ -88,7 +89,7 @@ def shard_per_writer(spark, sf_dir):
 
 
 def placed(spark, sf_dir):
-    return with_positions(narrow(fx.samples(spark, sf_dir), payload_size(IMAGE, TEXT), fx.SEED, fx.DIGITS), ORDER, size="size")
+    return with_positions(narrow(fx.samples(spark, sf_dir), payload_size(IMAGE, TEXT), fx.SEED), ORDER, size="size")
 
 
 @query("shard_by_count", f"WITH {fx.SQL_ORDERED} SELECT sample_id, pos // {fx.TAR_ROWS} AS shard FROM ordered")
@@ -112,7 +113,7 @@ def manifest(spark, sf_dir):
 SELECT r.sample_id, r.shard, md5(s.image) AS image_md5, s.text FROM rolled r JOIN samples s USING (sample_id)""")
 def assign_join(spark, sf_dir):
     rows = fx.samples(spark, sf_dir)
-    assigned = assign(rows, OVERSHOOT, payload_size(IMAGE, TEXT), fx.SEED, fx.DIGITS)
+    assigned = assign(rows, OVERSHOOT, payload_size(IMAGE, TEXT), fx.SEED)
     return by_boundaries(rows, assigned, fx.SEED).select("sample_id", "shard", F.md5("image").alias("image_md5"), "text")
 
 
@@ -127,12 +128,12 @@ def digest_of_shards(spark, sf_dir):
 
 def tar_set(spark, sf_dir, **options):
     return write_tar(fx.samples(spark, sf_dir), fresh_dir(spark, "tar"), fx.TAR_BYTES, fx.TAR_ROWS, fx.SEED,
-                     digits=fx.DIGITS, least_bytes=0, **options)
+                     least_bytes=0, **options)
 
 
 def mds_set(spark, sf_dir, **options):
     return write_mds(fx.samples(spark, sf_dir), fresh_dir(spark, "mds"), fx.MDS_BYTES, fx.SEED,
-                     digits=fx.DIGITS, **options)
+                     **options)
 
 
 def chunk_set(spark, sf_dir, **options):

@@ -50,7 +50,7 @@ def stream_ingest_counts(spark, sf_dir):
     rows.repartition(3, "sample_id").write.parquet(parts)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
     stream = arriving(spark, parts, schema, files_per_batch=2)
-    finish(start(stream, shard_batches(path, fx.TAR_BYTES, fx.TAR_ROWS, fx.SEED, digits=fx.DIGITS, least_bytes=0),
+    finish(start(stream, shard_batches(path, fx.TAR_BYTES, fx.TAR_ROWS, fx.SEED, least_bytes=0),
                  checkpoint,
                  available_now=True))
     written = read_shards(spark, "tarshards", path)

@@ -12,7 +12,6 @@ CHUNK_BYTES = 65_536
 # Smaller than the largest documents, so that some rows are larger than a shard.
 TINY_BYTES = 8_192
 WRITERS = 4
-DIGITS = 1
 
 # Sweep axes.
 WORKERS = [4, 8, 16, 32]
@@ -83,6 +82,18 @@ def run_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("micros") / 1e6).alias("ts"), F.lit(1).cast("long").alias("samples"))
 
 
+def epoch_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each epoch of a run began: the halves of the month."""
+    return run_batches(spark, sf_dir).select("run", "epoch").distinct().withColumn(
+        "start_ts", ((F.col("epoch") - 1) * 1_296_000).cast("double"))
+
+
+def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of the month are started together, by its first event."""
+    batches = run_batches(spark, sf_dir)
+    return batches.select("run").distinct().withColumn("start_ts", batches.agg(F.min("ts")).scalar())
+
+
 def decimal_text(cents) -> F.Column:
     return F.concat(F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."),
                     F.lpad((cents % 100).cast("string"), 2, "0"))
@@ -117,11 +128,13 @@ def rasters(spark: SparkSession, sf_dir: str, height: int = 8, width: int = 8, c
     """embeddings as uint8 rasters: each vector scaled to 0..255 between its least and greatest value."""
     vectors = table(spark, sf_dir, "embeddings")
     low, high = F.array_min("embedding").cast("double"), F.array_max("embedding").cast("double")
-    levels = F.transform("embedding", lambda v: F.least(
-        F.floor((v.cast("double") - low) / (high - low) * 256).cast("int"), F.lit(255)))
+    scaled = F.transform("embedding", lambda v: F.least(
+        F.floor((v.cast("double") - low) / F.nullif(high - low, F.lit(0.0)) * 256).cast("int"), F.lit(255)))
+    # A constant vector is one level.
+    levels = F.when(high > low, scaled).otherwise(F.transform("embedding", lambda v: F.lit(0)))
     # Two hex digits a level: the bytes of the raster.
     data = F.unhex(F.array_join(F.transform(levels, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
-    return vectors.filter(high > low).select(
+    return vectors.select(
         F.col("vec_id").alias("sample_id"), F.lit(height).alias("height"), F.lit(width).alias("width"),
         F.lit(channels).alias("channels"), data.alias("data"))
 
@@ -195,10 +208,10 @@ SQL_STAGE_LOGS = f"""stage_logs AS (
 
 def sql_rasters(vectors: str = "embeddings") -> str:
     return f"""rasters AS (
-  SELECT vec_id AS sample_id, list_transform(embedding, lambda v: least(
-    floor((v::DOUBLE - list_min(embedding)::DOUBLE)
-      / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) * 256)::INTEGER, 255)) AS levels
-  FROM {vectors} WHERE list_max(embedding) > list_min(embedding))"""
+  SELECT vec_id AS sample_id, list_transform(embedding, lambda v: CASE WHEN hi > lo
+    THEN least(floor((v::DOUBLE - lo) / (hi - lo) * 256)::INTEGER, 255) ELSE 0 END) AS levels
+  FROM (SELECT *, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM {vectors})
+  WHERE embedding IS NOT NULL)"""
 
 
 def sql_rolled(rows: str, limit: int, policy: str, max_rows: int | None = None, size: str = "size",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from shardloom.operators import runs
 from shardloom.operators.loading import fixed_batch
@@ -42,16 +42,18 @@ def drain(df: DataFrame) -> None:
 
 def measure_load(spark: SparkSession, name: str, source: str, path: str, batch_size: int = 256, workers: int = 8,
                  n_epochs: int = 2, **options) -> tuple[DataFrame, float]:
-    """Per-epoch rows of one run, and its time to first batch."""
+    """Per-epoch rows of one run, and its time to first batch: one batch of one worker, and nothing after it."""
     start = time.perf_counter()
-    drain(load_epoch(spark, source, path, batch_size, workers, 1, **options).limit(batch_size))
+    load_epoch(spark, source, path, batch_size, workers, 1, **options).take(batch_size)
     first = time.perf_counter() - start
-    samples = read_shards(spark, source, path).count()
     rows = []
     for epoch in range(1, n_epochs + 1):
         start = time.perf_counter()
-        drain(load_epoch(spark, source, path, batch_size, workers, epoch, **options))
+        seen = Observation()
+        rows_of = load_epoch(spark, source, path, batch_size, workers, epoch, **options)
+        drain(rows_of.observe(seen, F.count(F.lit(1)).alias("samples")))
         elapsed = time.perf_counter() - start
+        samples = seen.get["samples"]
         rows.append((name, epoch, samples, elapsed, samples / elapsed))
     return spark.createDataFrame(rows, EPOCHS_SCHEMA), first
 

@@ -26,13 +26,15 @@ TASK_BYTES = 1 << 30
 MDS_COLUMNS = {"image": "jpeg", "text": "str", "idx": "int"}
 
 
-def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int = 1) -> DataFrame:
+def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Staged (sample_id, size, order_key, bucket): the only pass that reads payloads before the write."""
+    digits = digits or bucket_digits(samples.count())
     return stage(with_order(samples.select("sample_id", size.cast("long").alias("size")), seed, digits=digits))
 
 
-def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int = 1) -> DataFrame:
-    """Staged shard assignment in the seeded order, over 16**digits buckets."""
+def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int | None = None) -> DataFrame:
+    """Staged shard assignment in the seeded order, over 16**digits buckets; as many as the rows ask for by default."""
+    digits = digits or bucket_digits(samples.count())
     rows = narrow(samples, size, seed, digits)
     return stage(roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=16**digits,
                              keep=["sample_id", "size"]))

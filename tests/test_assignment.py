@@ -120,4 +120,4 @@ def test_limits():
 
 
 def test_bucket_digits_follow_the_rows():
-    assert [bucket_digits(n) for n in (0, 1_000_000, 20_000_000, 1_000_000_000, 10**13)] == [1, 1, 2, 3, 4]
+    assert [bucket_digits(n) for n in (0, 1_000_000, 20_000_000, 1_000_000_000, 10**13)] == [1, 1, 2, 3, 6]

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardloom.operators import runs
+from shardloom.plans import fixtures as fx
+from shardloom.plans.catalog_raster import mixed
 from shardloom.sources.indexed_tar import sample_offsets
 from shardloom.sources.listing import count_per_file
 from shardloom.sources.mds import CODECS, compressed, decompressed
@@ -115,3 +117,46 @@ def test_damaged_streams_are_damage(codec):
     assert decompressed(good, codec) == bytes(range(256)) * 40
     with pytest.raises((ValueError, EOFError)):
         decompressed(b"\x01" * 64, codec)
+
+
+def test_rejected_rasters_add_up(spark, sf_dir):
+    from shardloom.operators.raster import rejected, usable
+
+    rows = spark.createDataFrame(
+        [(1, 2, 2, 1, bytearray(4)), (2, 2, 2, 1, bytearray(3)), (3, 2, 1, 2, bytearray(4)), (4, 2, 2, 1, None),
+         (5, None, 2, 1, bytearray(4))], "sample_id long, height int, width int, channels int, data binary")
+    assert [r.sample_id for r in usable(rows).collect()] == [1]
+    assert {(r.sample_id, r.reason) for r in rejected(rows).collect()} == {
+        (2, "bytes differ from shape"), (3, "channels"), (4, "no data"), (5, "bytes differ from shape")}
+    given = mixed(spark, sf_dir)
+    assert usable(given).count() + rejected(given).count() == fx.table(spark, sf_dir, "embeddings").count()
+
+
+def test_constant_vectors_are_one_level(spark, tmp_path):
+    spark.createDataFrame([(0, [0.5] * 64), (1, [float(i) for i in range(64)])],
+                          "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.sample_id: bytes(r.data) for r in fx.rasters(spark, str(tmp_path)).collect()}
+    assert found == {0: bytes(64), 1: bytes(min(i * 256 // 63, 255) for i in range(64))}
+
+
+def test_an_epoch_of_one_batch_has_a_rate(spark):
+    batches = spark.createDataFrame([("a", 1, 12.0, 8), ("a", 2, 20.0, 8), ("b", 1, 9.0, 4)],
+                                    "run string, epoch long, ts double, samples long")
+    starts = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 16.0)], "run string, epoch long, start_ts double")
+    found = {(r.run, r.epoch): (r.elapsed_s, r.throughput) for r in runs.epoch_throughput(batches, starts).collect()}
+    assert found == {("a", 1): (2.0, 4.0), ("a", 2): (4.0, 2.0), ("b", 1): (None, None)}
+    total = runs.run_totals(batches, spark.createDataFrame([("a", 10.0)], "run string, start_ts double"))
+    assert {(r.run, r.samples, r.wall_s) for r in total.collect()} == {("a", 16, 10.0), ("b", 4, None)}
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from shardloom.operators import ordering
+
+    monkeypatch.setattr(ordering.bucket_digits, "__defaults__", (100,))
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 100)
+    for n, buckets in ((100, 16), (10_000, 256), (1_000_000, 16**4)):
+        ids = spark.range(n).withColumnRenamed("id", "sample_id")
+        width = ordering.with_order(ids).select(F.max(F.length("bucket"))).first()[0]
+        assert 16**width == buckets
+    ranged = ordering.range_buckets(spark.range(10_000), ["id"])
+    assert ranged.select(F.countDistinct("bucket")).first()[0] > 50
