@@ -6,10 +6,13 @@
   of their ids). Every class is then indexed: in its nearest list and, as a boundary vector, in up to ``REPLICAS`` lists
   whose centroids are at most ``1 + CLOSURE`` times as far, unless a list already chosen is closer to that centroid than
   the vector is.
-* Search. The centroids are in memory as a graph of near neighbours, searched best first. A query reads the lists whose
-  distance is at most ``1 + RATIO`` times that of its nearest one, at most ``PROBES`` of them.
-* Cells. A list longer than ``BLOCK`` classes, or asked for by more than ``BLOCK`` queries, is dealt out in blocks, so no
-  task holds a whole long list. Distances are exact, in double precision, on the original vectors.
+* Search. The centroids are in memory as a graph of near neighbours, searched best first. A query reads all lists whose
+  distance is at most ``1 + ratio`` times that of its nearest one. The ratio is the table's own: ``TRIED`` classes are
+  compared with all others, and it is the least that reaches ``RECALL`` of their ``k`` nearest. No number of lists is set.
+  A table of at most ``BLOCK`` classes is one list, so its answers are exact.
+* Cells. Neighbouring lists share a cell up to ``BLOCK`` classes, and a query goes to a cell once. A list longer than
+  that, or a cell asked for by more than ``BLOCK`` queries, is dealt out in blocks, so no task holds a whole long list.
+  Distances are exact, in double precision, on the original vectors.
 
 Rows with a null id, or whose vector is null, empty, zero, of another length than most, or holds null or non-finite
 components, take no part. Equal rows are one row. Rows that share an id but not the vector exclude each other and are
@@ -20,6 +23,7 @@ tables give no rows.
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -30,10 +34,10 @@ SAMPLE = 32_768
 LIST_SIZE = 64  # classes of a list, on average, until MAX_LISTS
 MAX_LISTS = 4096
 REPLICAS, CLOSURE = 6, 0.15
-PROBES, RATIO, BEAM, DEGREE = 96, 0.6, 192, 24
+TRIED, RECALL = 256, 0.98
+BEAM, DEGREE = 192, 24
 BLOCK = 4096
-POSTINGS = "list int, block int, class long, first long, vec array<float>"
-WANTED = "list int, q_class long, q_vec array<float>"
+WANTED = "cell int, lists array<int>, q_class long, q_vec array<float>"
 FOUND = "q_class long, class long, first long, score double"
 
 
@@ -109,30 +113,34 @@ class CentroidGraph:
         self.near = [np.array(sorted(x), dtype=np.int64) for x in near]
         self.entry = int(np.argmin(_distances(centroids.mean(axis=0)[None, :], centroids)))
 
-    def search(self, query: np.ndarray, beam: int = BEAM) -> list[tuple[float, int]]:
-        """Up to ``beam`` centroids by ascending distance."""
+    def search(self, query: np.ndarray, beam: int = BEAM, ratio: float = 0.0) -> list[tuple[float, int]]:
+        """By ascending distance, the ``beam`` nearest centroids and all within ``1 + ratio`` times the least distance."""
         start = float(np.sqrt(((self.centroids[self.entry] - query) ** 2).sum()))
         seen = np.zeros(len(self.centroids), dtype=bool)
         seen[self.entry] = True
-        open_, best = [(start, self.entry)], [(-start, self.entry)]
+        open_, best, least = [(start, self.entry)], [(-start, self.entry)], start
+        found = [(start, self.entry)]
         while open_:
             d, i = heapq.heappop(open_)
-            if len(best) >= beam and d > -best[0][0]:
+            if len(best) >= beam and d > -best[0][0] and d > least * (1 + ratio):
                 break
             new = self.near[i][~seen[self.near[i]]]
             seen[new] = True
             for dist, j in zip(np.sqrt(((self.centroids[new] - query) ** 2).sum(axis=1)).tolist(), new.tolist()):
-                if len(best) < beam or dist < -best[0][0]:
+                if len(best) < beam or dist < -best[0][0] or dist <= least * (1 + ratio):
+                    least = min(least, dist)
                     heapq.heappush(open_, (dist, j))
+                    found.append((dist, j))
                     heapq.heappush(best, (-dist, j))
                     if len(best) > beam:
                         heapq.heappop(best)
-        return sorted((-d, i) for d, i in best)
+        found.sort()
+        return [(d, i) for at, (d, i) in enumerate(found) if at < beam or d <= least * (1 + ratio)]
 
-    def lists_for(self, query: np.ndarray, probes: int, ratio: float) -> list[int]:
-        found = self.search(query, max(BEAM, probes))
+    def lists_for(self, query: np.ndarray, ratio: float) -> list[int]:
+        found = self.search(query, ratio=ratio)
         limit = found[0][0] * (1 + ratio)
-        return [i for d, i in found[:probes] if d <= limit]
+        return [i for d, i in found if d <= limit]
 
 
 def _vectors(column, kind=np.float64) -> np.ndarray:
@@ -168,18 +176,63 @@ def _index(centroids: np.ndarray, apart: np.ndarray):
     return run
 
 
-def _ask(graph: CentroidGraph, probes: int, ratio: float):
+def _nearest_of(tried: np.ndarray, k: int):
+    """The ``k + 1`` nearest classes of every tried vector among a task's, the vector's own among them."""
+    schema = arrow_schema("tried int, class long, score double")
+
+    def run(batches):
+        own, score = np.zeros((len(tried), 0), np.int64), np.zeros((len(tried), 0))
+        for rows in batches:
+            for a in range(0, rows.num_rows, 2000):
+                part = rows.slice(a, 2000)
+                score = np.hstack([score, _distances(tried, _vectors(part.column("vec")))])
+                own = np.hstack([own, np.broadcast_to(part.column("class").to_numpy(), (len(tried), len(part)))])
+                if score.shape[1] > k + 1:
+                    least = np.argpartition(score, k, axis=1)[:, :k + 1]
+                    own, score = np.take_along_axis(own, least, 1), np.take_along_axis(score, least, 1)
+        yield batch(schema, [np.repeat(np.arange(len(tried), dtype=np.int32), own.shape[1]), own.ravel(), score.ravel()])
+    return run
+
+
+def fitted_ratio(classes: DataFrame, postings: DataFrame, centroids: np.ndarray, k: int) -> float:
+    """The least ratio at which ``TRIED`` classes find ``RECALL`` of their ``k`` nearest classes, by comparing with all."""
+    tried = classes.select("class", "vec").orderBy(F.xxhash64("class", F.lit(1)), "class").limit(TRIED).toArrow()
+    vecs = _vectors(tried["vec"])
+    own = postings.sparkSession.createDataFrame(list(enumerate(tried["class"].to_pylist())), "tried int, self long")
+    nearest = Window.partitionBy("tried").orderBy("score", "class")
+    each = classes.select("class", "vec").mapInArrow(_nearest_of(vecs, k), "tried int, class long, score double").join(
+        F.broadcast(own), "tried").filter("class != self")
+    true = each.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= k)
+    # k rows of each tried class, with its lists.
+    held = postings.select("class", "list").join(F.broadcast(true.select("tried", "class")), "class").groupBy(
+        "tried", "class").agg(F.collect_list("list").alias("lists")).collect()
+    d = np.sqrt(_distances(vecs, centroids))
+    least = d.min(axis=1)
+    needed = sorted(float(d[r.tried, r.lists].min() / max(least[r.tried], 1e-12)) - 1 for r in held)
+    # A little more than that: the distances here and in a search are rounded differently.
+    return (needed[min(len(needed) - 1, int(len(needed) * RECALL))] if needed else 0.0) + 1e-6
+
+
+def _ask(graph: CentroidGraph, ratio: float, base: np.ndarray, blocks: np.ndarray):
+    """A row per query and cell that it reads, with the lists that it reads there."""
     schema = arrow_schema(WANTED)
 
     def run(batches):
         for rows in batches:
-            lists, of = [], []
-            for r, vec in enumerate(_vectors(rows.column("vec"))):
-                own = graph.lists_for(vec, probes, ratio)
-                lists += own
-                of += [r] * len(own)
-            taken = rows.take(of)
-            yield batch(schema, [np.array(lists, np.int32), taken.column("class"), taken.column("vec")])
+            # A few queries at a time, as each may go to all cells.
+            for a in range(0, rows.num_rows, 32):
+                part = rows.slice(a, 32)
+                cells, lists, of = [], [], []
+                for r, vec in enumerate(_vectors(part.column("vec"))):
+                    own = {}
+                    for i in graph.lists_for(vec, ratio):
+                        for cell in range(int(base[i]), int(base[i] + blocks[i])):
+                            own.setdefault(cell, []).append(i)
+                    cells += own.keys()
+                    lists += own.values()
+                    of += [r] * len(own)
+                taken = part.take(of)
+                yield batch(schema, [np.array(cells, np.int32), lists, taken.column("class"), taken.column("vec")])
     return run
 
 
@@ -191,53 +244,97 @@ def _cell(k: int):
             return schema.empty_table()
         vecs, first, own = _vectors(held["vec"]), held["first"].to_numpy(), held["class"].to_numpy()
         queries, q_class = _vectors(asked["q_vec"]), asked["q_class"].to_numpy()
+        names, at = np.unique(held["list"].to_numpy(), return_inverse=True)
+        # A class has at most REPLICAS rows here, so this many hold the k + 1 nearest classes.
+        most = (k + 1) * REPLICAS
         out = []
-        for q, vec in zip(q_class, queries):
-            score = np.sqrt(((vecs - vec) ** 2).sum(axis=1))
-            best = np.lexsort((first, score))[:k + 1] if len(score) > k + 1 else np.arange(len(score))
-            out.append((np.full(len(best), q), own[best], first[best], score[best]))
+        for a in range(0, len(queries), 256):
+            near = _distances(queries[a:a + 256], vecs)
+            for q, vec, d, lists in zip(q_class[a:a + 256], queries[a:a + 256], near, asked["lists"][a:a + 256]):
+                rows = np.flatnonzero(np.isin(names, lists.values.to_numpy())[at])
+                if len(rows) > most:
+                    # Chosen by rounded distances, so all that may be as near as the last one are measured.
+                    d = d[rows]
+                    rows = rows[d <= np.partition(d, most - 1)[most - 1] * (1 + 1e-9) + 1e-9 * (vec * vec).sum()]
+                rows = rows[np.unique(own[rows], return_index=True)[1]]
+                score = np.sqrt(((vecs[rows] - vec) ** 2).sum(axis=1))
+                best = np.lexsort((first[rows], score))[:k + 1]
+                rows = rows[best]
+                out.append((np.full(len(best), q), own[rows], first[rows], score[best]))
         return type(held).from_batches([batch(schema, [np.concatenate(c) for c in zip(*out)])])
     return run
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """A block number per row of a list, as many blocks as its rows need."""
-    sizes = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select(
-        "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # A row per list, MAX_LISTS at most.
-    return rows.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64(key), "blocks").cast("int"))
+@dataclass
+class Index:
+    """Centroids, staged postings (list, class, first, vec) and the ratio that queries read by."""
 
+    centroids: np.ndarray
+    postings: DataFrame
+    ratio: float
 
-def search(vectors: DataFrame, asks: str, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-           probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose id fulfils the SQL condition ``asks`` on vec_id."""
-    spark = vectors.sparkSession
-    rows = taking_part(vectors, id_col, vec_col)
-    classes = classes_of(rows, k)
+
+def index_of(classes: DataFrame, k: int, ratio: float | None = None) -> Index | None:
+    """The index of staged classes; None without any."""
     taken = classes.select("class", "vec").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).toArrow()
     if not taken.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = max(1, min(MAX_LISTS, taken.num_rows, classes.count() // LIST_SIZE))
+        return None
+    # What fits into a cell is one list, so it is compared whole.
+    n = classes.count()
+    lists = max(1, min(MAX_LISTS, taken.num_rows, n // LIST_SIZE)) if n > BLOCK else 1
     centroids = balanced_centroids(_vectors(taken["vec"]), lists)
     apart = np.sqrt(_distances(centroids, centroids)).astype(np.float32)
     flat = "list int, class long, first long, vec array<float>"
     postings = staged(classes.select("class", "first", "vec").mapInArrow(_index(centroids, apart), flat), "postings")
+    return Index(centroids, postings, fitted_ratio(classes, postings, centroids, k) if ratio is None else ratio)
+
+
+def cells_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First cell and number of cells of every list: lists in their order share one up to ``BLOCK`` classes."""
+    base, blocks = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    cell, filled = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if filled and filled + n > BLOCK:
+            cell, filled = cell + 1, 0
+        base[i], blocks[i] = cell, max(1, -(-n // BLOCK))
+        filled += n
+        if blocks[i] > 1:
+            cell, filled = cell + int(blocks[i]), 0
+    return base, blocks
+
+
+def search(vectors: DataFrame, asks: str, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
+           ratio: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row whose id fulfils the SQL condition ``asks`` on vec_id.
+
+    Without a ``ratio`` the table's own is fitted."""
+    spark = vectors.sparkSession
+    rows = taking_part(vectors, id_col, vec_col)
+    classes = classes_of(rows, k)
+    index = index_of(classes, k, ratio)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # The classes of queries: found by the vector, so each is searched once.
     queries = staged(rows.filter(asks).join(classes.select("class", "vec"), "vec").select(
         F.col("vec_id").alias("query_id"), "class").distinct(), "queries")
+    # A row per list, MAX_LISTS at most.
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in index.postings.groupBy("list").count().collect():
+        sizes[r.list] = r["count"]
+    base, blocks = cells_of(sizes)
+    places = spark.createDataFrame([(i, int(base[i]), int(blocks[i])) for i in range(len(base))],
+                                   "list int, base int, blocks int")
     wanted = staged(classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "vec")
-                    .mapInArrow(_ask(CentroidGraph(centroids), probes, ratio), WANTED), "wanted")
-    held, asked = _dealt(postings, "class"), _dealt(wanted, "q_class")
-    # Every block of a list's queries meets every block of its vectors.
-    q_blocks = wanted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select(
-        "list", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)).alias("q_block"))
-    v_blocks = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select(
-        "list", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)).alias("v_block"))
-    asked = asked.withColumnRenamed("block", "q_block").join(v_blocks, "list")
-    held = held.withColumnRenamed("block", "v_block").join(q_blocks, "list")
-    cell = ["list", "v_block", "q_block"]
-    found = asked.select(*cell, "q_class", "q_vec").groupBy(*cell).cogroup(
-        held.select(*cell, "class", "first", "vec").groupBy(*cell)).applyInArrow(_cell(k), FOUND)
+                    .mapInArrow(_ask(CentroidGraph(index.centroids), index.ratio, base, blocks), WANTED), "wanted")
+    # Every block of a cell's queries meets the cell.
+    q_blocks = wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q_blocks"))
+    asked = wanted.join(q_blocks, "cell").withColumn("q_block", F.pmod(F.xxhash64("q_class"), "q_blocks").cast("int"))
+    held = index.postings.join(F.broadcast(places), "list").withColumn(
+        "cell", (F.col("base") + F.pmod(F.xxhash64("class"), "blocks")).cast("int")).join(q_blocks, "cell").withColumn(
+        "q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+    cell = ["cell", "q_block"]
+    found = asked.select(*cell, "lists", "q_class", "q_vec").groupBy(*cell).cogroup(
+        held.select(*cell, "list", "class", "first", "vec").groupBy(*cell)).applyInArrow(_cell(k), FOUND)
     once = found.groupBy("q_class", "class").agg(F.first("first").alias("first"), F.first("score").alias("score"))
     nearest = Window.partitionBy("q_class").orderBy("score", "first")
     best = once.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= k + 1).drop("rn")

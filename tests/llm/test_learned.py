@@ -58,6 +58,37 @@ def test_hot_vectors_and_odd_rows(spark, monkeypatch):
     assert [r[:3] for r in found] == [r[:3] for r in sorted(expected)]
 
 
+def made_vectors(spark, n, path):
+    """Unit vectors of 64 independent normal components."""
+    raw = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.randn(seed=100 + i) for i in range(64)]).alias("z"))
+    norm = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))
+    raw.select("vec_id", F.transform("z", lambda x: (x / norm).cast("float")).alias("embedding")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def brute_recall(frame, step):
+    """Recall of ten for every ``step``-th id against all distances."""
+    rows = frame.select("vec_id", "embedding").toArrow()
+    ids, vecs = rows["vec_id"].to_numpy(), posting_lists._vectors(rows["embedding"])
+    asking = np.flatnonzero(ids % step == 0)
+    d = posting_lists._distances(vecs[asking], vecs)
+    d[np.arange(len(asking)), asking] = np.inf
+    expected = [(ids[q], 0, i, 0) for q, row in zip(asking, np.argpartition(d, 10, axis=1)[:, :10]) for i in ids[row]]
+    return recall(posting_lists.search(frame, f"vec_id % {step} = 0").collect(), expected)
+
+
+def test_recall_with_many_lists(spark, tmp_path, monkeypatch):
+    """No number of lists caps what a query reads: here are more lists than any fixed number was."""
+    monkeypatch.setattr(posting_lists, "LIST_SIZE", 8)
+    assert brute_recall(made_vectors(spark, 8000, str(tmp_path / "vectors")), 80) >= 0.9
+
+
+def test_lists_share_cells(monkeypatch):
+    monkeypatch.setattr(posting_lists, "BLOCK", 10)
+    base, blocks = posting_lists.cells_of(np.array([4, 6, 1, 25, 0, 10, 3]))
+    assert base.tolist() == [0, 0, 1, 2, 5, 5, 6] and blocks.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
 def test_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 1.0], "", "", ""), (1, [2.0, 1.0], "", "", "")], VECTORS)
     assert [tuple(r) for r in posting_lists.search(frame, EVERY).collect()] == [(0, 1, 1, 1.0)]
