@@ -5,7 +5,7 @@
 * Lists. Centroids come from balanced hierarchical clustering of a sample of at most ``SAMPLE`` classes (the least hashes
   of their ids). Every class is then indexed: in its nearest list and, as a boundary vector, in up to ``REPLICAS`` lists
   whose centroids are at most ``1 + CLOSURE`` times as far, unless a list already chosen is closer to that centroid than
-  the vector is.
+  ``SPREAD`` times the vector is. Centroids are means and lie closer together than vectors do, hence less than once.
 * Search. The centroids are in memory as a graph of near neighbours, searched best first. A query reads all lists whose
   distance is at most ``1 + ratio`` times that of its nearest one. The ratio is the table's own: ``TRIED`` classes are
   compared with all others, and it is the least that reaches ``RECALL`` of their ``k`` nearest. No number of lists is set.
@@ -33,7 +33,7 @@ from shardloom.llm.common import arrow_schema, batch, staged
 SAMPLE = 32_768
 LIST_SIZE = 64  # classes of a list, on average, until MAX_LISTS
 MAX_LISTS = 4096
-REPLICAS, CLOSURE = 6, 0.15
+REPLICAS, CLOSURE, SPREAD = 6, 0.15, 0.8
 TRIED, RECALL = 256, 0.98
 BEAM, DEGREE = 192, 24
 BLOCK = 4096
@@ -166,7 +166,7 @@ def _index(centroids: np.ndarray, apart: np.ndarray):
                     for c in close[r]:
                         if d[r, c] > limit or len(chosen) == REPLICAS:
                             break
-                        if not any(apart[c, o] < d[r, c] for o in chosen):
+                        if not any(apart[c, o] < SPREAD * d[r, c] for o in chosen):
                             chosen.append(c)
                     lists += chosen
                     rows_of += [r] * len(chosen)

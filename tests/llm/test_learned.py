@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import all_segments, nearest
 from pyspark.sql import functions as F
@@ -83,6 +84,17 @@ def test_recall_with_many_lists(spark, tmp_path, monkeypatch):
     assert brute_recall(made_vectors(spark, 8000, str(tmp_path / "vectors")), 80) >= 0.9
 
 
+def test_boundary_vectors_are_replicated():
+    points = np.random.default_rng(6).normal(size=(12_000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    centroids = posting_lists.balanced_centroids(points, 800)
+    apart = np.sqrt(posting_lists._distances(centroids, centroids))
+    ids = np.arange(1000)
+    rows = pa.RecordBatch.from_pydict({"class": ids, "first": ids, "vec": pa.array(list(points[:1000].astype(np.float32)))})
+    held = [b.num_rows for b in posting_lists._index(centroids, apart)([rows])]
+    assert 1.1 < sum(held) / 1000 < posting_lists.REPLICAS
+
+
 def test_lists_share_cells(monkeypatch):
     monkeypatch.setattr(posting_lists, "BLOCK", 10)
     base, blocks = posting_lists.cells_of(np.array([4, 6, 1, 25, 0, 10, 3]))
