@@ -11,7 +11,8 @@
   significant if its E is under one. A document's two figures, the best and the summed ``-ln E`` of its significant
   passages, go through a logistic curve.
 
-The fit uses at most ``SAMPLE`` labelled texts of each class, those with the least hashes of their ids; statistics, the
+The fit uses at most ``SAMPLE`` labelled texts of each class, those with the least hashes of their ids; the curve weights
+each class by its learning labels over those in the sample, so its prior is that of all labels at any size. Statistics, the
 segments and the scores cover whole texts. Labels, languages, sources and ids are no inputs of a score. Without texts
 of both classes the score is the share of toxic ones (0 without any).
 
@@ -159,22 +160,25 @@ def _figures(model: Model):
     return run
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, size: int) -> DataFrame:
-    """Staged (text, toxic): at most ``size`` labelled texts of each class."""
+def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str,
+              size: int) -> tuple[DataFrame, dict[int, float]]:
+    """Staged (text, toxic): at most ``size`` labelled texts of each class. How many labels one of each class stands for."""
     named = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).filter(learn)
     least = [named.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
     # 2 * size rows of 12 bytes.
     chosen = F.broadcast(least[0].union(least[1]))
-    return staged(docs.join(chosen, "doc_id").select("text", "toxic"), "toxicity-sample")
+    stands_for = {r.toxic: max(1.0, r["count"] / size) for r in named.groupBy("toxic").count().collect()}
+    return staged(docs.join(chosen, "doc_id").select("text", "toxic"), "toxicity-sample"), stands_for
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)),
+                               x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -184,7 +188,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from the labelled rows whose doc_id fulfils ``learn``."""
-    rows = sample_of(id_and_text(docs, id_col, text_col), labels, learn, label_col, sample)
+    rows, stands_for = sample_of(id_and_text(docs, id_col, text_col), labels, learn, label_col, sample)
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model(share=1.0 if sizes.get(1) else 0.0)
@@ -222,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     model.k = len(clean) / float((clean.n_tokens.clip(lower=1) * np.exp(-model.decay * clean.best)).sum())
     figures = rows.mapInArrow(_evaluated(model), "toxic int, best double, total double").toPandas()
     x = np.log1p(figures[["best", "total"]].to_numpy(float))
-    model.curve = tuple(_logistic(x, figures.toxic.to_numpy(float)).tolist())
+    weight = figures.toxic.map(stands_for).to_numpy(float)
+    model.curve = tuple(_logistic(x, figures.toxic.to_numpy(float), weight).tolist())
     return model
 
 

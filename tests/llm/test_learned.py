@@ -167,6 +167,15 @@ def test_held_out_accuracy(spark, larger):
     assert some.count() > 0
 
 
+def test_prior_does_not_follow_the_sample(spark, larger):
+    """With as many clean as toxic texts in the sample, mean scores still are the share of toxic labels."""
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.lit(True), sample=300)
+    found = docs.join(labels, "doc_id").select(
+        F.avg("toxic").alias("share"), F.avg(toxicity.scorer(model)(F.col("text"))).alias("score")).first()
+    assert abs(found.score - found.share) < 0.04
+
+
 def test_odd_texts(spark, odd, none, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
