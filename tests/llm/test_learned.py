@@ -84,6 +84,18 @@ def test_recall_with_many_lists(spark, tmp_path, monkeypatch):
     assert brute_recall(made_vectors(spark, 8000, str(tmp_path / "vectors")), 80) >= 0.9
 
 
+def test_recall_on_a_large_table(spark, tmp_path):
+    """100,000 vectors in more than 1,500 lists, of which queries read a part; the given tables have few lists."""
+    frame = made_vectors(spark, 100_000, str(tmp_path / "vectors"))
+    assert brute_recall(frame, 500) >= 0.95
+    index = posting_lists.index_of(posting_lists.classes_of(posting_lists.taking_part(frame, "vec_id", "embedding"), 10), 10)
+    graph = posting_lists.CentroidGraph(index.centroids)
+    asking = posting_lists._vectors(frame.filter("vec_id % 1000 = 0").toArrow()["embedding"])
+    share = np.mean([len(graph.lists_for(v, index.ratio)) for v in asking]) / len(index.centroids)
+    print(f"lists read: {share:.3f}")
+    assert len(index.centroids) > 1500 and share < 0.9
+
+
 def test_boundary_vectors_are_replicated():
     points = np.random.default_rng(6).normal(size=(12_000, 64))
     points /= np.linalg.norm(points, axis=1)[:, None]
