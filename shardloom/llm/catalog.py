@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shardloom.llm import (backoff_lm, byte_bpe, jaccard_join, packing, posting_lists, secret_scan, token_counts,
-                           token_files, toxicity, winnowing)
+from shardloom.llm import (backoff_lm, benchmark_index, byte_bpe, filter_audit, jaccard_join, packing, posting_lists,
+                           secret_scan, token_alignment, token_counts, token_files, toxicity, winnowing)
 from shardloom.llm.common import crc_of_id, table
 from shardloom.session import fresh_dir
 
@@ -80,7 +80,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two vocabularies, aligned and weighed by corpus-wide counts."""
+    linked, _ = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+    return linked
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order of them, per language."""
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words of benchmark items in every document."""
+    found = benchmark_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias(
+        "items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_posting_lists, op2_token_files, op3_token_counts, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_backoff_lm,
-    op8_winnowing, op9_packing, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+    op8_winnowing, op9_packing, op10_toxicity, op11_token_alignment, op12_filter_audit, op13_benchmark_index)}
+ORACLES = {"op12_filter_audit": filter_audit.oracle(), "op13_benchmark_index": benchmark_index.ORACLE}

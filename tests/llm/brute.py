@@ -7,6 +7,7 @@ import math
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -162,3 +163,97 @@ def all_segments(scores):
 
 def digest(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def token_groups(text, a, b):
+    """Groups of (A ids, B ids) and their links, given (id, bytes) of the tokens of either side; no tokens: no groups."""
+    whole = b" " + (text or "").encode()
+    if not text or b"".join(t for _, t in a) != whole or b"".join(t for _, t in b) != whole:
+        return []
+    ends = [set(np.cumsum([len(t) for _, t in side]).tolist()) for side in (a, b)]
+    both, groups = sorted(ends[0] & ends[1]), defaultdict(lambda: ([], []))
+    for k, side in enumerate((a, b)):
+        at = 0
+        for i, t in side:
+            at += len(t)
+            groups[both[bisect_left(both, at)]][k].append(i)
+    return [groups[e] for e in sorted(groups)]
+
+
+def token_links(grouped):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, digest) per text from the groups of all."""
+    links = [Counter((x, y) for a, b in groups for x in a for y in b) for groups in grouped]
+    docs = Counter(pair for found in links for pair in found)
+    best = defaultdict(int)
+    for (x, _), n in docs.items():
+        best[x] = max(best[x], n)
+    out = []
+    for groups, found in zip(grouped, links):
+        shown = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+        out.append((sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(found.values()),
+                    sum(n for p, n in found.items() if docs[p] == best[p[0]]), sum(n * docs[p] for p, n in found.items()),
+                    digest(shown.encode()) if groups else ""))
+    return out, docs
+
+
+def filter_fails(rows):
+    """The filters that each row fails, as a set of letters."""
+    least, out = {}, []
+    for r in rows:
+        if r[0] is not None:
+            least[r[1] or ""] = min(r[0], least.get(r[1] or "", r[0]))
+    for r in rows:
+        text = r[1] or ""
+        w = WORD.findall(text)
+        out.append({name for name, failed in {
+            "A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w),
+            "C": 100 * sum("A" <= c <= "Z" for c in text) > 10 * len(text), "D": any(c in "#$%&*|" for c in text),
+            "E": r[0] is not None and r[0] > least[text]}.items() if failed})
+    return out
+
+
+def filter_steps(rows, labels):
+    """Every order and step of every part by taking rows away one filter after the other."""
+    from itertools import permutations
+
+    marks = defaultdict(lambda: [0, 0])
+    for i, quality, toxic in labels:
+        if i is not None:
+            marks[i] = [max(marks[i][0], quality == 1), max(marks[i][1], toxic == 1)]
+    parts, out = defaultdict(list), []
+    for r, fails in zip(rows, filter_fails(rows)):
+        parts[r[2] or ""].append((fails, *(marks[r[0]] if r[0] in marks else (0, 0))))
+    for part, held in parts.items():
+        found, total = [], Counter()
+        for order in permutations("ABCDE"):
+            left = held
+            for step, f in enumerate(order, 1):
+                gone = [h for h in left if f in h[0]]
+                left = [h for h in left if f not in h[0]]
+                total[f] += len(gone)
+                found.append(("".join(order), step, len(left), len(gone), sum(f in h[0] for h in held) - len(gone),
+                              sum(h[0] == {f} for h in held), sum(h[1] for h in gone), sum(h[2] for h in gone), f))
+        out += [(part, *row[:-1], total[row[-1]]) for row in found]
+    return out
+
+
+def benchmark_hits(rows, items, window=10):
+    """(doc_id, n_words, n_hit, items, spans) by comparing every place with every window."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, text in items:
+        w = pattern.findall(lower(text))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows[tuple(w[k:k + window])].add("" if i is None else str(i))
+    lengths, out = {len(w) for w in windows}, []
+    for r in rows:
+        w = pattern.findall(lower(r[1]))
+        hit, found = set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[tuple(w[k:k + n])]
+        edges = [p for p in sorted(hit) if p - 1 not in hit], [p + 1 for p in sorted(hit) if p + 1 not in hit]
+        out.append((r[0], len(w), len(hit), sorted(found), [x for span in zip(*edges) for x in span]))
+    return out

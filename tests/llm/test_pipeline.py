@@ -100,9 +100,9 @@ def test_contract():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)}
     assert names["pipeline"] is corpus_pipeline.run
-    assert not set(catalog.QUERIES) & set(contract.oracle_sql())
+    assert set(catalog.ORACLES) <= set(contract.oracle_sql())
 
 
 CONTRACT = {
@@ -119,6 +119,11 @@ CONTRACT = {
     "op9": ["doc_id bigint", "start bigint", "length bigint", "ids_crc32 bigint", "doc_tokens bigint",
             "sequence_id bigint", "offset bigint"],
     "op10": ["doc_id bigint", "held_out boolean", "score double", "predicted int"],
+    "op11": [f"{c} bigint" for c in "doc_id n_a n_b n_groups n_links n_best count_sum".split()] + ["groups_sha256 string"],
+    "op12": ["part string", "filter_order string", "step int", *(f"{c} bigint" for c in (
+        "kept removed redundant unique_fails good_lost toxic_lost shapley").split())],
+    "op13": ["doc_id bigint", "n_words bigint", "n_hit bigint", "n_items bigint", "items_sha256 string",
+             "contaminated boolean"],
 }
 
 
