@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.functions.hashing import payload_digest
+from shardloom.functions.paths import sample_key
 from shardloom.functions.payload import payload_size
 from shardloom.operators.assignment import Rollover, by_bytes, by_count, roll_shards, shard_manifest
 from shardloom.operators.attach import by_boundaries, by_sample_id
@@ -16,6 +17,7 @@ from shardloom.plans.prepare import (
     MDS_COLUMNS,
     assign,
     assign_writers,
+    cluster_by_shard,
     narrow,
     read_shards,
     write_chunks,
@@ -236,6 +238,72 @@ def sample_index(spark, sf_dir):
     return tar_sample_index(spark, tar_set(spark, sf_dir))
 
 
+# Sets that are written in several jobs, some of which fail. Shards are cut by row count.
+def numbered(spark, sf_dir, rows_per_shard=fx.TAR_ROWS):
+    payload = fx.samples(spark, sf_dir).select("sample_id", F.col("image").alias("jpg"), F.encode("text", "UTF-8").alias("txt"))
+    cut = placed(spark, sf_dir).select("sample_id", "pos", by_count(F.col("pos"), rows_per_shard).alias("shard"))
+    return payload.join(cut, "sample_id").withColumn("__key__", sample_key(F.col("sample_id"), "train"))
+
+
+def put(rows, path, mode):
+    clustered = cluster_by_shard(rows.withColumn("shard_task", F.col("shard")), 0, 8, ["pos"])
+    clustered.select("shard", "__key__", "jpg", "txt").write.format("tarshards").mode(mode).save(path)
+
+
+def put_and_fail(rows, path, mode):
+    """A write whose task is lost in its last shard, when others are complete."""
+    last = rows.agg(F.max("shard")).first()[0]
+    lost = F.when(F.col("shard") == last, F.raise_error(F.lit("task lost"))).otherwise(F.col("jpg"))
+    try:
+        put(rows.withColumn("jpg", lost), path, mode)
+    except Exception as error:
+        if "task lost" not in str(error):
+            raise
+    else:
+        raise AssertionError("the write did not fail")
+
+
+def listed_with_rows(spark, path):
+    """What a listing and the index say of a set: every file with the rows that are read from it."""
+    rows = read_shards(spark, "tarshards", path).groupBy(F.col("shard").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("__key__").alias("first_key"), F.max("__key__").alias("last_key"))
+    return list_shards(spark, path).select(F.col("name").alias("file")).join(rows, "file", "full")
+
+
+def sql_listed(rows_per_shard):
+    return f"""WITH {fx.SQL_ORDERED}, cut AS (SELECT *, pos // {rows_per_shard} AS shard,
+  'train_' || lpad(sample_id::VARCHAR, 7, '0') AS key FROM ordered)
+SELECT {TAR_NAME} AS file, count(*) AS n_rows, min(key) AS first_key, max(key) AS last_key FROM cut GROUP BY shard"""
+
+
+@query("append_shards", sql_listed(fx.TAR_ROWS))
+def append_shards(spark, sf_dir):
+    """Even shards, then odd ones appended, then an append that fails."""
+    rows, path = numbered(spark, sf_dir), fresh_dir(spark, "appended")
+    put(rows.filter("shard % 2 = 0"), path, "overwrite")
+    put(rows.filter("shard % 2 = 1"), path, "append")
+    put_and_fail(rows.withColumn("shard", F.col("shard") + 500_000), path, "append")
+    return listed_with_rows(spark, path)
+
+
+@query("overwrite_failed", sql_listed(fx.TAR_ROWS))
+def overwrite_failed(spark, sf_dir):
+    """A set after an overwrite, of other shards under the same names, that fails."""
+    path = fresh_dir(spark, "kept")
+    put(numbered(spark, sf_dir), path, "overwrite")
+    put_and_fail(numbered(spark, sf_dir, 2 * fx.TAR_ROWS), path, "overwrite")
+    return listed_with_rows(spark, path)
+
+
+@query("overwrite_shards", sql_listed(2 * fx.TAR_ROWS))
+def overwrite_shards(spark, sf_dir):
+    """A set after an overwrite by half as many shards."""
+    path = fresh_dir(spark, "replaced")
+    put(numbered(spark, sf_dir), path, "overwrite")
+    put(numbered(spark, sf_dir, 2 * fx.TAR_ROWS), path, "overwrite")
+    return listed_with_rows(spark, path)
+
+
 # The bytes the damage leaves of the last shard.
 KEPT = "(raw + 1024 + 10239) // 10240 * 10240 // 2 // 512 * 512 - 100"
 

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, functions as F
 
 from shardloom.functions.payload import payload_size
+from shardloom.sources import commits
 from shardloom.sources.mds import CODECS, compressed, decompressed
 from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
-from shardloom.sources.storage import locate, read_json, replacing
+from shardloom.sources.storage import locate, replacing
 
 # Item leaf formats by Spark type.
 FORMATS = {"binary": "bytes", "string": "str", "bigint": "int", "double": "float"}
@@ -123,11 +124,11 @@ def read_items(data: bytes, forms: list[str]):
 
 class ChunkReader(ShardReader):
     def list_shards(self, filesystem, base):
-        index = read_json(filesystem, f"{base}/{INDEX}")
+        index, job = commits.current(filesystem, base)
         if index is None:
             raise FileNotFoundError(f"{base}/{INDEX}")
         return [{"file": c["filename"], "bytes": c["chunk_bytes"], "samples": c["chunk_size"],
-                 "config": index["config"]} for c in index["chunks"]]
+                 "config": index["config"], "job": job} for c in index["chunks"]]
 
     def read_shard(self, filesystem, path, entry):
         config = entry["config"]
@@ -153,7 +154,7 @@ class Chunks(ShardSource):
 
     def schema(self):
         filesystem, base = locate(self.options["path"])
-        index = read_json(filesystem, f"{base}/{INDEX}")
+        index, _ = commits.current(filesystem, base)
         if index is None:
             return "shard string, image_bytes binary, text string"
         types = {form: t for t, form in FORMATS.items()}

@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import Column, functions as F
 
 from shardloom.functions.payload import ENCODINGS, payload_size
+from shardloom.sources import commits
 from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
-from shardloom.sources.storage import locate, read_json, replacing
+from shardloom.sources.storage import locate, replacing
 
 # Bytes of the encodings that are stored without a length.
 FIXED_SIZES = {"int": 8, "float64": 8}
@@ -183,11 +184,11 @@ def read_samples(data: bytes, header: dict):
 
 class MdsReader(ShardReader):
     def list_shards(self, filesystem, base):
-        index = read_json(filesystem, f"{base}/{INDEX}")
+        index, job = commits.current(filesystem, base)
         if index is None:
             raise FileNotFoundError(f"{base}/{INDEX}")
         return [{"file": (s["zip_data"] or s["raw_data"])["basename"], "bytes": s["raw_data"]["bytes"],
-                 "samples": s["samples"], "header": s}
+                 "samples": s["samples"], "header": s, "job": job}
                 for s in index["shards"]]
 
     def read_shard(self, filesystem, path, entry):
@@ -214,7 +215,7 @@ class Mds(ShardSource):
 
     def schema(self):
         filesystem, base = locate(self.options["path"])
-        index = read_json(filesystem, f"{base}/{INDEX}")
+        index, _ = commits.current(filesystem, base)
         if index is None or not index["shards"]:
             return "shard string, image binary, text string, idx bigint"
         header = index["shards"][0]

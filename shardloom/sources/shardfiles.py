@@ -3,8 +3,8 @@ files into Arrow batches.
 
 Rows must arrive clustered and sorted by ``shard`` (see ``plans.prepare.cluster_by_shard``). A shard's bytes
 depend on its rows alone, and a file appears whole, so a retried or speculative task replaces a file with an
-identical one. The index is written once, on commit, from the entries the successful tasks report; files
-without an index are not a dataset.
+identical one. Files are written in a folder of the job and join the set on commit, with the entries that the
+successful tasks report (``sources.commits``); files without an index are not a dataset.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
+import uuid
 import zlib
 from dataclasses import dataclass, field
 
@@ -26,9 +27,10 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from shardloom.sources.storage import locate, read_json, write_json
+from shardloom.sources import commits
+from shardloom.sources.commits import INDEX  # noqa: F401 - formats take it from here
+from shardloom.sources.storage import locate
 
-INDEX = "index.json"
 # What bytes that are not of their format raise. Storage raises OSError, which fails the task in every mode, so that Spark
 # tries it again: a lost connection, a refused credential or a missing file is no damage.
 DAMAGE = (ValueError, LookupError, EOFError, struct.error, zlib.error, tarfile.TarError)
@@ -72,6 +74,7 @@ class ShardWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.options = dict(options)
         self.overwrite = overwrite
+        self.job = uuid.uuid4().hex  # one for all tasks and for the commit: the writer is made once, then pickled
         self.hashes = listed(options.get("hashes"))
         self.columns = [f.name for f in schema.fields if f.name != "shard"]
         if "shard" not in schema.names:
@@ -95,9 +98,10 @@ class ShardWriter(DataSourceArrowWriter):
         import numpy as np
 
         filesystem, base = locate(self.path)
-        filesystem.create_dir(base, recursive=True)
+        folder = commits.folder_of(base, self.job)
+        filesystem.create_dir(folder, recursive=True)
         done, open_no, handle = Written(), None, None
-        previous = None if self.overwrite else read_json(filesystem, f"{base}/{INDEX}")
+        previous = None if self.overwrite else commits.current(filesystem, base)[0]
         taken = {e["file"] for e in self.indexed(previous)} if previous else set()
         try:
             for batch in iterator:
@@ -116,7 +120,7 @@ class ShardWriter(DataSourceArrowWriter):
                                 raise ValueError("rows are not sorted by shard")
                         if self.file_name(number) in taken:
                             raise ValueError(f"{self.file_name(number)} is in the set; append shards under other numbers")
-                        open_no, handle = number, self.open_shard(filesystem, f"{base}/{self.file_name(number)}")
+                        open_no, handle = number, self.open_shard(filesystem, f"{folder}/{self.file_name(number)}")
                     handle.add(rows.slice(start, end - start))
             if handle is not None:
                 done.entries.append(self.entry(open_no, handle))
@@ -136,18 +140,19 @@ class ShardWriter(DataSourceArrowWriter):
         files = [e["file"] for e in entries]
         if len(set(files)) != len(files):
             raise ValueError("rows of one shard reached two tasks; cluster them by shard before writing")
-        previous = read_json(filesystem, f"{base}/{INDEX}")
-        if previous is not None:
-            kept = [e for e in self.indexed(previous) if e["file"] not in set(files)]
-            if not self.overwrite:
-                entries = sorted(kept + entries, key=lambda e: e["file"])
-        write_json(filesystem, f"{base}/{INDEX}", self.index(entries))
-        if previous is not None and self.overwrite:
-            for entry in kept:
-                filesystem.delete_file(f"{base}/{entry['file']}")
+        commits.finish(filesystem, base)
+        previous = commits.current(filesystem, base)[0]
+        kept = [e for e in self.indexed(previous) if e["file"] not in set(files)] if previous is not None else []
+        if previous is not None and not self.overwrite:
+            if len(kept) < len(self.indexed(previous)):
+                raise ValueError("shards of these numbers joined the set meanwhile; append under other numbers")
+            entries = sorted(kept + entries, key=lambda e: e["file"])
+        commits.publish(filesystem, base, self.job, self.index(entries), files,
+                        [e["file"] for e in kept] if self.overwrite else [])
 
     def abort(self, messages) -> None:
-        """Nothing to undo: without an index entry a file belongs to no dataset, and a rerun replaces it."""
+        """The job's folder goes, with what any of its tasks wrote; the set is as it was."""
+        commits.discard(*locate(self.path), self.job)
 
 
 @dataclass
@@ -229,7 +234,10 @@ class ShardReader(DataSourceReader):
         for entry in partition.files:
             try:
                 delivered = 0
-                for columns in self.read_shard(filesystem, f"{base}/{entry['file']}", entry):
+                folder, _, name = entry["file"].rpartition("/")
+                home = f"{base}/{folder}" if folder else base
+                path = commits.place_of(filesystem, home, name, entry.get("job"))
+                for columns in self.read_shard(filesystem, path, entry):
                     part = batch(columns, entry["file"])
                     delivered += part.num_rows
                     yield part

@@ -7,8 +7,9 @@ import tarfile
 import pyarrow.fs as pafs
 from pyspark.sql.types import StringType
 
+from shardloom.sources import commits
 from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
-from shardloom.sources.storage import read_json, replacing
+from shardloom.sources.storage import replacing
 
 BLOCK = 512
 RECORD = 20 * BLOCK
@@ -123,19 +124,21 @@ def samples_of(stream, whole: bool = True):
 class TarReader(ShardReader):
     def list_shards(self, filesystem, base):
         def indexed(folder: str):
-            index = read_json(filesystem, f"{folder}/{INDEX}")
+            index, job = commits.current(filesystem, folder)
             if index is None or index.get("format") != "tar":
                 return None
             inner = folder[len(base):].lstrip("/")
             return [{"file": f"{inner}/{s['file']}" if inner else s["file"], "bytes": s["bytes"],
-                     "samples": s["samples"]} for s in index["shards"]]
+                     "samples": s["samples"], "job": job} for s in index["shards"]]
 
         found = indexed(base)
         if found is None:
             # A folder of tar sets, each with its index; or a foreign set without any, which is listed.
             infos = [i for i in filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
-                     if i.type == pafs.FileType.File]
-            sets = [indexed(i.path.rpartition("/")[0]) for i in infos if i.base_name == INDEX]
+                     if i.type == pafs.FileType.File and "/_" not in i.path[len(base):]
+                     or i.base_name == commits.JOURNAL]
+            folders = {i.path.rpartition("/")[0] for i in infos if i.base_name in (INDEX, commits.JOURNAL)}
+            sets = [indexed(folder) for folder in sorted(folders)]
             found = [entry for entries in sets if entries for entry in entries] or [
                 {"file": i.path[len(base):].lstrip("/"), "bytes": i.size} for i in infos if i.path.endswith(".tar")]
         split, prefix = self.options.get("split"), self.options.get("prefix", "")

@@ -43,13 +43,16 @@ def test_a_failed_attempt_leaves_no_file(tmp_path, writer):
     attempt = writer({"path": str(tmp_path)}, SCHEMA, True)
     with pytest.raises(OSError):
         attempt.write(rows())
-    # The finished shard stays until a retry replaces it; the open one is gone.
-    assert len(os.listdir(tmp_path)) == 1
-    before = {n: (tmp_path / n).read_bytes() for n in os.listdir(tmp_path)}
-    retry, again = (writer({"path": str(tmp_path)}, SCHEMA, True).write(iter([batch([0, 0, 1])])) for _ in range(2))
+    # In the job's folder the finished shard stays until a retry replaces it; the open one is gone.
+    (folder,) = tmp_path.iterdir()
+    assert folder.name.startswith("_") and len(os.listdir(folder)) == 1
+    before = {n: (folder / n).read_bytes() for n in os.listdir(folder)}
+    retry, again = (attempt.write(iter([batch([0, 0, 1])])) for _ in range(2))
     assert [e["file"] for e in retry.entries] == [e["file"] for e in again.entries] and len(retry.entries) == 2
-    assert all((tmp_path / n).read_bytes() == data for n, data in before.items())
-    assert sorted(os.listdir(tmp_path)) == sorted(e["file"] for e in retry.entries)
+    assert all((folder / n).read_bytes() == data for n, data in before.items())
+    assert sorted(os.listdir(folder)) == sorted(e["file"] for e in retry.entries)
+    attempt.commit([retry])
+    assert sorted(os.listdir(tmp_path)) == sorted(["index.json", *(e["file"] for e in retry.entries)])
 
 
 def test_a_task_without_rows(tmp_path):
@@ -82,7 +85,8 @@ def test_object_stores_get_complete_content_only(monkeypatch, tmp_path):
 
 def test_tar_shards_are_held_the_same_way(monkeypatch, tmp_path):
     monkeypatch.setattr(storage, "is_object_store", lambda filesystem: True)
-    TarWriter({"path": str(tmp_path)}, SCHEMA, True).write(iter([batch([3, 3])]))
+    writer = TarWriter({"path": str(tmp_path)}, SCHEMA, True)
+    writer.commit([writer.write(iter([batch([3, 3])]))])
     data = (tmp_path / "dataset-train-000003.tar").read_bytes()
     import tarfile
 
