@@ -6,11 +6,14 @@ the one before it started. That chain is resolved exactly, and in parallel, over
 1. each bucket reduces to a step function: "if the shard open on entry started at byte b, row p, then the
    shard open on exit started at (b', p') and k shards were opened in between". Chains from different entries
    soon meet, so a bucket of a million rows is a handful of steps.
-2. a short walk over the step functions gives every bucket the shard that is open when it begins; where
-   buckets are many, ``FAN_IN`` consecutive ones compose into one step function first.
+2. a short walk over the step functions gives every bucket the shard that is open when it begins. A walk takes
+   at most ``MAX_STEPS`` steps: beyond that, groups of consecutive buckets, cut by their number of steps, compose
+   into one step function each, and these in turn, round by round, until one walk is short enough. The states it
+   gives are handed down the same rounds.
 3. each bucket numbers its own rows.
 
-No task sees more than one bucket of narrow rows, or a few hundred step functions.
+No task sees more than one bucket of narrow rows, or the steps of one group: at most one and a half times
+``MAX_STEPS``, unless three step functions alone have more, and one has no more steps than a shard holds rows.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shardloom.operators.ordering import with_positions
+from shardloom.session import stage
 
-FAN_IN = 64
-WALKED_AT_ONCE = 256
+MAX_STEPS = 4_000_000  # steps of 40 bytes
 # Entry state of the first bucket: a shard that started infinitely long ago, so row 0 always opens one.
 LONG_AGO = -(1 << 61)
 
@@ -164,13 +167,40 @@ def number_rows(rule: Rollover, cum, pos, size, open_cum: int, open_pos: int, op
     return open_shard + nth, pos - start_pos[nth]
 
 
+def step_groups(steps: DataFrame, keys: list[str], max_steps: int) -> DataFrame:
+    """(keys, part, group_no): consecutive parts of at most one and a half times ``max_steps``, two at least.
+
+    Only the numbers of steps are ordered here, one row per part.
+    """
+    counts = steps.select(*keys, "part", F.size("opened").cast("long").alias("n_steps"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A part weighs half a group at most, so that groups of two are made whatever its steps.
+    begin = F.coalesce(F.sum(F.least("n_steps", F.lit(max(max_steps // 2, 1)))).over(before), F.lit(0))
+    number = F.call_function("div", begin.cast("long"), F.lit(max(max_steps, 2)).cast("long"))
+    return counts.select(*keys, "part", "n_steps", number.alias("group_no"))
+
+
+def compose_rounds(steps: DataFrame, keys: list[str], max_steps: int, reduce_group, schema) -> tuple[list[DataFrame], DataFrame]:
+    """Rounds of composition, each the staged step functions with their groups; and what is left, one group a key."""
+    rounds = []
+    while True:
+        steps = stage(steps)
+        groups = stage(step_groups(steps, keys, max_steps))
+        if not groups.agg(F.max("group_no")).first()[0]:
+            return rounds, steps
+        grouped = stage(steps.join(groups, [*keys, "part"]))
+        rounds.append(grouped)
+        steps = grouped.groupBy(*keys, "group_no").applyInPandas(reduce_group, schema)
+
+
 def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: str = "bucket",
-                group: tuple[str, ...] = (), size: str = "size", most_buckets: int | None = None,
-                keep: list[str] | None = None) -> DataFrame:
+                group: tuple[str, ...] = (), size: str = "size", n_rows: int | None = None,
+                keep: list[str] | None = None, max_steps: int = MAX_STEPS) -> DataFrame:
     """Add ``pos``, ``shard`` and ``slot`` (row within shard), numbered from 0 in each group.
 
-    ``rows`` is narrow (ids, order, size) and staged; ``bucket`` is an ordered cut of the group's order, into
-    at most ``most_buckets`` where the caller knows. ``keep`` names the columns wanted back, all by default;
+    ``rows`` is narrow (ids, order, size) and staged; ``bucket`` is an ordered cut of the group's order.
+    ``n_rows`` is how many there are, where the caller knows: no step function has more steps than rows, so a table of
+    at most ``max_steps`` rows is walked without counting its steps. ``keep`` names the columns wanted back, all by default;
     others, such as a sort key that can be computed again, need not pass through the kernels.
     """
     keys = list(group)
@@ -199,25 +229,31 @@ def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: st
         steps = {**bucket_steps(rule, cum, pos, sizes), "part": ordered["bucket_no"].iloc[0]}
         return keyed(at, key, pd.DataFrame([steps], columns=STEPS.names))
 
-    def reduce_range(key, pdf):
+    def reduce_group(key, pdf):
         steps = {**compose(rule, pdf), "part": key[-1]}
         return keyed(keys, key, pd.DataFrame([steps], columns=STEPS.names))
 
-    def enter_ranges(key, pdf):
-        return keyed(keys, key, walk(rule, pdf, LONG_AGO, LONG_AGO, -1))
-
-    def enter_buckets(key, steps, state=None):
-        begin = (LONG_AGO, LONG_AGO, -1) if state is None else state[STATE.names[1:]].iloc[0]
-        steps = steps.sort_values("part")
-        return keyed(at, [*key[:len(keys)], steps[bucket].to_numpy()], walk(rule, steps, *begin))
-
-    def through_ranges(steps):
-        steps = steps.withColumn("range_no", F.call_function("div", "part", F.lit(FAN_IN).cast("long")))
-        ranges = steps.groupBy(*keys, "range_no").applyInPandas(reduce_range, schema_of(keys, STEPS))
-        states = ranges.groupBy(*keys).applyInPandas(enter_ranges, schema_of(keys, STATE))
-        return (steps.groupBy(*keys, "range_no")
-                .cogroup(states.withColumnRenamed("part", "range_no").groupBy(*keys, "range_no"))
-                .applyInPandas(enter_buckets, schema_of(at, STATE)))
+    def enter(names):
+        """States before each part of a group, given the state before the group; ``names`` is what says which part."""
+        def states_of(key, steps, state=None):
+            begin = (LONG_AGO, LONG_AGO, -1) if state is None else state[STATE.names[1:]].iloc[0]
+            steps = steps.sort_values("part")
+            return keyed([*keys, *names], [*key[:len(keys)], *(steps[n].to_numpy() for n in names)], walk(rule, steps, *begin))
+        return states_of
+
+    def entered(steps):
+        if n_rows is not None and n_rows <= max_steps:
+            return steps.groupBy(*keys).applyInPandas(lambda key, pdf: enter([bucket])(key, pdf), schema_of(at, STATE))
+        # Only the first round's parts are buckets; it keeps their names.
+        rounds, top = compose_rounds(steps, keys, max_steps, reduce_group, schema_of(keys, STEPS))
+        last = [bucket] if not rounds else []
+        states = top.groupBy(*keys).applyInPandas(lambda key, pdf: enter(last)(key, pdf), schema_of([*keys, *last], STATE))
+        for depth, grouped in reversed(list(enumerate(rounds))):
+            names = [] if depth else [bucket]
+            states = (grouped.groupBy(*keys, "group_no")
+                      .cogroup(states.withColumnRenamed("part", "group_no").groupBy(*keys, "group_no"))
+                      .applyInPandas(enter(names), schema_of([*keys, *names], STATE)))
+        return states
 
     out_schema = T.StructType(placed.schema.fields + [T.StructField("shard", T.LongType()),
                                                       T.StructField("slot", T.LongType())])
@@ -228,11 +264,7 @@ def roll_shards(rows: DataFrame, rule: Rollover, order_by: list[str], bucket: st
         return ordered.assign(shard=shard, slot=slot)[out_schema.names]
 
     steps = placed.select(*at, *ranked).groupBy(*at).applyInPandas(reduce_bucket, schema_of(at, STEPS))
-    if most_buckets is not None and most_buckets <= WALKED_AT_ONCE:
-        states = steps.groupBy(*keys).applyInPandas(lambda key, pdf: enter_buckets(key, pdf), schema_of(at, STATE))
-    else:
-        states = through_ranges(steps)
-    filled = placed.groupBy(*at).cogroup(states.groupBy(*at)).applyInPandas(fill_bucket, out_schema)
+    filled = placed.groupBy(*at).cogroup(entered(steps).groupBy(*at)).applyInPandas(fill_bucket, out_schema)
     return filled.drop("bucket_no")
 
 

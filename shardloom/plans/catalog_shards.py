@@ -42,8 +42,8 @@ ASSIGNED_SQL = "SELECT sample_id, n - 1 AS pos, shard, slot FROM rolled"
 
 def rolled(spark, sf_dir, rule):
     rows = fx.samples(spark, sf_dir)
-    digits = bucket_digits(rows.count())
-    return roll_shards(narrow(rows, payload_size(IMAGE, TEXT), fx.SEED, digits), rule, ORDER, most_buckets=16**digits)
+    n = rows.count()
+    return roll_shards(narrow(rows, payload_size(IMAGE, TEXT), fx.SEED, bucket_digits(n)), rule, ORDER, n_rows=n)
 
 
 def assigned_columns(df):
@@ -65,6 +65,20 @@ def shard_fit_oversized(spark, sf_dir):
     return assigned_columns(rolled(spark, sf_dir, Rollover(fx.TINY_BYTES, "fit")))
 
 
+# Rows far smaller than a shard: a bucket's step function has as many steps as rows, as chains never meet.
+SMALL_BYTES, SMALL_SHARD = 40, 20_000
+
+
+@query("shard_small_rows", f"""WITH items AS (SELECT l_orderkey * 10 + l_linenumber AS sample_id FROM lineitem),
+ordered AS (SELECT sample_id, row_number() OVER (ORDER BY md5('{fx.SEED}:0:' || sample_id), sample_id) - 1 AS pos FROM items)
+SELECT sample_id, pos, pos // {SMALL_SHARD // SMALL_BYTES} AS shard, pos % {SMALL_SHARD // SMALL_BYTES} AS slot FROM ordered""")
+def shard_small_rows(spark, sf_dir):
+    """256 buckets of rows of 40 bytes, whose steps no task may have more than 12,000 of."""
+    items = fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("sample_id"))
+    rows = narrow(items, F.lit(SMALL_BYTES), fx.SEED, digits=2)
+    return assigned_columns(roll_shards(rows, Rollover(SMALL_SHARD, "fit"), ORDER, max_steps=8_000))
+
+
 # Files are dealt to writers by their number; a source is a file and doc_id the row in it.
 def writer_of_file():
     return F.pmod(F.regexp_extract("file", "([0-9]+)", 1).cast("long"), F.lit(fx.WRITERS))

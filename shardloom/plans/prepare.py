@@ -34,10 +34,8 @@ def narrow(samples: DataFrame, size: Column, seed: int = 42, digits: int | None
 
 def assign(samples: DataFrame, rule: Rollover, size: Column, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Staged shard assignment in the seeded order, over 16**digits buckets; as many as the rows ask for by default."""
-    digits = digits or bucket_digits(samples.count())
     rows = narrow(samples, size, seed, digits)
-    return stage(roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=16**digits,
-                             keep=["sample_id", "size"]))
+    return stage(roll_shards(rows, rule, ["order_key", "sample_id"], n_rows=rows.count(), keep=["sample_id", "size"]))
 
 
 def cluster_by_shard(rows: DataFrame, total_bytes: int, n_shards: int, order_by: list[str]) -> DataFrame:
@@ -140,7 +138,7 @@ def assign_writers(flat: DataFrame, writer: Column, file: Column, row: Column, s
     rows = stage(flat.select("sample_id", writer.cast("long").alias("writer"), file.alias("file"),
                              row.cast("long").alias("row"), size.cast("long").alias("size")))
     ranged = range_buckets(rows, ["writer", "file", "row", "sample_id"], buckets)
-    return roll_shards(ranged, rule, ["file", "row", "sample_id"], group=("writer",)).drop("bucket")
+    return roll_shards(ranged, rule, ["file", "row", "sample_id"], group=("writer",), n_rows=rows.count()).drop("bucket")
 
 
 def read_shards(spark: SparkSession, source: str, path: str, schema: str | None = None, **options: str) -> DataFrame:

@@ -66,17 +66,49 @@ def test_equal_sizes_never_merge_chains():
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 64])
-@pytest.mark.parametrize("digits, most", [(1, 16), (1, None), (2, None)])
-def test_same_shards_for_any_partitioning(spark, partitions, digits, most):
+@pytest.mark.parametrize("digits, known", [(1, 400), (1, None), (2, None)])
+def test_same_shards_for_any_partitioning(spark, partitions, digits, known):
     rule = Rollover(300, "overshoot", 9)
     table = spark.range(400).select(F.col("id").alias("sample_id"), (F.col("id") * 37 % 101).alias("size"))
     rows = stage(with_order(table.repartition(partitions), digits=digits))
-    rolled = roll_shards(rows, rule, ["order_key", "sample_id"], most_buckets=most).orderBy("pos").collect()
+    rolled = roll_shards(rows, rule, ["order_key", "sample_id"], n_rows=known).orderBy("pos").collect()
     assert [r.pos for r in rolled] == list(range(400))
     assert [r.order_key for r in rolled] == sorted(r.order_key for r in rolled)
     assert [(r.shard, r.slot) for r in rolled] == one_by_one([r["size"] for r in rolled], rule)
 
 
+@pytest.mark.parametrize("writers", [0, 3])
+@pytest.mark.parametrize("rule", [Rollover(2000, "fit"), Rollover(900, "overshoot", 31)])
+def test_composition_in_rounds(spark, writers, rule):
+    """Small rows, so that steps are many: several rounds, and no group above its bound."""
+    from shardloom.operators import assignment
+
+    most, seen = 150, []
+    table = spark.range(6000).select(F.col("id").alias("sample_id"), (F.col("id") * 37 % 5 + 38).alias("size"),
+                                     (F.col("id") % max(writers, 1)).alias("writer"))
+    group = ("writer",) if writers else ()
+
+    def recording(steps, keys, max_steps, *rest):
+        rounds, top = original(steps, keys, max_steps, *rest)
+        for part in rounds:
+            sums = part.groupBy(*keys, "group_no").agg(F.sum("n_steps").alias("n"), F.count(F.lit(1)).alias("parts"), F.max("n_steps").alias("m"))
+            seen.append([(r.n, r.parts, r.m) for r in sums.collect()])
+        return rounds, top
+
+    original, assignment.compose_rounds = assignment.compose_rounds, recording
+    try:
+        rolled = roll_shards(stage(with_order(table, digits=2)), rule, ["order_key", "sample_id"], group=group,
+                             max_steps=most).orderBy("writer", "pos").collect()
+    finally:
+        assignment.compose_rounds = original
+    assert len(seen) >= 2
+    assert all(n <= max(1.5 * most, 3 * m) for groups in seen for n, parts, m in groups)
+    for w in range(max(writers, 1)):
+        mine = [r for r in rolled if r.writer == w]
+        assert [(r.shard, r.slot) for r in mine] == one_by_one([r["size"] for r in mine], rule)
+    assert len(rolled) == 6000
+
+
 def test_empty_and_single_row(spark):
     rule = Rollover(100, "fit")
     for n in (0, 1):

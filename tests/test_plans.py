@@ -16,7 +16,7 @@ from shardloom.session import stage
 KERNELS = {
     "assign_join", "batched_scan_stats", "buffer_shuffle", "chunk_roundtrip", "indexed_tar_roundtrip", "mds_roundtrip",
     "preprocess_samples", "raster_normalize", "raster_resize", "raster_rgb", "reconcile", "shard_digest", "shard_fit",
-    "shard_fit_oversized", "shard_manifest", "shard_overshoot", "shard_per_writer", "skip_corrupt_shards",
+    "shard_fit_oversized", "shard_manifest", "shard_small_rows", "shard_overshoot", "shard_per_writer", "skip_corrupt_shards",
     "stream_ingest_counts", "tar_roundtrip", "tar_sample_index",
 }
 PYTHON = re.compile(r"\b(ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroupsInPandas|"
@@ -68,7 +68,7 @@ def test_payload_is_shuffled_once(spark, sf_dir):
     """Up to the write, image bytes cross one exchange: the one that gathers shards."""
     flat = fx.samples(spark, sf_dir)
     assigned = stage(roll_shards(narrow(flat, F.octet_length("image")), Rollover(50_000), ["order_key", "sample_id"],
-                                 most_buckets=16))
+                                 n_rows=1000))
     rows = by_boundaries(flat, assigned).withColumn("shard_task", F.col("shard"))
     plan = plan_of(cluster_by_shard(rows, 1, 8, ["order_key", "sample_id"]))
     exchanges = re.findall(r"(?:- |  )Exchange (\w+\([^,]*)", plan)
@@ -81,7 +81,7 @@ def test_payload_is_shuffled_once(spark, sf_dir):
 def test_narrow_rows_are_shuffled_once(spark, sf_dir):
     """Ranking, the step functions and the numbering of rows share one exchange."""
     rows = narrow(fx.samples(spark, sf_dir), F.octet_length("image"))
-    rolled = roll_shards(rows, Rollover(50_000), ["order_key", "sample_id"], most_buckets=16)
+    rolled = roll_shards(rows, Rollover(50_000), ["order_key", "sample_id"], n_rows=1000)
     rolled.collect()
     final = plan_of(rolled).split("== Initial Plan ==")[0]
     assert len(re.findall(r"Scan ExistingRDD\[sample_id", final)) == 2  # the rows, and their bucket totals
