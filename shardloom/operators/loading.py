@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shardloom.operators.ordering import bucket_digits, with_order, with_positions
 
@@ -89,6 +89,74 @@ def collate(batched: DataFrame, group: tuple[str, ...], fields: list[str]) -> Da
         *group, "batch", *[F.col(f"_rows.{name}").alias(name) for name in fields])
 
 
+def stack_tensors(rows: DataFrame, batch_size: int, group: str | None = None, keep: tuple[str, ...] = ("sample_id",),
+                  drop_last: bool = False) -> DataFrame:
+    """Rows of (channels, height, width, values), as they arrive, to batches: one row with the batch's ``shape``, its tensors
+    as one ``tensor`` and each column of ``keep`` as an array.
+
+    Arrow batches have their own size; what a batch lacks at the end of one is carried into the next, so a task holds less
+    than a batch and an Arrow batch. Batches count from 0 for each run of one ``group`` value (a worker's rows arrive in
+    one task, in order) and end with it. Tensors of one batch have one shape.
+    """
+    values = rows.schema["values"]
+    fields = [T.StructField("batch", T.LongType()), T.StructField("n_rows", T.IntegerType()),
+              T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("tensor", values.dataType)]
+    fields += [T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in keep]
+    schema = T.StructType(([rows.schema[group]] if group else []) + fields)
+    read = list(dict.fromkeys([*([group] if group else []), *keep, "channels", "height", "width", "values"]))
+
+    def stacked(batches):
+        import pyarrow as pa
+
+        held, n, run, number = [], 0, None, 0
+
+        def whole():
+            nonlocal held, n, number
+            table = pa.Table.from_batches(held).combine_chunks()
+            shape = [table.num_rows]
+            for side in ("channels", "height", "width"):
+                sides = table.column(side).unique().to_pylist()
+                if len(sides) != 1:
+                    raise ValueError(f"tensors of one batch differ in {side}: {sorted(sides)}")
+                shape.append(sides[0])
+            tensors = table.column("values").combine_chunks()
+            tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
+            if pa.types.is_binary(tensors.type):
+                tensor = pa.array([b"".join(t.as_buffer() for t in tensors)], pa.binary())
+            else:
+                flat = tensors.flatten()
+                tensor = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+            one = lambda c: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+            lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), one(table.column(c).combine_chunks()))
+                     for c in keep]
+            columns = [table.column(group)[:1].combine_chunks()] if group else []
+            columns = [one(c) for c in columns] + [pa.array([number], pa.int64()), pa.array([shape[0]], pa.int32()),
+                                                   pa.array([shape], pa.list_(pa.int32())), tensor, *lists]
+            held, n, number = [], 0, number + 1
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = batch.column(batch.schema.get_field_index(group)).to_pylist() if group else [None] * batch.num_rows
+            cuts = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1]), len(runs)]
+            for a, b in zip(cuts, cuts[1:]):
+                if runs[a] != run:
+                    if n and not drop_last:
+                        yield whole()
+                    held, n, run, number = [], 0, runs[a], 0
+                while a < b:
+                    taken = min(b - a, batch_size - n)
+                    held.append(batch.slice(a, taken))
+                    a, n = a + taken, n + taken
+                    if n == batch_size:
+                        yield whole()
+        if n and not drop_last:
+            yield whole()
+
+    return rows.select(*read).mapInArrow(stacked, schema)
+
+
 def epochs(df: DataFrame, n_epochs: int, seed: int = 42, digits: int | None = None) -> DataFrame:
     """The table once per epoch, each in its own seeded order; buckets follow the rows of one epoch."""
     digits = digits or bucket_digits(df.count())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -119,48 +120,117 @@ def split_samples(samples: DataFrame, ratios: list[float], names: list[str] = ["
     return samples.withColumn("split", label)
 
 
-def shuffle_through_buffer(df: DataFrame, buffer_rows: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Order in which a reader with a bounded shuffle buffer emits each partition's rows.
+class HeldRows:
+    """Rows by the number of their arrival, in the batches they came in; taken rows go when most of a batch is gone."""
 
-    Adds the places within the partition a row ``arrived`` at and is ``emitted`` at. A task holds one buffer
-    and one batch.
+    def __init__(self):
+        import numpy as np
+
+        self.parts, self.rows = [], 0
+        self.number = self.part = self.row = np.zeros(0, np.int64)
+
+    def add(self, batch, first: int) -> None:
+        import numpy as np
+
+        n = batch.num_rows
+        self.number = np.append(self.number, np.arange(first, first + n))
+        self.part = np.append(self.part, np.full(n, len(self.parts)))
+        self.row = np.append(self.row, np.arange(n))
+        self.parts.append(batch)
+        self.rows += n
+
+    def take(self, numbers):
+        """The rows of these numbers, in this order; they are held no longer."""
+        import numpy as np
+        import pyarrow as pa
+
+        at = np.searchsorted(self.number, numbers)
+        part, row = self.part[at], self.row[at]
+        order = np.argsort(part, kind="stable")
+        picked = [self.parts[p].take(pa.array(row[order][part[order] == p])) for p in np.unique(part)]
+        out = pa.Table.from_batches(picked).combine_chunks().take(pa.array(np.argsort(order))).combine_chunks()
+        left = np.ones(len(self.number), bool)
+        left[at] = False
+        self.number, self.part, self.row = self.number[left], self.part[left], self.row[left]
+        return out
+
+    def compact(self) -> None:
+        """Copies at most as many rows as were taken since it last did."""
+        if self.rows <= 2 * len(self.number) + 1024:
+            return
+        numbers = self.number
+        kept = self.take(numbers).to_batches() if len(numbers) else []
+        self.__init__()
+        first = 0
+        for batch in kept:
+            self.add(batch, first)
+            first += batch.num_rows
+        self.number = numbers
+
+
+def buffer_draw(seed: int, epoch: int, run: str, row: int) -> str:
+    """What decides about a row: hex digits of a hash, for any partitioning and any retry the same."""
+    return hashlib.md5(f"{seed}:{epoch}:{run}:{row}".encode()).hexdigest()
+
+
+def shuffle_through_buffer(df: DataFrame, buffer_rows: int, seed: int = 42, epoch: int = 0,
+                           within: str | None = None) -> DataFrame:
+    """The order in which a reader with a bounded shuffle buffer emits rows.
+
+    A run of rows is what has one value of ``within`` (a shard, say) and arrives together; without it, a partition. Adds the
+    places in the run that a row ``arrived`` at and is ``emitted`` at. A new row of a full buffer takes the slot that the first
+    eight hex digits of its draw give, modulo the buffer, and what was there is emitted; at the end of the run the rest is
+    emitted in the order of the rows' draws. Draws depend on seed, epoch, run and row alone. A task holds one buffer and one batch.
     """
     schema = T.StructType(df.schema.fields + [T.StructField("arrived", T.LongType(), False),
                                               T.StructField("emitted", T.LongType(), False)])
+    names = df.columns
 
     def emit(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-        held: pa.Table | None = None
-        count = arrived = 0
+        run, held, slots, arrived, emitted = None, HeldRows(), [], 0, 0
+
+        def out(numbers):
+            nonlocal emitted
+            if not numbers:
+                return []
+            table = held.take(np.array(numbers))
+            table = table.append_column("arrived", pa.array(numbers, pa.int64()))
+            table = table.append_column("emitted", pa.array(np.arange(emitted, emitted + len(numbers)), pa.int64()))
+            emitted += len(numbers)
+            return table.combine_chunks().to_batches()
 
-        def out(table, places):
-            nonlocal count
-            picked = table.take(pa.array(places))
-            picked = picked.append_column("emitted", pa.array(np.arange(count, count + len(places)), pa.int64()))
-            count += len(places)
-            return picked.combine_chunks().to_batches()
+        def rest():
+            return out(sorted(slots, key=lambda n: (buffer_draw(seed, epoch, run, n), n)))
 
         for batch in batches:
-            places_in = pa.array(np.arange(arrived, arrived + batch.num_rows), pa.int64())
-            incoming = pa.Table.from_batches([batch]).append_column("arrived", places_in)
-            arrived += batch.num_rows
-            held = incoming if held is None else pa.concat_tables([held, incoming])
-            spare = held.num_rows - buffer_rows
-            if spare > 0:
-                # Slots hold row numbers; each new row replaces the slot that was drawn.
-                slots = np.arange(buffer_rows)
-                drawn = rng.integers(0, buffer_rows, spare)
-                places = np.empty(spare, dtype=np.int64)
-                for i, slot in enumerate(drawn):
-                    places[i] = slots[slot]
-                    slots[slot] = buffer_rows + i
-                yield from out(held, places)
-                held = held.take(pa.array(slots)).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from out(held, rng.permutation(held.num_rows))
+            if not batch.num_rows:
+                continue
+            if within is None:
+                cuts, values = [0, batch.num_rows], [str(TaskContext.get().partitionId())]
+            else:
+                column = batch.column(names.index(within)).to_pylist()
+                cuts = [0, *(i for i in range(1, len(column)) if column[i] != column[i - 1]), len(column)]
+                values = [str(column[i]) for i in cuts[:-1]]
+            for value, a, b in zip(values, cuts, cuts[1:]):
+                if value != run:
+                    yield from rest()
+                    run, held, slots, arrived, emitted = value, HeldRows(), [], 0, 0
+                held.add(batch.slice(a, b - a), arrived)
+                sent = []
+                for number in range(arrived, arrived + b - a):
+                    if len(slots) < buffer_rows:
+                        slots.append(number)
+                    else:
+                        slot = int(buffer_draw(seed, epoch, run, number)[:8], 16) % buffer_rows
+                        sent.append(slots[slot])
+                        slots[slot] = number
+                arrived += b - a
+                yield from out(sent)
+                held.compact()
+        yield from rest()
 
     return df.mapInArrow(emit, schema)

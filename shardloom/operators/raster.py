@@ -82,16 +82,23 @@ def resample_weights(source: int, target: int):
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=4096)
+def single_weights(source: int, target: int):
+    import numpy as np
+
+    return resample_weights(source, target).astype(np.float32)
+
+
 def resize(planes, height: int, width: int):
-    """CHW bytes to the given size, rounded back to bytes: one matrix product per axis."""
+    """Planes of any number (the axis before the last two) to the given size, rounded back to bytes: a matrix product per
+    axis for all of them."""
     import numpy as np
 
-    channels, source_h, source_w = planes.shape
-    rows = resample_weights(source_h, height).astype(np.float32)
-    columns = resample_weights(source_w, width).astype(np.float32)
-    wide = planes.astype(np.float32).reshape(channels * source_h, source_w) @ columns.T
-    scaled = np.matmul(rows, wide.reshape(channels, source_h, width))
-    return np.clip(scaled + np.float32(0.5), 0, 255).astype(np.uint8)
+    n, source_h, source_w = planes.shape
+    wide = planes.astype(np.float32).reshape(n * source_h, source_w) @ single_weights(source_w, width).T
+    scaled = np.matmul(single_weights(source_h, height), wide.reshape(n, source_h, width))
+    scaled += np.float32(0.5)
+    return np.clip(scaled, 0, 255, out=scaled).astype(np.uint8)
 
 
 def planes_of(data: bytes, height: int, width: int, channels: int):
@@ -133,26 +140,61 @@ def rejected(rasters: DataFrame) -> DataFrame:
     return rasters.withColumn("reason", reject_reason()).filter(F.col("reason").isNotNull())
 
 
-def normalize(rasters: DataFrame, packed: bool = False) -> DataFrame:
+NO_CROP = "struct<top:int,left:int,height:int,width:int>"
+
+
+def normalize(rasters: DataFrame, packed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``sample_id`` and the normalised tensor, without crop or resize."""
-    no_crop = F.lit(None).cast("struct<top:int,left:int,height:int,width:int>")
-    return _tensors(usable(rasters).withColumn("crop", no_crop).withColumn("flip", F.lit(False)), None, packed)
+    no_crop = F.lit(None).cast(NO_CROP)
+    return _tensors(rasters.withColumns({"crop": no_crop, "flip": F.lit(False)}), None, packed, keep)
 
 
-def preprocess(rasters: DataFrame, side: int = SIDE, seed: int = 42, epoch: int = 0, packed: bool = False) -> DataFrame:
-    """The training transform: random crop resized to ``side``, random flip, channels first, [0, 1].
+def preprocess(rasters: DataFrame, side: int = SIDE, seed: int = 42, epoch: int = 0, packed: bool = False,
+               keep: tuple[str, ...] = (), random_crop: bool = True) -> DataFrame:
+    """The training transform: random crop (or the whole raster) resized to ``side``, random flip, channels first, [0, 1].
 
-    Values are ``array<float>``; ``packed`` gives the half-precision bytes instead, a quarter of the size in rows.
+    Values are ``array<float>``; ``packed`` gives the half-precision bytes instead, a quarter of the size in rows. Columns of
+    ``keep`` (key, text, worker, place) go along. Rows keep their order; unusable rasters are left out, see ``rejected``.
     """
-    ready = (usable(rasters)
-             .withColumn("crop", crop_box(F.col("height"), F.col("width"), F.col("sample_id"), seed, epoch))
-             .withColumn("flip", flip_flag(F.col("sample_id"), seed, epoch)))
-    return _tensors(ready, side, packed)
+    box = crop_box(F.col("height"), F.col("width"), F.col("sample_id"), seed, epoch) if random_crop else F.lit(None).cast(NO_CROP)
+    return _tensors(rasters.withColumns({"crop": box, "flip": flip_flag(F.col("sample_id"), seed, epoch)}), side, packed, keep)
+
+
+def usable_row(data, height, width, channels) -> bool:
+    """What ``usable`` asks of a row, asked where the bytes already are: a filter would compute them once more."""
+    shape = (height, width, channels)
+    return data is not None and None not in shape and len(data) == math.prod(shape) and (channels == 1 or channels > 2)
 
 
-def _tensors(ready: DataFrame, side: int | None, packed: bool) -> DataFrame:
+def transformed(data, height, width, channels, crop, flip, side: int | None):
+    """Tensors of rasters, as (places, stack): those of one shape and crop shape are stacked and go through one product per axis."""
+    import numpy as np
+
+    groups: dict[tuple, list[int]] = {}
+    for i, raster in enumerate(zip(data, height, width, channels)):
+        if usable_row(*raster):
+            cut = (crop[i]["height"], crop[i]["width"]) if crop[i] is not None else raster[1:3]
+            groups.setdefault((*cut, min(raster[3], 3)), []).append(i)
+    for (h, w, planes), members in groups.items():
+        most = max(1, OUT_BYTES // (4 * 3 * (side * side if side else h * w)))
+        for at in range(0, len(members), most):
+            part = members[at:at + most]
+            stack = np.empty((len(part), planes, h, w), np.uint8)
+            for k, i in enumerate(part):
+                top, left = (crop[i]["top"], crop[i]["left"]) if crop[i] is not None else (0, 0)
+                stack[k] = planes_of(data[i], height[i], width[i], channels[i])[:, top:top + h, left:left + w]
+            if side is not None:
+                stack = resize(stack.reshape(-1, h, w), side, side).reshape(len(part), planes, side, side)
+            flips = np.array([flip[i] for i in part], bool)
+            stack[flips] = stack[flips, :, :, ::-1]
+            yield part, np.repeat(stack, 3, axis=1) if planes == 1 else stack
+
+
+def _tensors(ready: DataFrame, side: int | None, packed: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     values = T.StructField("values", T.BinaryType() if packed else T.ArrayType(T.FloatType()))
-    schema = T.StructType([T.StructField("sample_id", ready.schema["sample_id"].dataType), *SHAPE.fields, values])
+    carried = ["sample_id", *keep]
+    schema = T.StructType([*(ready.schema[c] for c in carried), *SHAPE.fields, values])
+    columns = ["data", "height", "width", "channels", "crop", "flip"]
 
     def kernel(batches):
         import numpy as np
@@ -160,38 +202,34 @@ def _tensors(ready: DataFrame, side: int | None, packed: bool) -> DataFrame:
 
         levels = half_levels() if packed else half_levels().astype(np.float32)
 
-        def emit(ids, tensors):
-            shapes = np.array([t.shape for t in tensors], dtype=np.int32)
-            flat = [np.take(levels, t).ravel() for t in tensors]
+        def emit(rows, places, stack):
+            n, size = len(places), stack[0].size
+            flat = np.take(levels, stack).ravel()
+            ends = np.arange(0, (n + 1) * size, size, dtype=np.int32)
             if packed:
-                column = pa.array([f.tobytes() for f in flat], pa.binary())
+                column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends * 2), pa.py_buffer(flat)])
             else:
-                ends = np.cumsum([0] + [len(f) for f in flat], dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
-            return pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, shapes.T.copy()), column], schema.names)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            sides = [pa.array(np.full(n, v, np.int32)) for v in stack.shape[1:]]
+            return pa.RecordBatch.from_arrays([*rows.take(pa.array(places)).columns, *sides, column], schema.names)
 
         for batch in batches:
-            ids, tensors, held = [], [], 0
-            columns = batch.to_pydict()
-            for i, sample in enumerate(columns["sample_id"]):
-                planes = planes_of(*(columns[n][i] for n in ("data", "height", "width", "channels")))
-                crop = columns["crop"][i]
-                if crop is not None:
-                    top, left = crop["top"], crop["left"]
-                    planes = planes[:, top:top + crop["height"], left:left + crop["width"]]
-                if side is not None:
-                    planes = resize(planes, side, side)
-                planes = three_channels(planes)
-                ids.append(sample)
-                tensors.append(planes[:, :, ::-1] if columns["flip"][i] else planes)
-                held += planes.size * 4
-                if held >= OUT_BYTES:
-                    yield emit(ids, tensors)
-                    ids, tensors, held = [], [], 0
-            if ids:
-                yield emit(ids, tensors)
-
-    return ready.select("sample_id", "height", "width", "channels", "data", "crop", "flip").mapInArrow(kernel, schema)
+            rows = batch.select(carried)
+            # Groups of one shape are made at once, runs of neighbours of bounded size; rows leave in their order.
+            inputs = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+            step = max(1, OUT_BYTES // (12 * side * side)) if side else batch.num_rows
+            for at in range(0, batch.num_rows, step):
+                found = list(transformed(*(c[at:at + step] for c in inputs), side))
+                if len({stack.shape[1:] for _, stack in found}) == 1:
+                    places = np.concatenate([p for p, _ in found])
+                    order = np.argsort(places)
+                    stack = np.concatenate([s for _, s in found])[order] if len(found) > 1 else found[0][1]
+                    yield emit(rows, places[order] + at, stack)
+                else:
+                    for p, k, g in sorted((p, k, g) for g, (places, _) in enumerate(found) for k, p in enumerate(places)):
+                        yield emit(rows, [p + at], found[g][1][k:k + 1])
+
+    return ready.select(*carried, *columns).mapInArrow(kernel, schema)
 
 
 def resized(rasters: DataFrame, height: int = SIDE, width: int = SIDE) -> DataFrame:

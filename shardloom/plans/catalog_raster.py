@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shardloom.functions.paths import sample_key
+from shardloom.operators.assignment import by_count
+from shardloom.operators.loading import stack_tensors
+from shardloom.operators.ordering import with_order, with_positions
 from shardloom.operators.raster import (
     channel_rule,
     crop_box,
@@ -15,7 +19,9 @@ from shardloom.operators.raster import (
     resized,
 )
 from shardloom.plans import fixtures as fx
+from shardloom.plans.prepare import cluster_by_shard, read_shards
 from shardloom.plans.registry import query
+from shardloom.session import fresh_dir, stage
 
 # Four readings of the same 64 bytes, by the channel rule each one meets.
 SHAPES = {1: (8, 8), 2: (8, 4), 3: (11, 2), 4: (4, 4)}
@@ -167,3 +173,59 @@ def preprocess_samples(spark, sf_dir):
 
     return map_samples(tensors, summarise,
                        "sample_id long, channels int, height int, width int, n_values long, in_range boolean")
+
+
+# Job 2 as a whole: rasters out of tar shards, in an epoch's order, transformed and stacked to batches with key and text.
+EPOCH, LOADERS, BATCH, SHARD_ROWS, SIDE = 1, 3, 32, 50, 16
+SQL_FLIP = f"('0x' || substr(md5('flip:{fx.SEED}:{EPOCH}:' || sample_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5"
+
+
+def raster_set(spark, sf_dir, rows_per_shard=SHARD_ROWS):
+    """The rasters as tar shards: bytes, shape and a text each; null ones are rejected."""
+    rows = fx.rasters(spark, sf_dir).filter("data is not null")
+    placed = with_positions(stage(with_order(rows.select("sample_id"), fx.SEED)), ["order_key", "sample_id"])
+    stored = rows.join(placed.select("sample_id", "pos", by_count(F.col("pos"), rows_per_shard).alias("shard")), "sample_id")
+    clustered = cluster_by_shard(stored.withColumn("shard_task", F.col("shard")), 0, 8, ["pos"])
+    path = fresh_dir(spark, "rasters")
+    clustered.select("shard", sample_key(F.col("sample_id"), "train").alias("__key__"), F.col("data").alias("raw"),
+                     F.encode(F.concat_ws(",", "height", "width", "channels"), "UTF-8").alias("shape"),
+                     F.encode(F.concat(F.lit("vector "), "sample_id"), "UTF-8").alias("txt")).write.format(
+        "tarshards").mode("overwrite").save(path)
+    return path
+
+
+def load_tensors(spark, path, epoch, workers, batch_size, side, packed=True, random_crop=True):
+    """Batches of a raster set in an epoch's order: nothing is shuffled, each task reads a worker's shards."""
+    rows = read_shards(spark, "tarshards", path, "shard string, worker int, place long, __key__ string, raw binary, shape string, txt string",
+                       epoch=str(epoch), seed=str(fx.SEED), workers=str(workers))
+    sides = F.split("shape", ",")
+    decoded = rows.select("worker", "place", F.col("__key__").alias("key"), F.col("txt").alias("text"), F.col("raw").alias("data"),
+                          F.regexp_extract("__key__", "([0-9]+)", 1).cast("long").alias("sample_id"),
+                          *[sides[i].cast("int").alias(c) for i, c in enumerate(("height", "width", "channels"))])
+    tensors = preprocess(decoded, side, fx.SEED, epoch, packed, ("worker", "key", "text"), random_crop)
+    return stack_tensors(tensors, batch_size, "worker", ("key", "text"))
+
+
+@query("preprocess_pipeline", f"""WITH {fx.sql_rasters()}, {SQL_WEIGHTS},
+placed AS (SELECT sample_id, row_number() OVER (ORDER BY md5('{fx.SEED}:0:' || sample_id), sample_id) - 1 AS pos FROM rasters),
+shards AS (SELECT shard, row_number() OVER (ORDER BY md5('{fx.SEED}:{EPOCH}:dataset-train-' || lpad(shard::VARCHAR, 6, '0') || '.tar')) - 1 AS nth
+  FROM (SELECT DISTINCT pos // {SHARD_ROWS} AS shard FROM placed)),
+dealt AS (SELECT sample_id, nth % {LOADERS} AS worker,
+  row_number() OVER (PARTITION BY nth % {LOADERS} ORDER BY nth, pos) - 1 AS place FROM placed JOIN shards ON shard = pos // {SHARD_ROWS}),
+pixels AS (SELECT sample_id, unnest(levels) AS v, unnest(range(64)) AS spot FROM rasters),
+scaled AS (SELECT sample_id, r.i AS y, c.i AS x, floor(sum(r.w * c.w * v) + 0.5)::INTEGER AS v
+  FROM pixels JOIN weights r ON r.j = spot // 8 JOIN weights c ON c.j = spot % 8 GROUP BY ALL),
+planes AS (SELECT sample_id, {HALF.format(levels=f"list(v ORDER BY y, CASE WHEN {SQL_FLIP} THEN -x ELSE x END)")} AS plane
+  FROM scaled GROUP BY sample_id),
+texts AS (SELECT sample_id, array_to_string(list_transform(plane, lambda v: (v * 262144)::BIGINT), ',') AS plane FROM planes)
+SELECT worker::INTEGER AS worker, place // {BATCH} AS batch, count(*)::INTEGER AS n_rows,
+  count(*) || ',3,{SIDE},{SIDE}' AS shape, string_agg('train_' || lpad(sample_id::VARCHAR, 7, '0'), ',' ORDER BY place) AS keys,
+  string_agg('vector ' || sample_id, ',' ORDER BY place) AS texts,
+  md5(string_agg(plane || ',' || plane || ',' || plane, ',' ORDER BY place)) AS values_md5
+FROM dealt JOIN texts USING (sample_id) GROUP BY 1, 2""")
+def preprocess_pipeline(spark, sf_dir):
+    batches = load_tensors(spark, raster_set(spark, sf_dir), EPOCH, LOADERS, BATCH, SIDE, packed=False, random_crop=False)
+    exact = F.transform("tensor", lambda v: (v * 262144).cast("long"))
+    return batches.select("worker", "batch", "n_rows", F.array_join("shape", ",").alias("shape"),
+                          F.array_join("key", ",").alias("keys"), F.array_join("text", ",").alias("texts"),
+                          F.md5(F.array_join(exact, ",")).alias("values_md5"))

@@ -249,15 +249,36 @@ def file_order(spark, sf_dir):
     return with_positions(range_buckets(rows, order), order).select(*order, "pos")
 
 
-BUFFER = 100
-
-
-@query("buffer_shuffle", f"WITH {fx.SQL_SAMPLES} SELECT sample_id, text, TRUE AS within_buffer FROM samples")
+BUFFER, RUN_ROWS = 40, 130
+
+SQL_RUNS = fx.SQL_ORDERED + f""",
+runs AS (SELECT sample_id, pos // {RUN_ROWS} AS run, pos % {RUN_ROWS} AS arrived FROM ordered)"""
+
+
+# Row by row: a full buffer's drawn slot is sent and takes the new row; the rest is sent in the order of the draws.
+@query("buffer_shuffle", f"""WITH RECURSIVE {SQL_RUNS},
+buffers AS (
+  SELECT run, count(*) AS n, 0::BIGINT AS i, []::BIGINT[] AS slots, []::BIGINT[] AS sent FROM runs GROUP BY run
+  UNION ALL
+  SELECT run, n, i + 1,
+    CASE WHEN len(slots) < {BUFFER} THEN list_append(slots, i) ELSE list_concat(list_append(slots[:k], i), slots[k + 2:]) END,
+    CASE WHEN len(slots) < {BUFFER} THEN sent ELSE list_append(sent, slots[k + 1]) END
+  FROM (SELECT *, ('0x' || substr(md5('{fx.SEED}:0:' || run || ':' || i), 1, 8))::BIGINT % {BUFFER} AS k
+        FROM buffers WHERE i < n)),
+emissions AS (
+  SELECT run, list_concat(sent, list_transform(
+    list_sort(list_transform(slots, lambda x: md5('{fx.SEED}:0:' || run || ':' || x) || lpad(x::VARCHAR, 9, '0'))),
+    lambda d: substr(d, 33)::BIGINT)) AS numbers
+  FROM buffers WHERE i = n)
+SELECT sample_id, run, arrived, emitted
+FROM (SELECT run, unnest(numbers) AS arrived, unnest(range(len(numbers))) AS emitted FROM emissions) JOIN runs USING (run, arrived)""")
 def buffer_shuffle(spark, sf_dir):
-    """Every sample once, none more than a buffer ahead of its arrival."""
-    rows = fx.samples(spark, sf_dir).select("sample_id", "text").repartition(4, "sample_id")
-    return shuffle_through_buffer(rows, BUFFER, fx.SEED).select(
-        "sample_id", "text", (F.col("emitted") >= F.col("arrived") - BUFFER).alias("within_buffer"))
+    """Runs of rows through a buffer each; where the runs lie does not matter."""
+    placed = with_positions(ordered(spark, sf_dir), ORDER)
+    run = by_count(F.col("pos"), RUN_ROWS)
+    rows = placed.select("sample_id", "pos", run.alias("run"))
+    rows = rows.repartition("run").sortWithinPartitions("run", "pos")
+    return shuffle_through_buffer(rows, BUFFER, fx.SEED, within="run").select("sample_id", "run", "arrived", "emitted")
 
 
 @query("epoch_shuffle", f"""SELECT epoch, doc_id AS sample_id,

@@ -227,6 +227,27 @@ def chunk_roundtrip(spark, sf_dir):
     return rows.select(F.md5("image_bytes").alias("image_md5"), "text")
 
 
+LOADERS = 3
+
+
+@query("load_epoch_order", f"""WITH RECURSIVE {ROLLED_OVERSHOOT},
+shards AS (SELECT epoch, shard, row_number() OVER (PARTITION BY epoch ORDER BY md5('{fx.SEED}:' || epoch || ':' || {TAR_NAME})) - 1 AS nth
+  FROM (SELECT DISTINCT shard FROM rolled), (SELECT unnest([1, 2]) AS epoch))
+SELECT epoch, nth % {LOADERS} AS worker, row_number() OVER (PARTITION BY epoch, nth % {LOADERS} ORDER BY nth, slot) - 1 AS place,
+  'train_' || lpad(sample_id::VARCHAR, 7, '0') AS key
+FROM rolled JOIN shards USING (shard)""")
+def load_epoch_order(spark, sf_dir):
+    """Two epochs of a tar set: shards in another order each, dealt to workers."""
+    path = tar_set(spark, sf_dir)
+
+    def read(epoch):
+        rows = read_shards(spark, "tarshards", path, epoch=str(epoch), seed=str(fx.SEED), workers=str(LOADERS))
+        return rows.select(F.lit(epoch).alias("epoch"), F.col("worker").cast("long").alias("worker"), "place",
+                           F.col("__key__").alias("key"))
+
+    return read(1).union(read(2))
+
+
 FIELD_MAP = {"image": "jpg", "caption": "txt"}
 
 

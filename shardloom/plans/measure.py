@@ -24,16 +24,16 @@ EPOCHS_SCHEMA = "run string, epoch long, samples long, elapsed_s double, through
 def load_epoch(spark: SparkSession, source: str, path: str, batch_size: int, workers: int, epoch: int,
                seed: int = 42, shuffle_buffer: int = 100,
                transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One epoch as a loader delivers it: shards spread over workers, a shuffle buffer each, then batches.
+    """One epoch as a loader delivers it: shards in the epoch's order, dealt to workers, a shuffle buffer per shard, batches.
 
-    Adds ``batch`` within the partition; ``transform`` runs on the samples before they are batched.
+    Adds ``batch`` and ``slot`` of the worker; ``transform`` runs on the samples before they are batched and keeps what it is
+    not about. All of it depends on seed, epoch and the shard list, not on how tasks run.
     """
-    rows = read_shards(spark, source, path, min_tasks=str(workers))
-    if transform is not None:
-        rows = transform(rows)
-    shuffled = shuffle_through_buffer(rows, shuffle_buffer, seed, epoch)
-    return shuffled.withColumn("worker", F.spark_partition_id()).withColumn(
-        "batch", fixed_batch(F.col("emitted"), batch_size))
+    rows = read_shards(spark, source, path, epoch=str(epoch), seed=str(seed), workers=str(workers))
+    shuffled = shuffle_through_buffer(rows, shuffle_buffer, seed, epoch, within="shard")
+    place = F.col("place") - F.col("arrived") + F.col("emitted")
+    placed = shuffled.withColumns({"batch": fixed_batch(place, batch_size), "slot": F.pmod(place, F.lit(batch_size))})
+    return placed if transform is None else transform(placed)
 
 
 def drain(df: DataFrame) -> None:

@@ -156,7 +156,7 @@ class Chunks(ShardSource):
         filesystem, base = locate(self.options["path"])
         index, _ = commits.current(filesystem, base)
         if index is None:
-            return "shard string, image_bytes binary, text string"
+            return self.placed("shard string, image_bytes binary, text string")
         types = {form: t for t, form in FORMATS.items()}
         columns = ", ".join(f"`{n}` {types[f]}" for n, f in zip(index["config"]["names"], index["config"]["data_format"]))
-        return f"shard string, {columns}"
+        return self.placed(f"shard string, {columns}")

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shardloom.operators.ordering import ratio_bounds
 from shardloom.session import qualified
-from shardloom.sources.shardfiles import in_batches
+from shardloom.sources.shardfiles import in_batches, packed, wanted
 from shardloom.sources.storage import locate, read_json, replacing, write_json
 from shardloom.sources.tar import BLOCK, TarReader, WholeArchive, samples_of
 
@@ -88,11 +88,12 @@ def prepare_index(spark: SparkSession, path: str, field_map: dict[str, str], rat
                 with replacing(filesystem, f"{base}/{shard}.idx") as out:
                     out.write(offsets.tobytes())
                 counts.append(len(bounds))
-            yield pa.RecordBatch.from_pydict({"shard": batch.column(0), "samples": pa.array(counts, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": batch.column(0), "bytes": batch.column(1),
+                                              "samples": pa.array(counts, pa.int64())})
 
-    counted = (shard_list(spark, path, **options).select("shard")
-               .mapInArrow(index_shards, "shard string, samples long").collect())
-    shards = sorted(({"file": r.shard, "samples": r.samples} for r in counted), key=lambda s: s["file"])
+    counted = (shard_list(spark, path, **options).select("shard", "bytes")
+               .mapInArrow(index_shards, "shard string, bytes long, samples long").collect())
+    shards = sorted(({"file": r.shard, "samples": r.samples, "bytes": r.bytes} for r in counted), key=lambda s: s["file"])
     for number, entry in enumerate(shards):
         entry["split"] = next((name for name, _, end in ratio_bounds(list(ratios), list(names))
                                if number < int(end * len(shards) + 0.5)), names[-1])
@@ -118,7 +119,7 @@ def portions(shards: list[dict], workers: int) -> list[dict]:
                 high = min(end, worker_start(worker + 1, workers, total))
                 if low < high:
                     found.append({"file": entry["file"], "worker": worker, "low": low - first, "high": high - first,
-                                  "first_pos": low})
+                                  "first_pos": low, "bytes": entry.get("bytes", 0) * (high - low) // entry["samples"]})
         first = end
     return found
 
@@ -130,36 +131,56 @@ def slice_starts(length: int, most: int) -> np.ndarray:
 
 
 @dataclass
-class Portion(InputPartition):
-    portion: dict
+class Portions(InputPartition):
+    portions: list[dict]
 
-    def __init__(self, portion):
-        self.portion = portion
+    def __init__(self, portions):
+        self.portions = portions
 
 
 class SliceReader(DataSourceReader):
+    """A task reads consecutive portions of one worker, of ``bytes_per_task`` together. Filters on ``worker`` and ``shard``
+    are taken before work is planned, so a worker that reads its own share plans nothing else."""
+
     def __init__(self, options, schema):
         self.path, self.schema = options["path"], schema
         self.workers = int(options.get("workers", 1))
         self.most = int(options.get("max_len", 100))
         self.split = options.get("split", "train")
+        self.bytes_per_task = int(options.get("bytes_per_task", 128 << 20))
+        self.only: dict[str, set] = {}
+
+    def pushFilters(self, filters):
+        for pushed in filters:
+            for column in ("worker", "shard"):
+                values = wanted(pushed, column)
+                if values is not None:
+                    self.only[column] = self.only.get(column, values) & values
+                    break
+            else:
+                yield pushed
 
     def partitions(self):
         filesystem, base = locate(self.path)
         info = read_json(filesystem, f"{base}/{META}/info.json")
         if info is None:
             raise FileNotFoundError(f"{base}/{META}/info.json: run prepare_index first")
-        return [Portion(p) for p in portions([s for s in info["shards"] if s["split"] == self.split], self.workers)] \
-            or [Portion(None)]
+        cut = portions([s for s in info["shards"] if s["split"] == self.split], self.workers)
+        cut = [p for p in cut if all(p["file" if c == "shard" else c] in values for c, values in self.only.items())]
+        runs = [run for worker in sorted({p["worker"] for p in cut})
+                for run in packed([p for p in cut if p["worker"] == worker], self.bytes_per_task)]
+        return [Portions(run) for run in runs] or [Portions([])]
 
     def read(self, partition):
+        filesystem, base = locate(self.path)
+        if partition.portions:
+            field_map = read_json(filesystem, f"{base}/{META}/dataset.json")["field_map"]
+        for portion in partition.portions:
+            yield from self.read_portion(filesystem, base, portion, field_map)
+
+    def read_portion(self, filesystem, base, portion, field_map):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        portion = partition.portion
-        if portion is None:
-            return
-        filesystem, base = locate(self.path)
-        field_map = read_json(filesystem, f"{base}/{META}/dataset.json")["field_map"]
         arrow_schema = to_arrow_schema(self.schema)
         low, high = portion["low"], portion["high"]
         with filesystem.open_input_file(f"{base}/{portion['file']}.idx") as stream:

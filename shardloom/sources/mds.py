@@ -217,7 +217,7 @@ class Mds(ShardSource):
         filesystem, base = locate(self.options["path"])
         index, _ = commits.current(filesystem, base)
         if index is None or not index["shards"]:
-            return "shard string, image binary, text string, idx bigint"
+            return self.placed("shard string, image binary, text string, idx bigint")
         header = index["shards"][0]
         columns = ", ".join(f"`{n}` {ENCODINGS[e]}" for n, e in zip(header["column_names"], header["column_encodings"]))
-        return f"shard string, {columns}"
+        return self.placed(f"shard string, {columns}")

@@ -155,6 +155,42 @@ class ShardWriter(DataSourceArrowWriter):
         commits.discard(*locate(self.path), self.job)
 
 
+def epoch_order(shards: list[dict], seed: int, epoch: int) -> list[dict]:
+    """The shards in the order of an epoch: by a hash of seed, epoch and file, for any number of readers."""
+    return sorted(shards, key=lambda s: (hashlib.md5(f"{seed}:{epoch}:{s['file']}".encode()).hexdigest(), s["file"]))
+
+
+def deal(shards: list[dict], workers: int) -> list[list[dict]]:
+    """Each worker's shards, in turn. An entry has its ``worker`` and, where samples are counted, the ``first`` of its places."""
+    dealt = []
+    for worker in range(min(workers, len(shards))):
+        mine, first = [], 0
+        for entry in shards[worker::workers]:
+            mine.append({**entry, "worker": worker, "first": first})
+            first = None if first is None or entry.get("samples") is None else first + entry["samples"]
+        dealt.append(mine)
+    return dealt
+
+
+def packed(shards: list[dict], target: int, size=lambda entry: entry["bytes"]) -> list[list[dict]]:
+    """Runs of consecutive entries of at most ``target`` bytes, or of one entry."""
+    runs, held, total = [], [], 0
+    for entry in shards:
+        if held and total + size(entry) > target:
+            runs.append(held)
+            held, total = [], 0
+        held.append(entry)
+        total += size(entry)
+    return [*runs, held] if held else runs
+
+
+def wanted(pushed, column: str) -> set | None:
+    """The values that a pushed filter leaves of a column; None if it isn't about that column."""
+    if isinstance(pushed, (EqualTo, In)) and pushed.attribute == (column,):
+        return {pushed.value} if isinstance(pushed, EqualTo) else set(pushed.value)
+    return None
+
+
 @dataclass
 class ShardFiles(InputPartition):
     files: list[dict]
@@ -168,6 +204,10 @@ class ShardReader(DataSourceReader):
 
     ``mode`` follows Spark's readers: ``FAILFAST`` (default), ``DROPMALFORMED`` (what precedes the damage is
     kept) or ``PERMISSIVE``, which adds a row with the message in the ``_corrupt`` column of the schema.
+
+    With ``epoch`` (and ``seed``) shards are read in that epoch's order. With ``workers`` they are dealt to that many, a
+    task each, or several of ``bytes_per_task`` where that is given; rows have their ``worker`` and their ``place`` in its
+    order. Filters on ``shard`` and ``worker`` are taken before work is planned.
     """
 
     def __init__(self, options: dict, schema):
@@ -177,7 +217,10 @@ class ShardReader(DataSourceReader):
         self.mode = options.get("mode", "FAILFAST").upper()
         self.bytes_per_task = int(options.get("bytes_per_task", 128 << 20))
         self.min_tasks = int(options.get("min_tasks", 1))
-        self.only: set[str] | None = None
+        self.epoch = int(options["epoch"]) if "epoch" in options else None
+        self.seed = int(options.get("seed", 42))
+        self.workers = int(options["workers"]) if "workers" in options else None
+        self.only: dict[str, set] = {}
 
     def list_shards(self, filesystem, base: str) -> list[dict]:
         """``file`` and ``bytes`` of every shard, in order."""
@@ -189,28 +232,28 @@ class ShardReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for pushed in filters:
-            if isinstance(pushed, (EqualTo, In)) and pushed.attribute == ("shard",):
-                wanted = {pushed.value} if isinstance(pushed, EqualTo) else set(pushed.value)
-                self.only = wanted if self.only is None else self.only & wanted
+            for column in ["shard", *(["worker"] if self.workers else [])]:
+                values = wanted(pushed, column)
+                if values is not None:
+                    self.only[column] = self.only.get(column, values) & values
+                    break
             else:
                 yield pushed
 
     def partitions(self):
         filesystem, base = locate(self.path)
         shards = self.list_shards(filesystem, base)
-        if self.only is not None:
-            shards = [s for s in shards if s["file"] in self.only]
-        packed, held, size = [], [], 0
-        target = min(self.bytes_per_task, sum(s["bytes"] for s in shards) // self.min_tasks)
-        for entry in shards:
-            if held and size + entry["bytes"] > target:
-                packed.append(ShardFiles(held))
-                held, size = [], 0
-            held.append(entry)
-            size += entry["bytes"]
-        if held:
-            packed.append(ShardFiles(held))
-        return packed or [ShardFiles([])]
+        if self.epoch is not None:
+            shards = epoch_order(shards, self.seed, self.epoch)
+        asked = lambda s: all(s["file" if c == "shard" else c] in values for c, values in self.only.items())
+        if self.workers:
+            runs = [[s for s in mine if asked(s)] for mine in deal(shards, self.workers)]
+            if "bytes_per_task" in self.options and all("samples" in s for s in shards):
+                runs = [run for mine in runs for run in packed(mine, self.bytes_per_task)]
+        else:
+            shards = [s for s in shards if asked(s)]
+            runs = packed(shards, min(self.bytes_per_task, sum(s["bytes"] for s in shards) // self.min_tasks))
+        return [ShardFiles(run) for run in runs if run] or [ShardFiles([])]
 
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -218,12 +261,16 @@ class ShardReader(DataSourceReader):
         filesystem, base = locate(self.path)
         arrow_schema = to_arrow_schema(self.schema)
 
-        def batch(columns: dict, file: str, corrupt: str | None = None):
+        def batch(columns: dict, file: str, corrupt: str | None = None, worker: int | None = None, place: int = 0):
             rows = len(next(iter(columns.values()))) if columns else 1
             filled = []
             for column in arrow_schema:
                 if column.name == "shard":
                     values = [file] * rows
+                elif self.workers and column.name == "worker":
+                    values = [worker] * rows
+                elif self.workers and column.name == "place":
+                    values = range(place, place + rows)
                 elif column.name == "_corrupt":
                     values = [corrupt] * rows
                 else:
@@ -231,15 +278,18 @@ class ShardReader(DataSourceReader):
                 filled.append(pa.array(values, column.type))
             return pa.RecordBatch.from_arrays(filled, schema=arrow_schema)
 
+        place = 0
         for entry in partition.files:
+            place = place if entry.get("first") is None else entry["first"]
             try:
                 delivered = 0
                 folder, _, name = entry["file"].rpartition("/")
                 home = f"{base}/{folder}" if folder else base
                 path = commits.place_of(filesystem, home, name, entry.get("job"))
                 for columns in self.read_shard(filesystem, path, entry):
-                    part = batch(columns, entry["file"])
+                    part = batch(columns, entry["file"], None, entry.get("worker"), place)
                     delivered += part.num_rows
+                    place += part.num_rows
                     yield part
                 if delivered != entry.get("samples", delivered):
                     raise ValueError(f"{delivered} of {entry['samples']} samples")
@@ -279,6 +329,10 @@ class ShardSource(DataSource):
     writer_class: type[ShardWriter]
     reader_class: type[ShardReader]
 
+    def placed(self, ddl: str) -> str:
+        """A schema with the columns that ``workers`` adds."""
+        return f"{ddl}, worker int, place long" if "workers" in self.options else ddl
+
     def reader(self, schema):
         return self.reader_class(self.options, schema)
 

@@ -173,4 +173,4 @@ class TarShards(ShardSource):
         return "tarshards"
 
     def schema(self):
-        return "shard string, __key__ string, jpg binary, txt binary"
+        return self.placed("shard string, __key__ string, jpg binary, txt binary")
