@@ -21,8 +21,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from shardloom.llm.chunk_encoder import ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, worker_state
+from shardloom.llm.chunk_encoder import STEP_BYTES, ChunkEncoder
+from shardloom.llm.common import arrow_schema, batch, id_and_text, text_steps, worker_state
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 KEYS_PER_BUCKET = 4
@@ -89,7 +89,7 @@ class ByteBpe(ChunkEncoder):
         self.bytes_of = {rank: key for key, rank in self.ranks.items()}
         self.hash = PerfectHash(self.keys)
         self.pattern, self.rule = regex.compile(pattern), "byte"
-        self.heads, self.tails = {}, {}
+        self.forget()
 
     @classmethod
     def of_worker(cls, path: str, pattern: str) -> "ByteBpe":
@@ -120,18 +120,15 @@ class ByteBpe(ChunkEncoder):
             i = ends[i]
         return ids
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def library(self, pieces: list[str]) -> list[list[int]]:
         split = [[t.encode() for t in self.pattern.findall(p)] for p in pieces]
         distinct = list({t for tokens in split for t in tokens})
         if not distinct:
-            return [b""] * len(pieces)
+            return [[] for _ in pieces]
         ids = {}
         for token, k in zip(distinct, self.hash.lookup(distinct).tolist()):
-            if self.keys[k] == token:
-                ids[token] = self.key_ranks[k].to_bytes(4, "little")
-            else:
-                ids[token] = np.array(self.merge(token), dtype="<u4").tobytes()
-        return [b"".join(map(ids.__getitem__, tokens)) for tokens in split]
+            ids[token] = [self.key_ranks[k]] if self.keys[k] == token else self.merge(token)
+        return [[i for t in tokens for i in ids[t]] for tokens in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -145,10 +142,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     def run(batches):
         bpe = ByteBpe.of_worker(ranks, pattern)
         for rows in batches:
-            for a in range(0, rows.num_rows, 500):
-                coded = bpe.encode_all(rows.column("text")[a:a + 500].to_pylist())
-                yield batch(schema, [rows.column("doc_id")[a:a + 500], [len(ids) // 4 for ids in coded],
-                                     [hashlib.sha256(ids).hexdigest() for ids in coded],
+            for step in text_steps(rows, STEP_BYTES):
+                coded, sizes = bpe.encode_array(step.column("text"))
+                coded = coded.to_pylist()
+                yield batch(schema, [step.column("doc_id"), sizes, [hashlib.sha256(ids).hexdigest() for ids in coded],
                                      [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in coded]])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, CODED)

@@ -3,25 +3,29 @@
 Both kinds of public vocabularies split a text before any merge, and no split part crosses the place between a
 non-space and a following space. A text is cut there, each distinct piece is encoded once by the library, and ids are
 joined. The result equals encoding the whole text; tests compare the two.
+
+Texts are cut and their pieces made distinct in Arrow, a step of texts at a time. Pieces have numbers, their ids lie one
+behind the other in an array, and the ids of a step are gathered from there at once.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from shardloom.llm.common import single_threaded, worker_state
+from shardloom.llm.common import Grown, ragged, single_threaded, sums, worker_state
 
 # The code points with the Unicode property White_Space, as the body of a character class.
 SPACES = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-DOUBLE = re.compile(f"[{SPACES}] ")
-MEMO = 600_000  # pieces remembered by a worker, some 100 MB
-LONG = 64  # characters of a piece from which it isn't remembered
+SPACED = re.compile(f"[{SPACES}]\\Z")
+MEMO, MEMO_CHARS = 600_000, 32 << 20  # pieces and characters remembered by a worker, some 100 MB
+STEP_BYTES = 6 << 20  # text encoded at a time
 
 
 def cut_rule(path: str) -> str:
@@ -43,57 +47,97 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.rule = cut_rule(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.heads: dict[str, bytes] = {}  # pieces as they are
-        self.tails: dict[str, bytes] = {}  # pieces behind one space
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces: dict[str, dict[str, int]] = {"": {}, " ": {}}  # as they are, and behind one space
+        self.n = self.chars = 0
+        self.ids, self.sizes, self.spaced = Grown(np.dtype("<u4")), Grown(), Grown(bool)
 
     @classmethod
     def of_worker(cls, path: str) -> "ChunkEncoder":
         return worker_state(f"chunk_encoder:{path}", lambda: cls(path))
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], prefix: str) -> dict[str, bytes]:
-        """Ids of all the pieces: the memo, or a table for these alone where long pieces are among them."""
-        new = list(pieces - memo.keys())
-        if not new:
-            return memo
-        ids = dict(zip(new, self._encode([prefix + p for p in new])))
-        short = {p: i for p, i in ids.items() if len(p) <= LONG}
-        found = memo if len(short) == len(ids) else {**{p: memo[p] for p in pieces & memo.keys()}, **ids}
-        memo.update(short)
-        if len(memo) > MEMO:
-            # The pieces seen first are the frequent ones. The table in use is kept until it has been used.
-            kept = dict(itertools.islice(memo.items(), MEMO // 2))
-            found = dict(memo) if found is memo else found
-            memo.clear()
-            memo.update(kept)
-        return found
+    def library(self, pieces: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.encode_all([text])[0]
+    def find(self, pieces: list[str], prefix: str = "") -> np.ndarray:
+        """Numbers of distinct pieces; unknown ones go to the library together."""
+        known = self.pieces[prefix]
+        new = [p for p in pieces if p not in known]
+        if new:
+            known.update(zip(new, range(self.n, self.n + len(new))))
+            ids = self.library([prefix + p for p in new] if prefix else new)
+            self.sizes.extend(np.fromiter(map(len, ids), np.int64, len(new)))
+            self.ids.extend(np.array([i for x in ids for i in x], dtype="<u4"))
+            # Where a piece ends with a white space, or is none, the space behind it is no place to cut at.
+            self.spaced.extend([not p or SPACED.search(p) is not None for p in new] if self.rule == "byte" else
+                               np.zeros(len(new), bool))
+            self.n += len(new)
+            self.chars += sum(map(len, new))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def trim(self) -> None:
+        """Keep the pieces seen first, which are the frequent ones, when there are too many."""
+        if self.n <= MEMO and self.chars <= MEMO_CHARS:
+            return
+        keep = min(MEMO // 2, self.n)
+        self.pieces = {prefix: {p: k for p, k in known.items() if k < keep} for prefix, known in self.pieces.items()}
+        self.chars = sum(len(p) for known in self.pieces.values() for p in known)
+        if self.chars > MEMO_CHARS // 2:
+            self.forget()
+            return
+        self.ids.n = int(self.sizes.view[:keep].sum())
+        self.n = self.sizes.n = self.spaced.n = keep
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of several texts, whose new pieces go to the library together."""
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and how many each text has."""
         if self.rule == "whole":
-            return self._encode(texts)
-        heads, tails = [], []
-        for text in texts:
-            if not text:
-                heads.append(())
-                tails.append(())
-            elif self.rule == "word":
-                heads.append(text.replace("\n", " ").split(" "))
-                tails.append(())
-            elif DOUBLE.search(text):
-                heads.append(RUNS.findall(text))
-                tails.append(())
-            else:
-                head, *tail = text.split(" ")
-                heads.append((head,))
-                tails.append(tail)
-        first = self._learn(self.heads, set().union(*heads), "")
-        later = self._learn(self.tails, set().union(*tails), " ")
-        return [b"".join([*map(first.__getitem__, a), *map(later.__getitem__, b)]) for a, b in zip(heads, tails)]
+            distinct = texts.dictionary_encode()
+            return self.find(distinct.dictionary.to_pylist())[distinct.indices.to_numpy(zero_copy_only=False)], np.ones(len(texts), int)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.rule == "word" else texts, " ")
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if self.rule == "word":
+            return self.find(words)[codes], sizes
+        ends = np.cumsum(sizes)
+        first = np.zeros(len(codes), bool)
+        first[ends - sizes] = True
+        last = np.zeros(len(codes), bool)
+        last[ends - 1] = True
+        slots = np.empty(len(codes), np.int64)
+        for here, prefix in ((first, ""), (~first, " ")):
+            used = np.flatnonzero(np.bincount(codes[here], minlength=len(words)))
+            number = np.zeros(len(words), np.int64)
+            number[used] = self.find([words[i] for i in used.tolist()], prefix)
+            slots[here] = number[codes[here]]
+        other = np.flatnonzero(sums(self.spaced.view[slots] & ~last, sizes))
+        if len(other):
+            runs = np.split(slots, ends[:-1])
+            for i in other.tolist():
+                found = RUNS.findall(texts[i].as_py())
+                distinct = list(dict.fromkeys(found))
+                numbers = dict(zip(distinct, self.find(distinct).tolist()))
+                runs[i] = np.array([numbers[p] for p in found], np.int64)
+            slots, sizes = np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs))
+        return slots, sizes
+
+    def encode_array(self, texts: pa.Array, end_id: int | None = None, width: int = 4) -> tuple[pa.Array, np.ndarray]:
+        """Ids of each text, and ``end_id`` behind them, as little-endian unsigned integers of ``width`` bytes; and their number."""
+        self.trim()
+        slots, pieces = self.cut(texts)
+        lengths = self.sizes.view[slots]
+        begins = (np.cumsum(self.sizes.view) - self.sizes.view)[slots]
+        ids, sizes = self.ids.view[ragged(begins, lengths)], sums(lengths, pieces)
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+        offsets = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int64)
+        data = pa.Array.from_buffers(pa.large_binary(), len(texts), [
+            None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))])
+        return data.cast(pa.binary()), sizes
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_array(pa.array([text], pa.string()))[0][0].as_py()

@@ -7,7 +7,9 @@ import os
 import sys
 import types
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shardloom.session import fresh_dir
@@ -104,3 +106,47 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, field.type) for c, field in zip(columns, schema)], schema=schema)
+
+
+def text_steps(rows: pa.RecordBatch, limit: int):
+    """Slices of a batch of some ``limit`` bytes of text."""
+    if not rows.num_rows:
+        return
+    sizes = np.cumsum(pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    cuts = np.unique(np.searchsorted(sizes, np.arange(limit, sizes[-1] + limit, limit), side="left") + 1)
+    at = 0
+    for cut in np.minimum(cuts, rows.num_rows).tolist():
+        if cut > at:
+            yield rows.slice(at, cut - at)
+            at = cut
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every run."""
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of values."""
+    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
+
+
+class Grown:
+    """An array that is appended to."""
+
+    def __init__(self, kind=np.int64):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(need, 2 * len(self.held)) - len(self.held), self.held.dtype)])
+        self.held[self.n:need] = values
+        self.n = need
+
+    @property
+    def view(self) -> np.ndarray:
+        return self.held[:self.n]

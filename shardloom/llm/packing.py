@@ -16,8 +16,8 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shardloom.llm.chunk_encoder import ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, staged
+from shardloom.llm.chunk_encoder import STEP_BYTES, ChunkEncoder
+from shardloom.llm.common import arrow_schema, batch, id_and_text, staged, text_steps
 
 WINDOW = 4096
 STREAM = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
@@ -26,18 +26,15 @@ BASES_BROADCAST = 1_000_000  # parts whose bases (16 bytes each) are broadcast;
 
 def _encoder(tokenizer: str, end_id: int | None):
     schema = arrow_schema(STREAM)
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         encoder, part, at = ChunkEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), 0
         for rows in batches:
-            for a in range(0, rows.num_rows, 500):
-                ids = [c + end for c in encoder.encode_all(rows.column("text")[a:a + 500].to_pylist())]
-                sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+            for step in text_steps(rows, STEP_BYTES):
+                ids, sizes = encoder.encode_array(step.column("text"), end_id)
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
-                yield batch(schema, [np.full(len(ids), part, np.int32), rows.column("doc_id")[a:a + 500], starts,
-                                     sizes, ids])
+                yield batch(schema, [np.full(len(ids), part, np.int32), step.column("doc_id"), starts, sizes, ids])
     return run
 
 

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from shardloom.llm.chunk_encoder import SPACES, cut_rule
-from shardloom.llm.common import arrow_schema, batch, id_and_text, single_threaded, staged, worker_state
+from shardloom.llm.common import (Grown, arrow_schema, batch, id_and_text, ragged, single_threaded, staged, sums, text_steps,
+                                  worker_state)
 
 STEP_BYTES = 4 << 20  # text aligned at a time
 GROUP_PAIRS = 2_000_000  # pairs of documents held by a group, unless one step of texts has more
@@ -53,37 +54,6 @@ def byte_of_char() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions start, start + 1, ... of every run."""
-    total = int(sizes.sum())
-    return np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-
-
-def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The sum of each run of values."""
-    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    ends = np.cumsum(sizes)
-    return upto[ends] - upto[ends - sizes]
-
-
-class Grown:
-    """An array that is appended to."""
-
-    def __init__(self, kind=np.int64):
-        self.held, self.n = np.zeros(1024, kind), 0
-
-    def extend(self, values: np.ndarray) -> None:
-        need = self.n + len(values)
-        if need > len(self.held):
-            self.held = np.concatenate([self.held, np.zeros(max(need, 2 * len(self.held)) - len(self.held), self.held.dtype)])
-        self.held[self.n:need] = values
-        self.n = need
-
-    @property
-    def view(self) -> np.ndarray:
-        return self.held[:self.n]
-
-
 class Vocabularies:
     """Both tokenizers, the bytes of their ids and the identity map."""
 
@@ -277,17 +247,6 @@ def _unpacked(data, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), kind) if size else np.zeros(0, kind)
 
 
-def _steps(rows: pa.RecordBatch):
-    """Slices of some ``STEP_BYTES`` of text."""
-    sizes = np.cumsum(pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-    cuts = np.unique(np.searchsorted(sizes, np.arange(STEP_BYTES, sizes[-1] + STEP_BYTES, STEP_BYTES), side="left") + 1)
-    at = 0
-    for cut in np.minimum(cuts, rows.num_rows).tolist():
-        if cut > at:
-            yield rows.slice(at, cut - at)
-            at = cut
-
-
 class Group:
     def __init__(self, gid: int):
         self.gid, self.ids, self.parts, self.n, self.held = gid, [], [], 0, 0
@@ -336,7 +295,7 @@ def _group_rows(byte_path: str, piece_path: str, group_pairs: int):
         vocabulary = len(pieces.words.a_bytes)
         group = Group(gid)
         for rows in batches:
-            for part in _steps(rows) if rows.num_rows else ():
+            for part in text_steps(rows, STEP_BYTES):
                 pieces.trim()
                 group.add(part.column("doc_id"), aligned(pieces, part.column("text")))
                 if group.held >= group_pairs:

@@ -20,12 +20,13 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shardloom.llm.chunk_encoder import ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, range_bounds, text_bytes, write_out
+from shardloom.llm.chunk_encoder import STEP_BYTES, ChunkEncoder
+from shardloom.llm.common import arrow_schema, batch, id_and_text, range_bounds, text_bytes, text_steps, write_out
 from shardloom.sources.storage import locate, replacing
 
 MAGIC = b"TOKIDX1\0"
 FILE_BYTES = 24 << 20  # text behind one part
+READ_TASKS = 100_000  # tasks that read parts; beyond, a task reads several, one after another
 ENCODED = "part int, doc_id long, ids binary"
 MANIFEST = "part int, docs long, tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -33,20 +34,15 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _encoder(tokenizer: str, end_id: int | None, bounds: np.ndarray, width: int):
     schema = arrow_schema(ENCODED)
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         encoder = ChunkEncoder.of_worker(tokenizer)
         for rows in batches:
-            ids = rows.column("doc_id")
-            keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(bounds, keys, side="right").astype(np.int32)
-            step = 500
-            for at in range(0, rows.num_rows, step):
-                coded = [c + end for c in encoder.encode_all(rows.column("text")[at:at + step].to_pylist())]
-                if width == 2:
-                    coded = [np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in coded]
-                yield batch(schema, [part[at:at + step], ids[at:at + step], coded])
+            for step in text_steps(rows, STEP_BYTES):
+                ids = step.column("doc_id")
+                keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                part = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+                yield batch(schema, [part, ids, encoder.encode_array(step.column("text"), end_id, width)[0]])
     return run
 
 
@@ -143,4 +139,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # One row a part: the running sum over them is the only ordering that no key divides.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return based.repartition(F.col("part")).mapInArrow(_reader(path), READ)
+    # By number, not by hash and not to be joined: as many tasks as parts, however small their rows here.
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    dealt = based.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+    return dealt.mapInArrow(_reader(path), READ)

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,7 +13,7 @@ import tiktoken
 from brute import digest, packed, token_stream
 from tokenizers import Tokenizer
 
-from shardloom.llm import byte_bpe, packing, token_counts, token_files
+from shardloom.llm import byte_bpe, chunk_encoder, packing, token_counts, token_files
 from shardloom.llm.chunk_encoder import ChunkEncoder, cut_rule
 from shardloom.session import fresh_dir
 
@@ -47,6 +48,27 @@ def test_pieces_join_to_whole_texts(path, odd_rows):
         assert encoder.encode(text) == packed(whole(text)), repr(text[:50])
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_memo_is_trimmed(path, monkeypatch, odd_rows):
+    texts = [r[1] or "" for r in odd_rows]
+    whole, encoder = library(path), ChunkEncoder(path)
+    monkeypatch.setattr(chunk_encoder, "MEMO", 10)
+    monkeypatch.setattr(chunk_encoder, "MEMO_CHARS", 5_000)
+    for _ in range(2):
+        for text in texts:
+            data, sizes = encoder.encode_array(pa.array([text, "", text]), 2)
+            ids = [*whole(text), 2]
+            assert data.to_pylist() == [packed(ids), packed([2]), packed(ids)] and sizes.tolist() == [len(ids), 1, len(ids)]
+    assert encoder.n < 20_000
+
+
+def test_parts_are_read_by_a_task_each(spark, documents):
+    path = fresh_dir(spark, "token-files")
+    token_files.write_token_files(documents, path, BYTES, file_bytes=10_000)
+    parts = spark.read.parquet(f"{path}/manifest").count()
+    assert parts > 16 and token_files.read_token_files(spark, path).rdd.getNumPartitions() == parts
+
+
 @pytest.mark.parametrize("given", GIVEN)
 def test_token_files(spark, request, given):
     frame, rows = rows_of(request, given)
