@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.llm import jaccard_join, packing, secret_scan, toxicity
 from shardloom.llm.catalog import repository, toxicity_model
+from shardloom.llm.common import staged
 from shardloom.session import fresh_dir
 
 NO_ID = -(1 << 63)
@@ -30,14 +31,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = jaccard_join.linked_components(docs, k=5, percent=80)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("kept_key")).distinct()
-    copies = Window.partitionBy("kept_key", "kept_hash").orderBy("lang", "source", "n_chars")
-    found = docs.withColumns({"kept_key": key, "kept_hash": F.xxhash64("text")}).join(kept, "kept_key", "left_semi")
-    return found.withColumn("kept_copy", F.row_number().over(copies)).filter("kept_copy = 1").select(*docs.columns)
+    ids = staged(linked.groupBy(key.alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "kept-ids")
+    # Only ids that go or are there several times are looked up; all other texts stay where they are.
+    special = ids.filter("not stays or n > 1").select("key", "stays")
+    if special.count() <= jaccard_join.SEND_IDS:
+        special = F.broadcast(special)
+    # A row is one column here, so whatever its columns are called, none of them is touched.
+    looked_up = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).join(special, "key", "left")
+    others = [F.col(f"row.{c}") for c in ("lang", "source", "n_chars") if c in docs.columns]
+    copies = Window.partitionBy("key", "digest").orderBy(*others, F.xxhash64("row"))
+    repeated = looked_up.filter("stays").withColumn("digest", F.sha2("row.text", 256)).withColumn(
+        "copy", F.row_number().over(copies)).filter("copy = 1")
+    return looked_up.filter("stays is null").select("row.*").union(repeated.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secret_scan.redact_live(docs, repository=repository(), owner=F.col("source"))
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -89,6 +89,17 @@ def test_every_stage(spark, folder):
             assert zlib.crc32(packed([*ids, 2])) == p.ids_crc32
 
 
+def test_clashing_columns_are_kept(spark, odd_rows):
+    """Columns under the names that a stage uses itself, and none of those it can do without."""
+    mine = "doc_id long, text string, kept_key string, key string, row string, copy string, stays string, digest string"
+    rows = [(r[0], r[1], *[f"{c}{r[0]}" for c in "abcdef"]) for r in odd_rows]
+    docs = spark.createDataFrame(rows, mine)
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = {r[0] for r in jaccard_components(odd_rows, 5, 80) if r[0] == r[2]}
+    assert Counter(map(tuple, got.collect())) == Counter({r: 1 for r in rows if r[0] in kept})
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
