@@ -89,6 +89,12 @@ def in_file_order(df: DataFrame, file: str, row: str) -> DataFrame:
     return df.orderBy(file, row)
 
 
+def with_file_rows(rows: DataFrame) -> DataFrame:
+    """Add the ``file`` a row is read from and its ``row`` number there, by Spark's hidden metadata columns: the order of a file
+    needs no column of its own, and holds for files of several row groups and for tasks that read a part of one."""
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def ratio_bounds(ratios: list[float], names: list[str]) -> list[tuple[str, float, float]]:
     total = float(sum(ratios))
     if total <= 0 or min(ratios) < 0 or len(ratios) != len(names):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
 from shardloom.functions.paths import is_shard_name, normalize_uri, sample_key, shard_name
@@ -23,6 +24,7 @@ from shardloom.operators.ordering import (
     shuffle_through_buffer,
     split_samples,
     split_shards,
+    with_file_rows,
     with_order,
     with_positions,
 )
@@ -31,7 +33,8 @@ from shardloom.plans import fixtures as fx
 from shardloom.plans.prepare import narrow
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir, stage
-from shardloom.sources.listing import count_per_file, last_file, list_parquet, size_capped_prefix
+from shardloom.sources.listing import count_per_file, file_status, last_file, list_parquet, size_capped_prefix
+from shardloom.sources.storage import locate
 
 IMAGE, TEXT = "image", "text"
 
@@ -249,6 +252,37 @@ def file_order(spark, sf_dir):
     return with_positions(range_buckets(rows, order), order).select(*order, "pos")
 
 
+@query("parquet_order", """SELECT doc_id, doc_id % 2 AS file_no, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id DESC) - 1 AS "row",
+  row_number() OVER (ORDER BY doc_id % 2, doc_id DESC) - 1 AS pos
+FROM documents""")
+def parquet_order(spark, sf_dir):
+    """The order of two files of several row groups each, odd ids in the second, from the greatest id down."""
+    path = fresh_dir(spark, "two-files")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    halves = docs.repartitionById(2, (F.col("doc_id") % 2).cast("int")).sortWithinPartitions(F.desc("doc_id"))
+    halves.write.option("parquet.block.size", 64 << 10).option("parquet.page.size", 8 << 10).parquet(path)
+    rows = with_file_rows(spark.read.parquet(path).select("doc_id"))
+    placed = with_positions(range_buckets(rows, ["file", "row"]), ["file", "row"])
+    return placed.select("doc_id", F.regexp_extract("file", "part-0*([0-9]+)-", 1).cast("long").alias("file_no"), "row", "pos")
+
+
+@query("file_status", """SELECT lang, 'ok' AS status, count(*) AS n_rows FROM documents WHERE lang <> 'de' GROUP BY lang
+UNION ALL SELECT 'de', 'damaged', NULL UNION ALL SELECT 'none', 'empty', 0""")
+def status_of_files(spark, sf_dir):
+    """A file per language, one of them cut, and one without rows: each has a line."""
+    path = fresh_dir(spark, "by-language")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs.repartition("lang").write.partitionBy("lang").parquet(path)
+    docs.limit(0).select("doc_id").coalesce(1).write.parquet(f"{path}/lang=none")
+    filesystem, base = locate(path)
+    cut = next(i.path for i in filesystem.get_file_info(FileSelector(f"{base}/lang=de")) if i.path.endswith(".parquet"))
+    with filesystem.open_input_stream(cut, compression=None) as stream:
+        data = stream.read()
+    with filesystem.open_output_stream(cut, compression=None) as stream:
+        stream.write(data[:len(data) // 2])
+    return file_status(spark, path).select(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), "status", "n_rows")
+
+
 BUFFER, RUN_ROWS = 40, 130
 
 SQL_RUNS = fx.SQL_ORDERED + f""",

@@ -28,7 +28,7 @@ from shardloom.plans.registry import query
 from shardloom.session import fresh_dir
 from shardloom.sources.chunks import item_size
 from shardloom.sources.indexed_tar import prepare_index, tar_sample_index
-from shardloom.sources.listing import list_shards
+from shardloom.sources.listing import damaged, list_shards
 from shardloom.sources.mds import header_of, shard_overhead
 from shardloom.sources.storage import locate, read_json
 
@@ -262,17 +262,26 @@ def indexed_tar_roundtrip(spark, sf_dir):
     return rows.select("worker", "pos", F.col("__key__").alias("key"), F.md5("image").alias("image_md5"), "caption")
 
 
-@query("tar_sample_index", f"""WITH RECURSIVE {ROLLED_OVERSHOOT},
+SAMPLE_INDEX = f"""WITH RECURSIVE {ROLLED_OVERSHOOT},
 sized_rows AS (SELECT shard, slot, sample_id, sz,
   1024 + (image_bytes + 511) // 512 * 512 + (text_bytes + 511) // 512 * 512 AS stored
   FROM rolled JOIN samples USING (sample_id))
 SELECT {TAR_NAME} AS shard, slot AS "row", 'train_' || lpad(sample_id::VARCHAR, 7, '0') AS key,
   (sum(stored) OVER w - stored)::BIGINT AS "begin", (sum(stored) OVER w)::BIGINT AS "end", sz AS payload_bytes
-FROM sized_rows WINDOW w AS (PARTITION BY shard ORDER BY slot ROWS UNBOUNDED PRECEDING)""")
+FROM sized_rows WINDOW w AS (PARTITION BY shard ORDER BY slot ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("tar_sample_index", SAMPLE_INDEX)
 def sample_index(spark, sf_dir):
     return tar_sample_index(spark, tar_set(spark, sf_dir))
 
 
+@query("written_sample_index", SAMPLE_INDEX)
+def sample_index_of_the_writer(spark, sf_dir):
+    """The same as its writer listed it, without a look into the shards."""
+    return tar_sample_index(spark, tar_set(spark, sf_dir, offsets=True))
+
+
 # Sets that are written in several jobs, some of which fail. Shards are cut by row count.
 def numbered(spark, sf_dir, rows_per_shard=fx.TAR_ROWS):
     payload = fx.samples(spark, sf_dir).select("sample_id", F.col("image").alias("jpg"), F.encode("text", "UTF-8").alias("txt"))
@@ -343,6 +352,35 @@ def overwrite_shards(spark, sf_dir):
 KEPT = "(raw + 1024 + 10239) // 10240 * 10240 // 2 // 512 * 512 - 100"
 
 
+def damaged_set(spark, sf_dir):
+    """A tar set whose last shard has lost its second half."""
+    path = tar_set(spark, sf_dir)
+    filesystem, base = locate(path)
+    last = read_json(filesystem, f"{base}/index.json")["shards"][-1]["file"]
+    with filesystem.open_input_stream(f"{base}/{last}", compression=None) as stream:
+        data = stream.read()
+    with filesystem.open_output_stream(f"{base}/{last}", compression=None) as stream:
+        stream.write(data[:len(data) // 2 // 512 * 512 - 100])
+    return path
+
+
+DAMAGED_SQL = f"""WITH RECURSIVE {ROLLED_OVERSHOOT},
+ends AS (SELECT shard, sum(1024 + (image_bytes + 511) // 512 * 512 + (text_bytes + 511) // 512 * 512)
+    OVER (PARTITION BY shard ORDER BY slot ROWS UNBOUNDED PRECEDING) AS "end" FROM rolled JOIN samples USING (sample_id)),
+totals AS (SELECT shard, max("end") AS raw FROM ends GROUP BY shard)
+SELECT {TAR_NAME} AS shard, count(*) FILTER ("end" <= {KEPT}) AS delivered, count(*) AS samples, TRUE AS has_reason
+FROM ends JOIN totals USING (shard) WHERE shard = (SELECT max(shard) FROM ends) GROUP BY shard"""
+
+
+@query("dropped_shards", DAMAGED_SQL)
+def dropped_shards(spark, sf_dir):
+    """What a read that drops damage says about what it dropped, beside its rows."""
+    report = fresh_dir(spark, "report")
+    rows = read_shards(spark, "tarshards", damaged_set(spark, sf_dir), mode="DROPMALFORMED", report=report)
+    rows.write.format("noop").mode("overwrite").save()
+    return damaged(spark, report).select("shard", "delivered", "samples", (F.length("reason") > 0).alias("has_reason"))
+
+
 @query("skip_corrupt_shards", f"""WITH RECURSIVE {ROLLED_OVERSHOOT},
 ends AS (SELECT shard, sum(1024 + (image_bytes + 511) // 512 * 512 + (text_bytes + 511) // 512 * 512)
     OVER (PARTITION BY shard ORDER BY slot ROWS UNBOUNDED PRECEDING) AS "end" FROM rolled JOIN samples USING (sample_id)),
@@ -351,13 +389,7 @@ SELECT {TAR_NAME} AS shard, count(*) FILTER (NOT damaged OR "end" <= {KEPT}) AS
 FROM ends JOIN totals USING (shard) GROUP BY shard""")
 def skip_corrupt_shards(spark, sf_dir):
     """The last shard loses its second half; what the three read modes deliver of the set."""
-    path = tar_set(spark, sf_dir)
-    filesystem, base = locate(path)
-    last = read_json(filesystem, f"{base}/index.json")["shards"][-1]["file"]
-    with filesystem.open_input_stream(f"{base}/{last}", compression=None) as stream:
-        data = stream.read()
-    with filesystem.open_output_stream(f"{base}/{last}", compression=None) as stream:
-        stream.write(data[:len(data) // 2 // 512 * 512 - 100])
+    path = damaged_set(spark, sf_dir)
     schema = "shard string, __key__ string, jpg binary, txt binary, _corrupt string"
     rows = read_shards(spark, "tarshards", path, schema, mode="PERMISSIVE")
     return rows.groupBy("shard").agg(F.count("__key__").alias("n_rows"), F.count("_corrupt").alias("n_corrupt"))

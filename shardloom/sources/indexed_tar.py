@@ -20,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from shardloom.operators.ordering import ratio_bounds
 from shardloom.session import qualified
 from shardloom.sources.shardfiles import in_batches, packed, wanted
-from shardloom.sources.storage import locate, read_json, replacing, write_json
-from shardloom.sources.tar import BLOCK, TarReader, WholeArchive, samples_of
+from shardloom.sources.storage import ForwardReader, locate, read_json, replacing, write_json
+from shardloom.sources.tar import BLOCK, SAMPLES, TarReader, WholeArchive, read_listing, samples_of
 
 META = ".meta"
 
@@ -46,13 +46,23 @@ def sample_offsets(stream):
 
 
 def shard_list(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """``shard, bytes`` of the tar files under a path, one row per partition's worth of work."""
+    """``shard, bytes, listed`` of the tar files under a path, one row per partition's worth of work."""
     path = qualified(spark, path)
     filesystem, base = locate(path)
     shards = TarReader({"path": path, **options}, None).list_shards(filesystem, base)
-    rows = [(s["file"], int(s["bytes"])) for s in shards]
+    rows = [(s["file"], int(s["bytes"]), s["file"].rpartition("/")[2] + SAMPLES in s.get("beside", [])) for s in shards]
     tasks = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(rows, "shard string, bytes long").repartition(tasks, "shard")
+    return spark.createDataFrame(rows, "shard string, bytes long, listed boolean").repartition(tasks, "shard")
+
+
+def samples_in(filesystem, path: str, listed: bool):
+    """(key, first byte, end byte, payload bytes) of a shard's samples: as its writer listed them, or out of its headers."""
+    if listed:
+        table = read_listing(filesystem, path + SAMPLES)
+        yield from zip(*(table.column(c).to_pylist() for c in ("key", "begin", "end", "payload_bytes")))
+        return
+    with filesystem.open_input_file(path) as source:
+        yield from sample_offsets(ForwardReader(source))
 
 
 def tar_sample_index(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -62,13 +72,12 @@ def tar_sample_index(spark: SparkSession, path: str, **options: str) -> DataFram
     def scan(batches):
         filesystem, base = locate(path)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                with filesystem.open_input_file(f"{base}/{shard}") as stream:
-                    rows = ((64, (shard, n, *sample)) for n, sample in enumerate(sample_offsets(stream)))
-                    for columns in in_batches(rows, ["shard", "row", "key", "begin", "end", "payload_bytes"], 100_000):
-                        yield pa.RecordBatch.from_pydict(columns)
+            for shard, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = ((64, (shard, n, *sample)) for n, sample in enumerate(samples_in(filesystem, f"{base}/{shard}", listed)))
+                for columns in in_batches(rows, ["shard", "row", "key", "begin", "end", "payload_bytes"], 100_000):
+                    yield pa.RecordBatch.from_pydict(columns)
 
-    return shard_list(spark, path, **options).select("shard").mapInArrow(
+    return shard_list(spark, path, **options).select("shard", "listed").mapInArrow(
         scan, "shard string, row long, key string, begin long, end long, payload_bytes long")
 
 
@@ -81,9 +90,8 @@ def prepare_index(spark: SparkSession, path: str, field_map: dict[str, str], rat
         filesystem, base = locate(path)
         for batch in batches:
             counts = []
-            for shard in batch.column(0).to_pylist():
-                with filesystem.open_input_file(f"{base}/{shard}") as stream:
-                    bounds = [(begin, end) for _, begin, end, _ in sample_offsets(stream)]
+            for shard, listed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                bounds = [(begin, end) for _, begin, end, _ in samples_in(filesystem, f"{base}/{shard}", listed)]
                 offsets = np.array([b for b, _ in bounds] + ([bounds[-1][1]] if bounds else [0]), dtype="<u8")
                 with replacing(filesystem, f"{base}/{shard}.idx") as out:
                     out.write(offsets.tobytes())
@@ -91,7 +99,7 @@ def prepare_index(spark: SparkSession, path: str, field_map: dict[str, str], rat
             yield pa.RecordBatch.from_pydict({"shard": batch.column(0), "bytes": batch.column(1),
                                               "samples": pa.array(counts, pa.int64())})
 
-    counted = (shard_list(spark, path, **options).select("shard", "bytes")
+    counted = (shard_list(spark, path, **options).select("shard", "bytes", "listed")
                .mapInArrow(index_shards, "shard string, bytes long, samples long").collect())
     shards = sorted(({"file": r.shard, "samples": r.samples, "bytes": r.bytes} for r in counted), key=lambda s: s["file"])
     for number, entry in enumerate(shards):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,6 +43,36 @@ def count_per_file(spark: SparkSession, *paths: str, skip_corrupt: bool = True)
         F.count(F.lit(1)).alias("n_rows"))
 
 
+def file_status(spark: SparkSession, path: str) -> DataFrame:
+    """``path, file, status, n_rows, reason`` of every listed parquet file: ``ok``, ``empty`` or ``damaged``. Footers are read in
+    tasks; damage is what the bytes are to blame for, while an error of the storage fails the task. Spark lists no files of no
+    bytes at all."""
+    def status_of(batches):
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                filesystem, inner = locate(name)
+                try:
+                    with filesystem.open_input_file(inner) as source:
+                        rows = pq.read_metadata(source).num_rows
+                    found.append(("ok" if rows else "empty", rows, None))
+                except pa.ArrowInvalid as error:
+                    found.append(("damaged", None, str(error).splitlines()[0]))
+            columns = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string())))],
+                ["path", "file", "status", "n_rows", "reason"])
+
+    listed = list_files(spark, qualified(spark, path), "*.parquet").select("path", F.col("name").alias("file"))
+    return listed.mapInArrow(status_of, "path string, file string, status string, n_rows long, reason string")
+
+
+def damaged(spark: SparkSession, report: str) -> DataFrame:
+    """``shard, delivered, samples, reason`` of the shards that reads with this ``report`` folder did not get whole."""
+    schema = "shard string, delivered long, samples long, reason string"
+    return spark.read.schema(schema).json(report) if exists(spark, report) else spark.createDataFrame([], schema)
+
+
 def dir_stats(spark: SparkSession, path: str) -> DataFrame:
     """Size in MB and number of files; zeros for a directory that is empty or absent."""
     if not exists(spark, path):

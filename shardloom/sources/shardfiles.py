@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
 
 from shardloom.sources import commits
 from shardloom.sources.commits import INDEX  # noqa: F401 - formats take it from here
-from shardloom.sources.storage import locate
+from shardloom.sources.storage import locate, write_json
 
 # What bytes that are not of their format raise. Storage raises OSError, which fails the task in every mode, so that Spark
 # tries it again: a lost connection, a refused credential or a missing file is no damage.
@@ -147,8 +147,10 @@ class ShardWriter(DataSourceArrowWriter):
             if len(kept) < len(self.indexed(previous)):
                 raise ValueError("shards of these numbers joined the set meanwhile; append under other numbers")
             entries = sorted(kept + entries, key=lambda e: e["file"])
-        commits.publish(filesystem, base, self.job, self.index(entries), files,
-                        [e["file"] for e in kept] if self.overwrite else [])
+        beside = lambda found: [name for e in found for name in (e["file"], *e.get("beside", []))]
+        new = beside(e for e in entries if e["file"] in set(files))
+        gone = set(beside(self.indexed(previous)) if previous is not None and self.overwrite else []) - set(new)
+        commits.publish(filesystem, base, self.job, self.index(entries), new, sorted(gone))
 
     def abort(self, messages) -> None:
         """The job's folder goes, with what any of its tasks wrote; the set is as it was."""
@@ -207,7 +209,8 @@ class ShardReader(DataSourceReader):
 
     With ``epoch`` (and ``seed``) shards are read in that epoch's order. With ``workers`` they are dealt to that many, a
     task each, or several of ``bytes_per_task`` where that is given; rows have their ``worker`` and their ``place`` in its
-    order. Filters on ``shard`` and ``worker`` are taken before work is planned.
+    order. Filters on ``shard`` and ``worker`` are taken before work is planned. ``report`` names a folder (on storage that all
+    tasks share) for a line about each shard that was not read whole, in all modes but ``FAILFAST``; see ``listing.damaged``.
     """
 
     def __init__(self, options: dict, schema):
@@ -296,10 +299,22 @@ class ShardReader(DataSourceReader):
             except DAMAGE as error:
                 if self.mode == "FAILFAST":
                     raise
+                if "report" in self.options:
+                    self.report(entry, delivered, error)
                 if self.mode == "PERMISSIVE" and "_corrupt" in arrow_schema.names:
                     yield batch({}, entry["file"], f"{type(error).__name__}: {error}")
 
 
+    def report(self, entry: dict, delivered: int, error: Exception) -> None:
+        """A file of its own for each damaged shard: a retry writes the same again."""
+        filesystem, folder = locate(self.options["report"])
+        filesystem.create_dir(folder, recursive=True)
+        name = hashlib.md5(entry["file"].encode()).hexdigest()
+        write_json(filesystem, f"{folder}/{name}.json", {
+            "shard": entry["file"], "delivered": delivered, "samples": entry.get("samples"),
+            "reason": f"{type(error).__name__}: {error}"}, indent=None)
+
+
 def in_batches(rows, names: list[str], max_rows: int = 2000, max_bytes: int = 32 << 20):
     """Group an iterator of (bytes, tuple) into column dicts, bounded by rows and by payload bytes."""
     held, size, source, damage = [], 0, iter(rows), None

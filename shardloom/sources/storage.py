@@ -8,6 +8,7 @@ import re
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 
@@ -52,9 +53,44 @@ def replacing(filesystem: pafs.FileSystem, path: str):
     filesystem.move(partial, path)
 
 
-def write_json(filesystem: pafs.FileSystem, path: str, content: dict) -> None:
+def write_json(filesystem: pafs.FileSystem, path: str, content: dict, indent: int | None = 1) -> None:
     with replacing(filesystem, path) as stream:
-        stream.write(json.dumps(content, sort_keys=True, indent=1).encode())
+        stream.write(json.dumps(content, sort_keys=True, indent=indent).encode())
+
+
+class ForwardReader(io.RawIOBase):
+    """A file that is read forwards with gaps, in blocks: what lies between two reads of one block costs no request, and a
+    gap beyond the block is skipped without being read."""
+
+    def __init__(self, source: pa.NativeFile, block: int = 1 << 18):
+        super().__init__()
+        self.source, self.block, self.length = source, block, source.size()
+        self.at = self.first = self.requests = 0
+        self.held = b""
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = offset + (0, self.at, self.length)[whence]
+        return self.at
+
+    def read(self, size: int = -1) -> bytes:
+        end = self.length if size is None or size < 0 else min(self.at + size, self.length)
+        if self.at >= end:
+            return b""
+        if not self.first <= self.at <= end <= self.first + len(self.held):
+            self.requests += 1
+            self.first, self.held = self.at, self.source.read_at(max(self.block, end - self.at), self.at)
+        data = bytes(self.held[self.at - self.first:end - self.first])
+        self.at += len(data)
+        return data
 
 
 def read_json(filesystem: pafs.FileSystem, path: str) -> dict | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tarfile
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.types import StringType
 
@@ -21,8 +22,13 @@ def member_header(name: str, size: int) -> bytes:
     return member.tobuf(tarfile.USTAR_FORMAT)
 
 
+SAMPLES = ".samples"  # the file beside a shard that lists its samples: key, begin, end, payload_bytes
+
+
 class TarShard:
-    def __init__(self, filesystem, path: str, parts: list[str], hashes: list[str]):
+    def __init__(self, filesystem, path: str, parts: list[str], hashes: list[str], listed: bool = False):
+        self.filesystem, self.path = filesystem, path
+        self.listing: list[tuple] | None = [] if listed else None
         self.context = replacing(filesystem, path)
         self.stream = self.context.__enter__()
         self.parts = parts
@@ -38,6 +44,7 @@ class TarShard:
     def add(self, batch) -> None:
         columns = batch.to_pydict()
         for i, key in enumerate(columns["__key__"]):
+            begin, before = self.size, self.payload
             for part in self.parts:
                 value = columns[part][i]
                 if value is None:
@@ -46,6 +53,8 @@ class TarShard:
                 padding = -len(data) % BLOCK
                 self.put(b"".join((member_header(f"{key}.{part}", len(data)), data, bytes(padding))))
                 self.payload += len(data)
+            if self.listing is not None and self.size > begin:
+                self.listing.append((key, begin, self.size, self.payload - before))
         self.samples += batch.num_rows
 
     def finish(self) -> dict:
@@ -53,8 +62,12 @@ class TarShard:
         self.put(bytes(2 * BLOCK))
         self.put(bytes(-self.size % RECORD))
         self.context.__exit__(None, None, None)
-        return {"samples": self.samples, "payload_bytes": self.payload, "bytes": self.size,
-                "hashes": {name: d.hexdigest() for name, d in self.digests.items()}}
+        entry = {"samples": self.samples, "payload_bytes": self.payload, "bytes": self.size,
+                 "hashes": {name: d.hexdigest() for name, d in self.digests.items()}}
+        if self.listing is not None:
+            write_listing(self.filesystem, self.path + SAMPLES, self.listing)
+            entry["beside"] = [self.path.rsplit("/", 1)[-1] + SAMPLES]
+        return entry
 
     def discard(self) -> None:
         error = RuntimeError("shard not finished")
@@ -64,6 +77,23 @@ class TarShard:
             pass
 
 
+def write_listing(filesystem, path: str, samples: list[tuple]) -> None:
+    keys, *numbers = zip(*samples) if samples else ((), (), (), ())
+    table = pa.table({"key": pa.array(keys, pa.string()), **{
+        name: pa.array(values, pa.int64()) for name, values in zip(("begin", "end", "payload_bytes"), numbers)}})
+    with replacing(filesystem, path) as stream:
+        held = pa.BufferOutputStream()
+        with pa.ipc.new_stream(held, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        stream.write(held.getvalue())
+
+
+def read_listing(filesystem, path: str) -> pa.Table:
+    """A shard's samples as its writer listed them: one request, whatever the shard's size."""
+    with filesystem.open_input_stream(path, compression=None) as stream:
+        return pa.ipc.open_stream(stream.read()).read_all()
+
+
 class TarWriter(ShardWriter):
     def __init__(self, options, schema, overwrite):
         super().__init__(options, schema, overwrite)
@@ -76,7 +106,7 @@ class TarWriter(ShardWriter):
         return f"{prefix}-{split}-{shard:06d}.tar"
 
     def open_shard(self, filesystem, path):
-        return TarShard(filesystem, path, self.parts, self.hashes)
+        return TarShard(filesystem, path, self.parts, self.hashes, self.options.get("offsets", "") == "true")
 
     def index(self, entries):
         return {"format": "tar", "version": 1, "parts": self.parts, "shards": entries}
@@ -129,7 +159,7 @@ class TarReader(ShardReader):
                 return None
             inner = folder[len(base):].lstrip("/")
             return [{"file": f"{inner}/{s['file']}" if inner else s["file"], "bytes": s["bytes"],
-                     "samples": s["samples"], "job": job} for s in index["shards"]]
+                     "samples": s["samples"], "job": job, "beside": s.get("beside", [])} for s in index["shards"]]
 
         found = indexed(base)
         if found is None:
@@ -164,7 +194,7 @@ class TarReader(ShardReader):
 
 
 class TarShards(ShardSource):
-    """``tarshards``: options path, prefix, split, hashes; columns ``__key__`` and one per member ending."""
+    """``tarshards``: options path, prefix, split, hashes, offsets (``true``: list each shard's samples beside it); columns ``__key__`` and one per member ending."""
 
     writer_class, reader_class = TarWriter, TarReader
 

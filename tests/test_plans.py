@@ -14,7 +14,7 @@ from shardloom.session import stage
 
 # Queries whose rows go through a Python kernel by design; all others stay in the JVM.
 KERNELS = {
-    "assign_join", "batched_scan_stats", "buffer_shuffle", "chunk_roundtrip", "indexed_tar_roundtrip", "mds_roundtrip",
+    "assign_join", "file_status", "written_sample_index", "batched_scan_stats", "buffer_shuffle", "chunk_roundtrip", "indexed_tar_roundtrip", "mds_roundtrip",
     "preprocess_pipeline", "preprocess_samples", "raster_normalize", "raster_resize", "raster_rgb", "reconcile", "shard_digest", "shard_fit",
     "shard_fit_oversized", "shard_manifest", "shard_small_rows", "shard_overshoot", "shard_per_writer", "skip_corrupt_shards",
     "stream_ingest_counts", "tar_roundtrip", "tar_sample_index",
