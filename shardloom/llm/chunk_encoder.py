@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from shardloom.llm.common import Grown, ragged, single_threaded, sums, worker_state
+from shardloom.llm.common import Grown, ragged, single_threaded, sums, without_cycles, worker_state
 
 # The code points with the Unicode property White_Space, as the body of a character class.
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -126,7 +126,8 @@ class ChunkEncoder:
     def encode_array(self, texts: pa.Array, end_id: int | None = None, width: int = 4) -> tuple[pa.Array, np.ndarray]:
         """Ids of each text, and ``end_id`` behind them, as little-endian unsigned integers of ``width`` bytes; and their number."""
         self.trim()
-        slots, pieces = self.cut(texts)
+        with without_cycles():
+            slots, pieces = self.cut(texts)
         lengths = self.sizes.view[slots]
         begins = (np.cumsum(self.sizes.view) - self.sizes.view)[slots]
         ids, sizes = self.ids.view[ragged(begins, lengths)], sums(lengths, pieces)
