@@ -24,7 +24,7 @@ from shardloom.llm.common import Grown, ragged, single_threaded, sums, without_c
 SPACES = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 SPACED = re.compile(f"[{SPACES}]\\Z")
-MEMO, MEMO_CHARS = 600_000, 32 << 20  # pieces and characters remembered by a worker, some 100 MB
+MEMO, MEMO_CHARS = 900_000, 32 << 20  # pieces and characters remembered by a worker, some 170 MB
 STEP_BYTES = 6 << 20  # text encoded at a time
 
 
