@@ -72,3 +72,33 @@ def log_metrics(logs: DataFrame, log: str = "log") -> DataFrame:
         epoch_time(text, 1).alias("epoch1_s"),
         epoch_time(text, 2).alias("epoch2_s"),
     )
+
+
+def line_metrics(lines: DataFrame) -> DataFrame:
+    """``log_metrics`` of logs that come as (file, start, line), as a table or as a stream.
+
+    No pattern reaches over a line end, so the first and the last match of a log are those of its first and last line with
+    one. State is one row a file, however long its log, and tasks add up their own lines before any shuffle.
+    """
+    line, start = F.col("line"), F.col("start")
+
+    def first(pattern):
+        found = F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+        return F.min_by(found, F.when(found.isNotNull(), start))
+
+    def last(pattern):
+        found = F.try_element_at(F.regexp_extract_all(line, F.lit(pattern), 1), F.lit(-1))
+        return F.max_by(found, F.when(found.isNotNull(), start))
+
+    pairs = {"throughput": (THROUGHPUT, "double"), "samples": (SAMPLES, "long"), "elapsed_s": (ELAPSED, "double")}
+    epochs = {f"epoch{n}_s": EPOCH_LINE.replace("([0-9]+)", str(n), 1) for n in (1, 2)}
+    found = lines.groupBy("file").agg(
+        *[first(patterns[0]).alias(f"first_{name}") for name, (patterns, _) in pairs.items()],
+        *[last(patterns[1]).alias(f"last_{name}") for name, (patterns, _) in pairs.items()],
+        first(FIRST_BATCH).alias("first_batch"), *[last(pattern).alias(name) for name, pattern in epochs.items()])
+    return found.select(
+        "file",
+        *[F.coalesce(F.nullif(f"first_{name}", F.lit("0")), f"last_{name}", F.lit("0")).try_cast(kind).alias(name)
+          for name, (_, kind) in pairs.items()],
+        F.coalesce("first_batch", F.lit("0")).try_cast("double").alias("time_to_first_batch"),
+        *[F.coalesce(F.col(name).try_cast("double"), F.lit(0.0)).alias(name) for name in epochs])

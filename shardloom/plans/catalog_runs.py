@@ -13,6 +13,7 @@ from shardloom.functions.text_metrics import (
     epoch_times,
     first_match,
     last_match,
+    line_metrics,
     log_metrics,
 )
 from shardloom.operators import runs
@@ -20,6 +21,7 @@ from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir
 from shardloom.sources.listing import dir_stats
+from shardloom.sources.loglines import log_lines
 
 CPUS, MEMORY = 16, 64 * 1024**3
 
@@ -77,6 +79,24 @@ def metrics_of_logs(spark, sf_dir):
     return log_metrics(fx.run_logs(spark, sf_dir))
 
 
+SQL_LOG_FILES = f"""WITH {fx.SQL_LOGS},
+files AS (SELECT event_id // {fx.LOGS_PER_FILE} AS run, string_agg(log, '' ORDER BY event_id) AS log FROM logs GROUP BY 1)
+SELECT 'run-' || run || '.log' AS file, {_sql_last(*THROUGHPUT)}::DOUBLE AS throughput,
+  {_sql_last(*SAMPLES)}::BIGINT AS samples,
+  coalesce(regexp_extract_all(log, 'Processed [0-9]+ samples in ([0-9.]+)s', 1)[-1], '0')::DOUBLE AS elapsed_s,
+  coalesce(nullif(regexp_extract(log, 'Time to first batch: ([0-9.]+)s', 1), ''), '0')::DOUBLE AS time_to_first_batch,
+  {SQL_EPOCH_TIME.format(n=1)} AS epoch1_s, {SQL_EPOCH_TIME.format(n=2)} AS epoch2_s
+FROM files"""
+
+
+@query("log_files", SQL_LOG_FILES)
+def log_files(spark, sf_dir):
+    """Files of many runs' logs, cut into tasks of 20 kB."""
+    path = fresh_dir(spark, "logs")
+    fx.write_log_files(spark, sf_dir, path)
+    return line_metrics(log_lines(spark, path, bytes_per_task="20000"))
+
+
 SQL_EPOCHS = fx.SQL_BATCHES + """,
 timed AS (SELECT *, ((epoch - 1) * 1296000)::DOUBLE AS start_ts FROM batches),
 per_epoch AS (SELECT run, epoch, sum(samples)::BIGINT AS samples, max(ts) - min(start_ts) AS elapsed_s,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
+from shardloom.functions.text_metrics import line_metrics
 from shardloom.plans import fixtures as fx
+from shardloom.plans.catalog_runs import SQL_LOG_FILES
 from shardloom.plans.prepare import read_shards
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir
+from shardloom.sources.loglines import growing_lines
 from shardloom.streaming.ingest import arriving, shard_batches
 from shardloom.streaming.metrics import resource_windows, running_peak
 from shardloom.streaming.sinks import finish, latest, start, versions
@@ -56,3 +59,14 @@ def stream_ingest_counts(spark, sf_dir):
     written = read_shards(spark, "tarshards", path)
     return written.groupBy(F.decode("txt", "UTF-8").alias("text")).agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum(F.octet_length("jpg")).alias("n_bytes"))
+
+
+@query("stream_log_files", SQL_LOG_FILES)
+def stream_log_files(spark, sf_dir):
+    """Logs that grow: their first third, cut anywhere, then two thirds, then all, each by a run from the same checkpoint."""
+    logs, path, checkpoint = (fresh_dir(spark, label) for label in ("logs", "log-metrics", "log-state"))
+    for share in (1 / 3, 2 / 3, 1.0):
+        fx.write_log_files(spark, sf_dir, logs, share)
+        metrics = line_metrics(growing_lines(spark, logs))
+        finish(start(metrics, versions(path), checkpoint, "update", available_now=True))
+    return latest(spark, path, ["file"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shardloom.sources.storage import locate, replacing
+
 SEED = 42
 # Limits scaled to the given tables: most documents fit many to a shard, and a few fill half of one.
 TAR_BYTES, TAR_ROWS = 131_072, 50
@@ -115,6 +117,27 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(""))).alias("log"))
 
 
+LOGS_PER_FILE = 500
+
+
+def write_log_files(spark: SparkSession, sf_dir: str, path: str, share: float = 1.0) -> None:
+    """A file for every 500 runs, with its logs one after another, or its first bytes. A repeated task writes the same file."""
+    run = F.call_function("div", F.col("event_id"), F.lit(LOGS_PER_FILE))
+    logs = F.array_sort(F.collect_list(F.struct("event_id", "log")))
+    whole = run_logs(spark, sf_dir).groupBy(run.alias("run")).agg(
+        F.array_join(F.transform(logs, lambda s: s["log"]), "").alias("log"))
+
+    def put(rows):
+        filesystem, base = locate(path)
+        filesystem.create_dir(base, recursive=True)
+        for row in rows:
+            content = row.log.encode()
+            with replacing(filesystem, f"{base}/run-{row.run}.log") as out:
+                out.write(content[:int(len(content) * share)])
+
+    whole.foreachPartition(put)
+
+
 def stage_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One preparation log per order; an earlier label contains the one that is asked for."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
