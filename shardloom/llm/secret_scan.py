@@ -1,14 +1,18 @@
 """Secrets by pattern, told apart by who owns them across the corpus. DataFrame functions only.
 
 Candidates come from three patterns. The hash of each candidate's value is aggregated over the corpus by distinct
-repositories and distinct owners. A value that many owners hold is a copied example; a value that few owners hold and
-that has enough different characters looks live; the rest is weak. Live values add spans of their own kind.
+repositories and distinct owners. A value that more than ``MAX_OWNERS`` owners hold, or that is in more than
+``MAX_REPOSITORIES`` repositories of however few owners, is a copied example. Of the rest, a value of enough different
+characters looks live: ``MIN_DIFFERENT``, or three quarters of a shorter value that mixes letters and digits. What is
+neither is weak. Live values add spans of their own kind.
 
 Positions come without Python: splitting a text at its matches gives the gaps, and running sums over gaps and matches
 give starts and ends, in code points. Only texts with a match are exploded, and a running sum is within one text.
 
-Null texts are empty and have no spans; null repositories or owners count as one unnamed one. Repeated rows are rows of
-their own and own nothing twice. A value in a third of all rows is pre-aggregated per task before any shuffle.
+Null texts are empty and have no spans; null repositories or owners count as one unnamed one. Null ids are ids like any
+other. Repeated rows are rows of their own and own nothing twice. Very long texts are read whole: one match is one row, and a
+running sum is as long as one text's matches. A value in a third of all rows is pre-aggregated per task before any shuffle.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ PATTERNS = {
 VALUE_GROUP = {"assign": 2, "access": 0, "hex": 0}
 LEAST = {"assign": 6, "access": 20, "hex": 24}  # characters of a value
 MAX_OWNERS = 2  # beyond, a value is a copied example
+MAX_REPOSITORIES = 4  # the same, however few own them
 MIN_DIFFERENT = 8  # different characters of a live value
+SHORT_SHARE = 0.75  # of a shorter value's characters
 KINDS = [*PATTERNS, "live"]
 
 
@@ -81,10 +87,14 @@ def ownership(found: DataFrame) -> DataFrame:
         F.count_distinct("owner").alias("n_owners"))
 
 
-def judged(found: DataFrame, max_owners: int = MAX_OWNERS, min_different: int = MIN_DIFFERENT) -> DataFrame:
+def judged(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
+           min_different: int = MIN_DIFFERENT) -> DataFrame:
     """The spans with their ownership and verdict: copied, live or weak."""
     different = F.size(F.array_distinct(F.split("value", "")))
-    verdict = F.when(F.col("n_owners") > max_owners, "copied").when(different >= min_different, "live").otherwise("weak")
+    mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
+    live = (different >= min_different) | (mixed & (different >= F.ceil(F.length("value") * SHORT_SHARE)))
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)
+    verdict = F.when(copied, "copied").when(live, "live").otherwise("weak")
     return found.join(ownership(found), "value_hash").withColumn("verdict", verdict)
 
 
@@ -97,7 +107,10 @@ def _joined(kinds: Column) -> Column:
 
 def scan_documents(docs: DataFrame, id_col="doc_id", text_col="text", repository: Column | None = None,
                    owner: Column | None = None) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_repositories, most_owners.
+
+    The last two are of the text's most widely held value, 0 without one.
+    """
     rows = candidates(docs, id_col, text_col, repository, owner)
     base = F.struct("start", "kind", "end")
     live = F.when(F.col("verdict") == "live", F.struct(
@@ -107,14 +120,15 @@ def scan_documents(docs: DataFrame, id_col="doc_id", text_col="text", repository
     per_row = judged(spans(rows)).groupBy("row").agg(
         *[count(F.col("kind") == KINDS.index(k)).alias(f"n_{k}") for k in PATTERNS],
         F.array_sort(F.collect_list(base)).alias("base"), F.array_distinct(F.collect_list(live)).alias("live"),
-        count(F.col("verdict") == "live").alias("n_live"), count(F.col("verdict") == "copied").alias("n_copied"))
+        count(F.col("verdict") == "live").alias("n_live"), count(F.col("verdict") == "copied").alias("n_copied"),
+        F.max("n_repositories").alias("most_repositories"), F.max("n_owners").alias("most_owners"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     out = rows.select("row", "doc_id").join(per_row, "row", "left").withColumn("base", F.coalesce("base", empty))
     everything = F.array_sort(F.concat("base", F.coalesce("live", empty)))
     return out.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in PATTERNS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(everything).alias("spans"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied")])
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied", "most_repositories", "most_owners")])
 
 
 def redact_live(docs: DataFrame, id_col="doc_id", text_col="text", repository: Column | None = None,

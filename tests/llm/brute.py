@@ -56,6 +56,27 @@ def base_spans(text):
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
 
 
+def live_spans(rows, owner, repository):
+    """Per row the (start, end, value) that few hold and that looks live; ``owner`` and ``repository`` are of a row."""
+    held, per_row = {}, []
+    for r in rows:
+        text = r[1] or ""
+        found = [(m.start(2), m.end(2), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        per_row.append(found)
+        for _, _, v in found:
+            owners, repositories = held.setdefault(v, (set(), set()))
+            owners.add(owner(r) or "")
+            repositories.add(repository(r) or "")
+
+    def live(v):
+        few = len(held[v][0]) <= 2 and len(held[v][1]) <= 4
+        mixed = re.search("[A-Za-z]", v) and re.search("[0-9]", v)
+        return few and (len(set(v)) >= 8 or mixed and 4 * len(set(v)) >= 3 * len(v))
+    return [{s for s in found if live(s[2])} for found in per_row]
+
+
 def shingles(text, k):
     w = words(text)
     if not w:

@@ -2,10 +2,11 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from brute import base_spans, digest, edited, jaccard_components, language_model, remainder, shingles, winnow
+from brute import base_spans, digest, edited, jaccard_components, language_model, live_spans, remainder, shingles, winnow
 from pyspark.sql import functions as F
 
 from shardloom.llm import backoff_lm, jaccard_join, secret_scan, winnowing
@@ -32,6 +33,10 @@ def test_secret_spans(request, given):
         expected.append((r[0], *[kinds.count(k) for k in ("assign", "access", "hex")], digest(",".join(spans).encode())))
     found = secret_scan.scan_documents(frame, repository=F.col("lang"), owner=F.col("source")).collect()
     assert sortable([tuple(r)[:5] for r in found]) == sortable(expected)
+    live = live_spans(rows, lambda r: r[3], lambda r: r[2])
+    assert any(live) or given == "documents"
+    assert Counter((r.doc_id, tuple(s for s in r.spans.split(",") if s.startswith("live"))) for r in found) == Counter(
+        (r[0], tuple(f"live:{a}:{b}" for a, b, _ in sorted(of))) for r, of in zip(rows, live))
     for r in found:
         spans = r.spans.split(",") if r.spans else []
         assert digest(",".join(s for s in spans if not s.startswith("live")).encode()) == r.base_sha256
@@ -61,6 +66,20 @@ def test_ownership_parts_copied_from_live(spark):
     assert redacted == {r[0]: r[1].replace(live, "[secret]") for r in rows}
 
 
+def test_repositories_and_short_values(spark):
+    everywhere, some, short, word, poor = "wideKey0987654321", "someKey0987654321", "a1b2c3", "orange", "aaaa11"
+    rows = [(i, f"token={everywhere}", "owner", f"repo{i}") for i in range(5)]
+    rows += [(10 + i, f"token={some}", "owner", f"repo{i}") for i in range(4)]
+    rows += [(20, f"password={short} secret={word} token={poor}", "owner", "repo0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    spans = secret_scan.spans(secret_scan.candidates(frame, repository=F.col("repo"), owner=F.col("owner")))
+    assert {r.value: r.verdict for r in secret_scan.judged(spans).collect()} == {
+        everywhere: "copied", some: "live", short: "live", word: "weak", poor: "weak"}
+    found = {r.doc_id: r for r in secret_scan.scan_documents(frame, repository=F.col("repo"), owner=F.col("owner")).collect()}
+    assert (found[0].most_repositories, found[0].most_owners, found[0].n_copied, found[10].n_live) == (5, 1, 1, 1)
+    assert found[20].spans.count("live") == 1
+
+
 def test_secret_plan_is_native(spark, odd):
     plan = secret_scan.scan_documents(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

@@ -2,12 +2,12 @@
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from brute import ASSIGN, jaccard_components, packed
+from brute import jaccard_components, live_spans, packed
 from tokenizers import Tokenizer
 
 from shardloom.llm import catalog
@@ -16,17 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def live_values(rows):
-    """Values of at most two sources with eight different characters, per text."""
-    owners, per_row = defaultdict(set), []
-    for r in rows:
-        text = r[1] or ""
-        found = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        found += [m for m in re.findall("AKIA[A-Z0-9]+", text) if len(m) >= 20]
-        found += [m for m in re.findall("[0-9a-f]+", text) if len(m) >= 24]
-        per_row.append(found)
-        for v in found:
-            owners[v].add(r[3])
-    return [{v for v in found if len(owners[v]) <= 2 and len(set(v)) >= 8} for found in per_row]
+    """Values that look live, per text; sources own them, and a source's languages are its repositories."""
+    of = lambda r: "/".join(c for c in (r[3], r[2]) if c is not None)
+    return [{v for _, _, v in found} for found in live_spans(rows, lambda r: r[3], of)]
 
 
 @pytest.fixture(scope="module")
