@@ -43,7 +43,8 @@ BLOCK = 2048  # points of a key that one task holds twice at most
 BOUND_BYTES = 16 << 20  # of points whose minima are taken at once
 MEMO = 1_000_000  # word hashes that a task remembers
 SEND_IDS = 2_000_000  # ids (8 bytes each) broadcast to pick texts; beyond, a join by id
-POINTS = "set_id long, n int, counts binary, keys array<long>"
+FEW_BITS = 20  # a key that fewer than 2^20 shingles can be is dealt once, so its postings take some 25 MB in one task
+POINTS = "set_id long, n int, counts binary, keys array<long>, few int"
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -149,9 +150,11 @@ def _locate(k: int, percent: int, levels):
                 if name is None or name in done:
                     continue
                 done.add(name)
-                order = np.lexsort((members, level[(members >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]))
+                levels_of = level[(members >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+                order = np.lexsort((members, levels_of))
                 first = order[:n + (-percent * n // 100) + 1]
-                out.append((name, n, group_counts(members).tobytes(), members[first].view(np.int64)))
+                few = int(np.searchsorted(levels_of[first], FEW_BITS, side="right"))
+                out.append((name, n, group_counts(members).tobytes(), members[first].view(np.int64), few))
             if out:
                 yield batch(schema, [list(c) for c in zip(*out)])
     return run
@@ -369,6 +372,22 @@ def across_components(members: DataFrame, points: DataFrame, percent: int, tasks
     return trees.union(twos).distinct()
 
 
+def shared_postings(points: DataFrame) -> DataFrame:
+    """(key, set_id, n) of the keys that several points have. points: set_id, n, keys, of which the first ``few`` are few.
+
+    All postings of a key of few meet in one exchange, where a window that spills tells whether they differ. What may be
+    a frequent key is told by an aggregate that adds up before its shuffle, and joined, where Spark can split it.
+    """
+    each = lambda keys: points.select(F.explode(keys).alias("key"), "set_id", "n")
+    same = Window.partitionBy("key")
+    few = each(F.slice("keys", F.lit(1), F.col("few"))).withColumn("least", F.min("set_id").over(same)).withColumn(
+        "greatest", F.max("set_id").over(same)).filter("least != greatest").select("key", "set_id", "n").distinct()
+    many = each(F.slice("keys", F.col("few") + 1, F.size("keys")))
+    shared = many.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("greatest")).filter(
+        "least != greatest").select("key")
+    return few.union(many.join(shared, "key").distinct())
+
+
 def hub_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b), a below b, of the points of crowded keys with their hubs.
 
@@ -416,11 +435,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     described = everything.filter("slice is null").select("doc_id", "n", "set_id")
     levels = spark.sparkContext.broadcast(shingle_levels(everything))
     points = staged(rows.select("text").mapInArrow(_locate(k, percent, levels), POINTS), "points")
-    once = points.select("set_id", "n", "counts").dropDuplicates(["set_id"])
-    postings = points.select(F.explode("keys").alias("key"), "set_id", "n")
-    shared = postings.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("greatest")).filter(
-        "least != greatest").select("key")
-    members = staged(without_twins(staged(postings.join(shared, "key").distinct(), "postings")), "members")
+    members = staged(without_twins(staged(shared_postings(points), "postings")), "members")
+    # Only points that share a key are compared.
+    once = staged(points.select("set_id", "n", "counts").join(members.select("set_id").distinct(), "set_id", "left_semi")
+                  .dropDuplicates(["set_id"]), "sharing")
     tried = staged(bounded(hub_pairs(members), once, percent), "hubs-tried")
     edges = verified(tried, rows, described, k, percent)
     first = components(edges)

@@ -186,6 +186,30 @@ def test_jaccard_components(request, given, k, percent):
     assert sortable(map(tuple, found)) == sortable(jaccard_components(rows, k, percent))
 
 
+@pytest.mark.parametrize("few_bits", [-1, 2, 20])
+def test_frequent_keys_lose_no_link(spark, document_rows, documents, few_bits, monkeypatch):
+    """Whatever counts as a frequent key, the postings of all shared keys are found, and so are the components."""
+    monkeypatch.setattr(jaccard_join, "FEW_BITS", few_bits)
+    rows = [(1, 10, [5, 7, 9], 3), (2, 11, [5, 7], 1), (3, 12, [7, 8], 0), (3, 12, [7, 8], 1), (4, 13, [], 0), (5, 14, [6], 1)]
+    points = spark.createDataFrame(rows, "set_id long, n int, keys array<long>, few int").withColumn(
+        "few", F.when(F.lit(few_bits == 20), F.size("keys")).when(F.lit(few_bits == -1), 0).otherwise(F.least(F.size("keys"), F.lit(1))))
+    # Where few keys come first, one key is on one side for all points: 5, 6 and 8 here, as their shingles are rarer.
+    if few_bits == 2:
+        points = points.withColumn("keys", F.expr("filter(keys, k -> k in (5, 6, 8))")).withColumn("few", F.size("keys")).union(
+            points.withColumn("keys", F.expr("filter(keys, k -> k in (7, 9))")).withColumn("few", F.lit(0)))
+    assert sorted(map(tuple, jaccard_join.shared_postings(points).collect())) == [
+        (5, 1, 10), (5, 2, 11), (7, 1, 10), (7, 2, 11), (7, 3, 12)]
+    found = jaccard_join.linked_components(documents, k=4, percent=85).collect()
+    assert sortable(map(tuple, found)) == sortable(jaccard_components(document_rows, 4, 85))
+
+
+def test_few_keys_are_dealt_once(spark, documents):
+    points = documents.select(F.col("doc_id").alias("set_id"), F.lit(1).alias("n"), F.array("doc_id").alias("keys"), F.lit(1).alias("few"))
+    plan = jaccard_join.shared_postings(points)._jdf.queryExecution().executedPlan().toString()
+    few = plan.split("\n   +- ", 1)[0]  # the first side of the union
+    assert "Window" in few and few.count("Exchange hashpartitioning(key") == 1
+
+
 def test_jaccard_chains_and_common_words(spark):
     """Groups of near copies, chains whose ends are not linked, and passages that many share."""
     generator = random.Random(3)
