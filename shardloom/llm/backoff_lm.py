@@ -1,15 +1,20 @@
 """Language-model scores by a weighted backoff automaton over corpus counts.
 
-The model is a bigram model with Dirichlet smoothing towards smoothed unigrams. As an automaton: a state per word and one
-for the start of a text; a counted bigram is an arc, weighted ``log10((c(v,w) + B p(w)) / (c(v) + B))``; any other word
-takes the failure arc of ``v``, weighted ``log10(B / (c(v) + B))``, to the root, whose arcs weigh ``log10 p(w)``. The
-weights out of a state sum to one over the vocabulary and one unknown word. A text is read once from left to right: the
-state is the last word, and the weights of the arcs taken add up.
+The model is a trigram model with Dirichlet smoothing towards bigrams, and those towards smoothed unigrams. As an
+automaton: a state per counted pair of words, a state per word and one for the start of a text, and the root. With
+``h`` the words of a state and ``g`` those without the first, a counted n-gram is an arc, weighted
+``log10((c(h,w) + B p(w|g)) / (c(h) + B))``; any other word takes the failure arc of ``h``, weighted
+``log10(B / (c(h) + B))``, to the state ``g``, and from there an arc or the next failure arc, down to the root, whose arcs
+weigh ``log10 p(w)``. The weights out of a state sum to one over the vocabulary and one unknown word. A text is read once
+from left to right: the state is the last two words, or the last one where the pair was never counted, and the weights of
+the arcs taken add up.
 
 Counts are corpus-wide, and neither they nor the automaton are ever in one place. Documents are read in groups of some
 ``GROUP`` bytes, a group being one packed row: its own vocabulary and its texts as numbers in it. Each group sends its
 distinct n-grams, by 64-bit hash, with its own counts to ranges of the hash space (however frequent a word is, a group
-sends it once). A range adds up and answers every group in the order in which it asked, so answers need no keys. A group
+sends it once). A range adds up and answers every group in the order in which it asked, so answers need no keys. Words
+and pairs are asked for first, and answers say which pairs no other group holds: a trigram with such a pair in it is in no
+other group either, so its own counts are whole and only the other trigrams are asked for, in a second round. A group
 with its answers holds the part of the automaton that its own texts can reach, and scores them.
 
 Words are split at ASCII white space after lower-casing A-Z; the end of a text is a token. Null texts are empty and have
@@ -27,14 +32,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.llm.common import arrow_schema, batch, id_and_text, staged
 
-GROUP = 32 << 20
+GROUP = 20 << 20
 RANGE_TOKENS = 2_000_000  # tokens behind one range of the hash space
 ADD = 0.1  # fixed value: what the base adds to each unigram count
-PULL = 20.0  # B: how many counts the unigrams weigh in each state
+PULL = 100.0, 5.0  # B: how many counts the shorter history weighs in a state of one word, of two
 END, START = b"", b"\n"  # no word is empty or holds white space
 GROUPS = "gid long, n_tokens long, n_train long, ids binary, nulls binary, held binary, sizes binary, stream binary, hashes binary"
-ASKED = "range int, gid long, kind int, keys binary, counts binary"
-ANSWERS = "gid long, kind int, range int, types long, counts binary"
+ASKED = "range int, gid long, kind int, keys binary, counts binary"  # kind: words, pairs, trigrams
+ANSWERS = "gid long, kind int, range int, types long, counts binary, alone binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +54,24 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), kind) if size else np.zeros(0, kind)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes as differences, bytes of equal weight together: the high ones are zero and compress."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T.reshape(-1))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    planes = _unpacked(data, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, from those of their histories and last words."""
+    with np.errstate(over="ignore"):
+        mixed = (history * MIX) ^ word
+        return (mixed ^ (mixed >> np.uint64(31))) * MIX
+
+
 def _group_rows(batches):
     """Documents to packed groups."""
     schema = arrow_schema(GROUPS)
@@ -105,17 +128,35 @@ class Group:
 
     def bigrams(self):
         """Hashes of the distinct bigrams, ascending, and which of them each token ends."""
-        with np.errstate(over="ignore"):
-            mixed = (self.hashes[self.states] * MIX) ^ self.hashes[self.stream]
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * MIX
-        return np.unique(mixed, return_inverse=True)
+        pairs, which = np.unique(_mixed(self.hashes[self.states], self.hashes[self.stream]), return_inverse=True)
+        return pairs, which.astype(np.int32)
+
+    def trigrams(self, pairs: np.ndarray, which: np.ndarray):
+        """Hashes of the distinct trigrams, ascending, the pairs that each begins and ends with, the tokens that end a
+        trigram, and which one each of these ends. The first token of a text ends none."""
+        inner = np.ones(len(self.stream), dtype=bool)
+        inner[self.starts] = False
+        at = np.flatnonzero(inner)
+        triples, first, whose = np.unique(_mixed(pairs[which[at - 1]], self.hashes[self.stream[at]]), return_index=True,
+                                          return_inverse=True)
+        first = at[first]
+        return triples, which[first - 1], which[first], at, whose.astype(np.int32)
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
+def _questions(schema, ranges: int, gid: int, kind: int, keys: np.ndarray, counts: np.ndarray):
+    """A row per range that some of the ascending keys are in."""
+    cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[r], cuts[r + 1]
+        yield batch(schema, [[r], [gid], [kind], [_packed_keys(keys[a:b])], [_packed(counts[a:b].astype("<u4"))]])
+
+
 def _asker(ranges: int):
+    """Groups to their questions about words and pairs."""
     schema = arrow_schema(ASKED)
 
     def run(batches):
@@ -124,15 +165,41 @@ def _asker(ranges: int):
                 group = Group(row)
                 order, words = group.unigrams()
                 counts = np.bincount(group.stream[group.train], minlength=len(order))[order]
+                yield from _questions(schema, ranges, row["gid"], 0, words, counts)
                 pairs, which = group.bigrams()
-                pair_counts = np.bincount(which[group.train], minlength=len(pairs))
-                for kind, keys, count in ((0, words, counts), (1, pairs, pair_counts)):
-                    cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
-                    for r in range(ranges):
-                        a, b = cuts[r], cuts[r + 1]
-                        if a < b:
-                            yield batch(schema, [[r], [row["gid"]], [kind], [keys[a:b].tobytes()],
-                                                 [_packed(count[a:b].astype("<u4"))]])
+                yield from _questions(schema, ranges, row["gid"], 1, pairs,
+                                      np.bincount(which[group.train], minlength=len(pairs)))
+    return run
+
+
+def _told(answers: pa.Table, column: str, kind: int, dtype: str) -> np.ndarray:
+    """A group's answers of a kind, in the order in which it asked."""
+    rows = sorted((r, i) for i, (k, r) in enumerate(zip(answers["kind"].to_pylist(), answers["range"].to_pylist()))
+                  if k == kind)
+    parts = [_unpacked(answers[column][i].as_py(), dtype) for _, i in rows]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def _shared(alone: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which trigrams other groups may hold: those of two pairs that are not this group's alone."""
+    return (alone[begin] == 0) & (alone[end] == 0)
+
+
+def _second_asker(ranges: int):
+    """Groups and which of their pairs are theirs alone, to their questions about trigrams."""
+    schema = arrow_schema(ASKED)
+
+    def run(key, groups, answers):
+        if not groups.num_rows:
+            return schema.empty_table()
+        row = groups.to_pylist()[0]
+        group = Group(row)
+        pairs, which = group.bigrams()
+        triples, begin, end, at, whose = group.trigrams(pairs, which)
+        ask = _shared(_told(answers, "alone", 1, "u1"), begin, end)
+        counts = np.bincount(whose[group.train[at]], minlength=len(triples))
+        asked = list(_questions(schema, ranges, row["gid"], 2, triples[ask], counts[ask]))
+        return pa.Table.from_batches(asked, schema)
     return run
 
 
@@ -140,40 +207,61 @@ def _answer(key, table):
     """Corpus counts of a range's n-grams, to every group in the order in which it asked."""
     schema = arrow_schema(ANSWERS)
     out = []
-    for kind in (0, 1):
+    for kind in (0, 1, 2):
         rows = table.filter(pa.compute.equal(table["kind"], kind))
         if not rows.num_rows:
             continue
-        keys = [np.frombuffer(k.as_buffer(), "<u8") for k in rows["keys"]]
+        keys = [_unpacked_keys(k.as_py()) for k in rows["keys"]]
         counts = np.concatenate([_unpacked(c.as_py(), "<u4") for c in rows["counts"]])
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(which, weights=counts, minlength=len(distinct)).astype("<u8")
+        alone = (np.bincount(which) == 1).astype(np.uint8)
         at = 0
         for i, (gid, own) in enumerate(zip(rows["gid"].to_pylist(), keys)):
             # The range's types are told once.
             types = int((total > 0).sum()) if i == 0 else 0
-            out.append((gid, kind, int(key[0].as_py()), types, _packed(total[which[at:at + len(own)]])))
+            out.append((gid, kind, int(key[0].as_py()), types, _packed(total[which[at:at + len(own)]]),
+                        _packed(alone[which[at:at + len(own)]])))
             at += len(own)
     return pa.Table.from_batches([batch(schema, [list(c) for c in zip(*out)])])
 
 
 class Automaton:
-    """The states and arcs that one group's texts can reach."""
+    """The states and arcs that one group's texts can reach: words by number, pairs by theirs."""
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, tokens: int, types: int, starts: int):
         total = tokens + ADD * (types + 1)
-        self.root = np.log10((words + ADD) / total)  # arcs of the root, by word
-        context = words.astype(np.float64)
-        context[1] = starts
-        self.context, self.pairs, self.unigram = context, pairs, (words + ADD) / total
-        self.failure = np.log10(PULL / (context + PULL))  # by state
-
-    def run(self, group: Group, which: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability, reading from left to right."""
-        state, word = group.states, group.stream
-        counted = self.pairs[which] > 0
-        arc = np.log10((self.pairs[which] + PULL * self.unigram[word]) / (self.context[state] + PULL))
-        return np.where(counted, arc, self.failure[state] + self.root[word])
+        self.unigram = (words + ADD) / total
+        self.root = np.log10(self.unigram)  # arcs of the root, by word
+        self.context = words.astype(np.float64)
+        self.context[1] = starts
+        self.pairs = pairs  # counts of pairs: of arcs out of a word's state, and of the states of two words
+        self.failure = np.log10(PULL[0] / (self.context + PULL[0]))  # by word's state
+        self.pair_failure = np.log10(PULL[1] / (pairs + PULL[1]))  # by pair's state
+
+    def run(self, group: Group, which: np.ndarray, at: np.ndarray, triples: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability, reading from left to right; ``triples`` counts the trigrams that the
+        tokens ``at`` end. A token that its state has no arc for takes failure arcs, one after the other."""
+        weight = np.zeros(len(group.stream))
+
+        def by_pair(i):  # the arc's probability out of the state of the last word
+            pull = PULL[0] * self.unigram[group.stream[i]]
+            return (self.pairs[which[i]] + pull) / (self.context[group.states[i]] + PULL[0])
+
+        # The state is the last two words. Of a pair that was not counted, the failure arc weighs nothing: no such state.
+        hit = triples > 0
+        i = at[hit]
+        weight[i] = np.log10((triples[hit] + PULL[1] * by_pair(i)) / (self.pairs[which[i - 1]] + PULL[1]))
+        failed = at[~hit]
+        weight[failed] = self.pair_failure[which[failed - 1]]
+        # The state is the last word: of those that failed, and at the start of a text.
+        rest = np.sort(np.concatenate([failed, group.starts]))
+        hit = self.pairs[which[rest]] > 0
+        i = rest[hit]
+        weight[i] += np.log10(by_pair(i))
+        rest = rest[~hit]
+        weight[rest] += self.failure[group.states[rest]] + self.root[group.stream[rest]]  # and on, from the root
+        return weight
 
 
 def _scorer(tokens: int, types: int, starts: int):
@@ -184,22 +272,22 @@ def _scorer(tokens: int, types: int, starts: int):
             return schema.empty_table()
         row = groups.to_pylist()[0]
         group = Group(row)
-        told = sorted(zip(answers["kind"].to_pylist(), answers["range"].to_pylist(), range(answers.num_rows)))
-        found = [[_unpacked(answers["counts"][i].as_py(), "<u8") for k, _, i in told if k == kind] for kind in (0, 1)]
         order, _ = group.unigrams()
         pairs, which = group.bigrams()
+        triples, begin, end, at, whose = group.trigrams(pairs, which)
         words = np.zeros(len(order), dtype=np.int64)
-        words[order] = np.concatenate(found[0])
-        pair_counts = np.concatenate(found[1])
-        if len(pair_counts) != len(pairs):
-            raise ValueError("a group's answers do not fit its questions")
-        automaton = Automaton(words, pair_counts.astype(np.float64), tokens, types, starts)
+        words[order] = _told(answers, "counts", 0, "<u8")
+        pair_counts = _told(answers, "counts", 1, "<u8").astype(np.float64)
+        asked = _shared(_told(answers, "alone", 1, "u1"), begin, end)
+        counts = np.bincount(whose[group.train[at]], minlength=len(triples)).astype(np.float64)
+        counts[asked] = _told(answers, "counts", 2, "<u8")
+        automaton = Automaton(words, pair_counts, tokens, types, starts)
         add = lambda values: np.add.reduceat(values, group.starts)
         seen = words[group.stream]
         ids = pa.array(_unpacked(row["ids"], "<i8"), pa.int64(), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
         return pa.Table.from_batches([batch(schema, [
             ids, group.held, group.sizes, add((seen > 0).astype(np.int64)), np.full(len(ids), tokens),
-            add(automaton.root[group.stream]), add(automaton.run(group, which))])])
+            add(automaton.root[group.stream]), add(automaton.run(group, which, at, counts[whose]))])])
     return run
 
 
@@ -214,5 +302,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     answers = staged(asked.groupBy("range").applyInArrow(_answer, ANSWERS), "lm-answers")
     types = answers.filter("kind = 0").agg(F.sum("types").alias("n")).first().n or 0
     starts = rows.filter(~F.coalesce(held_out, F.lit(False))).count()
+    alone = answers.filter("kind = 1").select("gid", "kind", "range", "alone")
+    asked = groups.groupBy("gid").cogroup(alone.groupBy("gid")).applyInArrow(_second_asker(ranges), ASKED)
+    triples = staged(asked.groupBy("range").applyInArrow(_answer, ANSWERS), "lm-trigrams")
+    answers = answers.unionByName(triples.withColumn("alone", F.lit(b"")))
     return groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(
         _scorer(seen["train"] or 0, types, starts), SCORES)

@@ -108,22 +108,34 @@ def jaccard_components(rows, k, percent):
     return [(r[0], len(s), min(least[root(i)], default=None) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets))]
 
 
-def language_model(rows, pull=20.0):
+def language_model(rows, pull=(100.0, 5.0)):
     """(doc_id, held, n_tokens, n_known, N, base, score) with dictionaries of counts."""
     texts = [(r[0], remainder(r[0], 10) == 0, [*words(r[1]), ""]) for r in rows]
-    one, two, context = Counter(), Counter(), Counter()
+    one, two, three, after_word, after_pair = Counter(), Counter(), Counter(), Counter(), Counter()
     for _, held, t in texts:
         if not held:
+            read = ["\n", *t]
             one.update(t)
-            two.update(zip(["\n", *t], t))
-            context.update(["\n", *t[:-1]])
+            two.update(zip(read, t))
+            three.update(zip(read, t, t[1:]))
+            after_word.update(read[:-1])
+            after_pair.update(zip(read[:-1], t[:-1]))
     n, v = sum(one.values()), len(one)
-    # An end is no state, but counts weigh a word by all its tokens; only the end differs, and nothing follows it.
-    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(w):
+        return (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p_after(a, w):
+        return (two[a, w] + pull[0] * p(w)) / (after_word[a] + pull[0])
+
+    def p_after_two(a, b, w):
+        return (three[a, b, w] + pull[1] * p_after(b, w)) / (after_pair[a, b] + pull[1])
+
     out = []
     for doc_id, held, t in texts:
         base = sum(math.log10(p(w)) for w in t)
-        score = sum(math.log10((two[a, w] + pull * p(w)) / (context[a] + pull)) for a, w in zip(["\n", *t], t))
+        score = math.log10(p_after("\n", t[0])) + sum(
+            math.log10(p_after_two(*x)) for x in zip(["\n", *t], t, t[1:]))
         out.append((doc_id, held, len(t), sum(one[w] > 0 for w in t), n, base, score))
     return out
 

@@ -308,16 +308,65 @@ def test_language_model(request, given, group, tokens, monkeypatch):
     assert np.allclose([r[5:] for r in found], [r[5:] for r in expected], rtol=1e-9)
 
 
-def test_weights_sum_to_one(spark, document_rows):
-    """Out of any state, the words of the vocabulary and one unknown word."""
-    words, context = np.array([10, 0, 5, 3, 2]), np.array([0.0, 2.0, 1.0, 0.0, 1.0])
-    automaton = backoff_lm.Automaton(words, context, 20, 4, 10)
-    total = 20 + 0.1 * 5
-    uni = [(c + 0.1) / total for c in (10, 5, 3, 2)] + [0.1 / total]
-    assert math.isclose(sum(uni), 1)
-    pairs = [2, 1, 2, 0, 0]  # counts out of a state of count 5
-    assert math.isclose(sum((c + 20 * p) / 25 for c, p in zip(pairs, uni)), 1)
-    assert math.isclose(10 ** automaton.failure[2], 20 / 25)
+def group_of(texts):
+    """Texts of numbers as a packed group of the language model, and its automaton by the group's own counts."""
+    hashes = np.random.default_rng(5).integers(0, 1 << 62, max(map(max, texts)) + 1).astype("<u8")
+    row = {"hashes": hashes.tobytes(), "held": bytes(len(texts)),
+           "sizes": backoff_lm._packed(np.array([len(t) for t in texts], "<u4")),
+           "stream": backoff_lm._packed(np.concatenate([np.array(t, "<u4") for t in texts]))}
+    group = backoff_lm.Group(row)
+    pairs, which = group.bigrams()
+    triples, begin, end, at, whose = group.trigrams(pairs, which)
+    words = np.bincount(group.stream, minlength=len(hashes))
+    automaton = backoff_lm.Automaton(words, np.bincount(which).astype(float), int(group.sizes.sum()),
+                                     int((words > 0).sum()), len(texts))
+    return group, automaton, which, at, whose, np.bincount(whose).astype(float)
+
+
+def test_weights_sum_to_one():
+    """Out of a state of two words: its arcs, and the failure arcs to the last word and on to the root."""
+    # Words are 2 to 6, an end is 0, a start is 1. What follows the pair (2, 3) is 4 twice, 5 once, and an end.
+    texts = [[2, 3, 4, 0], [2, 3, 4, 3, 5, 0], [6, 2, 3, 5, 0], [2, 3, 0], [4, 3, 6, 0]]
+    group, automaton, which, at, whose, triples = group_of(texts)
+    weight = automaton.run(group, which, at, triples[whose])
+    found = {}
+    for i in range(2, len(group.stream)):
+        if (group.stream[i - 2], group.stream[i - 1]) == (2, 3):
+            found[int(group.stream[i])] = 10 ** weight[i]
+    assert set(found) == {0, 4, 5}
+    total = group.sizes.sum() + 0.1 * 7
+    uni = lambda w: (np.count_nonzero(group.stream == w) + 0.1) / total
+    # After 3: 4 twice, 5 twice, 6 once, an end once. Other words, and one unknown, take two failure arcs.
+    after_3 = {w: (c + 100 * uni(w)) / 106 for w, c in {4: 2, 5: 2, 6: 1, 0: 1}.items()}
+    to_pair, to_word = 5 / 9, 100 / 106
+    rest = to_pair * after_3[6] + to_pair * to_word * (uni(2) + uni(3) + 0.1 / total)
+    assert math.isclose(sum(found.values()) + rest, 1)
+    pair = which[[i for i in range(len(which)) if (group.states[i], group.stream[i]) == (2, 3)][0]]
+    assert math.isclose(10 ** automaton.pair_failure[pair], to_pair)
+    assert math.isclose(10 ** automaton.failure[3], to_word)
+
+
+def test_failure_arcs_in_a_row():
+    """Words after a pair, a word and a start that never had them: one, two and one failure arcs."""
+    texts = [[2, 3, 4, 0], [5, 3, 6, 0], [2, 3, 5, 0]]
+    group, automaton, which, at, whose, triples = group_of(texts)
+    counts = triples[whose]
+    counts[[i for i, x in enumerate(at) if group.stream[x] == 6]] = 0  # (5, 3, 6) is taken for a new one
+    weight = automaton.run(group, which, at, counts)
+    place = int(np.flatnonzero(group.stream == 6)[0])
+    by_word = (1 + 100 * automaton.unigram[6]) / 103
+    assert math.isclose(weight[place], math.log10(5 / 6) + math.log10(by_word))
+    automaton.pairs = automaton.pairs.copy()
+    automaton.pairs[which[place]] = 0  # and (3, 6) as well
+    weight = automaton.run(group, which, at, counts)
+    assert math.isclose(weight[place], math.log10(5 / 6) + math.log10(100 / 103) + automaton.root[6])
+    automaton.pairs[which[0]] = 0  # a text that starts with 2
+    assert math.isclose(automaton.run(group, which, at, counts)[0], math.log10(100 / 103) + automaton.root[2])
+
+
+def test_keys_as_differences():
+    for keys in (np.zeros(0, "<u8"), np.array([0], "<u8"), np.array([3, 1 << 40, (1 << 64) - 1], "<u8")):
+        assert np.array_equal(backoff_lm._unpacked_keys(backoff_lm._packed_keys(keys)), keys)
 
 
 def test_held_out_texts_gain(documents):
