@@ -289,9 +289,9 @@ def numbered(spark, sf_dir, rows_per_shard=fx.TAR_ROWS):
     return payload.join(cut, "sample_id").withColumn("__key__", sample_key(F.col("sample_id"), "train"))
 
 
-def put(rows, path, mode):
+def put(rows, path, mode, **options):
     clustered = cluster_by_shard(rows.withColumn("shard_task", F.col("shard")), 0, 8, ["pos"])
-    clustered.select("shard", "__key__", "jpg", "txt").write.format("tarshards").mode(mode).save(path)
+    clustered.select("shard", "__key__", "jpg", "txt").write.format("tarshards").mode(mode).options(**options).save(path)
 
 
 def put_and_fail(rows, path, mode):
@@ -348,6 +348,25 @@ def overwrite_shards(spark, sf_dir):
     return listed_with_rows(spark, path)
 
 
+@query("shard_lists", sql_listed(fx.TAR_ROWS))
+def shard_lists(spark, sf_dir):
+    """Even shards, indexed in lists of four numbers, then odd ones appended: a whole read, planned from the lists."""
+    rows, path = numbered(spark, sf_dir), fresh_dir(spark, "lists")
+    put(rows.filter("shard % 2 = 0"), path, "overwrite", shards_per_list="4")
+    put(rows.filter("shard % 2 = 1"), path, "append")
+    return listed_with_rows(spark, path)
+
+
+@query("shard_lists_overwritten", sql_listed(2 * fx.TAR_ROWS))
+def shard_lists_overwritten(spark, sf_dir):
+    """A set in lists, overwritten by half as many shards, then an append that fails."""
+    path = fresh_dir(spark, "lists-replaced")
+    put(numbered(spark, sf_dir), path, "overwrite", shards_per_list="4")
+    put(numbered(spark, sf_dir, 2 * fx.TAR_ROWS), path, "overwrite", shards_per_list="3")
+    put_and_fail(numbered(spark, sf_dir).withColumn("shard", F.col("shard") + 500_000), path, "append")
+    return listed_with_rows(spark, path)
+
+
 # The bytes the damage leaves of the last shard.
 KEPT = "(raw + 1024 + 10239) // 10240 * 10240 // 2 // 512 * 512 - 100"
 

@@ -72,8 +72,9 @@ def set_aside(flat: DataFrame, rejects: str | None, need_text: bool = True) -> D
 def write_tar(flat: DataFrame, path: str, max_bytes: int = 2 << 26, max_rows: int = 10_000, seed: int = 42,
               prefix: str = "dataset", split: str = "train", hashes: str = "", digits: int | None = None,
               assigned: DataFrame | None = None, rejects: str | None = None, least_bytes: int = 10_000_000,
-              offsets: bool = False) -> str:
-    """Tar shards ``<prefix>-<split>-NNNNNN.tar`` of (sample_id, image, text)."""
+              offsets: bool = False, shards_per_list: int | None = None) -> str:
+    """Tar shards ``<prefix>-<split>-NNNNNN.tar`` of (sample_id, image, text). With ``shards_per_list`` the index is kept in
+    lists of so many shards, which readers plan from without an entry per shard."""
     check_limits(max_bytes, max_rows, least_bytes)
     # Counted before rows are set aside: this count reads footers, the other one payloads.
     digits = digits or bucket_digits(flat.count())
@@ -84,7 +85,8 @@ def write_tar(flat: DataFrame, path: str, max_bytes: int = 2 << 26, max_rows: in
     payload = flat.select("sample_id", sample_key(F.col("sample_id"), split).alias("__key__"),
                           image.alias("jpg"), F.encode(text, "UTF-8").alias("txt"))
     return write_shards(payload, assigned, "tarshards", path, seed, prefix=prefix, split=split, hashes=hashes,
-                        offsets=str(offsets).lower())
+                        offsets=str(offsets).lower(),
+                        **({} if shards_per_list is None else {"shards_per_list": str(shards_per_list)}))
 
 
 def write_mds(flat: DataFrame, path: str, size_limit: int = 1 << 26, seed: int = 42, compression: str = "",

@@ -27,7 +27,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from shardloom.sources import commits
+from shardloom.sources import commits, shardlists
 from shardloom.sources.commits import INDEX  # noqa: F401 - formats take it from here
 from shardloom.sources.storage import locate, write_json
 
@@ -68,7 +68,13 @@ class Written(WriterCommitMessage):
 
 
 class ShardWriter(DataSourceArrowWriter):
-    """Subclasses name the file of a shard and write its rows."""
+    """Subclasses name the file of a shard and write its rows.
+
+    Where ``per_list`` is set, the index is kept in lists of so many shard numbers (``sources.shardlists``). An append keeps the
+    way in which its set is indexed.
+    """
+
+    per_list: int | None = None
 
     def __init__(self, options: dict, schema, overwrite: bool):
         self.path = options["path"]
@@ -102,7 +108,9 @@ class ShardWriter(DataSourceArrowWriter):
         filesystem.create_dir(folder, recursive=True)
         done, open_no, handle = Written(), None, None
         previous = None if self.overwrite else commits.current(filesystem, base)[0]
-        taken = {e["file"] for e in self.indexed(previous)} if previous else set()
+        in_lists = previous is not None and "lists" in previous
+        taken = {e["file"] for e in self.indexed(previous)} if previous and not in_lists else set()
+        looked_at = set()
         try:
             for batch in iterator:
                 if not batch.num_rows:
@@ -118,6 +126,9 @@ class ShardWriter(DataSourceArrowWriter):
                             handle = None
                             if number < open_no:
                                 raise ValueError("rows are not sorted by shard")
+                        if in_lists and number // previous["per_list"] not in looked_at:
+                            looked_at.add(number // previous["per_list"])
+                            taken = {e["file"] for e in self.listed(filesystem, base, previous, {number})}
                         if self.file_name(number) in taken:
                             raise ValueError(f"{self.file_name(number)} is in the set; append shards under other numbers")
                         open_no, handle = number, self.open_shard(filesystem, f"{folder}/{self.file_name(number)}")
@@ -133,24 +144,48 @@ class ShardWriter(DataSourceArrowWriter):
     def entry(self, shard: int, handle) -> dict:
         return {"shard": shard, "file": self.file_name(shard), **handle.finish()}
 
+    def listed(self, filesystem, base: str, index: dict, numbers=None):
+        """Entries of a set whose index is in lists: all, or those of the lists that the numbers are in."""
+        touched = None if numbers is None else {n // index["per_list"] for n in numbers}
+        lines = [line for line in index["lists"] if touched is None or line["number"] in touched]
+        return shardlists.read_all(filesystem, base, lines)
+
     def commit(self, messages) -> None:
         filesystem, base = locate(self.path)
         filesystem.create_dir(base, recursive=True)
         entries = sorted((e for m in messages if m is not None for e in m.entries), key=lambda e: e["shard"])
-        files = [e["file"] for e in entries]
-        if len(set(files)) != len(files):
+        files = {e["file"] for e in entries}
+        if len(files) != len(entries):
             raise ValueError("rows of one shard reached two tasks; cluster them by shard before writing")
         commits.finish(filesystem, base)
         previous = commits.current(filesystem, base)[0]
-        kept = [e for e in self.indexed(previous) if e["file"] not in set(files)] if previous is not None else []
-        if previous is not None and not self.overwrite:
-            if len(kept) < len(self.indexed(previous)):
-                raise ValueError("shards of these numbers joined the set meanwhile; append under other numbers")
-            entries = sorted(kept + entries, key=lambda e: e["file"])
         beside = lambda found: [name for e in found for name in (e["file"], *e.get("beside", []))]
-        new = beside(e for e in entries if e["file"] in set(files))
-        gone = set(beside(self.indexed(previous)) if previous is not None and self.overwrite else []) - set(new)
-        commits.publish(filesystem, base, self.job, self.index(entries), new, sorted(gone))
+        new, gone = beside(entries), []
+        before = [] if previous is None else self.indexed(previous) if "lists" not in previous else self.listed(
+            filesystem, base, previous, None if self.overwrite else {e["shard"] for e in entries})
+        lists = [] if previous is None else previous.get("lists", [])
+        if self.overwrite:
+            keep = set(new)
+            gone = [name for e in before for name in beside([e]) if name not in keep] + [line["file"] for line in lists]
+            kept, per_list, lists = [], self.per_list, []
+        else:
+            kept = list(before)
+            if any(e["file"] in files for e in kept):
+                raise ValueError("shards of these numbers joined the set meanwhile; append under other numbers")
+            per_list = self.per_list if previous is None else previous.get("per_list")
+        entries = sorted(kept + entries, key=lambda e: e["file"])
+        if per_list is None:
+            index = self.index(entries)
+        else:
+            folder = commits.folder_of(base, self.job)
+            filesystem.create_dir(folder, recursive=True)
+            made = shardlists.write(filesystem, folder, self.job, entries, per_list)
+            touched = {line["number"] for line in made}
+            gone += [line["file"] for line in lists if line["number"] in touched]
+            lists = sorted([*made, *(line for line in lists if line["number"] not in touched)], key=lambda x: x["number"])
+            index = {**self.index([]), "lists": lists, "per_list": per_list}
+            new += [line["file"] for line in made]
+        commits.publish(filesystem, base, self.job, index, new, sorted(gone))
 
     def abort(self, messages) -> None:
         """The job's folder goes, with what any of its tasks wrote; the set is as it was."""
@@ -229,6 +264,14 @@ class ShardReader(DataSourceReader):
         """``file`` and ``bytes`` of every shard, in order."""
         raise NotImplementedError
 
+    def shard_lists(self, filesystem, base: str) -> tuple[list[dict], str | None] | None:
+        """The lines of an index in lists, and its job; None for a set that is indexed otherwise."""
+        return None
+
+    def belongs(self, entry: dict) -> bool:
+        """Whether options leave the shard in the set."""
+        return True
+
     def read_shard(self, filesystem, path: str, entry: dict):
         """Yield dicts of column lists."""
         raise NotImplementedError
@@ -245,6 +288,11 @@ class ShardReader(DataSourceReader):
 
     def partitions(self):
         filesystem, base = locate(self.path)
+        lists = self.shard_lists(filesystem, base) if self.epoch is None and not self.workers else None
+        if lists is not None:
+            # Orders and workers need all shards; all else is planned from the lists' lines.
+            target = min(self.bytes_per_task, sum(line["bytes"] for line in lists[0]) // self.min_tasks)
+            return shardlists.slices(*lists, target, self.only.get("shard")) or [ShardFiles([])]
         shards = self.list_shards(filesystem, base)
         if self.epoch is not None:
             shards = epoch_order(shards, self.seed, self.epoch)
@@ -281,8 +329,12 @@ class ShardReader(DataSourceReader):
                 filled.append(pa.array(values, column.type))
             return pa.RecordBatch.from_arrays(filled, schema=arrow_schema)
 
+        def asked(entry: dict) -> bool:
+            return self.belongs(entry) and entry["file"] in self.only.get("shard", {entry["file"]})
+
         place = 0
-        for entry in partition.files:
+        for entry in (shardlists.of_slice(filesystem, base, partition, asked) if isinstance(partition, shardlists.ListSlice)
+                      else partition.files):
             place = place if entry.get("first") is None else entry["first"]
             try:
                 delivered = 0

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.types import StringType
 
-from shardloom.sources import commits
+from shardloom.sources import commits, shardlists
 from shardloom.sources.shardfiles import INDEX, ShardReader, ShardSource, ShardWriter, digests, in_batches
 from shardloom.sources.storage import replacing
 
@@ -100,6 +100,7 @@ class TarWriter(ShardWriter):
         if "__key__" not in self.columns:
             raise ValueError("tar shards are written from a `__key__` column")
         self.parts = [c for c in self.columns if c != "__key__"]
+        self.per_list = int(options["shards_per_list"]) if "shards_per_list" in options else None
 
     def file_name(self, shard: int) -> str:
         prefix, split = self.options.get("prefix", "dataset"), self.options.get("split", "train")
@@ -152,14 +153,23 @@ def samples_of(stream, whole: bool = True):
 
 
 class TarReader(ShardReader):
+    def shard_lists(self, filesystem, base):
+        index, job = commits.current(filesystem, base)
+        return (index["lists"], job) if index is not None and "lists" in index else None
+
+    def belongs(self, entry):
+        split, prefix = self.options.get("split"), self.options.get("prefix", "")
+        return not split or f"{prefix}-{split}-" in entry["file"]
+
     def list_shards(self, filesystem, base):
         def indexed(folder: str):
             index, job = commits.current(filesystem, folder)
             if index is None or index.get("format") != "tar":
                 return None
             inner = folder[len(base):].lstrip("/")
+            shards = shardlists.read_all(filesystem, folder, index["lists"], job) if "lists" in index else index["shards"]
             return [{"file": f"{inner}/{s['file']}" if inner else s["file"], "bytes": s["bytes"],
-                     "samples": s["samples"], "job": job, "beside": s.get("beside", [])} for s in index["shards"]]
+                     "samples": s["samples"], "job": job, "beside": s.get("beside", [])} for s in shards]
 
         found = indexed(base)
         if found is None:
@@ -171,10 +181,7 @@ class TarReader(ShardReader):
             sets = [indexed(folder) for folder in sorted(folders)]
             found = [entry for entries in sets if entries for entry in entries] or [
                 {"file": i.path[len(base):].lstrip("/"), "bytes": i.size} for i in infos if i.path.endswith(".tar")]
-        split, prefix = self.options.get("split"), self.options.get("prefix", "")
-        if split:
-            found = [s for s in found if f"{prefix}-{split}-" in s["file"]]
-        return sorted(found, key=lambda s: s["file"])
+        return sorted(filter(self.belongs, found), key=lambda s: s["file"])
 
     def read_shard(self, filesystem, path, entry):
         fields = [f for f in self.schema.fields if f.name not in ("shard", "_corrupt")]
@@ -194,7 +201,8 @@ class TarReader(ShardReader):
 
 
 class TarShards(ShardSource):
-    """``tarshards``: options path, prefix, split, hashes, offsets (``true``: list each shard's samples beside it); columns ``__key__`` and one per member ending."""
+    """``tarshards``: options path, prefix, split, hashes, offsets (``true``: list each shard's samples beside it),
+    shards_per_list (keep the index in lists of so many shard numbers); columns ``__key__`` and one per member ending."""
 
     writer_class, reader_class = TarWriter, TarReader
 
