@@ -8,7 +8,8 @@ than the longest string that a row can hold.
 
 A null text is empty; an empty text has an empty fingerprint, which is like another empty one (1) and unlike any other
 (0). A null id counts as the least long, first in order. Rows that share an id have the same next document, and of
-several rows of the next id the one with the least text hash. Equal texts have equal fingerprints.
+several rows of the next id the one with the least text hash. Equal texts have equal fingerprints. A
+table of one row is followed by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
