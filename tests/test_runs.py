@@ -19,6 +19,7 @@ from shardloom.functions.text_metrics import (
 from shardloom.operators import runs
 from shardloom.sources.listing import count_per_file, dir_stats, list_parquet, list_shards
 
+# Log texts in the wording that must match, and figures that were published with them.
 STAGE_LOG = """Timing Summary:
 TarDataset preparation time: 31.03 seconds
 TarDataset write time: 24.51 seconds
