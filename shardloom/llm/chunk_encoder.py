@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,18 +65,22 @@ class ChunkEncoder:
     def find(self, pieces: list[str], prefix: str = "") -> np.ndarray:
         """Numbers of distinct pieces; unknown ones go to the library together."""
         known = self.pieces[prefix]
-        new = [p for p in pieces if p not in known]
-        if new:
+        numbers = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
+            numbers[unknown] = np.arange(self.n, self.n + len(new))
             known.update(zip(new, range(self.n, self.n + len(new))))
             ids = self.library([prefix + p for p in new] if prefix else new)
-            self.sizes.extend(np.fromiter(map(len, ids), np.int64, len(new)))
-            self.ids.extend(np.array([i for x in ids for i in x], dtype="<u4"))
+            sizes = np.fromiter(map(len, ids), np.int64, len(new))
+            self.sizes.extend(sizes)
+            self.ids.extend(np.fromiter(chain.from_iterable(ids), np.dtype("<u4"), int(sizes.sum())))
             # Where a piece ends with a white space, or is none, the space behind it is no place to cut at.
             self.spaced.extend([not p or SPACED.search(p) is not None for p in new] if self.rule == "byte" else
                                np.zeros(len(new), bool))
             self.n += len(new)
             self.chars += sum(map(len, new))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        return numbers
 
     def trim(self) -> None:
         """Keep the pieces seen first, which are the frequent ones, when there are too many."""
