@@ -24,7 +24,6 @@ from shardloom.llm.common import Grown, ragged, single_threaded, sums, without_c
 # The code points with the Unicode property White_Space, as the body of a character class.
 SPACES = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-SPACED = re.compile(f"[{SPACES}]\\Z")
 MEMO, MEMO_CHARS = 900_000, 32 << 20  # pieces and characters remembered by a worker, some 170 MB
 STEP_BYTES = 6 << 20  # text encoded at a time
 
@@ -75,8 +74,9 @@ class ChunkEncoder:
             sizes = np.fromiter(map(len, ids), np.int64, len(new))
             self.sizes.extend(sizes)
             self.ids.extend(np.fromiter(chain.from_iterable(ids), np.dtype("<u4"), int(sizes.sum())))
-            # Where a piece ends with a white space, or is none, the space behind it is no place to cut at.
-            self.spaced.extend([not p or SPACED.search(p) is not None for p in new] if self.rule == "byte" else
+            # Where a piece ends with a white space (or a separator, which does no harm), or is none, the space behind it is
+            # no place to cut at.
+            self.spaced.extend([not p or p[-1].isspace() for p in new] if self.rule == "byte" else
                                np.zeros(len(new), bool))
             self.n += len(new)
             self.chars += sum(map(len, new))
