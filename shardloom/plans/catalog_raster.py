@@ -22,6 +22,7 @@ from shardloom.plans import fixtures as fx
 from shardloom.plans.prepare import cluster_by_shard, read_shards
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir, stage
+from shardloom.sources import register
 
 # Four readings of the same 64 bytes, by the channel rule each one meets.
 SHAPES = {1: (8, 8), 2: (8, 4), 3: (11, 2), 4: (4, 4)}
@@ -182,6 +183,7 @@ SQL_FLIP = f"('0x' || substr(md5('flip:{fx.SEED}:{EPOCH}:' || sample_id), 1, 8))
 
 def raster_set(spark, sf_dir, rows_per_shard=SHARD_ROWS):
     """The rasters as tar shards: bytes, shape and a text each; null ones are rejected."""
+    register(spark)
     rows = fx.rasters(spark, sf_dir).filter("data is not null")
     placed = with_positions(stage(with_order(rows.select("sample_id"), fx.SEED)), ["order_key", "sample_id"])
     stored = rows.join(placed.select("sample_id", "pos", by_count(F.col("pos"), rows_per_shard).alias("shard")), "sample_id")

@@ -15,6 +15,7 @@ from shardloom.plans import fixtures as fx
 from shardloom.plans.catalog_rows import IMAGE, ORDER, TEXT
 from shardloom.plans.prepare import (
     MDS_COLUMNS,
+    TASK_BYTES,
     assign,
     assign_writers,
     cluster_by_shard,
@@ -26,6 +27,7 @@ from shardloom.plans.prepare import (
 )
 from shardloom.plans.registry import query
 from shardloom.session import fresh_dir
+from shardloom.sources import register
 from shardloom.sources.chunks import item_size
 from shardloom.sources.indexed_tar import prepare_index, tar_sample_index
 from shardloom.sources.listing import damaged, list_shards
@@ -289,8 +291,15 @@ def numbered(spark, sf_dir, rows_per_shard=fx.TAR_ROWS):
     return payload.join(cut, "sample_id").withColumn("__key__", sample_key(F.col("sample_id"), "train"))
 
 
+SHARDS_PER_TASK = 200
+
+
 def put(rows, path, mode, **options):
-    clustered = cluster_by_shard(rows.withColumn("shard_task", F.col("shard")), 0, 8, ["pos"])
+    register(rows.sparkSession)
+    numbers = rows.agg(F.min("shard").alias("first"), F.max("shard").alias("last")).first()
+    # Shards are cut by rows, so tasks go by the number of shards; even or odd numbers alone spread by their hash.
+    tasks = 8 if numbers["last"] is None else max(8, (numbers["last"] - numbers["first"]) // SHARDS_PER_TASK + 1)
+    clustered = cluster_by_shard(rows.withColumn("shard_task", F.hash("shard")), tasks * TASK_BYTES, tasks, ["pos"])
     clustered.select("shard", "__key__", "jpg", "txt").write.format("tarshards").mode(mode).options(**options).save(path)
 
 

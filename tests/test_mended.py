@@ -160,3 +160,17 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
         assert 16**width == buckets
     ranged = ordering.range_buckets(spark.range(10_000), ["id"])
     assert ranged.select(F.countDistinct("bucket")).first()[0] > 50
+
+
+@pytest.mark.parametrize("name", ["append_shards", "preprocess_pipeline"])
+def test_the_first_query_of_a_session_writes_its_set(sf_dir, name):
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from shardloom.plans import catalog
+from shardloom.session import build_session
+spark = build_session("first", "local[4]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"}})
+print("rows:", catalog.QUERIES[{name!r}](spark, {sf_dir!r}).count() > 0)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200)
+    assert "rows: True" in done.stdout, done.stderr[-1500:]
