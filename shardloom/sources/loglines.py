@@ -21,6 +21,8 @@ from shardloom.sources.storage import locate
 
 LINES = "file string, start long, line string"
 BLOCK = 1 << 20
+TASK_BYTES = 64 << 20
+MANY_TASKS = 1000
 
 
 def lengths(path: str) -> dict[str, int]:
@@ -79,21 +81,27 @@ class Portions(InputPartition):
 
 
 class _Lines:
+    """Files are cut at every ``bytes_per_task`` bytes. A task has one such cut's bytes at most, or, where that would make more than
+    ``MANY_TASKS``, several cuts up to ``TASK_BYTES``; each cut is read by itself all the same."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.bytes_per_task = int(options.get("bytes_per_task", 64 << 20))
+        self.bytes_per_task = int(options.get("bytes_per_task", TASK_BYTES))
 
     def cut(self, begin: dict[str, int], end: dict[str, int], tail: bool) -> list[Portions]:
-        """Tasks of at most ``bytes_per_task``, for what files have gained."""
-        found = []
-        for name, size in end.items():
-            first = begin.get(name, 0)
+        """Tasks for what files have gained."""
+        gained = {name: (begin.get(name, 0), size) for name, size in end.items()}
+        for name, (first, size) in gained.items():
             if size < first:
                 raise ValueError(f"{name} has {size} bytes, but {first} were read")
-            for low in range(first, size, self.bytes_per_task):
-                high = min(size, low + self.bytes_per_task)
+        even = sum(size - first for first, size in gained.values()) // MANY_TASKS
+        target = max(self.bytes_per_task, min(even, TASK_BYTES) // self.bytes_per_task * self.bytes_per_task)
+        found = []
+        for name, (first, size) in gained.items():
+            for low in range(first, size, target):
+                high = min(size, low + target)
                 found.append({"file": name, "low": low, "high": high, "bytes": high - low, "tail": tail and high == size})
-        return [Portions(run) for run in packed(found, self.bytes_per_task)] or [Portions([])]
+        return [Portions(run) for run in packed(found, target)] or [Portions([])]
 
     def read(self, partition):
         filesystem, base = locate(self.path)
@@ -101,8 +109,10 @@ class _Lines:
         def rows():
             for p in partition.portions:
                 with filesystem.open_input_file(f"{base}/{p['file']}") as source:
-                    for start, line in lines_between(source, p["low"], p["high"], p["tail"]):
-                        yield len(line) + 64, (p["file"], start, line.decode("utf-8", "replace"))
+                    for low in range(p["low"], p["high"], self.bytes_per_task):
+                        high = min(p["high"], low + self.bytes_per_task)
+                        for start, line in lines_between(source, low, high, p["tail"] and high == p["high"]):
+                            yield len(line) + 64, (p["file"], start, line.decode("utf-8", "replace"))
 
         schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("line", pa.string())])
         for columns in in_batches(rows(), schema.names, 10_000):

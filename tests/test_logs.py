@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 
 from shardloom.functions.text_metrics import line_metrics, log_metrics, read_logs
 from shardloom.session import fresh_dir
-from shardloom.sources.loglines import growing_lines, lengths, lines_between, log_lines
+from shardloom.sources.loglines import MANY_TASKS, LogReader, growing_lines, lengths, lines_between, log_lines
 from shardloom.sources.storage import locate
 from shardloom.streaming.sinks import finish, latest, start, versions
 
@@ -98,3 +98,17 @@ def test_lines_are_added_up_before_the_shuffle(spark, tmp_path):
     shuffle = plan.index("Exchange hashpartitioning(file")
     assert "partial_min_by" in plan[shuffle:] and plan.count("Exchange ") == 1
     assert line_metrics(log_lines(spark, str(tmp_path), bytes_per_task="999")).count() == 1
+
+
+def test_tasks_of_small_cuts_stay_few(tmp_path):
+    expected = []
+    for name in ("a", "b", "c"):
+        text = "".join(f"line {i} of {name}\n" for i in range(1000))
+        (tmp_path / name).write_text(text + "no end")
+        expected += [(name, line) for line in [*text.splitlines(), "no end"]]
+    reader = LogReader({"path": str(tmp_path), "bytes_per_task": "7"})
+    tasks = reader.partitions()
+    assert len(tasks) <= 2 * MANY_TASKS < sum(lengths(str(tmp_path)).values()) / 7
+    assert all(p["high"] - p["low"] > 7 for task in tasks[:-1] for p in task.portions if not p["tail"])
+    found = [(row["file"], row["line"]) for task in tasks for batch in reader.read(task) for row in batch.to_pylist()]
+    assert found == expected
