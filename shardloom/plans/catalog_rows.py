@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from shardloom.functions.payload import (
 from shardloom.operators.assignment import by_count
 from shardloom.operators.loading import epochs
 from shardloom.operators.ordering import (
+    bucket_offsets,
     range_buckets,
     ratio_bounds,
     shuffle_through_buffer,
@@ -252,18 +255,28 @@ def file_order(spark, sf_dir):
     return with_positions(range_buckets(rows, order), order).select(*order, "pos")
 
 
+FILE_BYTES = 64 << 20
+
+
 @query("parquet_order", """SELECT doc_id, doc_id % 2 AS file_no, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id DESC) - 1 AS "row",
   row_number() OVER (ORDER BY doc_id % 2, doc_id DESC) - 1 AS pos
 FROM documents""")
 def parquet_order(spark, sf_dir):
-    """The order of two files of several row groups each, odd ids in the second, from the greatest id down."""
+    """The order of two files of several row groups each, odd ids in the second, from the greatest id down. A file of more than
+    ``FILE_BYTES`` of text goes on in further parts, and its rows are counted on through them."""
     path = fresh_dir(spark, "two-files")
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    halves = docs.repartitionById(2, (F.col("doc_id") % 2).cast("int")).sortWithinPartitions(F.desc("doc_id"))
-    halves.write.option("parquet.block.size", 64 << 10).option("parquet.page.size", 8 << 10).parquet(path)
-    rows = with_file_rows(spark.read.parquet(path).select("doc_id"))
+    halves = docs.groupBy((F.col("doc_id") % 2).alias("half")).agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    for half in halves or [{"half": 0, "bytes": 0}]:
+        parts = math.ceil((half["bytes"] or 1) / FILE_BYTES)
+        rows = docs.filter((F.col("doc_id") % 2).eqNullSafe(half["half"])).repartitionByRange(parts, F.desc("doc_id"))
+        rows.sortWithinPartitions(F.desc("doc_id")).write.option("parquet.block.size", 64 << 10).option(
+            "parquet.page.size", 8 << 10).parquet(f"{path}/half={half['half']}")
+    rows = with_file_rows(spark.read.option("recursiveFileLookup", "true").parquet(path).select("doc_id"))
     placed = with_positions(range_buckets(rows, ["file", "row"]), ["file", "row"])
-    return placed.select("doc_id", F.regexp_extract("file", "part-0*([0-9]+)-", 1).cast("long").alias("file_no"), "row", "pos")
+    placed = placed.withColumn("file_no", F.regexp_extract("file", "half=(-?[0-9]+)/", 1).cast("long"))
+    before = bucket_offsets(placed, "file", ("file_no",)).select("file", "first_pos")
+    return placed.join(before, "file").select("doc_id", "file_no", (F.col("row") + F.col("first_pos")).alias("row"), "pos")
 
 
 @query("file_status", """SELECT lang, 'ok' AS status, count(*) AS n_rows FROM documents WHERE lang <> 'de' GROUP BY lang

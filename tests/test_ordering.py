@@ -1,6 +1,7 @@
 """Orders, positions and splits for any partitioning."""
 
 import pytest
+from oracle import connect, differences
 from pyspark.sql import functions as F
 
 from shardloom.operators.ordering import (
@@ -13,6 +14,7 @@ from shardloom.operators.ordering import (
     split_shards,
     with_positions,
 )
+from shardloom.plans import catalog, catalog_rows
 
 
 def ids(spark, n=500, partitions=7):
@@ -65,3 +67,11 @@ def test_shuffle_buffer(spark, buffer_rows):
         assert in_order == (buffer_rows == 1)
     again = shuffle_through_buffer(rows, buffer_rows, seed=3).collect()
     assert {(r.sample_id, r.emitted) for r in again} == {(r.sample_id, r.emitted) for r in shuffled}
+
+
+def test_large_files_go_on_in_further_parts(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog_rows, "FILE_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(catalog_rows, "fresh_dir", lambda spark, label: f"file://{tmp_path}/{label}")
+    found = catalog_rows.parquet_order(spark, sf_dir)
+    assert len(list((tmp_path / "two-files").rglob("part-*.parquet"))) > 4
+    assert differences(found, connect(sf_dir), catalog.ORACLES["parquet_order"]) == []
