@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F, types as T
 
 from shardloom.functions.text_metrics import line_metrics
@@ -44,15 +46,21 @@ def stream_running_peak(spark, sf_dir):
     return latest(spark, path, ["name"])
 
 
+PART_BYTES = 64 << 20
+
+
 @query("stream_ingest_counts", f"""WITH {fx.SQL_SAMPLES}
 SELECT text, count(*) AS n_samples, sum(image_bytes)::BIGINT AS n_bytes FROM samples GROUP BY text""")
 def stream_ingest_counts(spark, sf_dir):
-    """Parts arrive one or two a batch; every batch leaves a tar set, and the sets read as one."""
+    """Parts arrive one or two a batch; every batch leaves a tar set, and the sets read as one. A part of more than ``PART_BYTES``
+    is several files."""
     parts, path, checkpoint = (fresh_dir(spark, label) for label in ("parts", "ingested", "ingest-state"))
     rows = fx.samples(spark, sf_dir)
-    rows.repartition(3, "sample_id").write.parquet(parts)
+    payload = rows.agg(F.sum(F.octet_length("image"))).first()[0] or 0
+    files = max(1, math.ceil(payload / (3 * PART_BYTES)))
+    rows.repartition(3 * files, "sample_id").write.parquet(parts)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-    stream = arriving(spark, parts, schema, files_per_batch=2)
+    stream = arriving(spark, parts, schema, files_per_batch=2 * files)
     finish(start(stream, shard_batches(path, fx.TAR_BYTES, fx.TAR_ROWS, fx.SEED, least_bytes=0),
                  checkpoint,
                  available_now=True))

@@ -1,7 +1,9 @@
 """Late rows, replays and restarts."""
 
+from oracle import connect, differences
 from pyspark.sql import functions as F
 
+from shardloom.plans import catalog, catalog_streams
 from shardloom.plans.prepare import read_shards
 from shardloom.session import fresh_dir
 from shardloom.streaming.ingest import arriving, shard_batches
@@ -59,3 +61,12 @@ def test_a_replayed_batch_rewrites_its_shards(spark):
     rows = read_shards(spark, "tarshards", out).select(F.decode("txt", "UTF-8").cast("long").alias("id"), "shard").collect()
     assert sorted(r.id for r in rows) == list(range(60))
     assert len({r.shard.split("/")[0] for r in rows}) == 3
+
+
+def test_large_parts_are_several_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog_streams, "PART_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(catalog_streams, "fresh_dir", lambda spark, label: f"file://{tmp_path}/{label}")
+    found = catalog_streams.stream_ingest_counts(spark, sf_dir)
+    assert differences(found, connect(sf_dir), catalog.ORACLES["stream_ingest_counts"]) == []
+    assert len(list((tmp_path / "parts").glob("part-*.parquet"))) > 3
+    assert len(list((tmp_path / "ingested").glob("batch-*"))) == 2
