@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.llm import jaccard_join, packing, secret_scan, toxicity
 from shardloom.llm.catalog import repository, toxicity_model
-from shardloom.llm.common import staged
+from shardloom.llm.common import staged, staged_alone
 from shardloom.session import fresh_dir
 
 NO_ID = -(1 << 63)
@@ -29,10 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_join.linked_components(docs, k=5, percent=80)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    ids = staged(linked.groupBy(key.alias("key")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "kept-ids")
+    ids = staged_alone(lambda: staged(jaccard_join.linked_components(docs, k=5, percent=80).groupBy(key.alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "kept-ids"))
     # Only ids that go or are there several times are looked up; all other texts stay where they are.
     special = ids.filter("not stays or n > 1").select("key", "stays")
     if special.count() <= jaccard_join.SEND_IDS:

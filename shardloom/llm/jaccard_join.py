@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shardloom.llm.common import arrow_schema, batch, id_and_text, staged
+from shardloom.llm.common import arrow_schema, batch, discard, id_and_text, staged, staged_alone
 
 LEVEL_BITS = 20  # 2^20 counters order the shingles
 SLICE = 1 << 12  # counters in one row
@@ -231,8 +231,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(star(star(edges.filter("a != b"), True), False), "stars")
     before = state(edges)
     while True:
-        edges = staged(star(star(edges, True), False), "stars")
+        last, edges = edges, staged(star(star(edges, True), False), "stars")
         after = state(edges)
+        discard(last)
         if after == before:
             break
         before = after
@@ -435,20 +436,24 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     described = everything.filter("slice is null").select("doc_id", "n", "set_id")
     levels = spark.sparkContext.broadcast(shingle_levels(everything))
     points = staged(rows.select("text").mapInArrow(_locate(k, percent, levels), POINTS), "points")
-    members = staged(without_twins(staged(shared_postings(points), "postings")), "members")
+    members = staged_alone(lambda: staged(without_twins(staged(shared_postings(points), "postings")), "members"))
     # Only points that share a key are compared.
     once = staged(points.select("set_id", "n", "counts").join(members.select("set_id").distinct(), "set_id", "left_semi")
                   .dropDuplicates(["set_id"]), "sharing")
+    discard(points)
     tried = staged(bounded(hub_pairs(members), once, percent), "hubs-tried")
-    edges = verified(tried, rows, described, k, percent)
+    edges = staged_alone(lambda: verified(tried, rows, described, k, percent))
     first = components(edges)
 
     grown = members.select("key", "set_id", "n").join(first, "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id")).select("key", "set_id", "n", "component")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = staged(across_components(grown, once, percent, tasks).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = staged_alone(lambda: staged(
+        across_components(grown, once, percent, tasks).join(tried, ["a", "b"], "left_anti"), "rest"))
+    discard(once, members, tried)
     if not rest.isEmpty():
-        first = components(edges.union(verified(rest, rows, described, k, percent)))
+        first = components(edges.union(staged_alone(lambda: verified(rest, rows, described, k, percent))))
+    discard(rest)
 
     named = described.join(first, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least_id = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"))

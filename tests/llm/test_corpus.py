@@ -1,6 +1,7 @@
 """Secrets, fingerprints, joins and language-model scores against plain loops."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -386,3 +387,19 @@ def test_empty_tables(none):
 def test_helpers():
     assert shingles("a b c", 4) == {("a", "b", "c")} and remainder(None, 10) == 0
     assert jaccard_join.least_overlap(100, 100, 85) == 92
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(spark, sf_dir):
+    import corpus_pipeline
+    from shardloom.session import shared_root
+
+    root = shared_root(spark).removeprefix("file:")
+    labels = lambda: Counter(name.rpartition("-")[0] for name in os.listdir(root))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), labels()
+    linked = jaccard_join.linked_components(docs, k=5, percent=80)
+    assert set(labels() - before) <= {"described", "edges", "stars"}
+    assert linked.count() == docs.count()
+    before = labels()
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, sf_dir)
+    assert labels() - before == Counter({"kept-ids": 1})
+    assert 0 < kept.count() < docs.count()
