@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shardloom.llm.common import arrow_schema, batch, discard, id_and_text, staged, staged_alone
+from shardloom.llm.common import arrow_schema, batch, discard, drop_worker_state, id_and_text, staged, staged_alone
 
 LEVEL_BITS = 20  # 2^20 counters order the shingles
 SLICE = 1 << 12  # counters in one row
@@ -102,6 +102,7 @@ def _describe(k: int):
     schema = arrow_schema("doc_id long, n int, set_id long, slice int, counts binary")
 
     def run(batches):
+        drop_worker_state()
         memo, seen = _Hashes(), np.zeros(1 << LEVEL_BITS, np.int64)
         for rows in batches:
             out = []
@@ -141,6 +142,7 @@ def _locate(k: int, percent: int, levels):
     schema = arrow_schema(POINTS)
 
     def run(batches):
+        drop_worker_state()
         memo, done, level = _Hashes(), set(), levels.value
         for rows in batches:
             out = []
@@ -164,6 +166,7 @@ def _sets(k: int):
     schema = arrow_schema("set_id long, members binary")
 
     def run(batches):
+        drop_worker_state()
         memo = _Hashes()
         for rows in batches:
             found = [shingle_set(t.as_py(), k, memo) for t in rows.column("text")]

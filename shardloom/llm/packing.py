@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shardloom.llm.chunk_encoder import STEP_BYTES, ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, staged, text_steps
+from shardloom.llm.common import arrow_schema, batch, give_back, id_and_text, staged, text_steps
 
 WINDOW = 4096
 STREAM = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
@@ -35,6 +35,7 @@ def _encoder(tokenizer: str, end_id: int | None):
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
                 yield batch(schema, [np.full(len(ids), part, np.int32), step.column("doc_id"), starts, sizes, ids])
+            give_back()
     return run
 
 

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.llm.chunk_encoder import STEP_BYTES, ChunkEncoder
-from shardloom.llm.common import arrow_schema, batch, id_and_text, range_bounds, text_bytes, text_steps, write_out
+from shardloom.llm.common import arrow_schema, batch, give_back, id_and_text, range_bounds, text_bytes, text_steps, write_out
 from shardloom.sources.storage import locate, replacing
 
 MAGIC = b"TOKIDX1\0"
@@ -43,6 +43,7 @@ def _encoder(tokenizer: str, end_id: int | None, bounds: np.ndarray, width: int)
                 keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 part = np.searchsorted(bounds, keys, side="right").astype(np.int32)
                 yield batch(schema, [part, ids, encoder.encode_array(step.column("text"), end_id, width)[0]])
+            give_back()
     return run
 
 

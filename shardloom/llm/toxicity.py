@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardloom.llm.common import arrow_schema, batch, id_and_text, staged
+from shardloom.llm.common import arrow_schema, batch, drop_worker_state, id_and_text, staged
 
 SAMPLE = 10_000
 PRIOR = 0.1  # weight of the prior, in samples
@@ -120,6 +120,7 @@ class Model:
 
 
 def _count(batches):
+    drop_worker_state()
     schema = arrow_schema(COUNTS)
     kinds = (Counter(), Counter())
     for rows in batches:
@@ -246,6 +247,7 @@ def scorer(model: Model):
     """A column function from text to score."""
     @F.pandas_udf("double")
     def toxicity(text: pd.Series) -> pd.Series:
+        drop_worker_state()
         return pd.Series([model.score(t or "") for t in text], dtype="float64")
     return toxicity
 

@@ -1,6 +1,7 @@
 """Token files, counts, encoding and packing against the libraries on whole texts."""
 
 import base64
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ import tiktoken
 from brute import digest, packed, token_stream
 from tokenizers import Tokenizer
 
-from shardloom.llm import byte_bpe, chunk_encoder, packing, token_counts, token_files
+from shardloom.llm import byte_bpe, chunk_encoder, jaccard_join, packing, token_counts, token_files, toxicity
 from shardloom.llm.chunk_encoder import ChunkEncoder, cut_rule
 from shardloom.session import fresh_dir
 
@@ -62,6 +63,32 @@ def test_memo_is_trimmed(path, monkeypatch, odd_rows):
     assert encoder.n < 20_000
 
 
+def test_a_worker_holds_little(monkeypatch):
+    """The library gets few pieces at once, pieces that came again outlast those that came once."""
+    encoder, asked = ChunkEncoder(WORDS), []
+    asks = encoder.library
+    monkeypatch.setattr(encoder, "library", lambda pieces: asked.append(len(pieces)) or asks(pieces))
+    words = [f"q{i}" for i in range(10_000)]
+    encoder.encode(" ".join(words))
+    assert sum(asked) == 10_000 and max(asked) <= 4096
+    often = words[-100:]
+    encoder.encode(" ".join(often))
+    monkeypatch.setattr(chunk_encoder, "MEMO", 9_000)
+    asked.clear()
+    assert encoder.encode(" ".join(often)) == packed(library(WORDS)(" ".join(often)))
+    assert not asked and encoder.n == 100
+
+
+def test_encoder_goes_before_other_operators():
+    """A worker that the join or the toxicity score begins in has no tokenizer and no memo of pieces left."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"], "toxic": [0]})
+    for run in (jaccard_join._describe(5), jaccard_join._sets(5), toxicity._count):
+        kept = weakref.ref(ChunkEncoder.of_worker(WORDS))
+        assert kept() is not None
+        list(run(iter([rows])))
+        assert kept() is None
+
+
 def test_parts_are_read_by_a_task_each(spark, documents):
     path = fresh_dir(spark, "token-files")
     token_files.write_token_files(documents, path, BYTES, file_bytes=10_000)
