@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +97,12 @@ class ChunkEncoder:
         if self.n <= MEMO and self.chars <= MEMO_CHARS:
             return
         keep = np.flatnonzero(self.again.view)[:MEMO // 2]
-        number = np.full(self.n, -1)
-        number[keep] = np.arange(len(keep))
-        number = number.tolist()
-        pieces = {prefix: {p: number[k] for p, k in known.items() if number[k] >= 0} for prefix, known in self.pieces.items()}
+        kept, pieces = np.zeros(self.n, bool), {}
+        kept[keep] = True
+        for prefix, known in self.pieces.items():
+            own = np.fromiter(known.values(), np.int64, len(known))
+            stays = kept[own]
+            pieces[prefix] = dict(zip(compress(known, stays.tolist()), np.searchsorted(keep, own[stays]).tolist()))
         chars = sum(len(p) for known in pieces.values() for p in known)
         sizes, spaced = self.sizes.view[keep], self.spaced.view[keep]
         ids = self.ids.view[ragged((np.cumsum(self.sizes.view) - self.sizes.view)[keep], sizes)]

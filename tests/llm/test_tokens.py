@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from shardloom.llm import byte_bpe, chunk_encoder, jaccard_join, packing, token_counts, token_files, toxicity
 from shardloom.llm.chunk_encoder import ChunkEncoder, cut_rule
+from shardloom.llm.common import staged
 from shardloom.session import fresh_dir
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -89,6 +90,14 @@ def test_encoder_goes_before_other_operators():
         assert kept() is None
 
 
+def test_batches_of_staged_tables_are_small(spark):
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 5000) text")
+    sizes = staged(rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long"),
+                   "sizes")
+    found = [r.n for r in sizes.collect()]
+    assert sum(found) > 20_000_000 and max(found) < 4_000_000
+
+
 def test_parts_are_read_by_a_task_each(spark, documents):
     path = fresh_dir(spark, "token-files")
     token_files.write_token_files(documents, path, BYTES, file_bytes=10_000)
